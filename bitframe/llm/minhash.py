@@ -6,7 +6,8 @@
 3. Classes that share a band key are candidates. A bucket of up to ``PAIRED`` classes yields its pairs. In a larger one,
    each class is paired with the bucket's pivot, the class that lies in the most large buckets; then only those that
    aren't linked to their pivot are paired with the others, after an exact bound from the shingles that no other class in
-   large buckets has. No pair that can reach the threshold is left out by the bound.
+   large buckets has. No pair that can reach the threshold is left out by the bound. Likely pairs come first; after them,
+   pairs that are known to be of one component need no test.
 4. Pairs whose collision-corrected estimate from the packed bits is more than five deviations below the threshold go; the
    rest are confirmed by the sizes of intersection and union of the full sets.
 5. Connected components by alternating star contractions, each round written to the shared folder.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .scratch import arrow, written
 
-BANDS, ROWS, BITS, PAIRED = 40, 4, 2, 8
+BANDS, ROWS, BITS, PAIRED, SLOTS = 40, 4, 2, 8, 2**24
 _SEEDS = np.random.Generator(np.random.PCG64(77))
 _A = _SEEDS.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _SEEDS.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -79,18 +80,44 @@ def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
     return arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
-def full_sets(texts: DataFrame, size: int = 5) -> DataFrame:
-    """key, items (the whole set), computed anew from column text; rows with an empty set go."""
+def _slots(ids: np.ndarray) -> list[np.ndarray]:
+    """Places of ids in a filter of SLOTS bits."""
+    h = kernel.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return [(h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(SLOTS - 1)).astype(np.int64)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed two megabytes over the one column of ``ids``; built in the executors, merged by words of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in kernel.text_blocks(batch.column(0)):
+            at = np.unique(np.concatenate(_slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    words = np.zeros(SLOTS // 64, np.int64)
+    for r in arrow(ids, run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return words.view(np.uint64)
+
+
+def full_sets(docs: DataFrame, passing: np.ndarray, size: int = 5) -> DataFrame:
+    """key, items (the whole set), computed anew for rows that pass the filter of ids and those without an id.
+
+    docs: doc_id, text. Rows with an empty set go; others may pass the filter by chance.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            good = ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good |= np.logical_and.reduce([(passing[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool) for at in _slots(ids)])
+            for _, data, offsets in kernel.text_blocks(batch.column(1).filter(pa.array(good))):
                 sets = [s for s in kernel.shingle_sets(data, offsets, size) if len(s)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), items], ["key", "items"])
 
-    return arrow(texts.select("text"), run, "key binary, items array<bigint>")
+    return arrow(docs.select("doc_id", "text"), run, "key binary, items array<bigint>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -127,7 +154,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int = 5) -> DataFrame:
-    """Confirmed links (a, b, n_a, n_b, shared) between different classes.
+    """Confirmed links (a, b, n_a, n_b, shared) between different classes: as many as tie all components together.
 
     docs: doc_id, text. classes: key, first_id, n_shingles, bands, bits, one row per class.
     """
@@ -148,8 +175,8 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
     stars = crowd.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
     involved = written(classes.select("key", "first_id", "n_shingles", "bits").join(shared.select("key").distinct(), "key", "left_semi"))
-    texts = docs.join(involved.select("first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = written(full_sets(texts, size).groupBy("key").agg(F.first("items").alias("items")).join(involved.select("key"), "key", "left_semi"))
+    passed = full_sets(docs, id_filter(involved.select("first_id")), size)
+    sets = written(passed.join(involved.select("key"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")))
     alone = (
         sets.join(crowd.select("key").distinct(), "key", "left_semi")
         .select("key", F.explode("items").alias("item"))
@@ -158,15 +185,15 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
     )
     facts = written(involved.join(alone, "key", "left").select("key", "n_shingles", "bits", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")))
 
-    def possible(x: str, y: str, count: str) -> Column:
+    def possible(x: str, y: str, count: str, floor: float) -> Column:
         """Can the pair reach the threshold, if at most ``count`` shingles of either are in the other?"""
         n_x, n_y, most = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles"), F.least(F.col(f"{x}.{count}"), F.col(f"{y}.{count}"))
         fits = 100 * most >= threshold * F.greatest(n_x, n_y, n_x + n_y - most)
-        return fits & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= least)
+        return fits & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= floor)
 
     def near(pairs: DataFrame, count: str) -> DataFrame:
         both = pairs.join(facts.alias("x"), F.col("x.key") == F.col("a")).join(facts.alias("y"), F.col("y.key") == F.col("b"))
-        return both.where(possible("x", "y", count)).select("a", "b", F.col("x.n_shingles").alias("n_a"), F.col("y.n_shingles").alias("n_b"))
+        return both.where(possible("x", "y", count, least)).select("a", "b", F.col("x.n_shingles").alias("n_a"), F.col("y.n_shingles").alias("n_b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The arrays of the full sets travel only for pairs that can be links."""
@@ -174,22 +201,27 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).cast("bigint").alias("shared"))
         return both.where(100 * F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
-    first = written(confirmed(near(paired, "n_shingles").unionByName(near(stars, "common")).distinct()))
-    able = crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles"))
-    tied = first.select(F.col("a").alias("key"), F.col("b").alias("pivot")).unionByName(first.select(F.col("b").alias("key"), F.col("a").alias("pivot")))
-    left = able.where("key <> pivot").join(tied, ["key", "pivot"], "left_anti")
-    rest = (
-        left.alias("x").join(able.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.key") != F.col("y.key")) & possible("x", "y", "common"))
-        .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    )
-    return first.unionByName(confirmed(near(rest, "common"))).distinct()
+    found = written(confirmed(near(paired, "n_shingles").unionByName(near(stars, "common")).distinct()))
+    able = written(crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles")))
+    for floor in (t, least):
+        roots = components(found)
+        rooted = able.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        main = rooted.where("key = pivot").select("pivot", F.col("root").alias("main"))
+        rooted = written(rooted.join(main, "pivot", "left").withColumn("apart", F.coalesce(F.col("root") != F.col("main"), F.lit(True))))
+        once = ~F.col("y.apart") | (F.col("x.key") < F.col("y.key"))
+        rest = (
+            rooted.where("apart").alias("x").join(rooted.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", "common", floor))
+            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        )
+        found = written(found.unionByName(confirmed(near(rest, "common"))).distinct())
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, kept: one row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Link: 100 * |intersection| >= threshold * |union| of the sets of distinct ``size``-word shingles. component_id is the
-    smallest id that links reach; n_links counts the links of the row's class to other classes. Nulls, empty texts and
+    smallest id that links reach. Nulls, empty texts and
     texts of spaces have an empty set and are linked with nothing. Rows that repeat an id are rows of their own that share
     it; a row without an id has its component's id, or null. A row is kept if its id equals component_id, so exactly one
     id of a component stays. Other columns of ``docs`` are ignored.
@@ -201,17 +233,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col:
         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
     found = written(links(plain, classes, threshold, size).select("a", "b"))
-    roots = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    firsts = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key")
+    firsts = classes.select("key", "first_id").join(components(found).withColumnRenamed("node", "key"), "key")
     lowest = firsts.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    ids = (
-        classes.select("key", "first_id").join(firsts.join(lowest, "root").select("key", "lowest").join(degree.withColumnRenamed("node", "key"), "key"), "key", "left")
-        .select("key", F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    )
-    out = marked.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
+    ids = classes.select("key", "first_id").join(firsts.join(lowest, "root").select("key", "lowest"), "key", "left").select("key", F.coalesce("lowest", "first_id").alias("component_id"))
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    out = marked.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": _on("documents", quality.report),
     "op3_toxicity": op3,
     "op4_sentencepiece": _on("documents", sentencepiece.report),
-    "op5_minhash": _on("documents", lambda docs: minhash.near_duplicates(docs).drop("n_links")),
+    "op5_minhash": _on("documents", minhash.near_duplicates),
     "op6_fingerprint": _on("documents", fingerprint.report),
     "op7_licenses": _on("documents", licenses.scan),
     "op8_mixing": _on("documents", lambda docs: mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")),
