@@ -93,14 +93,13 @@ class Pieces:
             i = next((j for j in range(n) if word[j] != old[j]), n)
             del last[i + 1 :]
             for end in range(i + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
+                for start in range(end - 1, max(-1, end - self.longest - 1), -1):  # at most one piece fits, most often a short one
                     piece = word[start:end]
                     if piece in ids or start == end - 1:
                         left = last[start]
-                        fits = together.get((left, piece))
-                        if fits is None:
-                            fits = self.stays("", piece) and self.stays(left, piece)
-                        if fits and (not left or together.get(("", piece)) is not False):
+                        if (fits := together.get((left, piece))) is None:
+                            fits = self.stays(left, piece)
+                        if fits:
                             last.append(piece)
                             break
                 else:
