@@ -5,8 +5,8 @@ words of a text and the probabilities of the categories before it. In training,
 see the row (out-of-fold); afterwards the models are fitted on all rows. Labels for the two earlier categories are weak ones: a
 word of the category in a text that is labelled toxic.
 
-The chain is fitted on the driver on at most ``SAMPLE`` labelled rows, chosen by a hash of their texts, equal texts once. Only their distinct
-hashed words travel there. All documents are scored in the executors, whole.
+The chain is fitted on the driver on at most ``SAMPLE`` labelled rows, chosen by a hash of their texts, equal texts once. Only those
+of their hashed words that are features travel there. All documents are scored in the executors, whole.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import arrow
+from .scratch import arrow, written
 
-SAMPLE, FEATURES, FOLDS, SEED = 8_000, 512, 5, 5
+SAMPLE, FEATURES, FOLDS, SEED, SUPPORT = 8_000, 512, 5, 5, 0.08
 # Words of the weak categories; fixed values.
 CATEGORIES = {
     "insult": ("idiot", "moron", "clown", "loser", "fool", "imbecile", "jerk"),
@@ -46,7 +46,7 @@ def hash_words(words: tuple) -> np.ndarray:
     return np.concatenate([s for _, sets in word_sets(pa.array(words, pa.string())) for s in sets])
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 30) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 2e-5, rounds: int = 50) -> np.ndarray:
     """Logistic regression with a bias (last weight) by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -87,8 +87,8 @@ def run_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return seen[:, n:]
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Word sets and labels of the sample. Rows without a label or with both labels for one text are left out."""
+def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """toxic, words of the sample. Rows without a label or with both labels for one text are left out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, F.col("doc_id") == F.col("l_id"))
     chosen = rows.where("text is not null").select(F.xxhash64(F.lit(SEED), "text").alias("at"), "text", F.col("toxic").cast("int").alias("toxic"))
@@ -100,21 +100,20 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
 
     hashed = arrow(chosen.select("at", "text", "toxic"), run, "at bigint, toxic int, words array<bigint>")
     rank = hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"), F.first("words").alias("words")).where("toxic = least")
-    got = rank.orderBy("at").limit(sample).select("toxic", "words").collect()
-    return [np.array(r["words"], np.int64) for r in got], np.array([float(r["toxic"] > 0) for r in got])
+    return written(rank.orderBy("at").limit(sample).select((F.col("toxic") > 0).cast("int").alias("toxic"), "words"))
 
 
-def choose(sets: list[np.ndarray], y: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The words that tell toxic from other texts best: by the deviation of their share of toxic texts from what is usual."""
-    if not len(sets):
-        return np.zeros(0, np.int64)
-    words, back = np.unique(np.concatenate(sets), return_inverse=True)
-    count = np.bincount(back, minlength=len(words)).astype(float)
-    toxic = np.bincount(back, np.repeat(y, [len(s) for s in sets]), minlength=len(words))
-    usual = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    z = np.abs(toxic - count * usual) / np.sqrt(count * usual * (1 - usual))
-    good = np.flatnonzero((count >= 5) & (z >= 4))
-    return np.sort(words[good[np.argsort(-z[good], kind="stable")[:most]]])
+def choose(sample: DataFrame, n: int, toxic: int, most: int = FEATURES) -> np.ndarray:
+    """The words that tell toxic from other texts best: by the deviation of their share of toxic texts from what is usual.
+
+    A word has to be in ``SUPPORT`` of all toxic texts, so that words of a single mislabelled text and its near copies don't count.
+    """
+    usual = toxic / n
+    words = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= 5)
+    words = words.where(F.col("toxic") >= SUPPORT * toxic)
+    z = F.abs(F.col("toxic") - F.col("n") * usual) / F.sqrt(F.col("n") * (usual * (1 - usual)))
+    got = words.withColumn("z", z).where(f"z >= 4 and toxic > n * {usual!r}").orderBy(F.desc("z"), "word").limit(most).select("word").collect()
+    return np.sort(np.array([r["word"] for r in got], np.int64))
 
 
 def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -127,11 +126,16 @@ def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Vocabulary and models. Without labelled rows, a chain that finds nothing toxic."""
-    sets, y = labelled_words(docs, labels, **columns)
-    if not len(y) or y.min() == y.max():
+    sample = labelled_words(docs, labels, **columns)
+    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
         return np.zeros(0, np.int64), [np.array([0.0] * k + [-9.0]) for k in range(len(NAMES))]
-    vocabulary = choose(sets, y)
-    weak = [np.array([float(t > 0 and np.isin(words, s).any()) for s, t in zip(sets, y)]) for words in map(hash_words, CATEGORIES.values())]
+    vocabulary = choose(sample, n, toxic)
+    lexicons = [hash_words(words) for words in CATEGORIES.values()]
+    wanted = F.lit([int(w) for w in np.union1d(vocabulary, np.concatenate(lexicons))]).cast("array<bigint>")
+    rows = sample.select("toxic", F.array_intersect("words", wanted).alias("words")).collect()
+    sets, y = [np.unique(np.array(r["words"], np.int64)) for r in rows], np.array([float(r["toxic"]) for r in rows])
+    weak = [np.array([float(t > 0 and np.isin(words, s).any()) for s, t in zip(sets, y)]) for words in lexicons]
     return vocabulary, fit_chain(matrix(sets, vocabulary), [*weak, y])
 
 
