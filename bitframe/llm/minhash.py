@@ -142,19 +142,31 @@ def components(edges: DataFrame) -> DataFrame:
 
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = mark(pairs)
-    while True:
+    while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        pairs = written(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        ends = F.explode(F.array_compact(F.array(F.col("u"), F.when(F.col("v") != F.col("m"), F.col("v")))))
+        pairs = written(small.select(ends.alias("u"), F.col("m").alias("v")).distinct())
         if (after := mark(pairs)) == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
         before = after
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int = 5) -> DataFrame:
-    """Confirmed links (a, b, n_a, n_b, shared) between different classes: as many as tie all components together.
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more edges (a, b): only what lies between different components is contracted."""
+    between = edges.select("a", "b")
+    for end in ("a", "b"):
+        between = between.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    over = written(components(between))
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(over.join(roots.select("node"), "node", "left_anti"))
+
+
+def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b, n_a, n_b, shared) between different classes, as many as tie all components together, and (node, root) of those components.
 
     docs: doc_id, text. classes: key, first_id, n_shingles, bands, bits, one row per class.
     """
@@ -203,8 +215,8 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
 
     found = written(confirmed(near(paired, "n_shingles").unionByName(near(stars, "common")).distinct()))
     able = written(crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles")))
+    roots = written(components(found))
     for floor in (t, least):
-        roots = components(found)
         rooted = able.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         main = rooted.where("key = pivot").select("pivot", F.col("root").alias("main"))
         rooted = written(rooted.join(main, "pivot", "left").withColumn("apart", F.coalesce(F.col("root") != F.col("main"), F.lit(True))))
@@ -213,8 +225,9 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
             rooted.where("apart").alias("x").join(rooted.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", "common", floor))
             .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         )
-        found = written(found.unionByName(confirmed(near(rest, "common"))).distinct())
-    return found
+        more = written(confirmed(near(rest, "common")))
+        found, roots = found.unionByName(more), written(joined(roots, more))
+    return found, roots
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,8 +245,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col:
         marked.where("key is not null").groupBy("key")
         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
-    found = written(links(plain, classes, threshold, size).select("a", "b"))
-    firsts = classes.select("key", "first_id").join(components(found).withColumnRenamed("node", "key"), "key")
+    roots = links(plain, classes, threshold, size)[1]
+    firsts = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key")
     lowest = firsts.groupBy("root").agg(F.min("first_id").alias("lowest"))
     ids = classes.select("key", "first_id").join(firsts.join(lowest, "root").select("key", "lowest"), "key", "left").select("key", F.coalesce("lowest", "first_id").alias("component_id"))
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -258,3 +258,23 @@ def test_pipeline_stages_keep_what_is_clean(spark, tmp_path):
             assert after.columns == corpus_pipeline.COLUMNS
         docs = after
     assert docs.where("n_tokens > 0").count() == docs.count()
+
+
+def test_components_extend(spark):
+    """Components after two lots of edges equal those of all edges at once, also when either lot is empty."""
+
+    def plain(edges):
+        root = {}
+        for n in {n for e in edges for n in e}:
+            root[n] = n
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    rng = random.Random(5)
+    lots = [[(rng.randrange(60), rng.randrange(60, 120)) for _ in range(25)], [(rng.randrange(120), 120 + rng.randrange(20)) for _ in range(25)]]
+    for first, second in (lots, lots[::-1], (lots[0], []), ([], lots[1]), ([], [])):
+        one, two = (spark.createDataFrame(e, "a bigint, b bigint") for e in (first, second))
+        got = {r["node"]: r["root"] for r in minhash.joined(minhash.components(one), two).collect()}
+        assert got == plain(first + second)
