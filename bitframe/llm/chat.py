@@ -83,13 +83,17 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
         waiting: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
-            codes = model.encode_batch([w[2] for w in waiting], add_special_tokens=False)
-            spans = [np.array(c.offsets, np.int32).reshape(-1, 2) for c in codes]
+            ids, spans = [], []
+            for w in waiting:  # an encoding takes far more memory than its arrays, so only one is held
+                code = model.encode(w[2], add_special_tokens=False)
+                ids.append(np.array(code.ids, np.int32))
+                spans.append(np.array(code.offsets, np.int32).reshape(-1, 2))
+                del code
             masks = [loss_mask(o.astype(np.int64), w[3]) for o, w in zip(spans, waiting)]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([w[0] for w in waiting], pa.int64()), pa.array([w[1] for w in waiting], pa.int32()), pa.array([w[2] for w in waiting], pa.string()),
-                    pa.array([c.ids for c in codes], pa.list_(pa.int32())), pa.array([o[:, 0] for o in spans], pa.list_(pa.int32())),
+                    pa.array(ids, pa.list_(pa.int32())), pa.array([o[:, 0] for o in spans], pa.list_(pa.int32())),
                     pa.array([o[:, 1] for o in spans], pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())),
                 ],
                 ["conv_id", "part", "text", "ids", "starts", "ends", "mask"],
