@@ -90,8 +90,11 @@ def run_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """toxic, words of the sample. Rows without a label or with both labels for one text are left out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, F.col("doc_id") == F.col("l_id"))
-    chosen = rows.where("text is not null").select(F.xxhash64(F.lit(SEED), "text").alias("at"), "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(SEED), text_col).alias("at"), F.col(text_col).alias("text"))
+    hashed = rows.select("doc_id", "at").join(known, F.col("doc_id") == F.col("l_id"))  # texts don't travel
+    rank = hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"), F.min("doc_id").alias("doc_id")).where("toxic = least")
+    picked = written(rank.orderBy("at").limit(sample).select("at", "doc_id", F.col("toxic").cast("int").alias("toxic")))
+    chosen = rows.join(F.broadcast(picked), ["at", "doc_id"])  # ``sample`` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +102,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(sets)], batch.column(2)[row : row + len(sets)], pa.array(sets, pa.list_(pa.int64()))], ["at", "toxic", "words"])
 
     hashed = arrow(chosen.select("at", "text", "toxic"), run, "at bigint, toxic int, words array<bigint>")
-    rank = hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"), F.first("words").alias("words")).where("toxic = least")
-    return written(rank.orderBy("at").limit(sample).select((F.col("toxic") > 0).cast("int").alias("toxic"), "words"))
+    once = hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
+    return written(once.select((F.col("toxic") > 0).cast("int").alias("toxic"), "words"))
 
 
 def choose(sample: DataFrame, n: int, toxic: int, most: int = FEATURES) -> np.ndarray:
