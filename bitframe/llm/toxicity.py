@@ -6,7 +6,8 @@ see the row (out-of-fold); afterwards the models are fitted on all rows. Labels
 word of the category in a text that is labelled toxic.
 
 The chain is fitted on the driver on at most ``SAMPLE`` labelled rows, chosen by a hash of their texts, equal texts once. Only those
-of their hashed words that are features travel there. All documents are scored in the executors, whole.
+of their hashed words that are features travel there, and a few keys of their shingles, by which near copies share one vote when
+features are chosen. All documents are scored in the executors, whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import kernel, minhash
 from .scratch import arrow, written
 
-SAMPLE, FEATURES, FOLDS, SEED, SUPPORT = 8_000, 512, 5, 5, 0.08
+SAMPLE, FEATURES, FOLDS, SEED, SUPPORT = 8_000, 512, 5, 5, 5
+FAMILY_BANDS = 8  # of four minima each: texts of a similarity of 0.8 share one with a probability of 0.98, of 0.3 with 0.06
 # Words of the weak categories; fixed values.
 CATEGORIES = {
     "insult": ("idiot", "moron", "clown", "loser", "fool", "imbecile", "jerk"),
@@ -87,8 +89,24 @@ def run_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return seen[:, n:]
 
 
+def family_weights(keys: list) -> np.ndarray:
+    """1 / the size of each text's family: texts that share a key, directly or through others. Texts without keys are alone."""
+    root, first = list(range(len(keys))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, of in enumerate(keys):
+        for key in of:
+            root[find(i)] = find(first.setdefault(key, i))
+    tops = np.array([find(i) for i in range(len(keys))], np.int64)
+    return 1 / np.bincount(tops, minlength=len(tops))[tops] if len(tops) else np.zeros(0)
+
+
 def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """toxic, words of the sample. Rows without a label or with both labels for one text are left out."""
+    """toxic, weight, words of the sample; near copies share a weight of one. Rows without a label or with both labels for one text are left out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(SEED), text_col).alias("at"), F.col(text_col).alias("text"))
     hashed = rows.select("doc_id", "at").join(known, F.col("doc_id") == F.col("l_id"))  # texts don't travel
@@ -98,22 +116,32 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            shingles = [x for _, data, offsets in kernel.text_blocks(batch.column(1)) for x in kernel.shingle_sets(data, offsets)]
+            bands = [minhash.pack(minhash.minima(x))[0][:FAMILY_BANDS] if len(x) else [] for x in shingles]
             for row, sets in word_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(sets)], batch.column(2)[row : row + len(sets)], pa.array(sets, pa.list_(pa.int64()))], ["at", "toxic", "words"])
+                here = slice(row, row + len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[here], batch.column(2)[here], pa.array(sets, pa.list_(pa.int64())), pa.array(bands[here], pa.list_(pa.int64()))], ["at", "toxic", "words", "bands"]
+                )
 
-    hashed = arrow(chosen.select("at", "text", "toxic"), run, "at bigint, toxic int, words array<bigint>")
-    once = hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
-    return written(once.select((F.col("toxic") > 0).cast("int").alias("toxic"), "words"))
+    hashed = arrow(chosen.select("at", "text", "toxic"), run, "at bigint, toxic int, words array<bigint>, bands array<bigint>")
+    once = written(hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"), F.first("bands").alias("bands")))
+    keys = once.select("at", "bands").orderBy("at").collect()  # ``sample`` rows at most
+    weights = docs.sparkSession.createDataFrame([(r["at"], float(w)) for r, w in zip(keys, family_weights([r["bands"] for r in keys]))], "at bigint, weight double")
+    return written(once.join(F.broadcast(weights), "at").select((F.col("toxic") > 0).cast("int").alias("toxic"), "weight", "words"))
 
 
-def choose(sample: DataFrame, n: int, toxic: int, most: int = FEATURES) -> np.ndarray:
+def choose(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
     """The words that tell toxic from other texts best: by the deviation of their share of toxic texts from what is usual.
 
-    A word has to be in ``SUPPORT`` of all toxic texts, so that words of a single mislabelled text and its near copies don't count.
+    A word has to be in ``SUPPORT`` toxic texts, however many toxic texts there are. Near copies count as one text in all, so that
+    words of a single mislabelled text and its copies don't count.
     """
-    usual = toxic / n
-    words = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= 5)
-    words = words.where(F.col("toxic") >= SUPPORT * toxic)
+    n, toxic = sample.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("toxic"))).first()
+    usual = round(toxic / n, 6)
+    votes = lambda x: F.round(F.sum(x), 6)  # noqa: E731  (the same in any order of summing)
+    words = sample.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(votes(F.col("weight")).alias("n"), votes(F.col("weight") * F.col("toxic")).alias("toxic"))
+    words = words.where(F.col("toxic") >= SUPPORT)
     z = F.abs(F.col("toxic") - F.col("n") * usual) / F.sqrt(F.col("n") * (usual * (1 - usual)))
     got = words.withColumn("z", z).where(f"z >= 4 and toxic > n * {usual!r}").orderBy(F.desc("z"), "word").limit(most).select("word").collect()
     return np.sort(np.array([r["word"] for r in got], np.int64))
@@ -133,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> tuple[np.ndarray,
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if toxic in (0, n):
         return np.zeros(0, np.int64), [np.array([0.0] * k + [-9.0]) for k in range(len(NAMES))]
-    vocabulary = choose(sample, n, toxic)
+    vocabulary = choose(sample)
     lexicons = [hash_words(words) for words in CATEGORIES.values()]
     wanted = F.lit([int(w) for w in np.union1d(vocabulary, np.concatenate(lexicons))]).cast("array<bigint>")
     rows = sample.select("toxic", F.array_intersect("words", wanted).alias("words")).collect()
