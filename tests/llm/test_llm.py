@@ -244,6 +244,23 @@ def test_line_dedup(docs, spark):
     assert out.count() == docs.count()
 
 
+def test_pipeline_drops_passages_of_what_is_no_copy(spark):
+    """A passage that is most of a document goes, unless the document is a near copy; exact and near copies stay whole."""
+    import corpus_pipeline
+
+    passage, body = prose(60, 7001), [prose(12, 7100 + i) for i in range(10)]
+    edited = [*body[:9], " ".join([*body[9].split()[:-1], "edited"])]
+    texts = [prose(40, 7002) + "\n" + passage, prose(40, 7003) + "\n" + passage, "\n".join(body), "\n".join(edited), "\n".join(body), "\n".join(body[:6] + [prose(50, 7004)])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, "\n".join(body), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert passage in got[0] and passage not in got[1] and prose(40, 7003) in got[1]
+    assert [got[i] for i in (2, 3, 4, None)] == [texts[2], texts[3], texts[4], texts[2]]
+    assert got[5] == prose(50, 7004)
+    again = spark.createDataFrame([(10, texts[0], "en", "s", 0), (11, texts[1], "en", "s", 0), (12, texts[1], "en", "s", 0)], docs.schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, again, "").collect()}
+    assert got[10] == texts[0] and got[11] == got[12] == prose(40, 7003)
+
+
 def test_kernel_shingles_match_plain_sets(docs):
     texts = [t for _, t in rows_of(docs)]
     plain = [shingles(t) for t in texts]
