@@ -314,6 +314,54 @@ def test_line_dedup(docs, spark):
     assert out.count() == docs.count()
 
 
+def test_line_dedup_against_plain_templates(docs, spark):
+    """Every setting of the share that may go, on odd, repeated and null-id rows, and the cost of a long text grows with its length."""
+    import time
+
+    note = [f"{prose(9, 800 + k)} and {k} more words stand here {prose(4, 900 + k)}" for k in range(4)]
+    rng = random.Random(9)
+    rows = [(i if i % 7 else None, "\n".join([prose(12, 10_000 + i), *rng.sample(note, i % 4), *(["tiny shared line"] if i % 2 else []), ""][: rng.randint(1, 6)])) for i in range(60)]
+    rows += rows[:3] + [(5, rows[8][1]), (70, None), (71, ""), (72, "\n\n")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def keys(line):
+        w = SPACE.findall(line)
+        w = ["<*>" if re.search("[0-9]", x) else x for x in w]
+        n, q = len(w), max(0, len(w) - 2) // 4
+        blocks = [w[2 : 2 + q], w[2 + q : 2 + 2 * q], w[2 + 2 * q : 2 + 3 * q], w[2 + 3 * q :]]
+        whole = [(n, *w[:2], *map(tuple, blocks))]
+        return n, [] if n < 3 else whole if n < 10 else whole + [(n, *w[:2], *(("<*>",) if i == j else tuple(b) for i, b in enumerate(blocks))) for j in range(4)]
+
+    key60 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    seen, first = defaultdict(set), {}
+    code = lambda d, t: d if d is not None else 2**62 | key60(t)
+    for d, t in [(d, t or "") for d, t in rows]:
+        for line in t.split("\n"):
+            n, found = keys(line)
+            for k in found:
+                seen[k].add(key60(t))
+                first[k] = min(first.get(k, 2**63), code(d, t))
+    often = {k for k, v in seen.items() if (len(v) > 1 if k[0] >= 8 else len({x % 63 for x in v}) >= 8)}
+    for most in (50, 100):
+        want = Counter()
+        for d, t in rows:
+            lines = (t or "").split("\n")
+            gone = [i for i, line in enumerate(lines) if any(k in often and first[k] != code(d, t or "") for k in keys(line)[1])]
+            size = lambda ix: sum(len(SPACE.findall(lines[i])) or 1 for i in ix)
+            if 100 * size(gone) > most * size(range(len(lines))):
+                gone = []
+            want[d, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t] += 1
+        assert Counter((r.doc_id, r.text) for r in linededup.dedup_lines(table, most=most).collect()) == want
+    took = []
+    for n in (5_000, 20_000):
+        text = "\n".join(f"line {i} of a long text with some words {i}" for i in range(n))
+        long = spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string")
+        began = time.time()
+        assert [r.n_dropped for r in linededup.dedup_lines(long, most=100).orderBy("doc_id").collect()][1] == n
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 10
+
+
 def test_pipeline_drops_passages_of_what_is_no_copy(spark):
     """A passage that is most of a document goes, unless the document is a near copy; exact and near copies stay whole."""
     import corpus_pipeline
