@@ -278,9 +278,61 @@ def test_mixing(docs):
     assert again == Counter((r.doc_id, r.taken) for r in got)
     assert mixing.shares({"a": 100, "b": 10, "c": 10}, {"a": 1, "b": 5, "c": 5}, 120) == {"a": 60.0, "b": 30.0, "c": 30.0}
     out = mixing.mixed(docs)
-    assert out.columns == docs.columns and sum(len(SPACE.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
-    overlap = mixing.flow({"ab": 10, "b": 10}, {"ab": ["a", "b"], "b": ["b"]}, {"a": 8, "b": 14})
-    assert overlap[("ab", "a")] == 8 and overlap[("ab", "b")] + overlap[("b", "b")] == 14 and overlap[("b", "b")] >= 10
+    alone = Counter((r.doc_id, r.source) for r in mixing.mix(docs, copies=False).collect() for _ in range((2 * r.taken + r.size) // (2 * r.size) if r.size else 0))
+    assert out.columns == docs.columns and Counter((r.doc_id, r.source) for r in out.collect()) == alone
+    assert {r.text for r in out.collect()} <= {r.text for r in docs.collect()}
+
+
+def test_mixing_flow_is_the_cheapest():
+    """The flow against all flows of small networks: as many words, at no greater cost."""
+    from itertools import product
+
+    rng = random.Random(4)
+    for _ in range(40):
+        pools = {}
+        for p in range(rng.randint(1, 3)):
+            room = {s: rng.randint(1, 3) for s in rng.sample("abc", rng.randint(1, 3))}
+            once = rng.randint(1, 2)
+            pools[p] = mixing.levels(once, sum(room.values())), room
+        quotas = {s: rng.randint(0, 4) for s in "abc"}
+        edges = [(p, s, r) for p, (_, room) in pools.items() for s, r in room.items()]
+
+        def price(words, uses):
+            total = 0
+            for room, cost in uses:
+                total, words = total + cost * min(room, words), words - min(room, words)
+            return total
+
+        def worth(amounts):
+            for s in "abc":
+                if sum(n for (_, t, _), n in zip(edges, amounts) if t == s) > quotas[s]:
+                    return None
+            return -sum(amounts), sum(price(sum(n for (q, _, _), n in zip(edges, amounts) if q == p), pools[p][0]) for p in pools)
+
+        got = mixing.flow(pools, quotas)
+        best = min(w for a in product(*[range(r + 1) for _, _, r in edges]) if (w := worth(a)) is not None)
+        assert worth([got[p, s] for p, s, _ in edges]) == best
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Copies of a text in several sources are used in turn; sizes with members count each member; thousands of sources work."""
+    shared, own = prose(100, 1), [prose(100, 10 + i) for i in range(4)]
+    rows = [(0, shared, "a"), (1, shared, "b"), (2, own[0], "a"), (3, own[1], "b"), (4, own[2], "b"), (5, own[3], "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1, 1)).collect()}
+    assert {r.source: (r.source_size, r.target) for r in got.values()} == {"a": (200, 200.0), "b": (300, 200.0), "c": (100, 200.0)}
+    assert got[0].taken + got[1].taken == 100 and got[2].taken + got[0].taken == 200 and got[5].taken == 200
+    tied = docs.withColumn("of", F.when(F.col("doc_id") == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))).where("doc_id in (0, 3)")
+    got = {r.source: r for r in mixing.mix(tied, members_col="of").collect()}
+    assert got["b"].source_size == 200 and got["a"].source_size == 100 and got["a"].taken <= 300
+    many = spark.range(20_000).selectExpr("id as doc_id", "repeat(concat('w', id % 7919, ' '), cast(1 + id % 40 as int)) as text", "concat('host', id % 10000) as source", "id as size")
+    rows = mixing.mix(many).collect()
+    sums, goal = Counter(), {}
+    for r in rows:
+        sums[r.source] += r.taken
+        goal[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(goal) == 10_000 and all(abs(sums[s] - goal[s]) <= 1 for s in goal)
 
 
 def test_chat(spark):
