@@ -5,12 +5,16 @@
    bands of a pair differ with a probability of 7e-10 at a similarity of 0.8, and 2e-13 at 0.85.
 3. Classes that share a band key are candidates. A bucket of up to ``PAIRED`` classes yields its pairs. In a larger one,
    each class is paired with the bucket's pivot, the class that lies in the most large buckets; then only those that
-   aren't linked to their pivot are paired with the others, after an exact bound from the shingles that no other class in
-   large buckets has. No pair that can reach the threshold is left out by the bound. Likely pairs come first; after them,
-   pairs that are known to be of one component need no test.
+   aren't linked to their pivot are paired with others, after an exact bound from the shingles that no other class in
+   large buckets has. Those too far from the pivot to be linked with anything that is linked to it (by the triangle inequality, with
+   a margin of five deviations) are paired with each other only. No pair that can reach the threshold is left out by the bounds.
+   Likely pairs come first; after them, pairs that are known to be of one component need no test.
 4. Pairs whose collision-corrected estimate from the packed bits is more than five deviations below the threshold go; the
    rest are confirmed by the sizes of intersection and union of the full sets.
 5. Connected components by alternating star contractions, each round written to the shared folder.
+
+A band, a pivot or a hub may hold a third of all rows. What meets such a key in a join has one row for it and is written before, so
+that both sides are plain shuffles, whose large partitions the adaptive planner deals out again.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), bands, bits: one row per document."""
+    """doc_id, n_shingles, key (of the set; null if empty), bands, bits, text_key (a hash of the text): one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +76,13 @@ def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
                         pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([p[0] for p in packed], pa.list_(pa.int64())),
                         pa.array([p[1] for p in packed], pa.list_(pa.int64())),
+                        batch.column(2).slice(row, len(sets)),
                     ],
-                    ["doc_id", "n_shingles", "key", "bands", "bits"],
+                    ["doc_id", "n_shingles", "key", "bands", "bits", "text_key"],
                 )
 
-    schema = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, bits array<bigint>"
-    return arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    schema = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, bits array<bigint>, text_key bigint"
+    return arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")), run, schema)
 
 
 def _slots(ids: np.ndarray) -> list[np.ndarray]:
@@ -144,7 +149,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(pairs)
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         ends = F.explode(F.array_compact(F.array(F.col("u"), F.when(F.col("v") != F.col("m"), F.col("v")))))
@@ -173,7 +178,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
     t = threshold / 100
     least = t - 5 * 1.25 * math.sqrt(t * (1 - t) / (BANDS * ROWS))
     rows = classes.select("key", F.explode("bands").alias("band"))
-    counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = written(rows.join(counts, "band"))
     few, many = shared.where(F.col("n") <= PAIRED), shared.where(F.col("n") > PAIRED)
     paired = (
@@ -183,6 +188,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
 
     central = many.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     pivots = many.join(central, "key").groupBy("band").agg(F.max(F.struct("c", "key")).alias("top")).select("band", F.col("top.key").alias("pivot"))
+    pivots = written(pivots)
     crowd = written(many.join(pivots, "band").select("pivot", "key").distinct())
     stars = crowd.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
@@ -214,22 +220,40 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
         return both.where(100 * F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
     found = written(confirmed(near(paired, "n_shingles").unionByName(near(stars, "common")).distinct()))
-    able = written(crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles")))
+    able = crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles"))
+    able = able.join(facts.select(F.col("key").alias("pivot"), F.col("bits").alias("center")), "pivot")
+    tied = found.select("a", "b", F.lit(True).alias("tied"))
+    able = able.join(tied, (F.least("key", "pivot") == F.col("a")) & (F.greatest("key", "pivot") == F.col("b")), "left")
+    far = estimate(F.col("bits"), F.col("center")) < 2 * t - 1 - 5 * 1.25 * 0.5 / math.sqrt(BANDS * ROWS)  # its distance is more than twice that of a link
+    able = written(able.select("key", "pivot", "n_shingles", "bits", "common", F.coalesce("tied", F.lit(False)).alias("tied"), far.alias("far")))
     roots = written(components(found))
     for floor in (t, least):
         rooted = able.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        main = rooted.where("key = pivot").select("pivot", F.col("root").alias("main"))
+        main = written(rooted.where("key = pivot").select("pivot", F.col("root").alias("main")))
         rooted = written(rooted.join(main, "pivot", "left").withColumn("apart", F.coalesce(F.col("root") != F.col("main"), F.lit(True))))
-        once = ~F.col("y.apart") | (F.col("x.key") < F.col("y.key"))
-        rest = (
-            rooted.where("apart").alias("x").join(rooted.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", "common", floor))
-            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        )
+        once = ~F.col("y.apart") | (F.col("x.key") < F.col("y.key")) | (F.col("y.far") != F.col("x.far"))
+
+        def pairs(x: DataFrame, y: DataFrame, floor: float = floor, once: Column = once) -> DataFrame:
+            both = x.alias("x").join(y.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", "common", floor))
+            return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+
+        apart = rooted.where("apart")
+        rest = pairs(apart.where("not far"), rooted).unionByName(pairs(apart.where("far"), rooted.where("not tied and key <> pivot"))).distinct()
         more = written(confirmed(near(rest, "common")))
         found, roots = found.unionByName(more), written(joined(roots, more))
     return found, roots
 
 
+def _grouped(plain: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, classes, (node, root) of the components of classes) of rows (doc_id, text)."""
+    marked = written(signatures(plain, size))
+    classes = written(
+        marked.where("key is not null").groupBy("key")
+        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    )
+    return marked, classes, links(plain, classes, threshold, size)[1]
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -240,15 +264,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, id_col:
     id of a component stays. Other columns of ``docs`` are ignored.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = written(signatures(plain, size))
-    classes = written(
-        marked.where("key is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    )
-    roots = links(plain, classes, threshold, size)[1]
+    marked, classes, roots = _grouped(plain, threshold, size)
     firsts = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key")
     lowest = firsts.groupBy("root").agg(F.min("first_id").alias("lowest"))
     ids = classes.select("key", "first_id").join(firsts.join(lowest, "root").select("key", "lowest"), "key", "left").select("key", F.coalesce("lowest", "first_id").alias("component_id"))
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = marked.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
+    out = marked.select("doc_id", "n_shingles", "key").join(written(ids), "key", "left")  # a class may hold a third of all rows
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_each(docs: DataFrame, threshold: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, rows without an id last, then of the smallest hash of the text.
+
+    Rows without words are components of their own. Rows that repeat an id and a text count once; other columns may differ between
+    them, and one of the rows is taken. Texts are shuffled once.
+    """
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    marked, _, roots = _grouped(plain, threshold, size)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("text"))
+    rows = marked.select(place.alias("place"), "key").join(written(roots.withColumnRenamed("node", "key")), "key", "left")
+    best = rows.where("key is not null").groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("place").alias("place"))
+    every = written(best.select("place").unionByName(rows.where("key is null").select("place")).select(*[F.col(f"place.{c}").alias(f"__{c}") for c in ("none", "id", "text")]).distinct())
+    number = F.col(id_col).cast("bigint")
+    named = docs.withColumns({"__none": number.isNull(), "__id": F.coalesce(number, F.lit(0)), "__text": F.xxhash64(text_col)})
+    keys = ["__none", "__id", "__text"]
+    return named.join(every, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
