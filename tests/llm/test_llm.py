@@ -232,6 +232,51 @@ def test_sentencepiece_is_the_library(docs):
     assert all(r.exact for r in sentencepiece.report(docs).collect())
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_viterbi_is_the_best_of_all_cuts(tmp_path, fallback):
+    """Small unigram vocabularies, written by hand: the greatest sum over all cuts, and what the library gives."""
+    import sentencepiece as library
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng = random.Random(12)
+    mark, spec = sentencepiece.MARK, proto.ModelProto()
+    spec.trainer_spec.model_type, spec.trainer_spec.byte_fallback = proto.TrainerSpec.UNIGRAM, fallback
+    spec.normalizer_spec.name, spec.normalizer_spec.remove_extra_whitespaces, spec.normalizer_spec.add_dummy_prefix = "identity", False, True
+    special = [("<unk>", proto.ModelProto.SentencePiece.UNKNOWN), ("<s>", proto.ModelProto.SentencePiece.CONTROL), ("</s>", proto.ModelProto.SentencePiece.CONTROL)]
+    special += [(f"<0x{b:02X}>", proto.ModelProto.SentencePiece.BYTE) for b in range(256)] if fallback else []
+    pieces = {mark: -3.0} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): -float(rng.randint(1, 40)) / 8 for _ in range(30)}
+    pieces |= {mark + p: s - 0.25 for p, s in list(pieces.items())[1:12]}
+    for name, kind in special:
+        spec.pieces.add(piece=name, score=0.0, type=kind)
+    for name, score in pieces.items():
+        spec.pieces.add(piece=name, score=score)
+    path = str(tmp_path / "small.model")
+    (tmp_path / "small.model").write_bytes(spec.SerializeToString())
+    own, model = sentencepiece.Pieces(path), library.SentencePieceProcessor(model_file=path)
+    lost = min(pieces.values()) - 10
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max(pieces.get(word[:k], lost if k == 1 else -1e9) + best(word[k:]) for k in range(1, min(len(word), 5) + 1))
+
+    texts = ["".join(rng.choice("abcab abcxé") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    for t, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == model.encode(t), t
+        words = sentencepiece._WORD.findall(mark + t.replace(" ", mark))
+        if all(c in "abc " for c in t) and all(c in pieces for c in "abc"):
+            assert abs(sum(pieces[model.id_to_piece(i)] for i in ids.tolist()) - sum(map(best, words))) < 1e-6
+        if fallback:
+            assert own.decode(ids) == t
+
+
+def test_ids_of_large_vocabularies_have_four_bytes(docs):
+    own = sentencepiece.pieces(sentencepiece.MODEL)
+    assert own.width == "<u2"
+    text = "x" * 50_000 + "y"  # no spaces: one word
+    assert own.decode(own.encode([text])[0]) == text
+
+
 def test_fingerprints(docs):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0], r[1] or ""))
     got = defaultdict(list)
