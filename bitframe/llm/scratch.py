@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import checkpoint_dir
 from ..shipping import ship
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is named (as in tests on one machine), a new temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitframe-"))
-    return context.getCheckpointDir()
+    """The session's checkpoint folder. Where none is named, a new temporary one on one machine (as in tests), and an error on a cluster."""
+    return checkpoint_dir(spark)
 
 
 def written(df: DataFrame) -> DataFrame:
