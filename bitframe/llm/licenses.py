@@ -2,13 +2,17 @@
 
 A notice of n characters may differ by k = n // 12 edits. Cut into k + 1 parts, at least one part of it is unharmed wherever it
 occurs, so an automaton over all parts finds every candidate place in one pass. There the regex library matches the whole
-notice with at most k edits and reports the span.
+notice with at most k edits and reports the span, in a window that is 2 k characters longer than the notice; windows are
+taken from left to right, each from the end of the match before it, so that notices in a row are found one by one and the
+cost is bounded by the number of seeds. Of two notices at one place, such as versions of a license, that with fewer edits stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,14 @@ NOTICES = {
     "mozilla public license version 2 0": "mpl-2",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "cc0 1 0 universal public domain dedication": "cc0",
+    "eclipse public license version 2 0": "epl-2",
+    "boost software license version 1 0": "bsl-1",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "licensed under the european union public licence": "eupl",
+    "licensed under creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution noderivatives": "cc-by-nd",
 }
 RATE = 12
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -56,7 +68,7 @@ def _searcher():  # noqa: ANN202
     patterns = {}
     for notice in NOTICES:
         k = len(notice) // RATE
-        patterns[notice] = (k, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}"))
+        patterns[notice] = (k, regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={k}}}"))
         cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:]):
             held.setdefault(notice[a:b], []).append(("seed", notice, a))
@@ -79,26 +91,30 @@ def search(text: str) -> tuple[int, list[int], set[str], list[tuple[str, int, in
                 starts.append(at)
                 labels.add(what)
             else:
-                k = patterns[what][0]
-                places.setdefault(what, []).append((max(0, at - shift - k), at - shift + len(what) + k))
-    found = []
+                places.setdefault(what, []).append(at - shift)
+    if not starts and not places:
+        return len(words), [], labels, []
+    begins = list(accumulate((len(w) + 1 for w in words[:-1]), initial=1))  # where words begin
+    spans = []  # (start, stop, edits, notice)
     for notice, spots in places.items():
         k, pattern = patterns[notice]
-        merged: list[list[int]] = []
-        for a, b in sorted(spots):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for m in pattern.finditer(line, a, min(b, len(line))):
-                if m.end() == m.start():
-                    continue
-                edits = sum(m.fuzzy_counts)
-                first = line.count(" ", 0, m.start() + 1) - (line[m.start()] != " ")
-                found.append((NOTICES[notice], first if line[m.start()] != " " else first - 1, len(m.group().split()), edits, 1 - edits / len(notice)))
-    at_word = sorted(line.count(" ", 0, s + 1) - 1 for s in starts)
-    return len(words), at_word, labels, sorted(found)
+        done = 0
+        for at in sorted(set(spots)):
+            if at + len(notice) - k <= done:  # it would end in the match before
+                continue
+            if (m := pattern.search(line, max(0, done, at - k), max(0, min(at + len(notice) + k, len(line))))) and m.end() > m.start():
+                spans.append((m.start(), m.end(), sum(m.fuzzy_counts), notice))
+                done = m.end()
+    found = []
+    spans.sort()
+    longest = max((b - a for a, b, *_ in spans), default=0)
+    for a, b, edits, notice in spans:
+        around = spans[bisect_left(spans, (a - longest,)) : bisect_left(spans, (b,))]
+        better = (o for o in around if o[3] != notice and o[2] < edits and 2 * (min(b, o[1]) - max(a, o[0])) > b - a)
+        if next(better, None) is None:
+            first = bisect_left(begins, a) if line[a] == " " else bisect_right(begins, a) - 1
+            found.append((NOTICES[notice], first, len(line[a:b].split()), edits, 1 - edits / len(notice)))
+    return len(words), sorted(bisect_left(begins, s) for s in starts), labels, sorted(found)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -309,6 +309,56 @@ def test_licenses(docs, spark):
         assert got[d].n_words == len(word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
 
 
+def test_license_notices_against_plain_edit_distance():
+    """All notices with random edits, also one more than allowed, and two in a row: found if and only if some span is near enough."""
+    rng = random.Random(31)
+
+    def nearest(notice, line):
+        """The least edit distance of the notice to any part of the line, by columns."""
+        row = list(range(len(notice) + 1))
+        least = row[-1]
+        for c in line:
+            new = [0]
+            for j, d in enumerate(notice, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+            row = new
+            least = min(least, row[-1])
+        return least
+
+    def harm(text, n):
+        out = list(text)
+        for _ in range(n):
+            i = rng.randrange(len(out))
+            out[i : i + 1] = rng.choice([[], [rng.choice("qzx")], [out[i], rng.choice("qzx")]])
+        return "".join(out)
+
+    for notice, label in licenses.NOTICES.items():
+        k = len(notice) // licenses.RATE
+        for n in (0, 1, k, k + 1, k + 3):
+            text = f"{prose(6, rng.randrange(10**6))} {harm(notice, n)} {prose(6, rng.randrange(10**6))}"
+            line = " " + " ".join(w for w in licenses.words_of(text) if w) + " "
+            count, _, _, found = licenses.search(text)
+            least = nearest(notice, line)
+            mine = [f for f in found if f[0] == label]
+            assert bool(mine) == (least <= k) or (least <= k and found and min(f[3] for f in found) < least), (notice, n, found)
+            words = line.split()
+            assert count == len(words)
+            for _, first, size, edits, score in mine:
+                part = " ".join(words[first : first + size])
+                assert least <= edits <= k and 0 < score <= 1 and min(nearest(x, f" {part} ") for x, y in licenses.NOTICES.items() if y == label) <= edits
+    twice = licenses.search("releasd under the mit licence released under the mit license")[3]
+    assert [(f[1], f[3]) for f in twice] == [(0, 2), (5, 0)]
+    assert [f[0] for f in licenses.search("licensed under the gnu general public license version 3")[3]] == ["gpl-3"]
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        began = time.time()
+        assert len(licenses.search("released under the mit license " * n)[1]) == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 2
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(SPACE.findall(t or ""))) for d, t in rows_of(docs))
