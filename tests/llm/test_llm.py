@@ -99,6 +99,38 @@ def test_pii(docs, spark):
         assert set(want[r.doc_id]) <= set(r.spans.split(",")) | {""}
 
 
+def test_pii_labelers_reliabilities_are_recovered():
+    """Votes drawn from known reliabilities: expectation-maximisation finds them, and the share of true spans."""
+    rng = random.Random(77)
+    truth = [{1: (0.9, 0.05), 0: (0.05, 0.15), -1: (0.05, 0.8)}, {1: (0.7, 0.2), 0: (0.2, 0.2), -1: (0.1, 0.6)}, {1: (0.6, 0.1), 0: (0.3, 0.3), -1: (0.1, 0.6)}, {1: (0.5, 0.2), 0: (0.4, 0.4), -1: (0.1, 0.4)}]
+    counts = Counter()
+    for _ in range(30_000):
+        side = 0 if rng.random() < 0.4 else 1
+        counts[tuple(rng.choices((1, 0, -1), [t[c][side] for c in (1, 0, -1)])[0] for t in truth)] += 1
+    says, posterior, prior = pii.reliabilities([(n, list(v)) for v, n in counts.items()], 200)
+    assert abs(prior - 0.4) < 0.03
+    assert all(abs(says[j][c][k] - truth[j][c][k]) < 0.04 for j in range(4) for c in (1, 0, -1) for k in (0, 1))
+    assert all(0 <= p <= 1 for p in posterior)
+
+
+def test_pii_accepts_and_rejects_wide_spans_and_secrets(spark):
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"write to mail alice{i} [at] host{i}.example.com or call phone (202) 555-{1000 + i}") for i in range(60)]
+    rows += [(100 + i, f"build release ticket 000-000-0000 section {i}") for i in range(60)]
+    rows += [(200 + i, f'the api token = "{hexes(40)}" is set') for i in range(40)]
+    rows += [(300 + i, f"see /usr/local/share/long/path{i}/to/some and aaaaaaaaaaaaaaaaaaaa{i % 9} here") for i in range(40)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame([*rows, (999, None)], "doc_id long, text string")).collect()}
+    for i in range(60):
+        assert [x.split(":")[0] for x in got[i].spans.split(",")] == ["email", "phone"] and got[i].confidence >= 0.5
+        assert got[100 + i].spans == "" and got[100 + i].confidence is None
+    for i in range(40):
+        at = rows[120 + i][1].index('"') + 1
+        assert got[200 + i].secrets == f"secret:{at}:{at + 40}" and got[200 + i].n_secret == 1
+        assert got[300 + i].secrets == ""
+    assert got[999].spans == got[999].secrets == "" and got[999].n_secret == 0
+
+
 def test_quality_counts(docs):
     for r in quality.report(docs).collect():
         t = next(t for d, t in rows_of(docs) if d == r.doc_id) or ""
