@@ -180,7 +180,7 @@ class Words:
     def poison(self, name: str, flags: frozenset[str], a: str, b: str) -> list[str]:
         """Conditions under which an operation with flags makes poison of its own."""
         out = []
-        value = self.op(name, a, b)
+        value = self.op(name, a) if name in ("abs", "ctlz", "cttz") else self.op(name, a, b)
         low, high = number(-(2 ** (self.w - 1))), number(2 ** (self.w - 1) - 1)
         exact = {"add": f"({a} + {b})", "sub": f"({a} - {b})", "mul": f"({a} * {b})"}
         in_signs = {k: f"({self.signed(a)} {o} {self.signed(b)})" for k, o in (("add", "+"), ("sub", "-"), ("mul", "*"))}
@@ -199,6 +199,10 @@ class Words:
                 out.append(f"(({a} & {b}) <> 0)")
             elif flag == "inrange" and name in SHIFTS:
                 out.append(f"({b} >= {self.w})")
+            elif flag == "nomin" and name == "abs":
+                out.append(f"({a} = {self.half})")
+            elif flag == "nozero" and name in ("ctlz", "cttz"):
+                out.append(f"({a} = 0)")
             else:
                 raise Unsupported(f"{flag} on {name}")
         return out

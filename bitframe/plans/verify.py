@@ -1,7 +1,9 @@
 """Equivalence and refinement of expression pairs over a domain of inputs: one plan for any number of rules.
 
-Both sides are evaluated in DataFrames of their own and meet by rule and input, so the optimizer can't take one for the other.
-A verdict carries the smallest witness and says whether the source side is defined anywhere.
+Both sides are evaluated in one row, each over columns of its own that hold the same inputs: the second ones went through text, so
+the optimizer can't know that they are equal and take one side for the other. A verdict is one aggregate, combined where
+the inputs are; nothing but verdicts is shuffled. It carries the smallest witness and says whether the source side is
+defined anywhere.
 """
 
 from __future__ import annotations
@@ -11,24 +13,33 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import DUCKDB, SPARK
-from .expression import compiled
+from ..functions.words import DUCKDB, SPARK, Dialect
+from .expression import compiled, renamed, undefined
 
 
 class Rule(NamedTuple):
-    """before may become after: equal where before is defined, if ``refines``; else equal everywhere, poison included."""
+    """before may become after: equal where before is defined, if ``refines``; else equal everywhere, poison included.
+
+    ``ub``: division is undefined where instructions have it so, shifts by the width are poison; where before is undefined, anything is allowed.
+    """
 
     name: str
     before: object
     after: object
     refines: bool = True
     assume: str = "true"
+    ub: bool = False
+
+
+_COPY = "__"  # suffix of the second columns
+_AT_ONCE = 4  # rules in one aggregate: more make its code too long to be compiled
 
 
-def exhaustive(spark: SparkSession, width: int, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """All assignments of the variables, one row each, cut from one counter; n says how often each counts."""
-    ids = spark.range(2 ** (width * len(names)))
-    return ids.select(*[F.expr(f"shiftright(id, {width * i}) & {2**width - 1}").alias(n) for i, n in enumerate(names)], F.lit(1).cast("bigint").alias("n"))
+def exhaustive(spark: SparkSession, width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
+    """All assignments of the variables, one row each, cut from one counter; n says how often each counts. ``poison``: variables that have a poison bit, too."""
+    ids = spark.range(2 ** (width * len(names) + len(poison)))
+    bits = [F.expr(f"(shiftright(id, {width * len(names) + i}) & 1) = 1").alias(f"{p}_poison") for i, p in enumerate(poison)]
+    return ids.select(*[F.expr(f"shiftright(id, {width * i}) & {2**width - 1}").alias(n) for i, n in enumerate(names)], *bits, F.lit(1).cast("bigint").alias("n"))
 
 
 def observed(rows: DataFrame, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -36,41 +47,53 @@ def observed(rows: DataFrame, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
     return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
-def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """rule, rows_checked, defined, violations, witness_<name>, status: one row per rule. domain: the variables, distinct, and n."""
-
-    def side(which: str) -> DataFrame:
-        rows = []
-        for r in rules:
-            value, poison, _ = compiled(getattr(r, which), width, SPARK)
-            rows.append(f"named_struct('rule', '{r.name}', 'v', {value}, 'p', {poison}, 'ok', {r.assume})")
-        return domain.select("n", *names, F.explode(F.expr(f"array({', '.join(rows)})")).alias("r")).select("n", *names, "r.*", F.lit(which).alias("side"))
-
-    both = side("before").unionByName(side("after"))
-    pick = lambda c, which: F.max(F.when(F.col("side") == which, F.col(c)))
-    met = both.groupBy("rule", "n", *names).agg(*[pick(c, s).alias(f"{c}_{s}") for c in ("v", "p", "ok") for s in ("before", "after")])
-    strict = F.col("rule").isin(*[r.name for r in rules if not r.refines]) if any(not r.refines for r in rules) else F.lit(False)
-    refines = ~F.col("p_before") & (F.col("p_after") | (F.col("v_before") != F.col("v_after")))
-    bad = F.col("ok_before") & F.when(strict, (F.col("v_before") != F.col("v_after")) | (F.col("p_before") != F.col("p_after"))).otherwise(refines)
-    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
-    out = met.groupBy("rule").agg(
-        times(F.col("ok_before")).alias("rows_checked"), times(F.col("ok_before") & ~F.col("p_before")).alias("defined"), times(bad).alias("violations"),
-        F.min(F.when(bad, F.struct(*names))).alias("w"),
-    )
+def _judged(rule: Rule, width: int, dialect: Dialect, poison: frozenset[str], suffix: str) -> tuple[str, str]:
+    """SQL texts: is before defined, and is the rule violated? ``suffix``: of the variables of after."""
+    after = renamed(rule.after, suffix) if suffix else rule.after
+    poison_after = frozenset(p + suffix for p in poison)
+    (vb, pb, _), (va, pa, _) = compiled(rule.before, width, dialect, poison, rule.ub), compiled(after, width, dialect, poison_after, rule.ub)
+    if not rule.refines:
+        return f"not ({pb})", f"(({vb}) <> ({va}) or ({pb}) <> ({pa}))"
+    wrong = f"(not ({pb}) and (({pa}) or ({vb}) <> ({va})))"
+    if not rule.ub:
+        return f"not ({pb})", wrong
+    ub, ua = undefined(rule.before, width, dialect, poison, True), undefined(after, width, dialect, poison_after, True)
+    return f"(not ({ub}) and not ({pb}))", f"(not ({ub}) and (({ua}) or {wrong}))"
+
+
+def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
+    """rule, rows_checked, defined, violations, witness_<name>, status: one row per rule. domain: the variables, distinct, their poison bits, and n."""
+    if width * len(names) > 62:
+        raise ValueError("a witness has 62 bits at most")
+    held = frozenset(poison)
+    copies = [F.expr(f"cast(cast({n} as string) as bigint)").alias(n + _COPY) for n in names] + [F.expr(f"cast(cast({p}_poison as string) as boolean)").alias(f"{p}{_COPY}_poison") for p in poison]
+    both = domain.select("*", *copies)
+    at = " + ".join(f"{n} * {2 ** (width * (len(names) - 1 - i))}" for i, n in enumerate(names))
+    out = None
+    for k in range(0, len(rules), _AT_ONCE):
+        sums, rows = [], []
+        for i, r in enumerate(rules[k : k + _AT_ONCE]):
+            defined, bad = _judged(r, width, SPARK, held, _COPY)
+            for name, test in (("ok", r.assume), ("fine", f"({r.assume}) and {defined}"), ("bad", f"({r.assume}) and {bad}")):
+                sums.append(F.expr(f"coalesce(sum(case when {test} then n else 0 end), 0)").alias(f"{name}{i}"))
+            sums.append(F.expr(f"min(case when ({r.assume}) and {bad} then {at} end)").alias(f"at{i}"))
+            rows.append(F.struct(F.lit(r.name).alias("rule"), F.col(f"ok{i}").alias("rows_checked"), F.col(f"fine{i}").alias("defined"), F.col(f"bad{i}").alias("violations"), F.col(f"at{i}").alias("at")))
+        part = both.agg(*sums).select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
     status = F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(F.col("defined") == 0, "vacuous").otherwise(f"bounded-proved@{width}")
-    return out.select("rule", "rows_checked", "defined", "violations", *[F.col(f"w.{n}").alias(f"witness_{n}") for n in names], status.alias("status"))
+    witness = [F.expr(f"shiftright(at, {width * (len(names) - 1 - i)}) & {2**width - 1}").alias(f"witness_{n}") for i, n in enumerate(names)]
+    return out.select("rule", "rows_checked", "defined", "violations", *witness, status.alias("status"))
 
 
-def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y")) -> str:
-    """The same in DuckDB's SQL over a subquery that has the variables."""
+def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> str:
+    """The same in DuckDB's SQL over a subquery that has the variables and their poison bits."""
     parts = []
     for r in rules:
-        (vb, pb, _), (va, pa, _) = compiled(r.before, width, DUCKDB), compiled(r.after, width, DUCKDB)
-        bad = f"({vb}) <> ({va}) or ({pb}) <> ({pa})" if not r.refines else f"not ({pb}) and (({pa}) or ({vb}) <> ({va}))"
-        parts.append(f"select '{r.name}' as rule, {', '.join(names)}, ({r.assume}) as ok, ({pb}) as pb, ({bad}) as bad from d")
+        defined, bad = _judged(r, width, DUCKDB, frozenset(poison), "")
+        parts.append(f"select '{r.name}' as rule, {', '.join(names)}, ({r.assume}) as ok, {defined} as fine, {bad} as bad from d")
     witness = ", ".join(f"(min(({', '.join(names)})) filter (ok and bad))[{i + 1}] as witness_{n}" for i, n in enumerate(names))
     return f"""with d as ({domain}), r as ({' union all '.join(parts)}),
-    v as (select rule, count(*) filter (ok) as rows_checked, count(*) filter (ok and not pb) as defined, count(*) filter (ok and bad) as violations, {witness} from r group by rule)
+    v as (select rule, count(*) filter (ok) as rows_checked, count(*) filter (ok and fine) as defined, count(*) filter (ok and bad) as violations, {witness} from r group by rule)
     select *, case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when defined = 0 then 'vacuous' else 'bounded-proved@{width}' end as status from v"""
 
 
@@ -99,3 +122,36 @@ GUARDED = [
     Rule("urem-pow2", ("urem", X, Y), ("and", X, ("sub", Y, 1)), assume="y > 0 and bit_count(y) = 1"), Rule("urem-any", ("urem", X, Y), ("and", X, ("sub", Y, 1))),
     Rule("known-bits", ("and", X, 15), X, assume="(x & 240) = 0"), Rule("impossible", ("add", X, 1), X, assume="x < 0"),
 ]
+LIFTED = [
+    Rule("add-zero", ("add", X, 0), X), Rule("mul-one", ("mul", X, 1), X), Rule("sub-zero", ("sub", X, 0), X), Rule("or-zero", ("or", X, 0), X), Rule("and-allones", ("and", X, 255), X),
+    Rule("xor-self", ("xor", X, X), 0), Rule("and-self", ("and", X, X), X), Rule("or-self", ("or", X, X), X), Rule("sub-self", ("sub", X, X), 0), Rule("mul-zero", ("mul", X, 0), 0),
+    Rule("shl-zero", ("shl", X, 0), X), Rule("ashr-zero", ("ashr", X, 0), X), Rule("xor-zero", ("xor", X, 0), X), Rule("lshr-zero", ("lshr", X, 0), X),
+]
+STEPS = [
+    Rule("gvn-commutative", ("sub", ("add", X, Y), ("add", Y, X)), 0), Rule("sub-not-commutative", ("sub", ("sub", X, Y), ("sub", Y, X)), 0), Rule("reassociate-add", ("add", ("add", X, 7), ("add", Y, 9)), ("add", ("add", X, Y), 16)),
+    Rule("reassociate-mul", ("mul", ("mul", X, 3), ("mul", Y, 5)), ("mul", ("mul", X, Y), 15)), Rule("factor", ("add", ("mul", X, 3), ("mul", Y, 3)), ("mul", ("add", X, Y), 3)),
+    Rule("factor-wrong-sign", ("sub", ("mul", X, 3), ("mul", Y, 3)), ("mul", ("add", X, Y), 3)), Rule("double-to-shift", ("add", ("add", X, X), Y), ("add", ("shl", X, 1), Y)),
+]
+TRIPLES = [
+    Rule("add-associative", ("add", ("add", X, Y), Z), ("add", X, ("add", Y, Z))), Rule("mul-associative", ("mul", ("mul", X, Y), Z), ("mul", X, ("mul", Y, Z))),
+    Rule("sub-not-associative", ("sub", ("sub", X, Y), Z), ("sub", X, ("sub", Y, Z))), Rule("distribute", ("mul", X, ("add", Y, Z)), ("add", ("mul", X, Y), ("mul", X, Z))),
+]
+UNDEFINED = [
+    Rule("udiv-self", ("udiv", X, X), 1, ub=True), Rule("sdiv-self", ("sdiv", X, X), 1, ub=True), Rule("speculate-division", ("select", ("eq", Y, 0), X, ("add", X, 1)), ("udiv", X, Y), ub=True),
+    Rule("srem-minus-one", ("srem", X, 255), 0, ub=True), Rule("srem-minus-one-back", 0, ("srem", X, 255), ub=True), Rule("udiv-by-shift", ("udiv", X, 8), ("lshr", X, 3), ub=True),
+    Rule("shift-pair", ("lshr", ("shl", X, Y), Y), X, ub=True), Rule("shift-pair-nuw", ("lshr", ("shl", X, Y, "nuw"), Y), X, ub=True), Rule("abs-nomin", ("abs", X, "nomin"), ("abs", X), ub=True),
+    Rule("abs-add-nomin", ("abs", X), ("abs", X, "nomin"), ub=True), Rule("ctlz-nozero", ("ctlz", X, "nozero"), ("ctlz", X), ub=True), Rule("cttz-add-nozero", ("cttz", X), ("cttz", X, "nozero"), ub=True),
+]
+POISONED = [
+    Rule("select-same-arms", ("select", ("ult", X, Y), Y, Y), Y), Rule("select-to-and", ("select", ("eq", X, 0), Y, 0), ("and", Y, ("sub", 0, ("eq", X, 0)))), Rule("poison-flows", ("add", X, Y), ("add", Y, X), False),
+    Rule("drop-operand", ("and", X, 0), 0), Rule("add-operand", 0, ("and", X, 0)), Rule("pick-poison", X, ("poison", X)),
+]
+CALLS = [
+    Rule("inline-and-simplify", ("sub", ("add", X, Y), Y), X), Rule("fold-constant-argument", ("mul", ("add", 3, 4), X), ("mul", 7, X)), Rule("distribute-call", ("mul", 5, ("sub", X, Y)), ("sub", ("mul", 5, X), ("mul", 5, Y))),
+    Rule("swap-arguments", ("sub", X, Y), ("sub", Y, X)), Rule("drop-used-argument", ("add", X, Y), X),
+]
+BRANCHES = [
+    Rule("identical-arms", ("select", ("ult", X, Y), ("add", X, Y), ("add", Y, X)), ("add", X, Y)), Rule("tautology", ("select", ("uge", X, 0), X, Y), X), Rule("no-tautology", ("select", ("ugt", X, 0), X, Y), X),
+    Rule("nested-and", ("select", ("ult", X, 16), ("select", ("ult", Y, 16), 1, 0), 0), ("and", ("ult", X, 16), ("ult", Y, 16))), Rule("nested-or", ("select", ("ult", X, 16), 1, ("select", ("ult", Y, 16), 1, 0)), ("or", ("ult", X, 16), ("ult", Y, 16))),
+    Rule("sink-common-code", ("select", ("ult", X, Y), ("add", X, 3), ("add", Y, 3)), ("add", ("umin", X, Y), 3)),
+]

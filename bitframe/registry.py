@@ -99,13 +99,61 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- verification
 
 _GRID = "select i & 255 as x, (i >> 8) & 255 as y from range(65536) t(i)"
-for _name, _rules in (("identities", verify.IDENTITIES), ("negatives", verify.NEGATIVES), ("flags", verify.FLAGS), ("guarded", verify.GUARDED)):
+_SETS = {
+    "identities": verify.IDENTITIES, "negatives": verify.NEGATIVES, "flags": verify.FLAGS, "guarded": verify.GUARDED, "lift_rules": verify.LIFTED, "multi_instruction": verify.STEPS, "ub": verify.UNDEFINED,
+    "interprocedural": verify.CALLS, "branches": verify.BRANCHES,
+}
+for _name, _rules in _SETS.items():
 
     def _run(spark: SparkSession, sf_dir: str, rules: list = _rules) -> DataFrame:
         return verify.verdicts(verify.exhaustive(spark, 8), rules, 8)
 
     query(f"verify_{_name}", verify.verdicts_sql(_GRID, _rules, 8))(_run)
 
+_CUBE = "select i & 255 as x, (i >> 8) & 255 as y, (i >> 16) & 255 as z from range(16777216) t(i)"
+
+
+@query("verify_three_variables", verify.verdicts_sql(_CUBE, verify.TRIPLES, 8, ("x", "y", "z")))
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verdicts(verify.exhaustive(spark, 8, ("x", "y", "z")), verify.TRIPLES, 8, ("x", "y", "z"))
+
+
+_POISON_GRID = "select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from range(1024) t(i)"
+
+
+@query("verify_poison_states", verify.verdicts_sql(_POISON_GRID, verify.POISONED, 4, poison=("x", "y")))
+def _poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verdicts(verify.exhaustive(spark, 4, poison=("x", "y")), verify.POISONED, 4, poison=("x", "y"))
+
+
+_WIDTHS = (4, 8, 12)  # a constant that doesn't fit a width isn't carried to it
+_CARRIED = [verify.Rule(r.name, r.before, r.after) for r in verify.LIFTED + verify.NEGATIVES]
+
+
+def _at_width(width: int) -> list:
+    """Rules whose constants fit a width."""
+    def fits(tree: object) -> bool:
+        return tree < 2**width if isinstance(tree, int) else isinstance(tree, str) or all(fits(x) for x in tree[1:])
+
+    return [r for r in _CARRIED if fits(r.before) and fits(r.after)]
+
+
+_WIDTH_SQL = " union all ".join(f"select '{r.name}' as rule, {w}::BIGINT as width, 'non-portable' as status" for w in _WIDTHS for r in _CARRIED if r not in _at_width(w))
+_WIDTH_SQL += " union all " + " union all ".join(f"select rule, {w}::BIGINT as width, status from ({verify.verdicts_sql(f'select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from range({2 ** (2 * min(w, 8))}) t(i)', _at_width(w), w)})" for w in _WIDTHS)
+
+
+@query("verify_widths", _WIDTH_SQL)
+def _widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule at several widths: exhaustively up to 8 bits, over the first 65,536 inputs beyond; constants that don't fit are said to be not portable."""
+    out = None
+    for w in _WIDTHS:
+        some = spark.range(2 ** (2 * min(w, 8))).selectExpr(f"id & {2**w - 1} as x", f"shiftright(id, {w}) & {2**w - 1} as y", "1L as n")
+        here = verify.verdicts(some, _at_width(w), w).select("rule", F.lit(w).cast("bigint").alias("width"), "status")
+        out = here if out is None else out.unionByName(here)
+    left = [(r.name, w, "non-portable") for w in _WIDTHS for r in _CARRIED if r not in _at_width(w)]
+    return out.unionByName(spark.createDataFrame(left, "rule string, width bigint, status string"))
+
+
 _FLAGSHIP = [verify.Rule("xor-self", ("xor", X, X), 0), verify.Rule("add-one-identity", ("add", X, 1), X)]
 
 
