@@ -39,3 +39,20 @@ def balanced(v: Column, width: int, op: Callable[[Column, Column], Column]) -> C
         n //= 2
         v = F.zip_with(F.slice(v, 1, n), F.slice(v, n + 1, n), op)
     return v[0]
+
+
+def by_block(v: Column, mask: list[int]) -> Column:
+    """Each block of as many lanes as ``mask`` by the mask: a lane takes the one of that number of its block; -1: its own."""
+    n, places = len(mask), F.lit(mask)
+
+    def taken(x: Column, i: Column) -> Column:
+        to = places[F.pmod(i, F.lit(n))]
+        return F.when(to < 0, x).otherwise(v[i - F.pmod(i, F.lit(n)) + to])
+
+    return F.transform(v, taken)
+
+
+def mask_program(v: str, w: str, tests: list[str]) -> Column:
+    """A mask from one test for each lane of a block, in SQL over x and y, the lanes of columns ``v`` and ``w``; blocks repeat the tests."""
+    outcomes = F.expr(f"zip_with({v}, {w}, (x, y) -> array({', '.join(tests)}))")
+    return F.transform(outcomes, lambda o, i: o[F.pmod(i, F.lit(len(tests)))])

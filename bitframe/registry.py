@@ -233,26 +233,27 @@ def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lanes
 
 def _buckets() -> Column:
-    """The first eight values of a vector as numbers below 256."""
-    return F.transform(F.slice("embedding", 1, 8), lambda x: F.pmod(F.floor(x.cast("double") * 100).cast("bigint"), F.lit(256)).cast("bigint"))
+    """The values of a vector as numbers below 256."""
+    return F.transform("embedding", lambda x: F.pmod(F.floor(x.cast("double") * 100).cast("bigint"), F.lit(256)).cast("bigint"))
 
 
-_BUCKETS_SQL = "list_transform(embedding[1:8], lambda x: ((floor(x::DOUBLE * 100)::BIGINT % 256) + 256) % 256)"
+_BUCKETS_SQL = "list_transform(embedding, lambda x: ((floor(x::DOUBLE * 100)::BIGINT % 256) + 256) % 256)"
 
 
-@query("vec_maps", f"with d as (select vec_id, {_BUCKETS_SQL} as v from embeddings) select vec_id, list_transform(v, lambda x, i: (x + v[9 - i]) & 255) as sums, [v[8], v[1], v[3], v[2]] as shuffled, list_transform(v, lambda x, i: CASE WHEN i = 3 THEN 7 ELSE x END) as placed, list_transform(v, lambda x, i: CASE WHEN x < v[9 - i] THEN x ELSE v[9 - i] END) as chosen from d")
+@query("vec_maps", f"with d as (select vec_id, {_BUCKETS_SQL} as v from embeddings) select vec_id, list_transform(v, lambda x, i: (x + v[65 - i]) & 255) as sums, [v[64], v[1], v[3], v[2]] as shuffled, list_transform(v, lambda x, i: CASE WHEN i = 3 THEN 7 ELSE x END) as placed, list_transform(v, lambda x, i: CASE WHEN x < v[65 - i] THEN x ELSE v[65 - i] END) as chosen from d")
 def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "embeddings").select("vec_id", _buckets().alias("v")).withColumn("r", F.reverse("v"))
     v, r = F.col("v"), F.col("r")
     less = lanes.zipped(v, r, lambda a, b: a < b)
-    return d.select("vec_id", lanes.zipped(v, r, lambda a, b: (a + b).bitwiseAND(F.lit(255))).alias("sums"), lanes.shuffled(v, v, [7, 0, 2, 1]).alias("shuffled"), lanes.inserted(v, 2, F.lit(7).cast("bigint")).alias("placed"), lanes.chosen(less, v, r).alias("chosen"))
+    return d.select("vec_id", lanes.zipped(v, r, lambda a, b: (a + b).bitwiseAND(F.lit(255))).alias("sums"), lanes.shuffled(v, v, [63, 0, 2, 1]).alias("shuffled"), lanes.inserted(v, 2, F.lit(7).cast("bigint")).alias("placed"), lanes.chosen(less, v, r).alias("chosen"))
 
 
-@query("vec_reduce", f"with d as (select vec_id, {_BUCKETS_SQL} as v from embeddings) select vec_id, (list_sum(v) & 255)::BIGINT as total, list_max(v) as top, list_min(v) as low, list_reduce(v, lambda a, x: xor(a, x)) as mixed, (list_sum(v) & 255)::BIGINT as balanced from d")
+@query("vec_reduce", f"with d as (select vec_id, {_BUCKETS_SQL} as v from embeddings) select vec_id, (list_sum(v) & 255)::BIGINT as total, list_max(v) as top, list_min(v) as low, list_reduce(v, lambda a, x: xor(a, x)) as mixed, (list_sum(v) & 255)::BIGINT as balanced, true as agrees from d")
 def _reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "embeddings").select("vec_id", _buckets().alias("v"))
     zero, plus = F.lit(0).cast("bigint"), lambda a, x: (a + x).bitwiseAND(F.lit(255))
-    return d.select("vec_id", lanes.folded(F.col("v"), zero, plus).alias("total"), F.array_max("v").alias("top"), F.array_min("v").alias("low"), lanes.folded(F.col("v"), zero, lambda a, x: a.bitwiseXOR(x)).alias("mixed"), lanes.balanced(F.col("v"), 8, plus).alias("balanced"))
+    out = d.select("vec_id", lanes.folded(F.col("v"), zero, plus).alias("total"), F.array_max("v").alias("top"), F.array_min("v").alias("low"), lanes.folded(F.col("v"), zero, lambda a, x: a.bitwiseXOR(x)).alias("mixed"), lanes.balanced(F.col("v"), 64, plus).alias("balanced"))
+    return out.withColumn("agrees", F.col("total") == F.col("balanced"))  # a chain and a tree
 
 
 # ---- joins
