@@ -1,8 +1,8 @@
-"""Graph operators by rounds of joins: reachability, longest-path levels, dangling endpoints."""
+"""Edges whose endpoints aren't nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,3 @@ def dangling(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
     ids = nodes.select(F.col(node).alias("n")).distinct()
     ends = edges.select("src", "dst", F.explode(F.array("src", "dst")).alias("n"))
     return ends.join(ids, "n", "left_anti").select("src", "dst").distinct()
-
-
-def reachable(spark: SparkSession, edges: str, starts: str) -> DataFrame:
-    """(node) reached from ``starts`` over ``edges`` (SQL texts of start: node; edges: src, dst), by a recursive query."""
-    return spark.sql(
-        f"""WITH RECURSIVE e AS ({edges}), reach AS (SELECT node, 0 AS hops FROM ({starts}) UNION ALL
-        SELECT e.dst, hops + 1 FROM reach JOIN e ON e.src = node WHERE hops < 16) SELECT node, cast(min(hops) AS bigint) AS hops FROM reach GROUP BY node"""
-    )

@@ -1,4 +1,4 @@
-"""Searches over finite domains: guard inference, closed forms on grids, facts merged and checked, greedy reduction."""
+"""Searches over finite domains: guard inference, and facts merged and checked."""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import seeds
 from .functions.words import DUCKDB, SPARK
-from .operators import graph, lanes, records, search, text
+from .operators import graph, graphs, lanes, records, search, text
 from .plans import verify
 from .plans.expression import compiled
 
@@ -487,16 +487,10 @@ def _decline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_EDGES = "select distinct cast(l_suppkey % 50 as bigint) as src, cast((l_partkey % 50) as bigint) as dst from {t} where l_partkey % 50 > l_suppkey % 50 and l_partkey % 7 = 0"
+_EDGES = "select distinct l_suppkey % 50 as src, l_partkey % 50 as dst from lineitem where l_partkey % 50 > l_suppkey % 50"
 
 
-@query("reachability", f"with recursive e as ({_EDGES.format(t='lineitem')}), reach as (select 0::BIGINT as node, 0 as hops union select e.dst, hops + 1 from reach join e on e.src = node where hops < 3) select node, min(hops)::BIGINT as hops from reach group by node")
+@query("reachability", f"with recursive e as ({_EDGES}), reach as (select 0::BIGINT as node, 0 as hops union select e.dst, hops + 1 from reach join e on e.src = node where hops < 50) select node, min(hops)::BIGINT as hops from reach group by node")
 def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("bitframe_lines")
-    start = spark.range(1).select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("hops"))
-    edges = spark.sql(_EDGES.format(t="bitframe_lines"))
-    front, seen = start, start
-    for hop in (1, 2, 3):  # each round joins only the nodes that the round before found
-        front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop).cast("bigint"))
-        seen = seen.unionByName(front)
-    return seen
+    edges = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")).where("dst > src")
+    return graphs.reachable(edges, spark.range(1).select(F.col("id").alias("node")))
