@@ -53,14 +53,29 @@ def chosen(field: str, *keys: str, dialect: Dialect = SPARK) -> str:
     return f"cast(({seeds.mixed(at, dialect)}) % {FIELDS[field]}{low} as bigint)"
 
 
+def draws(row: str, generation: int, dialect: Dialect = SPARK) -> list[str]:
+    """SQL texts of the columns d0 to d3 that mutated() reads: how many fields change, and which."""
+    return [f"({seeds.mixed(f'((({row}) * 7919 + {generation * 104729 + k * 1299709}) & 4294967295)', dialect)}) as d{k}" for k in range(4)]
+
+
 def mutated(field: str, row: str, generation: int, dialect: Dialect = SPARK) -> str:
-    """SQL text of a field of a mutant: one to three fields, drawn with a mix of counters, get a new value."""
-    draw = lambda k: f"({seeds.mixed(f'((({row}) * 7919 + {generation * 104729 + k * 1299709}) & 4294967295)', dialect)})"
+    """SQL text of a field of a mutant, beside the columns of draws(): one to three fields get a new value."""
     at = list(FIELDS).index(field)
-    hits = " or ".join(f"({draw(0)} % 3 >= {k} and {draw(k + 1)} % {len(FIELDS)} = {at})" for k in range(3))
+    hits = " or ".join(f"(d0 % 3 >= {k} and d{k + 1} % {len(FIELDS)} = {at})" for k in range(3))
     return f"case when {hits} then {chosen(field, row, str(generation), dialect=dialect)} else {field} end"
 
 
+def mutants(rows: DataFrame, row: str, generation: int) -> DataFrame:
+    """row and the fields of a mutant of each row; ``row`` numbers them."""
+    return rows.selectExpr("*", *draws(row, generation)).selectExpr(row, *[f"{mutated(f, row, generation)} as {f}" for f in FIELDS])
+
+
+def mutants_sql(rows: str, row: str, generation: int, dialect: Dialect) -> str:
+    """The same as SQL over a subquery."""
+    drawn = f"select *, {', '.join(draws(row, generation, dialect))} from {rows}"
+    return f"select {row}, {', '.join(f'{mutated(f, row, generation, dialect)} as {f}' for f in FIELDS)} from ({drawn})"
+
+
 def crossed(field: str, row: str, dialect: Dialect = SPARK) -> str:
     """SQL text of a child's field: of the first parent's column or of the second's (with ``_2``), each as likely."""
     toss = seeds.mixed(f"((({row}) * 15485863 + {SALTS[field]}) & 4294967295)", dialect)

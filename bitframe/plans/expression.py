@@ -76,6 +76,9 @@ def compiled(tree: object, width: int, dialect: Dialect = SPARK, poisonable: fro
     sub = lambda x, w=width: compiled(x, w, dialect, poisonable, strict)
     if name == "poison":
         return Pair(sub(args[0]).value, "true", width)
+    if name == "freeze":  # ("freeze", x, choice): the choice, a variable of its own, where x is poison
+        inner, choice = sub(args[0]), sub(args[1])
+        return Pair(f"(case when {inner.poison} then {choice.value} else {inner.value} end)", "false", inner.width)
     if name == "select":
         test, a, b = (sub(x) for x in args)
         chosen = f"case when {test.value} <> 0 then {{}} else {{}} end"

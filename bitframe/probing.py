@@ -47,9 +47,9 @@ def _default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(configs.default().items()), "field string, value bigint")
 
 
-@query("config_mutants", f"with c as ({_ROWS_SQL}) select seed, {', '.join(f'{configs.mutated(f, chr(115) + chr(101) + chr(101) + chr(100), 1, DUCKDB)} as {f}' for f in configs.FIELDS)} from c")
+@query("config_mutants", configs.mutants_sql(f"({_ROWS_SQL})", "seed", 1, DUCKDB))
 def _mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark).selectExpr("seed", *[f"{configs.mutated(f, 'seed', 1)} as {f}" for f in configs.FIELDS])
+    return configs.mutants(_rows(spark), "seed", 1)
 
 
 @query("config_children", f"with c as ({_ROWS_SQL}), p as (select seed - 1 as s2, {', '.join(f'{f} as {f}_2' for f in configs.FIELDS)} from c) select seed, {', '.join(f'{configs.crossed(f, chr(115) + chr(101) + chr(101) + chr(100), DUCKDB)} as {f}' for f in configs.FIELDS)} from c join p on seed = s2")

@@ -317,15 +317,15 @@ def _rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("flag").alias("l_returnflag"), F.col("status").alias("l_linestatus"), F.col("line").alias("l_linenumber"), "rule", "n")
 
 
-_SETS = [("small-steel", [("kind", "STEEL"), ("size", "small")]), ("any-brass", [("kind", "BRASS")]), ("large-dear", [("size", "large"), ("price", "dear")]), ("dear-steel", [("price", "dear"), ("kind", "STEEL")])]
-_FACTS_SQL = "select p_partkey, regexp_extract(p_type, '[A-Z]+$') as kind, case when p_size <= 10 then 'small' when p_size > 40 then 'large' else 'medium' end as size, case when p_retailprice > 1500 then 'dear' else 'cheap' end as price from part"
+_SETS = [("small-promo", [("kind", "PROMO"), ("size", "small")]), ("any-economy", [("kind", "ECONOMY")]), ("large-dear", [("size", "large"), ("price", "dear")]), ("dear-standard", [("price", "dear"), ("kind", "STANDARD")])]
+_FACTS_SQL = "select p_partkey, p_type as kind, case when p_size <= 10 then 'small' when p_size > 40 then 'large' else 'medium' end as size, case when p_retailprice > 910 then 'dear' else 'cheap' end as price from part"
 
 
 @query("match_set_join", f"with c as ({_FACTS_SQL}), f as (select p_partkey, 'kind' as k, kind as v from c union all select p_partkey, 'size', size from c union all select p_partkey, 'price', price from c), m as (select * from (values {_values([(s, k, v, len(ps)) for s, ps in _SETS for k, v in ps])}) t(name, k, v, need)) select p_partkey, name from f join m using (k, v) group by p_partkey, name, need having count(*) = need")
 def _match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of predicates, all of which have to hold: facts meet predicates by equality, and as many as a set has must meet."""
-    size, price = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") > 40, "large").otherwise("medium"), F.when(F.col("p_retailprice") > 1500, "dear").otherwise("cheap")
-    facts = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("kind", F.regexp_extract("p_type", "[A-Z]+$", 0)), ("size", size), ("price", price))])
+    size, price = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") > 40, "large").otherwise("medium"), F.when(F.col("p_retailprice") > 910, "dear").otherwise("cheap")
+    facts = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("kind", F.col("p_type")), ("size", size), ("price", price))])
     f = _table(spark, sf_dir, "part").select("p_partkey", F.inline(facts))
     m = spark.createDataFrame([(s, k, v, len(ps)) for s, ps in _SETS for k, v in ps], "name string, k string, v string, need int")
     return f.join(m, ["k", "v"]).groupBy("p_partkey", "name").agg(_n().alias("met"), F.max("need").alias("need")).where("met = need").select("p_partkey", "name")
