@@ -1,8 +1,9 @@
-"""Checkpoints in the folder that all executors share."""
+"""Tables written and read again in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder, once, and read from there, which cuts its lineage."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,21 +1,36 @@
-"""Sources and sinks of records: JSON arrays and lines, key=value configurations, text trees."""
+"""Sources and sinks of records: JSON arrays and lines, key=value configurations, dumps, compile databases, event logs, text trees."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import configs as rows_of_configs
 
-def records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON records, as an array or one object per line, file by file; what isn't an object is dropped. The schema is stated."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-    one = raw.where(~F.col("value").startswith("[")).select(F.explode(F.split("value", "\n")).alias("value"))
-    many = raw.where(F.col("value").startswith("[")).select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("r"))
-    parsed = one.where(F.col("value").rlike(r"^\s*\{")).select(F.from_json("value", schema).alias("r"))
-    return parsed.unionByName(many).where("r is not null").select("r.*")
+
+def records(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = False) -> DataFrame:
+    """JSON records, one object per line or as arrays; what isn't an object is dropped, blank lines are skipped. The schema is stated.
+
+    Lines are read as lines, so a file of any size is dealt out; an array on one line gives its objects. Only where the path's first line that isn't
+    blank opens an array that it doesn't close are files read whole. ``lenient``: a path that isn't there gives no rows instead of an error.
+    """
+    try:
+        lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+        first = lines.limit(1).collect()
+    except AnalysisException as e:
+        if lenient and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+    if first and first[0][0].startswith("[") and not first[0][0].endswith("]"):
+        lines = spark.read.text(path, wholetext=True).select(F.explode(F.when(F.ltrim("value").startswith("["), F.array(F.trim("value"))).otherwise(F.split("value", "\n"))).alias("value")).select(F.trim("value").alias("value"))
+    one = F.when(F.col("value").startswith("{"), F.array(F.from_json("value", schema)))
+    many = F.when(F.col("value").startswith("["), F.from_json("value", T.ArrayType(schema)))
+    parsed = lines.select(F.explode(F.coalesce(one, many)).alias("r"))
+    return parsed.where("r is not null").select("r.*")
 
 
 def write_records(rows: DataFrame, path: str) -> None:
@@ -23,15 +38,73 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.text(path)
 
 
-def configs(spark: SparkSession, path: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of key=value files with # comments: a row per file; rejects: file, line, why."""
+def whole_number(text: Column) -> Column:
+    """Decimal, 0x and octal numbers with a sign; null for all else."""
+    digits, sign = F.regexp_replace(text, "^[+-]", ""), F.when(text.startswith("-"), -1).otherwise(1)
+    based = lambda pattern, skip, base: F.when(digits.rlike(pattern), F.conv(F.substring(digits, skip + 1, 40), base, 10).try_cast("bigint"))
+    return sign * F.coalesce(based("^0[xX][0-9a-fA-F]+$", 2, 16), based("^0[0-7]+$", 1, 8), F.when(digits.rlike("^(?:0|[1-9][0-9]*)$"), digits.try_cast("bigint")))
+
+
+def configs(spark: SparkSession, path: str, fields: Sequence[str], normalise: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of key=value files with # comments: a row per file; rejects: file, line, why.
+
+    The last value of a key counts. ``normalise``: fields that a file lacks have their defaults, and all are put into their normal form.
+    """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
     clean = text.withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).where("raw <> ''")
-    pairs = clean.select("file", (F.col("line") + 1).alias("line"), F.trim(F.split_part("raw", F.lit("="), F.lit(1))).alias("key"), F.expr("try_cast(trim(split_part(raw, '=', 2)) as bigint)").alias("value"))
+    parts = F.split("raw", "=", -1)
+    pairs = clean.select("file", (F.col("line") + 1).alias("line"), F.trim(parts[0]).alias("key"), whole_number(F.trim(F.get(parts, F.lit(1)))).alias("value"), (F.size(parts) == 2).alias("good"))
     known = F.col("key").isin(*fields)
-    good = pairs.where(known & F.col("value").isNotNull()).groupBy("file").pivot("key", list(fields)).agg(F.max_by("value", "line"))
-    bad = pairs.where(~known | F.col("value").isNull()).select("file", "line", F.when(~known, "unknown key").otherwise("not a number").alias("why"))
-    return good, bad
+    fine = known & F.col("value").isNotNull() & F.col("good")
+    rows = pairs.where(fine).groupBy("file").pivot("key", list(fields)).agg(F.max_by("value", "line"))
+    if normalise:
+        base = rows_of_configs.default()
+        rows = rows.select("file", *[F.expr(rows_of_configs.normal(f, f"coalesce({f}, {base[f]})")).cast("bigint").alias(f) if f in base else F.col(f) for f in fields])
+    bad = pairs.where(~fine).select("file", "line", F.when(~F.col("good"), "no single =").when(~known, "unknown key").otherwise("not a number").alias("why"))
+    return rows, bad
+
+
+# Fields of a dump that must be there; the others are 0 where they are missing. Constants are signed.
+NEEDED = ("arith_opcode", "rhs_mode", "extra_opcode", "predicate", "shape", "feature_bits", "const_a", "const_b")
+OPTIONAL = ("memory_shape", "pointer_mode", "store_mode", "load_use_mode", "loop_shape", "loop_trip_mode", "induction_mode", "loop_use_mode", "vector_shape", "global_shape")
+
+
+def dumps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of symbolic-test dumps, "object N: name|size|hex|int: value" by line: a row of fields per file; rejects: file, missing.
+
+    A number counts before bytes in hex, which are little-endian; constants of ``size`` bytes whose sign bit is set are negative.
+    """
+    said = F.regexp_extract_all("value", F.lit(r"object\s+\d+:\s*(?:name|size|hex|int)\s*:\s*[^\n]*"), F.lit(0))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.explode_outer(said).alias("line"))
+    part = lambda k: F.regexp_extract("line", r"object\s+(\d+):\s*(name|size|hex|int)\s*:\s*(.*?)\s*$", k)
+    facts = lines.select("file", part(1).alias("object"), part(2).alias("kind"), part(3).alias("value"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    objects = facts.groupBy("file", "object").agg(pick("name").alias("name"), pick("size").alias("size"), pick("hex").alias("hex"), pick("int").alias("number"))
+    objects = objects.withColumn("name", F.regexp_extract("name", "'([^']+)'", 1))
+    signed = F.col("name").isin("const_a", "const_b")
+    size = F.coalesce(F.col("size").try_cast("int"), F.when(signed, 4).otherwise(1))
+    pairs = F.regexp_extract_all(F.regexp_replace("hex", "^0x", ""), F.lit("[0-9a-fA-F]{2}"), F.lit(0))
+    from_hex = F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).try_cast("bigint")
+    number = F.coalesce(F.col("number").try_cast("bigint"), from_hex)
+    whole = F.expr("shiftleft(1L, 8 * __size)")
+    objects = objects.withColumn("__size", size)
+    value = F.when(signed & (number * 2 >= whole), number - whole).otherwise(number)
+    rows = objects.select("file", "name", value.alias("value")).groupBy("file").pivot("name", [*NEEDED, *OPTIONAL]).agg(F.max("value"))
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in NEEDED]))
+    rows = rows.withColumn("missing", missing)
+    good = rows.where(F.size("missing") == 0).select("file", *NEEDED, *[F.coalesce(c, F.lit(0)).alias(c) for c in OPTIONAL])
+    return good, rows.where(F.size("missing") > 0).select("file", "missing")
+
+
+def compile_database(spark: SparkSession, path: str) -> DataFrame:
+    """file, directory of the entries of a JSON array of compile commands; entries without a file are dropped."""
+    return spark.read.schema("file string, directory string, command string").json(path, multiLine=True).where("file is not null").select("file", "directory").distinct()
+
+
+def append_events(rows: DataFrame, path: str) -> None:
+    """One line for each row, its one column as text, appended to a log; nulls are skipped."""
+    name = rows.columns[0]
+    rows.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("value")).write.mode("append").text(path)
 
 
 def text_tree(spark: SparkSession, path: str, pattern: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:

@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitframe.operators import records, search
-from bitframe.plans import verify
+from bitframe.operators import configs, records, search
+from bitframe.plans import memory, verify
 from bitframe.sources import records as sources
 from bitframe.streaming import novelty
 
@@ -21,6 +21,19 @@ def test_catalogue_has_the_known_verdicts(spark):
         "drop-exact": "bounded-proved@8", "disjoint-or-add": "bounded-proved@8", "or-add": "refuted", "all-poison": "vacuous",
     }
     assert status(verify.GUARDED)["impossible"] == "vacuous"
+    assert set(status(verify.LIFTED).values()) == {"bounded-proved@8"}
+    wrong = lambda rules: {n for n, s in status(rules).items() if s == "refuted"}
+    assert wrong(verify.STEPS) == {"sub-not-commutative", "factor-wrong-sign"} and wrong(verify.BRANCHES) == {"no-tautology"} and wrong(verify.CALLS) == {"swap-arguments", "drop-used-argument"}
+    assert wrong(verify.UNDEFINED) == {"speculate-division", "srem-minus-one-back", "shift-pair", "abs-add-nomin", "cttz-add-nozero"}
+
+
+def test_memory_contracts_have_the_known_verdicts(spark):
+    m = memory.model(spark).cache()
+    status = lambda cs: {r.contract: r.status for r in memory.verdicts(m, cs).collect()}
+    refuted = {c.name for c in memory.WORDS if c.name.endswith(("unknown", "wrong-value")) or c.name == "dead-store-other-address"}
+    assert status(memory.WORDS) == {c.name: "vacuous" if c.name == "impossible-fact" else "refuted" if c.name in refuted else "proved" for c in memory.WORDS}
+    assert status(memory.PATHS) == {"dead-on-all-paths": "proved", "dead-on-one-path": "refuted", "sink-store": "proved"}
+    assert status(memory.ORDER) == {"plain-overwrite": "proved", "synchronised-overwrite": "refuted", "swap-across-sync": "refuted", "swap-apart": "proved", "swap-unknown": "refuted"}
 
 
 def test_a_mutated_rule_is_refuted_with_the_smallest_witness(spark):
@@ -60,10 +73,45 @@ def test_sources(spark, tmp_path):
     good, bad = sources.configs(spark, str(tmp_path / "c"), ["kind", "bits"])
     assert [(r.kind, r.bits) for r in good.collect()] == [(3, 7)]
     assert {(r.line, r.why) for r in bad.collect()} == {(4, "unknown key"), (5, "not a number")}
+    (tmp_path / "c" / "one.cfg").write_text("arith_opcode=0x8\nconst_a = -011\nshape=1=2\nrhs_mode=08\n")
+    good, bad = sources.configs(spark, str(tmp_path / "c"), list(configs.FIELDS), normalise=True)
+    row = good.first()
+    assert (row.arith_opcode, row.const_a, row.const_b, row.int_width) == (2, 0, 1, 2) and {(r.line, r.why) for r in bad.collect()} == {(3, "no single ="), (4, "not a number")}
+    assert sources.records(spark, str(tmp_path / "none"), schema, lenient=True).count() == 0
+    (tmp_path / "w.json").write_text('[\n{"case": "x",\n "n": 4}\n]')
+    assert [(r.case, r.n) for r in sources.records(spark, str(tmp_path / "w.json"), schema).collect()] == [("x", 4)]
+    (tmp_path / "cc.json").write_text('[{"file": "a.cpp", "directory": "/d", "command": "c"}, {"command": "x"}]')
+    assert [r.file for r in sources.compile_database(spark, str(tmp_path / "cc.json")).collect()] == ["a.cpp"]
+    for lot in (["one", None], ["two"]):
+        sources.append_events(spark.createDataFrame([(x,) for x in lot], "marker string"), str(tmp_path / "log"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "log")).collect()} == {"one", "two"}
+    (tmp_path / "d").mkdir()
+    full = "".join(f"object {i}: name: '{f}'\nobject {i}: size: {4 if f.startswith('const') else 1}\nobject {i}: hex : 0x{'ffffffff' if f == 'const_a' else '03'}\n" + ("" if f.startswith("const") else f"object {i}: int : {i}\n") for i, f in enumerate(sources.NEEDED))
+    (tmp_path / "d" / "full.txt").write_text("num objects: 8\n" + full)
+    (tmp_path / "d" / "part.txt").write_text("object 0: name: 'shape'\nobject 0: int : 1\n")
+    (tmp_path / "d" / "none.txt").write_text("nothing")
+    good, bad = sources.dumps(spark, str(tmp_path / "d"))
+    row = good.first()
+    assert good.count() == 1 and (row.rhs_mode, row.const_a, row.const_b, row.vector_shape) == (1, -1, 3, 0)
+    assert {r.file: len(r.missing) for r in bad.collect()} == {"part.txt": 7, "none.txt": 8}
     tree = sources.text_tree(spark, str(tmp_path / "c"), "*.cfg", include=["one"], exclude=["two"])
     assert tree.count() == 1
 
 
+def test_windows_on_a_stream(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00"), ("a", "2024-01-01 01:00:00"), ("z", "2024-01-02 00:00:00"), ("z", "2024-01-03 00:00:00")]
+    frame = spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t as timestamp) as t")
+    for part, low in enumerate(("2024-01-01", "2024-01-02", "2024-01-03")):
+        frame.where(f"cast(t as date) = '{low}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, made in (("counts", novelty.counted(stream(), "k", "t")), ("visits", novelty.sessions(stream(), "k", "t"))):
+        q = made.writeStream.format("memory").outputMode("append").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {(r.k, r.n) for r in spark.table("counts").collect()} >= {("a", 2), ("b", 1), ("a", 1)}
+    assert {(r.k, r.n) for r in spark.table("visits").collect()} >= {("a", 2), ("b", 1), ("a", 1)}
+
+
 def test_stream_keeps_first_rows(spark, tmp_path):
     spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00")], "k string, t string").selectExpr("k", "cast(t as timestamp) as t").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
