@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
+from . import ordered
 
 
 def pad_zip(left: DataFrame, right: DataFrame, key: str, left_order: Sequence[str], right_order: Sequence[str], fill: int) -> DataFrame:
-    """Rows of both sides paired by place within a key; where one side is shorter, its columns are ``fill``."""
-    a = left.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*left_order)).cast("bigint"))
-    b = right.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*right_order)).cast("bigint"))
-    return a.join(b, [key, "place"], "full_outer").na.fill(fill, [c for c in (*left.columns, *right.columns) if c != key])
+    """Rows of both sides paired by place within a key; where one side is shorter, its columns are ``fill``, and nulls of its rows stay nulls.
+
+    Rows that tie in their order are paired in any order; rows of a null key have no partner.
+    """
+    a = ordered.numbered(left, [key], left_order).withColumn("__a", F.lit(True))
+    b = ordered.numbered(right, [key], right_order).withColumn("__b", F.lit(True))
+    out = a.join(b, [key, "place"], "full_outer")
+    fills = {c: F.when(F.col(side).isNull(), F.lit(fill)).otherwise(F.col(c)) for side, frame in (("__a", left), ("__b", right)) for c in frame.columns if c != key}
+    return out.withColumns(fills).drop("__a", "__b")
 
 
 def diverging(rows: DataFrame, key: str, outcome: str) -> DataFrame:

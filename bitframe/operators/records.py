@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in a stated order; a max over structs, so it combines before the shuffle."""
@@ -23,9 +25,11 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def positional(left: DataFrame, right: DataFrame, key: str, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
-    """Rows of both sides paired by their place within a key; rows without a partner go."""
-    a = left.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*left_order)).cast("bigint"))
-    b = right.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*right_order)).cast("bigint"))
+    """Rows of both sides paired by their place within a key; rows without a partner go, and rows of a null key.
+
+    Rows that tie in their order are paired in any order. The sides share no column but the key, and have none named place.
+    """
+    a, b = ordered.numbered(left.where(F.col(key).isNotNull()), [key], left_order), ordered.numbered(right.where(F.col(key).isNotNull()), [key], right_order)
     return a.join(b, [key, "place"])
 
 
@@ -38,17 +42,23 @@ def baseline(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, carry: Sequence[str]) -> DataFrame:
-    """Each left row with the last right row of its key at or before it. Both sides are sorted together once; no range join."""
+    """Each left row with the last right row of its key at or before it. Both sides are sorted together once; no range join.
+
+    Of right rows at one time, the one of the greatest carried columns counts. Null keys meet each other; a right row of a null time is before
+    all others. Left rows without a right one have nulls. Repeated rows stay.
+    """
     gone = [c for c in left.columns if c not in (by, at)]
     a = left.select(by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*gone).alias("__row"), F.lit(None).cast(right.select(F.struct(right_at, *carry).alias("x")).schema[0].dataType).alias("__carry"))
     b = right.select(by, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(right_at, *carry).alias("__carry"))
-    over = Window.partitionBy(by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__last", F.last("__carry", ignorenulls=True).over(over)).where("__side = 1")
-    return both.select(by, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in gone], *[F.col(f"__last.{c}").alias(f"last_{c}") for c in (right_at, *carry)])
+    both = ordered.carried(a.unionByName(b), [by], ["__at", "__side", "__carry"], F.col("__carry"), "__seen").where("__side = 1")
+    return both.select(by, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in gone], *[F.col(f"__seen.{c}").alias(f"last_{c}") for c in (right_at, *carry)])
 
 
 def near(left: DataFrame, right: DataFrame, by: str, a: str, b: str, reach: int) -> DataFrame:
-    """Pairs of a key whose places differ by ``reach`` at most: an equi-join on buckets of that width and their neighbours."""
+    """Pairs of a key whose places differ by ``reach`` at most: an equi-join on buckets of that width and their neighbours.
+
+    Null keys and places meet nothing; repeated rows make pairs of their own. A large key is dealt out by its buckets.
+    """
     buckets = F.explode(F.array(*[F.floor(F.col(a) / (reach + 1)) + d for d in (-1, 0, 1)]))
     left = left.withColumn("__bucket", buckets)
     right = right.withColumn("__bucket", F.floor(F.col(b) / (reach + 1)))

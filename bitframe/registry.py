@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import seeds
 from .functions.words import DUCKDB, SPARK
-from .operators import graph, graphs, lanes, records, search, text
+from .operators import graph, graphs, lanes, ordered, records, search, text
 from .plans import verify
 from .plans.expression import compiled
 
@@ -434,8 +434,8 @@ ORACLE_SQL["prefix_sum"] = f"select {_KEYS}, acc::BIGINT as acc, nested::BIGINT
 
 @query("last_definition", "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as last_purchase from events")
 def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("last_purchase"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return ordered.carried(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], bought, "last_purchase").select("event_id", "last_purchase")
 
 
 @query("rank_margin", "with s as (select o_custkey, o_orderpriority as p, count(*) as n from orders group by all), r as (select *, row_number() over w as k, lead(n) over w as second from s window w as (partition by o_custkey order by n desc, p)) select o_custkey, p as top, n, coalesce(second, 0) as runner_up, 2 * n < 3 * coalesce(second, 0) as ambiguous from r where k = 1")
@@ -453,8 +453,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("limit_omitted", "with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as k, count(*) over (partition by user_id) as n from events) select user_id, event_id, greatest(n - 10, 0) as omitted from r where k <= 10")
 def _omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    r = _table(spark, sf_dir, "events").withColumns({"k": F.row_number().over(w.orderBy("event_id")), "n": F.count(F.lit(1)).over(w)}).where("k <= 10")
+    r = ordered.numbered(_table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "k", "n").where("k <= 10")
     return r.select("user_id", "event_id", F.greatest(F.col("n") - 10, F.lit(0)).alias("omitted"))
 
 

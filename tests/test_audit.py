@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import audit
+from bitframe.operators import audit, graphs, ordered, records
 
 
 def rows(df):
@@ -18,6 +18,45 @@ def test_pad_zip_fills_the_shorter_side(spark):
     assert rows(audit.pad_zip(a, b, "k", ["a"], ["b"], -1)) == [(1, 1, 10, 5), (1, 2, 11, -1), (2, 1, 20, -1), (3, 1, -1, 7)]
 
 
+def test_pad_zip_leaves_nulls_of_rows(spark):
+    a = spark.createDataFrame([(1, None), (1, 11), (None, 5)], "k long, a long")
+    b = spark.createDataFrame([(1, 5)], "k long, b long")
+    assert rows(audit.pad_zip(a, b, "k", ["a"], ["b"], -1)) == [(1, 1, None, 5), (1, 2, 11, -1), (None, 1, 5, -1)]
+
+
+def test_numbers_and_carried_values_over_ranges(spark):
+    """A key of most rows, null keys, ties and empty tables; ranges are many."""
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    data = [(1 if i % 3 else None if i % 7 == 0 else i % 5, i * 37 % 211, i) for i in range(400)]
+    df = spark.createDataFrame(data, "k long, at long, id long")
+    got = {r.id: (r.place, r.total) for r in ordered.numbered(df, ["k"], ["at", "id"], total="total").collect()}
+    last = {r.id: r.last for r in ordered.carried(df, ["k"], ["at", "id"], F.when(F.col("id") % 10 == 0, F.col("id")), "last").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for key in {k for k, *_ in data}:
+        held = None
+        mine = sorted((at, i) for k, at, i in data if k == key)
+        for place, (_, i) in enumerate(mine, 1):
+            held = i if i % 10 == 0 else held
+            assert got[i] == (place, len(mine)) and last[i] == held
+    assert ordered.numbered(df.where("false"), ["k"], ["at"]).count() == 0 and ordered.carried(df.where("false"), ["k"], ["at"], F.col("id"), "last").count() == 0
+
+
+def test_as_of_ties(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (None, 5, "y"), (2, 1, "z")], "k long, at long, v string")
+    b = spark.createDataFrame([(1, 5, "p"), (1, 5, "q"), (1, 6, "r"), (None, 4, "n")], "k long, s long, w string")
+    assert {r.v: r.last_w for r in records.as_of(a, b, "k", "at", "s", ["w"]).collect()} == {"x": "q", "y": "n", "z": None}
+
+
+def test_graphs(spark):
+    edges = spark.createDataFrame([("g", 0, 1), ("g", 0, 1), ("g", 1, 2), ("g", 2, 1), ("g", 5, 6), ("g", None, 1)], "graph string, src long, dst long")
+    roots = spark.createDataFrame([("g", 0)], "graph string, node long")
+    assert rows(graphs.reachable(edges, roots, ("graph",))) == [("g", 0, 0), ("g", 1, 1), ("g", 2, 2)]
+    dom = graphs.dominators(edges, roots)
+    assert {r.node: r.dominators for r in dom.collect()} == {0: [0], 1: [0, 1], 2: [0, 1, 2]}
+    assert rows(graphs.loop_headers(edges, dom)) == [("g", 1, 2)]
+    assert graphs.reachable(edges.where("false"), roots.where("false"), ("graph",)).count() == 0
+
+
 def test_diverging_ignores_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, None)], "k long, o string")
     assert rows(audit.diverging(df, "k", "o")) == [(1, 2)]
