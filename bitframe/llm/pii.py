@@ -33,7 +33,7 @@ WIDE = {
     "ip": r"(?=[0-9])(?<![0-9.])[0-9]{1,3}+\[\.\][0-9]{1,3}+\[\.\][0-9]{1,3}+\[\.\][0-9]{1,3}+(?![0-9])",
     "card": r"(?=[0-9])(?<![0-9.])[0-9]{4}+[./_][0-9]{4}+[./_][0-9]{4}+[./_][0-9]{4}+(?![0-9])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]{7})(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+",
 }
 #: A row goes through a pattern only if it has this; each is a plain test.
 NEEDS = {
@@ -41,7 +41,7 @@ NEEDS = {
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda t: F.contains(t, F.lit("[.]"))),
     "card": (lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), lambda t: t.rlike(r"[0-9]{4}[./_][0-9]{4}")),
     "phone": (lambda t: F.contains(t, F.lit("+")), lambda t: t.rlike(r"[0-9]{3}[).-]")),
-    "secret": (None, lambda t: t.rlike(r"[A-Za-z0-9+/_=-]{16}")),
+    "secret": (None, lambda t: t.rlike(r"[0-9][A-Za-z0-9+/_=-]{7}")),
 }
 CUES = {
     "email": r"(?i)mail|contact|write|address|from|to:|kontakt|correo|courriel",
