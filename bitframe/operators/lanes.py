@@ -1,4 +1,8 @@
-"""Vector operators on arrays of lanes: maps, shuffles, masks, ordered and balanced reductions."""
+"""Vector operators on arrays of lanes: maps, shuffles, masks, ordered and balanced reductions.
+
+A null vector gives null, a null lane makes the lane it meets null, and of vectors of different lengths the shorter one counts as padded with nulls. Lanes
+that aren't there are an error. Everything is one projection; nothing is shuffled.
+"""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import audit, graphs, ordered, records
+from bitframe.operators import audit, graphs, lanes, ordered, records, text
 
 
 def rows(df):
@@ -57,6 +57,20 @@ def test_graphs(spark):
     assert graphs.reachable(edges.where("false"), roots.where("false"), ("graph",)).count() == 0
 
 
+def test_classify_blanks_comments_and_takes_hints(spark):
+    df = spark.createDataFrame([(1, "cat cat # dog dog dog", None), (2, "cat # dog", "the dog pass"), (3, None, None)], "k long, t string, h string")
+    signals = {"cat": [("cat", 3)], "dog": [("dog", 3)]}
+    assert rows(text.classify(df, "k", "t", signals, comments="#.*", hint="h").select("k", "family", "score")) == [(1, "cat", 6), (2, "dog", 100), (3, "unknown", 0)]
+    assert rows(text.classify(df, "k", "t", signals).select("k", "family")) == [(1, "dog"), (2, "cat"), (3, "unknown")]
+
+
+def test_lanes(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [4, 3, 2, 1]), (None, [1, 2, 3, 4])], "v array<long>, w array<long>")
+    got = df.select(lanes.by_block(F.col("v"), [1, 0]), lanes.by_block(F.col("v"), [-1, 0, 0, -1]), lanes.mask_program("v", "w", ["x < y", "x > y"]), lanes.balanced(F.col("w"), 4, lambda a, x: a - x), lanes.folded(F.col("w"), F.lit(0).cast("bigint"), lambda a, x: a - x)).collect()
+    assert tuple(got[0]) == ([2, 1, 4, 3], [1, 1, 1, 4], [True, False, False, True], 0, -10)
+    assert tuple(got[1])[:3] == (None, None, None)
+
+
 def test_diverging_ignores_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, None)], "k long, o string")
     assert rows(audit.diverging(df, "k", "o")) == [(1, 2)]
