@@ -173,7 +173,7 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def report(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The contract's columns of all conversations, and number -1, in which both sides say control strings.
+    """The contract's columns of all conversations, and number -1, in which both sides say control strings; turns of a -1 in the table are turns of it.
 
     Formatting and reading back follow each other in one worker, so the formatted rows don't pass through the JVM.
     """

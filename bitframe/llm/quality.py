@@ -2,7 +2,8 @@
 
 Every document is measured once. A sketch of a measure is its histogram at a fixed resolution of a thousandth (a tenth of a
 character for word lengths), so it has 1,001 bins at most, merges by adding counts, and gives the same quantiles in any
-order of merging. Groups of a language and a source with fewer than ``LEAST`` documents take the merged sketch of their
+order of merging; Spark's own mergeable sketches are approximate, and their results couldn't be checked by SQL. Average word lengths
+of 100 characters and more share the last bin. Groups of a language and a source with fewer than ``LEAST`` documents take the merged sketch of their
 language, and languages with fewer take the merged sketch of all. Thresholds are joined back to filter.
 """
 
