@@ -48,9 +48,8 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
 def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``rows`` with the last value that isn't null at or before them in ``order`` within ``keys``; ``order`` has to tell rows with values apart."""
     dealt = _dealt(rows.withColumn("__value", value), keys, order)
-    ends = dealt.where("__value is not null").groupBy(*keys, _RANGE).agg(F.max_by("__value", F.struct(*order)).alias("__end"))
-    every = dealt.select(*keys, _RANGE).distinct()
-    ends = _joined(every, ends, keys)
+    at = F.when(F.col("__value").isNotNull(), F.struct(*order))  # rows whose order is null don't count
+    ends = dealt.groupBy(*keys, _RANGE).agg(F.max_by("__value", at).alias("__end"))
     before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ends = checkpointed(ends.select(*keys, _RANGE, F.last("__end", ignorenulls=True).over(before).alias("__earlier")))
     here = Window.partitionBy(*keys, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
