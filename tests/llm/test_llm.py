@@ -575,6 +575,37 @@ def test_empty_tables(docs, run):
     assert run(docs.where("false")).count() == 0
 
 
+def test_empty_tables_of_labels_and_turns(docs, spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.report(docs.where("false"), labels).count() == 0 and mixing.mixed(docs.where("false")).count() == 0 and minhash.one_each(docs.where("false")).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in chat.report(turns).collect()] == [-1]
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Columns that are named as those within the operators keep their values; a text of 150,000 words is a row like others."""
+    long = prose(150_000, 3)
+    texts = [long, long + " end", prose(40, 4), prose(40, 5), None, "", prose(40, 4)]
+    names = ["key", "band", "root", "line", "row", "code", "words", "toxic", "p_toxic", "size", "taken", "bucket", "pattern", "ids", "at", "n", "place"]
+    rows = [(i, t, f"s{i % 2}", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(i, int(i == 2)) for i in range(4)], "doc_id long, toxic int")
+
+    def same(df, but=()):
+        kept = [n for n in names if n not in but]
+        return all(r[n] == f"{n}{r.doc_id}" for r in df.collect() for n in kept) and set(kept) <= set(df.columns)
+
+    one = minhash.one_each(table, 80)
+    assert sorted(r.doc_id for r in one.collect()) == [0, 2, 3, 4, 5] and same(one)
+    clean = linededup.dedup_lines(table, most=100)
+    assert {r.doc_id: r.n_dropped for r in clean.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0} and same(clean)
+    scored = toxicity.score(table, labels)
+    assert scored.count() == 7 and same(scored, ("toxic", "p_toxic"))
+    assert same(mixing.mixed(table)) and same(sentencepiece.encode(table.where("doc_id > 1")), ("ids",))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2}
+
+
 def test_pipeline_stages_keep_what_is_clean(spark, tmp_path):
     import corpus_pipeline
 
