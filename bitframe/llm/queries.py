@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, licenses, linededup, minhash, mixing, pii, quality, sentencepiece, toxicity
+from . import chat, fingerprint, licenses, linededup, maintext, merkle, minhash, mixing, pii, quality, runs, sentencepiece, toxicity
 
 
 def _on(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _on("documents", lambda docs: mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")),
     "op9_chat": _on("conversations", chat.report),
     "op10_linededup": _on("documents", linededup.report),
+    "op11_maintext": _on("pages", maintext.main_text),
+    "op12_merkle": _on("documents", merkle.report),
+    "op13_runs": _on("documents", runs.report),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')"
@@ -70,4 +73,4 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM
 SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM sizes JOIN reach ON doc_id = a GROUP BY doc_id, n
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_minhash": OP5_SQL, "op10_linededup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_minhash": OP5_SQL, "op10_linededup": linededup.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
