@@ -3,10 +3,9 @@
 A line is parsed down a tree: its number of words, its first two words, then its words in four blocks. Words with a digit are
 variable fields from the start. A leaf's template is the whole line; four more templates for each longer line leave
 one block open, so a field that varies without digits is generalised too. A template recurs if it is found in enough different
-texts. Lines with a recurring template are dropped, except in the first document that has it. Documents of which most would go
-that way may be copies of others, which are left whole for document deduplication to decide on. By default (as in the SQL below)
-all of them are; with ``copies``, only those that are shown to be near duplicates of the document that most of it comes from,
-and what recurs in third documents goes from them as it does from that one.
+texts. Lines with a recurring template are dropped, except in the first document that has it; a copy of a document loses all of them. Where document
+deduplication follows, ``copies`` leaves that to it: of documents that would lose most of their words, those stay that are shown to be near duplicates
+of the document that most of it comes from, and what recurs in third documents goes from them as it does from that one.
 
 Texts are parsed once, to one row of numbers for each document. Keys of 60 bits are shuffled once to find those that recur and once, with
 the document's place and the line's number, to meet them; never lines, until the lines to drop are joined to the texts.
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-LONG, SHORT, SLOTS, MOST_PERCENT = 8, 3, 8, 50
+LONG, SHORT, SLOTS, MOST_PERCENT = 8, 3, 8, 100
 _NO_ID = 2**62  # codes of rows without an id begin here; they come last
 _GAP = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -97,8 +96,10 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copie
     keyed = lines.select("row", "code", "text_key", "line", F.col("x.n").alias("n"), F.explode("x.keys").alias("key"))
     found = written(recurring(keyed, long, slots))
     hits = keyed.select("row", "code", "line", "key").join(found, "key").where("code <> first")
-    hits = hits.select("row", "line") if copies is None else written(hits.select("row", "line", "first").distinct())
+    hits = hits.select("row", "line") if copies is None or most >= 100 else written(hits.select("row", "line", "first").distinct())
     gone = hits.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    if most >= 100:
+        return gone.join(rows.select("row", "doc_id", "text_key"), "row").select("doc_id", "text_key", "dropped").dropDuplicates(["doc_id", "text_key"])
     sizes = rows.select("row", "code", "doc_id", "text_key", F.transform("xs", lambda x: x.n).alias("sizes"))
     both = gone.join(sizes, "row")
     words = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, n: s + n)
@@ -128,9 +129,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if its texts fill ``slots`` of 63 hash slots (8: about nine texts); shorter ones never do. Null texts stay null, and
     texts without a dropped line stay as they are. Equal rows share their fate. Documents are in the order of their ids, which are
     below 2^62; rows without an id come last, in the order of their digests; rows of one id count as one document here.
-    Documents of which more than ``most`` percent of the words would go stay whole: all of them, or, if ``copies`` is given, those whose
-    five-word shingles have that similarity in percent to an equal text or that which most of these words come from; of
-    these, lines that recur in third texts are dropped. With ``most`` 100, no document stays whole for that.
+    By default no document stays whole. With ``most`` under 100, documents that would lose more than that percentage of their words do: all of them, or,
+    if ``copies`` is given, those whose five-word shingles have that similarity in percent to an equal text or that which most of these words
+    come from; of these, lines that recur in third texts are dropped.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = drops(docs, id_col, text_col, copies, most, long, short, slots).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("dropped").alias("__gone"))
@@ -165,8 +166,7 @@ named AS (SELECT doc_id, text_key, line, n, unnest(CASE WHEN n >= 10 THEN [conca
 found AS (SELECT key, min(coalesce(doc_id, 4611686018427387904 | text_key)) AS first FROM named GROUP BY key
   HAVING CASE WHEN max(n) >= 8 THEN count(DISTINCT text_key) > 1 ELSE count(DISTINCT text_key % 63) >= 8 END),
 gone AS (SELECT DISTINCT doc_id, text_key, line, n FROM named JOIN found USING (key) WHERE first <> coalesce(doc_id, 4611686018427387904 | text_key)),
-totals AS (SELECT doc_id, text_key, sum(n) AS total FROM sized GROUP BY ALL),
-dropped AS (SELECT doc_id, text_key, list(line) AS dropped FROM gone JOIN totals USING (doc_id, text_key) GROUP BY ALL HAVING 100 * sum(n) <= 50 * any_value(total)),
+dropped AS (SELECT doc_id, text_key, list(line) AS dropped FROM gone GROUP BY ALL),
 clean AS (SELECT s.doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(dropped), 0)::BIGINT AS n_dropped,
   CASE WHEN dropped IS NULL THEN text ELSE coalesce(array_to_string([lines[i] for i in range(1, len(lines) + 1) if NOT list_contains(dropped, i - 1)], chr(10)), '') END AS t
   FROM split s LEFT JOIN dropped d ON s.doc_id = d.doc_id AND s.text_key = d.text_key)
