@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import audit, records
+from .operators import audit, ordered, records
 from .registry import _KEYS, KEYS, _table, query
 
 def _n() -> Column:
@@ -128,8 +128,12 @@ def _argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nested_prefix_sum", f"with s as (select {_KEYS}, sum(l_linenumber) over w as s from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding)) select {_KEYS}, s::BIGINT as s, (sum(s) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding))::BIGINT as t from s")
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return _table(spark, sf_dir, "lineitem").select(*KEYS).withColumn("s", F.sum("l_linenumber").over(w)).withColumn("t", F.sum("s").over(w))
+    """The sum of all sums so far of x is (place + 1) * sum(x) - sum(place * x)."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = ordered.numbered(_table(spark, sf_dir, "lineitem").select(*KEYS), ["l_orderkey"], order)
+    n = F.col("l_linenumber").cast("bigint")
+    both = ordered.summed(rows, ["l_orderkey"], [*order, "place"], {"s": n, "placed": n * F.col("place")})
+    return both.select(*KEYS, "s", ((F.col("place") + 1) * F.col("s") - F.col("placed")).alias("t"))
 
 
 _BRANCHES = ["x % 3 = 0", "x % 5 = 0", "x % 2 = 0", "x > 128"]
@@ -161,8 +165,8 @@ def _novel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("changed_fields", f"with a as (select *, lead(l_returnflag) over w as f2, lead(l_linestatus) over w as s2, lead(l_linenumber) over w as n2 from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) select {_KEYS}, concat_ws(',', case when l_returnflag is distinct from f2 then 'l_returnflag' end, case when l_linestatus is distinct from s2 then 'l_linestatus' end) as changed from a where n2 is not null")
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = _table(spark, sf_dir, "lineitem").withColumn("then", F.lead(F.struct("l_returnflag", "l_linestatus")).over(w)).where("then is not null")
+    rows = _table(spark, sf_dir, "lineitem").select(*KEYS, "l_returnflag", "l_linestatus")
+    rows = ordered.followed(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.struct("l_returnflag", "l_linestatus"), "then").where("then is not null")
     return rows.select(*KEYS, audit.changed(["l_returnflag", "l_linestatus"], "then").alias("changed"))
 
 

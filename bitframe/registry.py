@@ -424,9 +424,8 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prefix_sum", f"select {_KEYS}, sum(l_linenumber) over w::BIGINT as acc, sum(l_linenumber * l_linenumber) over w::BIGINT as nested from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding)".replace("over w::BIGINT", "over w"))
 def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
     n = F.col("l_linenumber").cast("bigint")
-    return _table(spark, sf_dir, "lineitem").select(*KEYS, F.sum(n).over(w).alias("acc"), F.sum(n * n).over(w).alias("nested"))
+    return ordered.summed(_table(spark, sf_dir, "lineitem").select(*KEYS), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], {"acc": n, "nested": n * n})
 
 
 ORACLE_SQL["prefix_sum"] = f"select {_KEYS}, acc::BIGINT as acc, nested::BIGINT as nested from ({ORACLE_SQL['prefix_sum']})"

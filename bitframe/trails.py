@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.words import DUCKDB
-from .operators import graphs
+from .operators import graphs, ordered
 from .plans import verify
 from .registry import _table, query
 
@@ -445,9 +445,9 @@ def _path_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("program_graph", "with e as (select event_id, user_id, event_type, row_number() over w as place, lead(event_id) over w as next, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as def from events window w as (partition by user_id order by ts, event_id)) select event_id as src, next as dst, 'flow' as kind from e where next is not null union all select def, event_id, 'use' from e where event_type = 'click' and def is not null")
 def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of flow from each step to the next, and from the last definition before it to each use."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    e = _table(spark, sf_dir, "events").select("event_id", "event_type", F.lead("event_id").over(w).alias("next"), F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before).alias("def"))
+    by, order = ["user_id"], ["ts", "event_id"]
+    e = ordered.followed(_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts"), by, order, F.col("event_id"), "next")
+    e = ordered.carried(e, by, order, F.when(F.col("event_type") == "purchase", F.col("event_id")), "def", own=False)
     flow = F.when(F.col("next").isNotNull(), F.struct(F.col("event_id").alias("src"), F.col("next").alias("dst"), F.lit("flow").alias("kind")))
     use = F.when((F.col("event_type") == "click") & F.col("def").isNotNull(), F.struct(F.col("def").alias("src"), F.col("event_id").alias("dst"), F.lit("use").alias("kind")))
     return e.select(F.inline(F.array_compact(F.array(flow, use))))

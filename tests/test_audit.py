@@ -24,21 +24,32 @@ def test_pad_zip_leaves_nulls_of_rows(spark):
     assert rows(audit.pad_zip(a, b, "k", ["a"], ["b"], -1)) == [(1, 1, None, 5), (1, 2, 11, -1), (None, 1, 5, -1)]
 
 
-def test_numbers_and_carried_values_over_ranges(spark):
-    """A key of most rows, null keys, ties and empty tables; ranges are many."""
+@pytest.mark.parametrize("large", [0, 100, 10_000])
+def test_numbers_sums_and_carried_values_over_ranges(spark, monkeypatch, large):
+    """A key of most rows, null keys, ties and empty tables; all keys, the large one or none over ranges, which are many."""
+    monkeypatch.setattr(ordered, "LARGE", large)
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     data = [(1 if i % 3 else None if i % 7 == 0 else i % 5, i * 37 % 211, i) for i in range(400)]
     df = spark.createDataFrame(data, "k long, at long, id long")
-    got = {r.id: (r.place, r.total) for r in ordered.numbered(df, ["k"], ["at", "id"], total="total").collect()}
-    last = {r.id: r.last for r in ordered.carried(df, ["k"], ["at", "id"], F.when(F.col("id") % 10 == 0, F.col("id")), "last").collect()}
+    by, tens = (["k"], ["at", "id"]), F.when(F.col("id") % 10 == 0, F.col("id"))
+    got = {r.id: (r.place, r.total) for r in ordered.numbered(df, *by, total="total").collect()}
+    last = {r.id: r.last for r in ordered.carried(df, *by, tens, "last").collect()}
+    before = {r.id: r.last for r in ordered.carried(df, *by, tens, "last", own=False).collect()}
+    sums = {r.id: (r.s, r.t) for r in ordered.summed(df, *by, {"s": F.col("id"), "t": tens}).collect()}
+    then = {r.id: r.then for r in ordered.followed(df, *by, tens, "then").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     for key in {k for k, *_ in data}:
-        held = None
+        held, total, some = None, 0, None
         mine = sorted((at, i) for k, at, i in data if k == key)
         for place, (_, i) in enumerate(mine, 1):
-            held = i if i % 10 == 0 else held
-            assert got[i] == (place, len(mine)) and last[i] == held
-    assert ordered.numbered(df.where("false"), ["k"], ["at"]).count() == 0 and ordered.carried(df.where("false"), ["k"], ["at"], F.col("id"), "last").count() == 0
+            assert before[i] == held
+            ten = i if i % 10 == 0 else None
+            held, total, some = held if ten is None else ten, total + i, some if ten is None else ten + (some or 0)
+            following = mine[place][1] if place < len(mine) else 1
+            assert got[i] == (place, len(mine)) and last[i] == held and sums[i] == (total, some) and then[i] == (following if following % 10 == 0 else None)
+    none = df.where("false")
+    assert ordered.numbered(none, *by).count() == ordered.carried(none, *by, F.col("id"), "last").count() == ordered.summed(none, *by, {"s": F.col("id")}).count() == ordered.followed(none, *by, tens, "then").count() == 0
+    assert sorted(r.place for r in ordered.numbered(df, [], ["id"]).collect()) == list(range(1, 401))
 
 
 def test_as_of_ties(spark):
