@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import regions, trees
+from .operators import automata, intervals, passages, regions, text, trees
 from .registry import _table, query
 
 # ---- elements of pages and their shapes
@@ -42,3 +42,79 @@ select name, any_value(size) as size, count(*) as copies, count(distinct page_id
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regions.elements(_table(spark, sf_dir, "pages"), "page_id", "html")
     return trees.repeated(trees.canonical(found, "page_id", "start", "parent", "depth", "name"), "page_id", "start", "name")
+
+
+# ---- passages of benchmark in documents
+
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r.,;:!?]+')"
+
+
+@query(
+    "benchmark_passages",
+    rf"with cut as (select item_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?\n]')) as piece, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.!?\n]'), 1) as passage from benchmark), "
+    rf"p as (select item_id, passage::bigint as passage, {_WORDS.format('piece')} as w from cut), d as (select doc_id, {_WORDS.format('text')} as w from documents), "
+    "x as (select doc_id, unnest(range(1, len(w) + 1)) as i, w from d) "
+    "select item_id, passage, doc_id, (i - 1)::bigint as word from x join p on x.w[i] = p.w[1] and x.w[i + 1] = p.w[2] and len(p.w) >= 5 and x.w[i:i + len(p.w) - 1] = p.w",
+)
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.search(_table(spark, sf_dir, "documents"), passages.cut(_table(spark, sf_dir, "benchmark"), "item_id", "text"), "doc_id", "text")
+
+
+# ---- sessions around events: they nest (by gaps of an hour and of a day) and overlap (around errors)
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000  # microseconds
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    spans = intervals.gaps(e, ["user_id"], "at", ["event_id"], HOUR).select("user_id", "lo", "hi", F.lit("hour").alias("kind"))
+    spans = spans.unionByName(intervals.gaps(e, ["user_id"], "at", ["event_id"], DAY).select("user_id", "lo", "hi", F.lit("day").alias("kind")))
+    spans = spans.unionByName(e.where("event_type = 'error'").select("user_id", (F.col("at") - HOUR).alias("lo"), (F.col("at") + 3 * HOUR).alias("hi"), F.lit("error").alias("kind")))
+    return e.select("event_id", "user_id", "at"), spans
+
+
+_GAPS = "select user_id, min(tm) as lo, max(tm) as hi, '{0}' as kind from (select user_id, tm, sum(new) over (partition by user_id order by tm, event_id) as no from (select *, case when tm - lag(tm) over (partition by user_id order by tm, event_id) <= {1} then 0 else 1 end as new from e)) group by user_id, no"
+_SPANS = f"e as (select event_id, user_id, event_type, epoch_us(ts) as tm from events), s as ({_GAPS.format('hour', HOUR)} union all {_GAPS.format('day', DAY)} union all select user_id, tm - {HOUR}, tm + {3 * HOUR}, 'error' from e where event_type = 'error')"
+
+
+@query("enclosing_sessions", f"with {_SPANS} select event_id, kind, lo, hi from e join s on e.user_id = s.user_id and tm between lo and hi")
+def _enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, spans = _sessions(spark, sf_dir)
+    return intervals.enclosing(points, spans, ["user_id"], "at", "lo", "hi", HOUR // 60).select("event_id", "kind", "lo", "hi")
+
+
+@query("innermost_session", f"with {_SPANS} select event_id, count(*) as n, min({{'l': hi - lo, 'b': -lo, 'k': kind, 'h': hi}}).k as kind, -min({{'l': hi - lo, 'b': -lo, 'k': kind, 'h': hi}}).b as lo, min({{'l': hi - lo, 'b': -lo, 'k': kind, 'h': hi}}).h as hi from e join s on e.user_id = s.user_id and tm between lo and hi group by event_id")
+def _innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, spans = _sessions(spark, sf_dir)
+    return intervals.innermost(intervals.enclosing(points, spans, ["user_id"], "at", "lo", "hi", HOUR // 60), ["event_id"], "lo", "hi", ["kind"])
+
+
+# ---- regions of rows in order
+
+JOURNEY = automata.sequence(["signup", "click", "purchase"], 2, ["error"])
+BLOCKS = automata.sequence(["short", "long", "long"], 1, ["blank"])
+_LINE = r"case when not regexp_matches(line, '[^ \t\n\v\f\r]') then 'blank' when length(line) < 100 then 'short' else 'long' end"
+
+
+def _run_sql(machine: automata.Automaton, rows: str, key: str) -> str:
+    """Row by row: rows (key, place, sym, ref). Next states and starts are lists by state * symbols + symbol."""
+    nexts, anew = [s for r in machine.step for s, _ in r], [b for r in machine.step for _, b in r]
+    at = f"state * {len(machine.symbols)} + coalesce(list_position({list(machine.symbols[:-1])}, sym), {len(machine.symbols)})"
+    return (
+        f"with recursive rows as ({rows}), go as (select {key} as k, 0::bigint as place, 0 as state, null::bigint as began, null::bigint as start, null::bigint as stop from rows where place = 1 union all "
+        f"select k, place, case when s = {machine.accept} then 0 else s end, case when s not in (0, {machine.accept}) then b end, case when s = {machine.accept} then b end, case when s = {machine.accept} then ref end from "
+        f"(select go.k, r.place, r.ref, {nexts}[{at}] as s, case when {anew}[{at}] or state = 0 then r.ref else began end as b from go join rows r on r.{key} is not distinct from go.k and r.place = go.place + 1)) "
+        f"select k as {key}, start, stop from go where stop is not null"
+    )
+
+
+@query("journey_regions", _run_sql(JOURNEY, "select user_id, row_number() over (partition by user_id order by ts, event_id) as place, event_type as sym, event_id as ref from events", "user_id"))
+def _journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.regions(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", "event_id", JOURNEY)
+
+
+@query("line_regions", _run_sql(BLOCKS, f"select doc_id, place, {_LINE} as sym, place as ref from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place from documents)", "doc_id"))
+def _line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    role = F.when(~F.col("line").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.length("line") < 100, "short").otherwise("long")
+    return automata.regions(rows.select("doc_id", "line_no", role.alias("role")), ["doc_id"], ["line_no"], "role", "line_no", BLOCKS)

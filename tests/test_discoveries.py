@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import ordered, regions, trees
+from bitframe.operators import automata, intervals, passages, regions, trees
 
 
 def plain_pairs(tokens):
@@ -82,3 +82,103 @@ def test_shapes_of_trees_ignore_the_order_of_children(spark):
     want = sorted((str(label[min(v)]), count(f), len(v), len({t for t, _ in v}), *min(v)) for f, v in again.items() if len(v) > 1)
     assert sorted((str(r[0]), *r[1:]) for r in trees.repeated(shaped, "tree", "node", "label").collect()) == want
     assert trees.canonical(df.where("false"), "tree", "node", "parent", "depth", "label").collect() == []
+
+
+# ---- passages
+
+def test_passages_with_wildcards_are_found_by_their_rarest_words(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(6)] + ["the"] * 4
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(90, None), (91, ""), (92, "The, W1; the w1! THE w1"), (None, "the w1 the w1 the")]
+    texts += [texts[0], (0, "the same id w1 the w2")]
+    patterns = [(i, f"p{i % 3}", [rng.choice([*vocabulary, "*"]) for _ in range(rng.randint(0, 6))]) for i in range(60)] + [(70, "q", ["the", "w1", "the"]), (71, "q", ["the", "w1", "the"]), (72, None, ["nowhere", "at", "all"]), (73, "r", ["the", None]), (None, "n", ["w1", "*", "w1"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame(patterns, "pattern long, kind string, words array<string>")
+    got = sorted(map(tuple, passages.search(docs, table, "doc_id", "text").collect()), key=repr)
+    want = []
+    for d, t in dict.fromkeys(texts):
+        w = re.findall(r"[^\x20\x09-\x0D.,;:!?]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        for p, k, x in patterns:
+            if x and None not in x and set(x) != {"*"}:
+                want += [(p, k, d, i) for i in range(len(w) - len(x) + 1) if all(b in (a, "*") for a, b in zip(w[i:], x))]
+    assert got == sorted(want, key=repr) and len(got) > 100
+    assert passages.search(docs, table.where("false"), "doc_id", "text").collect() == passages.search(docs.where("false"), table, "doc_id", "text").collect() == []
+    cut = passages.cut(docs.where("doc_id = 92"), "doc_id", "text", 2).collect()
+    assert [(r.passage, r.words) for r in cut] == [(1, ["the", "w1", "the", "w1"]), (2, ["the", "w1"])]
+
+
+def test_many_passages_need_no_nested_loop(spark):
+    docs = spark.range(300).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"x{k}y"), (F.col("id") * 7 + k) % 50) for k in range(20)]).alias("text"))
+    table = spark.range(10_000).select(F.col("id").alias("pattern"), F.array(*[F.concat(F.lit(f"x{k}y"), (F.col("id") + k) % 50) for k in range(3, 9)]).alias("words"))
+    found = passages.search(docs, table, "id", "text")
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.count() == 300 * 200  # of every residue there are 200 patterns
+
+
+# ---- intervals
+
+def test_dyadic_covers_are_exact_and_small(spark):
+    rng = random.Random(7)
+    data = [(a, a + rng.choice([-1, 0, 1, 5, 77, 1000, 2**40])) for a in (rng.choice([0, -1, rng.randrange(-300, 300), rng.randrange(-(2**50), 2**50)]) for _ in range(200))]
+    for r in spark.createDataFrame(data, "lo long, hi long").select("lo", "hi", intervals.cover(F.col("lo"), F.col("hi")).alias("c")).collect():
+        spans = sorted((x.node << x.level, (x.node + 1 << x.level) - 1) for x in r.c)
+        if r.lo > r.hi:
+            assert not spans
+            continue
+        assert spans[0][0] == r.lo and spans[-1][1] == r.hi and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+        assert max(sum(x.level == k for x in r.c) for k in range(64)) <= 2
+
+
+@pytest.mark.parametrize("grain", [1, 10])
+def test_nested_and_overlapping_intervals(spark, grain):
+    rng = random.Random(grain)
+    points = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(-50, 200)])) for i in range(300)] + [(5, 1, 7)]
+    spans = [(j, rng.choice([1, 1, 2, None]), lo, lo + rng.choice([-3, 0, 1, 20, 150])) for j, lo in enumerate(rng.randrange(-60, 190) for _ in range(120))] + [(500, 1, None, 5), (501, 1, 5, None), (3, 1, 0, 9), (3, 1, 0, 9)]
+    p, s = spark.createDataFrame(points, "point long, k long, at long"), spark.createDataFrame(spans, "span long, k long, lo long, hi long")
+    pairs = intervals.enclosing(p, s, ["k"], "at", "lo", "hi", grain)
+    want = [(i, k, t, j, a, b) for i, k, t in points for j, m, a, b in spans if k is not None and k == m and None not in (t, a, b) and a <= t <= b]
+    assert sorted(map(tuple, pairs.select("point", "k", "at", "span", "lo", "hi").collect())) == sorted(want)
+    best = {}
+    for i, _, _, j, a, b in want:
+        best.setdefault(i, []).append((b - a, -a, j))
+    got = {r.point: (r.n, r.lo, r.hi, r.span) for r in intervals.innermost(pairs, ["point"], "lo", "hi", ["span"]).collect()}
+    assert got == {i: (len(v), -min(v)[1], min(v)[0] - min(v)[1], min(v)[2]) for i, v in best.items()}
+    assert intervals.enclosing(p, s.where("false"), ["k"], "at", "lo", "hi").collect() == []
+
+
+def test_stretches_without_gaps(spark):
+    rows = spark.createDataFrame([(1, t, i) for i, t in enumerate([5, 1, 2, 9, 9, 30, None])] + [(None, 3, 9)], "k long, at long, id long")
+    assert sorted(map(tuple, intervals.gaps(rows, ["k"], "at", ["id"], 4).collect()), key=repr) == [(1, 1, 9, 5), (1, 30, 30, 1), (None, 3, 3, 1)]
+
+
+# ---- automata
+
+def plain_regions(machine, symbols):
+    state, began, out = 0, None, []
+    for ref, x in symbols:
+        i = machine.symbols.index(x) if x in machine.symbols[:-1] else len(machine.symbols) - 1
+        before, (state, anew) = state, machine.step[state][i]
+        began = ref if anew or before == 0 else began
+        if state == machine.accept:
+            out.append((began, ref))
+            state = 0
+    return out
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 12])
+def test_regions_of_an_automaton_over_blocks(spark, bits):
+    rng = random.Random(bits)
+    machine = automata.sequence(["a", "b", "c"], 2, ["stop"])
+    data = [(k, i, rng.choice(["a", "b", "c", "x", None, "stop", "b", "c"])) for k, n in ((1, 400), (2, 30), (None, 60), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "k long, at long, role string")
+    got = sorted(map(tuple, automata.regions(df.repartition(3), ["k"], ["at"], "role", "at", machine, bits).collect()), key=repr)
+    want = sorted(((k, *r) for k in (1, 2, 3, None) for r in plain_regions(machine, [(i, x) for u, i, x in data if u == k])), key=repr)
+    assert got == want and len(want) > 20
+    assert automata.regions(df.where("false"), ["k"], ["at"], "role", "at", machine).collect() == []
+
+
+def test_sequences_mind_gaps_breaks_and_new_beginnings():
+    machine = automata.sequence(["a", "b"], 1, ["stop"])
+    find = lambda s: plain_regions(machine, list(enumerate(s.split())))
+    assert find("a b") == [(0, 1)] and find("a x b") == [(0, 2)] and find("a x x b") == [] and find("a stop b") == [] and find("a a x b a b") == [(1, 3), (4, 5)]
