@@ -248,11 +248,16 @@ def written_out(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's columns, then n_secret, secrets (as spans) and confidence: the least probability of an added span or secret, null without any."""
+    """The contract's columns, then n_secret, secrets (as spans) and confidence: the least probability of an added span or secret, null without any.
+
+    spans holds all spans, those of secrets too, by start, then kind, secrets last. Null texts are empty, so their counts are 0 and their spans the empty text; a null
+    id stays null, repeated rows have repeated results, an empty table has none, and other columns are ignored.
+    """
     found = find(docs)
+    every = F.when(F.size("secrets") > 0, F.array_sort(F.concat("spans", "secrets"), _order)).otherwise(F.col("spans"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     added = F.array_min(F.transform(F.concat(F.filter("spans", lambda s: s.wide), F.col("secrets")), lambda s: s.p))
     return found.select(
-        "doc_id", *counts, F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"),
+        "doc_id", *counts, F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(every).alias("spans"),
         F.size("secrets").cast("bigint").alias("n_secret"), written_out(F.col("secrets")).alias("secrets"), F.round(added, 6).alias("confidence"),
     )
