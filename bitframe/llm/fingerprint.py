@@ -104,7 +104,7 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_co
     come last; rows that repeat one are in the order of their texts. ``run`` takes lists of (id, text, next) and yields batches.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("at"), F.col(text_col).alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("at"), F.col(id_col).isNull().alias("none"), F.col(text_col).alias("text"))
     blocks = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     probe = plain.agg(F.percentile_approx("at", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or []
     bounds = sorted(set(probe))
@@ -134,28 +134,32 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_co
 
         def ready(rows):  # noqa: ANN001, ANN202
             nonlocal held
-            for home, at, text in rows:
+            for home, at, none, text in rows:
                 block, peek = home >> 1, home & 1
                 if held and held[0] == block:
                     yield held[1], held[2], text
                     held = None
                 if not peek:
-                    held = (block, None if at == LAST else at, text)
+                    held = (block, None if none else at, text)
 
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(3)
             for i in range(0, len(batch), 256):
-                rows = zip(batch.column(0)[i : i + 256].to_pylist(), batch.column(1)[i : i + 256].to_pylist(), [t or "" for t in texts[i : i + 256].to_pylist()])
+                rows = zip(*[batch.column(k)[i : i + 256].to_pylist() for k in range(3)], [t or "" for t in texts[i : i + 256].to_pylist()])
                 if found := list(ready(rows)):
                     yield from run(found)
 
-    placed = plain.select(F.explode(homes("at")).alias("home"), "at", "text")
-    sorted_ = placed.repartition(F.shiftright("home", 1)).sortWithinPartitions(F.shiftright("home", 1), F.col("home"), F.col("at"), F.col("text"))
+    placed = plain.select(F.explode(homes("at")).alias("home"), "at", "none", "text")
+    sorted_ = placed.repartition(F.shiftright("home", 1)).sortWithinPartitions(F.shiftright("home", 1), F.col("home"), F.col("at"), F.col("none"), F.col("text"))
     return arrow(sorted_, stream, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns: one row per row of ``docs``.
+
+    Null texts are empty, and an empty text has an empty fingerprint. Rows without an id come last, in the order of their texts, as do rows that repeat an id, which
+    are one block, and so one task. The only row of a table is its own next. An empty table has no rows; other columns are ignored.
+    """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(rows: list) -> Iterator[pa.RecordBatch]:
