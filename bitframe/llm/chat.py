@@ -3,7 +3,8 @@
 A conversation is rendered whole and encoded once with offsets; the sorted spans of the assistant's texts are intersected with
 the token spans by binary search. Markers are tokens of their own, so no token lies across the edge of a text. Control strings
 inside texts and roles get a backslash after their first character, and backslashes are doubled, which is undone on reading.
-Conversations are streamed in the order of turns within a partition, and cut into parts at turns where they are very long.
+Conversations are streamed in the order of turns within a partition, and encoded in parts, cut at turns, where they are very long: no token lies across a turn's
+marker, and offsets count from the beginning of the conversation, so its parts one after the other are what encoding it at once would give.
 """
 
 from __future__ import annotations
@@ -92,33 +93,41 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Re
             spans.append(np.array(code.offsets, np.int32).reshape(-1, 2))
             del code
         masks = [loss_mask(o.astype(np.int64), w[3]) for o, w in zip(spans, waiting)]
+        places = [o.astype(np.int64) + w[4] for o, w in zip(spans, waiting)]
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array([w[0] for w in waiting], pa.int64()), pa.array([w[1] for w in waiting], pa.int32()), pa.array([w[2] for w in waiting], pa.string()),
-                pa.array(ids, pa.list_(pa.int32())), pa.array([o[:, 0] for o in spans], pa.list_(pa.int32())),
-                pa.array([o[:, 1] for o in spans], pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())),
+                pa.array(ids, pa.list_(pa.int32())), pa.array([o[:, 0] for o in places], pa.list_(pa.int64())),
+                pa.array([o[:, 1] for o in places], pa.list_(pa.int64())), pa.array(masks, pa.list_(pa.bool_())),
             ],
             ["conv_id", "part", "text", "ids", "starts", "ends", "mask"],
         )
         waiting.clear()
         return out
 
-    here, part, held, size, queued = None, -1, [], 0, 0
+    here, part, held, size, queued, before = None, -1, [], 0, 0, 0  # before: characters of the conversation's parts so far
+
+    def put() -> None:
+        nonlocal before
+        said, own = render(held, part == 0)
+        waiting.append((here, part, said, own, before))
+        before += len(said)
+
     for batch in batches:
         for i in range(0, len(batch), 1024):
             for conv, role, text in zip(*(c[i : i + 1024].to_pylist() for c in batch.columns)):
                 if part >= 0 and (conv != here or size > PART):
-                    waiting.append((here, part, *render(held, part == 0)))
+                    put()
                     part, held, queued, size = part + 1, [], queued + size, 0
                 if part < 0 or conv != here:
-                    here, part = conv, 0
+                    here, part, before = conv, 0, 0
                 held.append((role, text))
                 size += len(text) + len(role) + 32
                 if queued > BATCH:
                     yield emit()
                     queued = 0
     if part >= 0:
-        waiting.append((here, part, *render(held, part == 0)))
+        put()
         yield emit()
 
 
@@ -126,9 +135,9 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
     """conv_id, part, text, ids, starts, ends, mask: one row per conversation, or more in order if it is very long.
 
     Turns are ordered by turn, then role and text; repeated rows are turns of their own. Null texts and roles are empty; a null turn comes first; rows
-    without a conv_id are one conversation. Offsets count code points of the part's text.
+    without a conv_id are one conversation. Offsets count code points of the conversation's text, all its parts in order; a turn is never cut.
     """
-    return arrow(placed(turns), lambda rows: encoded(rows, tokenizer), "conv_id bigint, part int, text string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>")
+    return arrow(placed(turns), lambda rows: encoded(rows, tokenizer), "conv_id bigint, part int, text string, ids array<int>, starts array<bigint>, ends array<bigint>, mask array<boolean>")
 
 
 def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +165,7 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[0] += 1
                 state[1].update(f"{role}\n{words}\n".encode())
             on = np.array(mask[i].values, bool)
-            a, b = starts[i].values.to_numpy()[on], ends[i].values.to_numpy()[on]
+            a, b = starts[i].values.to_numpy()[on] - state[4], ends[i].values.to_numpy()[on] - state[4]
             if len(a):
                 reach = np.maximum.accumulate(np.concatenate([[0], b[:-1]]))  # tokens of one character share its offsets
                 new = np.flatnonzero(a > reach)  # where a token doesn't follow on another
