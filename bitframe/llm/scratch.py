@@ -23,6 +23,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table of written() that nothing reads any more; only what lies in the session's shared folder is touched."""
+    own = scratch_dir(df.sparkSession).split(":", 1)[-1]
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if own in folder and folder.rsplit("/", 1)[-1].startswith("table-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)

@@ -1,11 +1,13 @@
 """The training-data operators against plain versions on small fixtures, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def test_pii_accepts_and_rejects_wide_spans_and_secrets(spark):
         assert got[100 + i].spans == "" and got[100 + i].confidence is None
     for i in range(40):
         at = rows[120 + i][1].index('"') + 1
-        assert got[200 + i].secrets == f"secret:{at}:{at + 40}" and got[200 + i].n_secret == 1
+        assert got[200 + i].secrets == got[200 + i].spans == f"secret:{at}:{at + 40}" and got[200 + i].n_secret == 1
         assert got[300 + i].secrets == ""
     assert got[999].spans == got[999].secrets == "" and got[999].n_secret == 0
 
@@ -481,6 +483,45 @@ def test_chat(spark):
         assert chat.unescape(chat.escape(t or "")) == (t or "")
 
 
+def test_chat_in_parts_is_chat_at_once(spark, monkeypatch):
+    """Parts of a long conversation, one after the other, are what one encoding gives: ids, offsets and mask; a turn longer than a part stays whole."""
+    from tokenizers import Tokenizer
+
+    if not os.path.exists(chat.TOKENIZER):
+        pytest.skip("no vocabulary")
+    rows = [(c, t, "user" if t % 2 else "assistant", prose(5 + 40 * (t == 7), 31 * c + t) + " é漢🎈 <|end|> [INST]") for c in range(3) for t in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], ["conv_id", "role", "text"])
+
+    def joined(part):
+        monkeypatch.setattr(chat, "PART", part)
+        out, parts = defaultdict(lambda: ["", [], [], [], []]), Counter()
+        for b in chat.encoded(iter([batch]), chat.TOKENIZER):
+            for r in b.to_pylist():
+                parts[r["conv_id"]] += 1
+                for i, c in enumerate(("text", "ids", "starts", "ends", "mask")):
+                    out[r["conv_id"]][i] += r[c]
+        return dict(out), parts
+
+    whole, one = joined(10**9)
+    cut, several = joined(100)
+    assert set(one.values()) == {1} and min(several.values()) > 5 and cut == whole
+    for text, ids, starts, ends, mask in whole.values():
+        code = chat.load(chat.TOKENIZER).encode(text, add_special_tokens=False)
+        assert code.ids == ids and code.offsets == list(zip(starts, ends))
+    assert Tokenizer.from_file(chat.TOKENIZER).get_vocab_size() > 0
+    digests = {}
+    for part in (100, 10**9):
+        monkeypatch.setattr(chat, "PART", part)
+        digests[part] = [b.to_pylist() for b in chat.digested(chat.encoded(iter([batch]), chat.TOKENIZER))]
+    assert [r for b in digests[100] for r in b] == [r for b in digests[10**9] for r in b]
+
+
+def test_fingerprints_of_the_last_id_and_of_none(spark):
+    rows = [(2**63 - 1, "the last id"), (None, "no id"), (1, "first"), (2**63 - 1, "the last id again")]
+    got = [(r.doc_id, r.n_chars) for r in fingerprint.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(d, len(t)) for d, t in rows], key=repr)
+
+
 def test_line_dedup(docs, spark):
     note = "this long passage of words stands in several documents of the corpus and number 12345 varies"
     texts = [f"{prose(30, 500 + i)}\n{note.replace('12345', str(i * 77))}\n{prose(30, 700 + i)}" for i in range(5)] + ["\n".join(prose(20, 900 + j) for j in range(4))] * 2
@@ -627,6 +668,70 @@ def test_pipeline_stages_keep_what_is_clean(spark, tmp_path):
     assert docs.where("n_tokens > 0").count() == docs.count()
 
 
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Each stage's rows, given what the stage before left: toxic documents, recurring lines, near copies, words of each source and token ids."""
+    import corpus_pipeline
+
+    rng, note = random.Random(8), prose(14, 77)
+    bad = ["idiot moron pathetic scum worthless trash " + prose(40, 100 + i) + " idiot scum stupid moron" for i in range(30)]
+    good = [prose(90, 300 + i) for i in range(60)]
+    texts = bad + good
+    texts += [prose(60, 600 + i) + "\n" + note + "\n" + prose(30, 700 + i) for i in range(6)]
+    near = prose(200, 900).split()
+    for i in range(5):
+        texts.append(" ".join([*near[: 195 - i], *prose(4, 950 + i).split()]))
+    rows = [(i, t, rng.choice(["en", "fr"]), rng.choice(["a", "b", "c"]), len(t)) for i, t in enumerate(texts)] + [(900, good[0], "en", "b", 0), (None, good[1], "en", "c", 0), (901, None, None, None, None), (902, "", "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(i < 30)) for i in range(90) if i % 3], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = {name: [tuple(r) for r in df.collect()] for name, df in _staged(spark, str(tmp_path), corpus_pipeline)}
+    whole = lambda r: (*r[:4], len(r[1]) if r[1] is not None else None)
+    assert Counter(at["toxicity"]) == Counter(whole(r) for r in rows if not (r[0] is not None and r[0] < 30))
+    cut = lambda r: r[1].replace(note + "\n", "") if r[1] and note in r[1] and r[0] != 90 else r[1]
+    assert Counter(at["line_dedup"]) == Counter(whole((r[0], cut(r), *r[2:])) for r in at["toxicity"])
+    root = list(range(len(at["line_dedup"])))
+    sets = [shingles(r[1]) for r in at["line_dedup"]]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    groups = defaultdict(list)
+    for i, r in zip(root, at["line_dedup"]):
+        groups[i].append(r)
+    kept = Counter(at["near_dedup"])
+    assert sum(kept.values()) == len(groups) and all(sum(kept[r] for r in set(g)) == 1 for g in groups.values())
+    size = lambda r: len(SPACE.findall(r[1] or ""))
+    sizes = Counter()
+    for r in at["near_dedup"]:
+        sizes[r[3]] += size(r)
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    goal = mixing.shares(dict(sizes), {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}, sum(sizes.values()))
+    taken, often = Counter(), Counter(at["mixing"])
+    for r in at["mixing"]:
+        taken[r[3]] += size(r)
+    assert all(r in kept and n <= 3 * kept[r] for r, n in often.items())
+    assert all(abs(taken[x] - goal[x]) <= max(size(r) for r in at["near_dedup"]) for x in names)
+    import sentencepiece as library
+
+    model = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    assert Counter(r[:5] for r in at["sentencepiece"]) == often
+    for r in at["sentencepiece"]:
+        ids = np.frombuffer(r[5], np.uint16).tolist()
+        assert ids == model.encode(r[1]) and r[6] == len(ids)
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter((r.doc_id, r.text, r.n_tokens) for r in run.collect()) == Counter((r[0], r[1], r[6]) for r in at["sentencepiece"])
+
+
+def _staged(spark, folder, corpus_pipeline):
+    from bitframe.llm.scratch import written
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder))
+        yield name, docs
+
+
 def test_components_extend(spark):
     """Components after two lots of edges equal those of all edges at once, also when either lot is empty."""
 
