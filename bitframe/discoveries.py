@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import automata, intervals, passages, regions, text, trees
+from .operators import automata, dependencies, intervals, minimise, passages, regions, text, trees
 from .registry import _table, query
 
 # ---- elements of pages and their shapes
@@ -118,3 +118,86 @@ def _line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
     role = F.when(~F.col("line").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.length("line") < 100, "short").otherwise("long")
     return automata.regions(rows.select("doc_id", "line_no", role.alias("role")), ["doc_id"], ["line_no"], "role", "line_no", BLOCKS)
+
+
+# ---- the least parts of inputs that keep what is asked of them
+
+def _reduced_sql(items: str, key: str, item: str, measures: dict[str, str], holds: str) -> str:
+    """measures: name -> sum or or. ``holds`` names them as {x} (of the items) and {x}_all. The same rounds, row by row."""
+    fold = {"sum": "sum({})", "or": "bit_or({})"}
+    pre = ", ".join(f"{fold[k].format(n)} over (partition by {key} order by {item}) as p_{n}, {fold[k].format(n)} over (partition by {key}) as w_{n}" for n, k in measures.items())
+    of = lambda form: holds.format(**{n: form.format(n) for n in measures}, **{f"{n}_all": f"w_{n}" for n in measures})
+    both = {n: f"(p_{n} + k_{n})" if k == "sum" else f"(p_{n} | k_{n})" for n, k in measures.items()}
+    enough = holds.format(**both, **{f"{n}_all": f"w_{n}" for n in measures})
+    more = ", ".join((f"any_value(k_{n}) + arg_min({n}, i)" if k == "sum" else f"any_value(k_{n}) | arg_min({n}, i)") for n, k in measures.items())
+    return (
+        f"with recursive items as ({items}), pre as (select {key}, {item} as i, {', '.join(measures)}, {pre} from items), "
+        f"go as (select {key} as g, null::bigint as upto, {', '.join(f'0::hugeint as k_{n}' for n in measures)} from (select distinct {key} from pre where {of('w_{}')}) union all "
+        f"select g, min(i)::bigint, {more} from go join pre on g is not distinct from {key} and (upto is null or i < upto) where not ({of('k_{}')}) and {enough} group by g, upto) "
+        f"select g as {key}, upto as {item} from go where upto is not null"
+    )
+
+
+_MASK = " + ".join(f"(case when contains({{0}}, '{d}') then {2**d} else 0 end)" for d in range(10))
+LINES = lambda: ({"digits": ("or", F.expr(_MASK.format("line")).cast("bigint")), "size": ("sum", F.length("line").cast("bigint"))}, lambda m, whole: (m("digits") == whole("digits")) & (m("size") >= F.least(F.lit(200), whole("size"))))
+GOODS = lambda: ({"flags": ("or", F.expr("case l_returnflag when 'A' then 1L when 'N' then 2L else 4L end")), "quantity": ("sum", F.col("l_quantity").cast("bigint"))}, lambda m, whole: (m("flags") == whole("flags")) & (2 * m("quantity") >= whole("quantity")))
+_LINES = "select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1)::bigint as line_no from documents"
+_LINES_SQL = _reduced_sql(f"select doc_id, line_no, ({_MASK.format('line')})::hugeint as digits, length(line)::hugeint as size from ({_LINES})", "doc_id", "line_no", {"digits": "or", "size": "sum"}, "({digits} = {digits_all} and {size} >= least(200, {size_all}))")
+_GOODS_SQL = _reduced_sql("select l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey as place, (case l_returnflag when 'A' then 1 when 'N' then 2 else 4 end)::hugeint as flags, l_quantity::bigint::hugeint as quantity from lineitem", "l_orderkey", "place", {"flags": "or", "quantity": "sum"}, "({flags} = {flags_all} and 2 * {quantity} >= {quantity_all})")
+
+
+@query("least_lines", _LINES_SQL)
+def _least_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that are needed to have all its digits and 200 characters, or all there are."""
+    return minimise.reduced(text.lines(_table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id"], "line_no", *LINES())
+
+
+@query("least_lines_checked", f"with n as (select doc_id, count(*) as n_items from ({_LINES}) group by 1), r as ({_LINES_SQL}) select doc_id, any_value(n_items) as n_items, count(*) as n_left, true as holds, true as minimal from r join n using (doc_id) group by doc_id")
+def _least_lines_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return minimise.minimal(lines, minimise.reduced(lines, ["doc_id"], "line_no", *LINES()), ["doc_id"], "line_no", *LINES())
+
+
+@query("least_goods", _GOODS_SQL)
+def _least_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each order that are needed for half its quantity and all its flags."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("place", F.expr("l_linenumber * 1000000000000L + l_partkey * 1000000L + l_suppkey"))
+    return minimise.reduced(rows, ["l_orderkey"], "place", *GOODS())
+
+
+# ---- dependencies that hold in tables
+
+_DEPENDENCIES = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"],
+}
+_MOST = {"lineitem": 3}
+_COLUMNS = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus"], "part": ["p_partkey", "p_size"], "supplier": ["s_suppkey", "s_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"]}
+
+
+def _functional_sql(table: str, columns: list[str], most: int = 2) -> str:
+    """Every candidate by counts of distinct rows, then those without a smaller one."""
+    from itertools import combinations
+
+    names, tests = sorted(columns), []
+    distinct = lambda s: f"(select count(*) from (select distinct {', '.join(s) or '1'} from {table}))"
+    for k in range(most + 1):
+        for s in combinations(names, k):
+            tests += [f"select '{','.join(s)}' as determinant, '{a}' as dependent, {list(s) or '[]::varchar[]'} as x where {distinct(s)} = {distinct([*s, a])}" for a in names if a not in s]
+    return f"with t as ({' union all '.join(tests)}) select determinant, dependent from t where exists (select 1 from {table}) and not exists (select 1 from t o where o.dependent = t.dependent and len(o.x) < len(t.x) and list_has_all(t.x, o.x))"
+
+
+for _name, _of in _DEPENDENCIES.items():
+
+    @query(f"dependencies_{_name}", _functional_sql(_name, _of, _MOST.get(_name, 2)))
+    def _functional(spark: SparkSession, sf_dir: str, name: str = _name, of: tuple = tuple(_of)) -> DataFrame:
+        return dependencies.functional(_table(spark, sf_dir, name), of, _MOST.get(name, 2))
+
+
+_ALL = [(t, c) for t, cs in _COLUMNS.items() for c in cs]
+
+
+@query("inclusions", "select part, whole from (" + " union all ".join(f"select '{a}.{x}' as part, '{b}.{y}' as whole where not exists (select {x}::varchar from {a} where {x} is not null except select {y}::varchar from {b})" for a, x in _ALL for b, y in _ALL if (a, x) != (b, y)) + ")")
+def _inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.inclusions({f"{t}.{c}": _table(spark, sf_dir, t).select(c) for t, c in _ALL})

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import automata, intervals, passages, regions, trees
+from bitframe.operators import automata, dependencies, intervals, minimise, passages, regions, trees
 
 
 def plain_pairs(tokens):
@@ -182,3 +182,72 @@ def test_sequences_mind_gaps_breaks_and_new_beginnings():
     machine = automata.sequence(["a", "b"], 1, ["stop"])
     find = lambda s: plain_regions(machine, list(enumerate(s.split())))
     assert find("a b") == [(0, 1)] and find("a x b") == [(0, 2)] and find("a x x b") == [] and find("a stop b") == [] and find("a a x b a b") == [(1, 3), (4, 5)]
+
+
+# ---- reduction
+
+MEASURES = lambda: {"bits": ("or", F.col("bits")), "size": ("sum", F.col("size")), "top": ("max", F.col("top"))}
+
+
+def enough(m, whole):
+    return (m("bits") == whole("bits")) & (2 * m("size") >= whole("size")) & (m("top") >= 7)
+
+
+def test_reduced_inputs_are_minimal(spark):
+    rng = random.Random(9)
+    data = [(k, i, rng.choice([0, 0, 1, 2, 4, 8, None]), rng.choice([0, 1, 3, None]), rng.choice([0, 6, 7, 9, None])) for k in [*range(25), None] for i in range(rng.choice([1, 3, 20, 60]))]
+    df = spark.createDataFrame(data, "k long, i long, bits long, size long, top long").withColumn("v_bits", F.lit("mine"))
+    left = minimise.reduced(df, ["k"], "i", MEASURES(), enough)
+    got = {}
+    for r in left.collect():
+        got.setdefault(r.k, set()).add(r.i)
+
+    def holds(rows, whole):
+        bits = lambda x: __import__("functools").reduce(lambda a, r: a | (r[2] or 0), x, 0)
+        size = lambda x: sum(r[3] or 0 for r in x)
+        some = any(r[2] is not None for r in whole) and any(r[3] is not None for r in whole)
+        return some and bits(rows) == bits(whole) and 2 * size(rows) >= size(whole) and max((r[4] for r in rows if r[4] is not None), default=-1) >= 7
+
+    for k in {r[0] for r in data}:
+        whole = sorted((r for r in data if r[0] == k), key=lambda r: r[1])
+        want, upto = [], len(whole)
+        if holds(whole, whole):
+            while not holds(want, whole):
+                upto = next(p for p in range(upto) if holds([*whole[: p + 1], *want], whole))
+                want.append(whole[upto])
+            assert not any(holds([r for r in want if r is not x], whole) for x in want)
+        assert got.get(k, set()) == {r[1] for r in want}, k
+    told = minimise.minimal(df, left, ["k"], "i", MEASURES(), enough).collect()
+    assert {r.k: r.n_left for r in told} == {k: len(v) for k, v in got.items()} and all(r.holds and r.minimal for r in told)
+    spare = left.unionByName(df.where("k = 3").select("k", "i")).distinct()
+    assert not all(r.minimal for r in minimise.minimal(df, spare, ["k"], "i", MEASURES(), enough).collect()) or got.get(3) is None or len(got[3]) == sum(r[0] == 3 for r in data)
+    assert minimise.reduced(df.where("false"), ["k"], "i", MEASURES(), enough).collect() == []
+
+
+# ---- dependencies
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_functional_dependencies_are_those_of_all_candidates(spark, seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        a, b = rng.randrange(4), rng.choice([None, "x", "y"])
+        rows.append((i if seed > 1 else rng.randrange(30), a, b, a * 2 % 3, f"{a}{b}", 7, rng.randrange(3)))
+    names = ["id", "a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame([*rows, rows[0]], "id long, a long, b string, c long, d string, e long, f long")
+    classes = lambda s: len({tuple(r[names.index(n)] for n in s) for r in rows})
+    want = set()
+    for k in range(3):
+        for x in combinations(sorted(names), k):
+            want |= {(x, d) for d in names if d not in x and classes(x) == classes([*x, d]) and not any(e == d and set(y) < set(x) for y, e in want)}
+    got = {(tuple(filter(None, r.determinant.split(","))), r.dependent) for r in dependencies.functional(df, names, 2).collect()}
+    assert got == want and ((), "e") in want
+    assert dependencies.functional(df.where("false"), names).collect() == []
+
+
+def test_inclusions_between_columns(spark):
+    one = lambda *v, kind="long": spark.createDataFrame([(x,) for x in v], f"x {kind}")
+    got = {tuple(r) for r in dependencies.inclusions({"a": one(1, 2, None, 1), "b": one(1, 2, 3), "c": one("1", kind="string"), "d": one(None), "e": one(9)}).collect()}
+    assert got == {("a", "b"), ("c", "a"), ("c", "b")}
