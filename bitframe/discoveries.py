@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import automata, dependencies, intervals, minimise, passages, regions, text, trees
-from .registry import _table, query
+from .checkpoints import checkpoint_dir
+from .operators import automata, dependencies, intervals, minimise, ordered, passages, recurrences, regions, text, trees
+from .registry import KEYS, _table, query
+from .sources import records
+from .streaming import versions
 
 # ---- elements of pages and their shapes
 
@@ -201,3 +206,78 @@ _ALL = [(t, c) for t, cs in _COLUMNS.items() for c in cs]
 @query("inclusions", "select part, whole from (" + " union all ".join(f"select '{a}.{x}' as part, '{b}.{y}' as whole where not exists (select {x}::varchar from {a} where {x} is not null except select {y}::varchar from {b})" for a, x in _ALL for b, y in _ALL if (a, x) != (b, y)) + ")")
 def _inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.inclusions({f"{t}.{c}": _table(spark, sf_dir, t).select(c) for t, c in _ALL})
+
+
+# ---- recurrences of sequences
+
+def _fitted_sql(rows: str, key: str, most: int = recurrences.DEGREE) -> str:
+    """rows: key, i (from 0), y. Differences by windows, then powers from the Newton form, and a check of all rows."""
+    from math import factorial
+
+    diffs = [f"d{k} as (select *, lead(y{k}) over (partition by {key} order by i) - y{k} as y{k + 1} from {f'd{k - 1}' if k else 'src'})" for k in range(most + 1)]
+    degree = "case " + " ".join(f"when bool_and(y{k + 1} = 0) filter (y{k + 1} is not null) then {k}" for k in range(most + 1)) + " end"
+    of = f"of as (select {key} as g, count(*) as n, {degree} as degree, " + ", ".join(f"max(y{k}) filter (i = 0) as c{k}" for k in range(most + 1)) + f" from d{most} group by {key})"
+    forms = " ".join(f"when {d} then [{', '.join(' + '.join(f'c{j} * {factorial(d) // factorial(j) * recurrences._powers(j)[m]}' for j in range(m, d + 1)) for m in range(d + 1))}]" for d in range(most + 1))
+    fit = f"fit as (select g, n, degree, case degree {' '.join(f'when {d} then {factorial(d)}' for d in range(most + 1))} end as multiplier, case degree {forms} end as w from of)"
+    power = " + ".join(f"coalesce(w[{m + 1}], 0) * i ** {m}" for m in range(most + 1)).replace("i ** 0", "1").replace("i ** 1", "i").replace("i ** 2", "i * i").replace("i ** 3", "i * i * i")
+    told = f"told as (select g, n, degree, multiplier, w, bool_and(multiplier * y0 = {power}) as agrees from fit join src on g is not distinct from {key} group by g, n, degree, multiplier, w)"
+    return f"with src as (select {key}, i, y::hugeint as y0 from ({rows})), {', '.join(diffs)}, {of}, {fit}, {told} select g as {key}, n, degree::int as degree, multiplier::int as multiplier, array_to_string(w, ',') as coefficients, case when degree is not null then agrees end as holds from told"
+
+
+_IN_ORDER = "over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)"
+
+
+def _fitted(spark: SparkSession, sf_dir: str, y: str) -> DataFrame:
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = _table(spark, sf_dir, "lineitem").select(*KEYS)
+    rows = ordered.summed(rows, ["l_orderkey"], order, {"total": F.col("l_linenumber").cast("bigint")})
+    out = recurrences.fitted(rows, ["l_orderkey"], order, y)
+    return out.select("l_orderkey", "n", "degree", "multiplier", F.array_join(F.col("coefficients").cast("array<string>"), ",").alias("coefficients"), "holds")
+
+
+@query("line_recurrences", _fitted_sql(f"select l_orderkey, row_number() {_IN_ORDER} - 1 as i, l_linenumber as y from lineitem", "l_orderkey"))
+def _line_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir, "l_linenumber")
+
+
+@query("total_recurrences", _fitted_sql(f"select l_orderkey, row_number() {_IN_ORDER} - 1 as i, sum(l_linenumber) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as y from lineitem", "l_orderkey"))
+def _total_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir, "total")
+
+
+# ---- state that runs add to
+
+@query("novelty_over_runs", "select feature, min(event_id) as event_id from (select event_type || ':' || (user_id % 50)::varchar as feature, event_id from events) group by feature")
+def _novelty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of three files, taken up by two runs; the second batch is then replayed, as after a failure."""
+    folder = f"{checkpoint_dir(spark)}/novelty-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events").select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")).alias("feature"))
+    third = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.least(F.lit(2), F.expr(f"3 * event_id div {third + 1}"))
+    add = versions.adding(f"{folder}/state", "feature", "event_id", lambda rows: rows.select("feature", "event_id"))
+
+    def source() -> DataFrame:
+        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    for run in ((0, 1), (2,)):
+        for k in run:
+            events.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        versions.run(source(), add, f"{folder}/checkpoint")
+    add(events.where(part == 1), 1)
+    return versions.state(spark, f"{folder}/state", "feature", "event_id", "feature string, event_id bigint")
+
+
+# ---- records of a folder whose files differ
+
+@query("ragged_orders", "select o_orderkey, o_custkey, o_orderstatus, null::varchar as why from orders union all select null, null, null, 'not JSON of this schema' from orders where o_orderkey % 1000 = 8")
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as lines, some of them again and broken off, and as arrays over many lines, a file for each thousand; then read as one source."""
+    folder = f"{checkpoint_dir(spark)}/ragged-{uuid.uuid4().hex}"
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    text = o.select("o_orderkey", F.to_json(F.struct(*o.columns)).alias("value"))
+    even = text.where("o_orderkey % 2 = 0").select("value")
+    even.unionByName(text.where("o_orderkey % 1000 = 8").select(F.substring("value", 1, 20).alias("value"))).write.text(f"{folder}/lines")
+    odd = text.where("o_orderkey % 2 = 1").groupBy(F.expr("o_orderkey div 2000").alias("lot")).agg(F.sort_array(F.collect_list("value")).alias("v"))
+    odd.select("lot", F.concat(F.lit("[\n"), F.array_join("v", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("lot").text(f"{folder}/arrays")
+    rows, rejects = records.ragged(spark, folder, o.schema, recursive=True)
+    return rows.withColumn("why", F.lit(None).cast("string")).unionByName(rejects.select("why"), allowMissingColumns=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,25 +14,42 @@ from pyspark.sql import types as T
 from ..operators import configs as rows_of_configs
 
 
-def records(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = False) -> DataFrame:
-    """JSON records, one object per line or as arrays; what isn't an object is dropped, blank lines are skipped. The schema is stated.
+def ragged(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the JSON records below a path whose files may differ: one object or array per line, or one array over many lines. rejects: file, text, why.
 
-    Lines are read as lines, so a file of any size is dealt out; an array on one line gives its objects. Only where the path's first line that isn't
-    blank opens an array that it doesn't close are files read whole. ``lenient``: a path that isn't there gives no rows instead of an error.
+    How a file is read is decided for each by its first line that isn't blank: if that opens an array which it doesn't close, the file is read whole, else by lines, so that a file
+    of any size is dealt out. What is no object, no JSON, or has a value of another type than the stated schema's, is a reject; blank lines are skipped. ``lenient``: a path that
+    isn't there gives no rows instead of an error. The paths of files that are read whole go through the driver, as all paths of a table do in Spark.
     """
+    kinds = "file string, text string, why string"
+    reader = spark.read.option("recursiveFileLookup", recursive)
     try:
-        lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
-        first = lines.limit(1).collect()
+        lines = reader.text(path)
     except AnalysisException as e:
         if lenient and e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], schema), spark.createDataFrame([], kinds)
         raise
-    if first and first[0][0].startswith("[") and not first[0][0].endswith("]"):
-        lines = spark.read.text(path, wholetext=True).select(F.explode(F.when(F.ltrim("value").startswith("["), F.array(F.trim("value"))).otherwise(F.split("value", "\n"))).alias("value")).select(F.trim("value").alias("value"))
-    one = F.when(F.col("value").startswith("{"), F.array(F.from_json("value", schema)))
-    many = F.when(F.col("value").startswith("["), F.from_json("value", T.ArrayType(schema)))
-    parsed = lines.select(F.explode(F.coalesce(one, many)).alias("r"))
-    return parsed.where("r is not null").select("r.*")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.trim("value").alias("value")).where("value <> ''")
+    first = lines.where("at = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "id").alias("head"))
+    whole = first.where(F.col("head").startswith("[") & ~F.col("head").endswith("]")).select("file")
+    paths = [re.sub(r"([\[\]{}*?\\\\])", r"\\\1", unquote(r["file"])) for r in whole.collect()]
+    values = lines.select("file", "value")
+    if paths:
+        again = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"))
+        values = values.join(whole, "file", "left_anti").unionByName(again)
+    inside = F.from_json("value", T.ArrayType(T.StringType()))
+    items = F.when(F.col("value").startswith("["), F.coalesce(inside, F.array("value"))).otherwise(F.array("value"))
+    items = values.select("file", F.explode(items).alias("text"))
+    typed = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    parsed = items.withColumn("r", F.when(F.col("text").startswith("{"), F.from_json("text", typed, {"columnNameOfCorruptRecord": "__bad"})))
+    good = F.col("r").isNotNull() & F.col("r.__bad").isNull()
+    why = F.when(F.col("text").startswith("{") | F.col("text").startswith("["), "not JSON of this schema").otherwise("not an object")
+    return parsed.where(good).select("r.*").drop("__bad"), parsed.where(~good).select("file", "text", why.alias("why"))
+
+
+def records(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = False) -> DataFrame:
+    """The rows of ragged(), without the rejects."""
+    return ragged(spark, path, schema, lenient)[0]
 
 
 def write_records(rows: DataFrame, path: str) -> None:
@@ -70,20 +89,32 @@ OPTIONAL = ("memory_shape", "pointer_mode", "store_mode", "load_use_mode", "loop
 
 
 def dumps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of symbolic-test dumps, "object N: name|size|hex|int: value" by line: a row of fields per file; rejects: file, missing.
+    """(rows, rejects) of symbolic-test dumps, "object N: name|size|data|hex|int: value" by line: a row of fields per file; rejects: file, missing.
 
-    A number counts before bytes in hex, which are little-endian; constants of ``size`` bytes whose sign bit is set are negative.
+    A number counts before bytes in hex, these before bytes as quoted text with escapes. Bytes are little-endian; of quoted ones, more than ``size`` are cut at the front, fewer
+    have zeros put before them; hex counts as it is. Constants of ``size`` bytes whose sign bit is set are negative.
     """
-    said = F.regexp_extract_all("value", F.lit(r"object\s+\d+:\s*(?:name|size|hex|int)\s*:\s*[^\n]*"), F.lit(0))
+    said = F.regexp_extract_all("value", F.lit(r"object\s+\d+:\s*(?:name|size|data|hex|int)\s*:\s*[^\n]*"), F.lit(0))
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.explode_outer(said).alias("line"))
-    part = lambda k: F.regexp_extract("line", r"object\s+(\d+):\s*(name|size|hex|int)\s*:\s*(.*?)\s*$", k)
+    part = lambda k: F.regexp_extract("line", r"object\s+(\d+):\s*(name|size|data|hex|int)\s*:\s*(.*?)\s*$", k)
     facts = lines.select("file", part(1).alias("object"), part(2).alias("kind"), part(3).alias("value"))
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
-    objects = facts.groupBy("file", "object").agg(pick("name").alias("name"), pick("size").alias("size"), pick("hex").alias("hex"), pick("int").alias("number"))
+    objects = facts.groupBy("file", "object").agg(pick("name").alias("name"), pick("size").alias("size"), pick("hex").alias("hex"), pick("data").alias("data"), pick("int").alias("number"))
     objects = objects.withColumn("name", F.regexp_extract("name", "'([^']+)'", 1))
     signed = F.col("name").isin("const_a", "const_b")
     size = F.coalesce(F.col("size").try_cast("int"), F.when(signed, 4).otherwise(1))
     pairs = F.regexp_extract_all(F.regexp_replace("hex", "^0x", ""), F.lit("[0-9a-fA-F]{2}"), F.lit(0))
+    quoted = F.regexp_extract_all(F.regexp_replace("data", r"""^b?(['"])(.*)\1$""", "$2"), F.lit(r"\\x[0-9a-fA-F]{2}|\\.|[^\\]"), F.lit(0))
+    plain = {r"\n": "0a", r"\r": "0d", r"\t": "09"}
+
+    def byte(x: Column) -> Column:
+        out = F.when(F.startswith(x, F.lit(r"\x")), F.substring(x, 3, 2))
+        for said, code in plain.items():
+            out = out.when(x == said, code)
+        return out.otherwise(F.hex(F.right(x, F.lit(1))))
+
+    quoted = F.slice(F.concat(F.array_repeat(F.lit("00"), size), F.transform(quoted, byte)), -size, size)
+    pairs = F.coalesce(pairs, quoted)
     from_hex = F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).try_cast("bigint")
     number = F.coalesce(F.col("number").try_cast("bigint"), from_hex)
     whole = F.expr("shiftleft(1L, 8 * __size)")

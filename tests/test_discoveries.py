@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import automata, dependencies, intervals, minimise, passages, regions, trees
+from bitframe.operators import automata, dependencies, intervals, minimise, passages, recurrences, regions, trees
+from bitframe.streaming import versions
 
 
 def plain_pairs(tokens):
@@ -251,3 +252,45 @@ def test_inclusions_between_columns(spark):
     one = lambda *v, kind="long": spark.createDataFrame([(x,) for x in v], f"x {kind}")
     got = {tuple(r) for r in dependencies.inclusions({"a": one(1, 2, None, 1), "b": one(1, 2, 3), "c": one("1", kind="string"), "d": one(None), "e": one(9)}).collect()}
     assert got == {("a", "b"), ("c", "a"), ("c", "b")}
+
+
+# ---- recurrences
+
+def test_recurrences_are_of_least_degree_and_exact(spark):
+    from fractions import Fraction
+
+    forms = {1: lambda i: 5, 2: lambda i: 3 * i - 7, 3: lambda i: i * (i + 1) // 2 + 10**15, 4: lambda i: i * (i - 1) * (i - 2) // 6 - i, 5: lambda i: 2**i, 6: lambda i: i if i != 3 else 9, None: lambda i: 2 * i * i}
+    data = [(k, i, f(i)) for k, f in forms.items() for i in range(12)] + [(7, 0, 4), (8, 0, 1), (8, 1, 1), (9, 0, 1), (9, 1, 2), (10, 0, 1), (10, 1, None), (10, 2, 1)]
+    df = spark.createDataFrame(data, "k long, i long, y long").withColumn("n", F.lit("mine"))
+    got = {r.k: r for r in recurrences.fitted(df, ["k"], ["i"], "y").collect()}
+    assert {k: r.degree for k, r in got.items()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: None, 6: None, None: 2, 7: None, 8: 0, 9: None, 10: None}
+    for k in (1, 2, 3, 4, None):
+        r = got[k]
+        assert r.holds and r.n == 12
+        assert all(sum(Fraction(int(c), r.multiplier) * i**m for m, c in enumerate(r.coefficients)) == forms[k](i) for i in range(12))
+    assert got[5].holds is None and got[10].n == 3
+    assert recurrences.fitted(df.where("false"), ["k"], ["i"], "y").collect() == []
+
+
+# ---- state across runs
+
+def test_versions_count_each_batch_once(spark, tmp_path):
+    rows = [(f"f{i % 7}" if i % 5 else None, 100 - i if i % 3 else i) for i in range(60)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, feature string, at long")
+    add = versions.adding(str(tmp_path / "state"), "feature", "at", lambda b: b.select("feature", "at"))
+    source = lambda: spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state = lambda **k: {r.feature: r["at"] for r in versions.state(spark, str(tmp_path / "state"), "feature", "at", "feature string, at long", **k).collect()}
+    assert state() == {}
+    want = {}
+    for run, parts in enumerate(((0, 1), (2,), ())):
+        for k in parts:
+            frame.where(f"i % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            for f, a in (r for i, r in enumerate(rows) if i % 3 == k):
+                want[f] = min(a, want.get(f, a))
+        versions.run(source(), add, str(tmp_path / "checkpoint"))
+        assert state() == want, run
+    before = sorted(map(tuple, spark.read.parquet(str(tmp_path / "state")).collect()), key=repr)
+    for k in (1, 0, 2):
+        add(frame.where(f"i % 3 = {k}"), k)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state")).collect()), key=repr) == before and state() == want
+    assert state(before=1) == {f: min(a for i, (g, a) in enumerate(rows) if g == f and i % 3 == 0) for i, (f, _) in enumerate(rows) if i % 3 == 0}

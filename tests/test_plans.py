@@ -88,6 +88,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     full = "".join(f"object {i}: name: '{f}'\nobject {i}: size: {4 if f.startswith('const') else 1}\nobject {i}: hex : 0x{'ffffffff' if f == 'const_a' else '03'}\n" + ("" if f.startswith("const") else f"object {i}: int : {i}\n") for i, f in enumerate(sources.NEEDED))
     (tmp_path / "d" / "full.txt").write_text("num objects: 8\n" + full)
+    text = lambda f: r"b'\xfe\xff\xff\xff'" if f == "const_a" else "b'a\\n\\\\'" if f == "shape" else "b'A'"
+    (tmp_path / "d2").mkdir()
+    (tmp_path / "d2" / "data.txt").write_text("".join(f"object {i}: name: b'{f}'\nobject {i}: size: {4 if f in ('const_a', 'const_b') else 1}\nobject {i}: data: {text(f)}\n" for i, f in enumerate(sources.NEEDED)))
+    row = sources.dumps(spark, str(tmp_path / "d2"))[0].first()
+    assert (row.const_a, row.const_b, row.rhs_mode, row["shape"]) == (-2, 65 << 24, 65, 92)
     (tmp_path / "d" / "part.txt").write_text("object 0: name: 'shape'\nobject 0: int : 1\n")
     (tmp_path / "d" / "none.txt").write_text("nothing")
     good, bad = sources.dumps(spark, str(tmp_path / "d"))
@@ -119,3 +124,20 @@ def test_stream_keeps_first_rows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k for r in spark.table("firsts").collect()} == {"a", "b"} and spark.table("firsts").count() == 2
+
+
+def test_files_of_one_folder_may_differ(spark, tmp_path):
+    """Lines, an array over many lines, arrays on one line, blanks, wrong types and broken texts, in any order of files."""
+    schema = T.StructType().add("case", "string").add("n", "long")
+    folder = tmp_path / "mixed [1]"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.json").write_text('{"case": "a", "n": 1}\n\n{"case": "b", "n": "x"}\n{"case": \nnothing\n[{"case": "c", "n": 3}, 5, {"n": 4}]\n')
+    (folder / "b c.json").write_text('\n\n [\n {"case": "d",\n "n": 5},\n {"case": "e", "n": 6}\n]\n')
+    (folder / "z.json").write_text("[\n{broken\n")
+    (folder / "deep" / "f.json").write_text('[\n{"case": "f", "n": 7}, {"case": "g", "n": []}]')
+    (folder / "deep" / "empty.json").write_text("")
+    rows, rejects = sources.ragged(spark, str(folder).replace("[", "\\[").replace("]", "\\]"), schema, recursive=True)
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("a", 1), ("c", 3), (None, 4), ("d", 5), ("e", 6), ("f", 7)], key=str)
+    got = sorted((r.file.rsplit("/", 1)[1], r.why) for r in rejects.collect())
+    assert got == sorted([("a.json", "not JSON of this schema")] * 2 + [("a.json", "not an object")] * 2 + [("f.json", "not JSON of this schema"), ("z.json", "not JSON of this schema")])
+    assert sources.ragged(spark, str(tmp_path / "none"), schema, lenient=True)[1].count() == 0
