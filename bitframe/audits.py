@@ -178,12 +178,16 @@ def _toposort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.levels(e.select("src", "dst").distinct(), 20)
 
 
-@query("strength_reduction", "select k::BIGINT as k, count(*) filter (((i * k) & 65535) <> ((i * k) % 65536)) as violations, max(i * k)::BIGINT as top from (select unnest(range(0, 4096)) as i), (select unnest([3, 5, 12, 255]) as k) group by 1")
+@query("strength_reduction", "with g as (select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - 1 as i from lineitem) select l_suppkey, k::BIGINT as k, count(*) filter (((i * k) & 65535) <> ((i * k) % 65536)) as violations, max(i * k)::BIGINT as top from g, (select unnest([3, 5, 12, 255]) as k) group by 1, 2")
 def _strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product in a loop equals the running sum of its step."""
-    grid = spark.range(4096).select(F.col("id").alias("i"), F.explode(F.lit([3, 5, 12, 255]).cast("array<bigint>")).alias("k"))
-    summed = F.sum("k").over(Window.partitionBy("k").orderBy("i")) - F.col("k")
-    return grid.withColumn("acc", summed).groupBy("k").agg(F.count_if((F.col("i") * F.col("k")).bitwiseAND(65535) != F.col("acc").bitwiseAND(65535)).alias("violations"), F.max("acc").alias("top"))
+    """A product in a loop equals the running sum of its step: each supplier's lines are the turns of a loop."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    steps = [3, 5, 12, 255]
+    g = ordered.numbered(_table(spark, sf_dir, "lineitem").select("l_suppkey", *order), ["l_suppkey"], order)
+    g = ordered.summed(g, ["l_suppkey"], [*order, "place"], {f"s{k}": F.lit(k).cast("bigint") for k in steps})
+    turns = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), (F.col(f"s{k}") - k).alias("acc")) for k in steps]))
+    g = g.select("l_suppkey", (F.col("place") - 1).alias("i"), turns.alias("x")).select("l_suppkey", "i", "x.*")
+    return g.groupBy("l_suppkey", "k").agg(F.count_if((F.col("i") * F.col("k")).bitwiseAND(65535) != F.col("acc").bitwiseAND(65535)).alias("violations"), F.max("acc").alias("top"))
 
 
 @query("mem_store_load", "select l_orderkey, a::BIGINT as address, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey)) as value from (select *, l_suppkey % 4 as a from lineitem) group by 1, 2")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import memory
-from .registry import _table, query
+from .registry import _table, drawn, drawn_sql, query
 
 for _name, _contracts in (("words", memory.WORDS), ("paths", memory.PATHS), ("order", memory.ORDER)):
 
     def _run(spark: SparkSession, sf_dir: str, contracts: list = _contracts) -> DataFrame:
-        return memory.verdicts(memory.model(spark), contracts)
+        return memory.verdicts(memory.model(spark, drawn(spark, sf_dir, memory.ROWS)), contracts, drawn=True)
 
-    query(f"memory_{_name}", memory.verdicts_sql(_contracts))(_run)
+    query(f"memory_{_name}", memory.verdicts_sql(_contracts, drawn_sql(memory.ROWS)))(_run)
 
 
 @query("memory_bytes", "select contract, (list_bool_and(list_transform(range(0, dead), lambda b: b >= off and b < off + size))) as covered, case when off <= 0 and off + size >= dead then 'proved' else 'refuted' end as status, (select count(*) from range(0, dead) t(b) where b < off or b >= off + size)::BIGINT as surviving from (values " + ", ".join(f"('{n}', {d}, {o}, {s})" for n, d, o, s in memory.BYTES) + ") t(contract, dead, off, size)")
@@ -73,20 +73,20 @@ FACTS = {
     "dead-slot": ("not a or b", "not (a and not b)"), "dead-slot-escapes": ("a", "b"), "hoist-guaranteed": ("a", "a or b"), "hoist-speculatable": ("b", "a or b"), "hoist-trapping": ("not a and not b", "a or b"),
     "merge-condition": ("true", "(case when a then b else c end) = ((a and b) or (not a and c))"), "merge-condition-swapped": ("true", "(case when a then b else c end) = ((a and c) or (not a and b))"), "impossible": ("a and not a", "b"),
 }
-_TABLE = "select (i & 1) = 1 as a, (i & 2) = 2 as b, (i & 4) = 4 as c from range(8) t(i)"
+_TABLE = f"select (i & 1) = 1 as a, (i & 2) = 2 as b, (i & 4) = 4 as c from {drawn_sql(8)}"
 
 
 @query("contract_tables", f"with d as ({_TABLE}) " + " union all ".join(f"select '{n}' as contract, count(*) filter ({p}) as n_premises, count(*) filter (({p}) and not ({g})) as violations, case when count(*) filter ({p}) = 0 then 'vacuous' when count(*) filter (({p}) and not ({g})) > 0 then 'refuted' else 'proved' end as status from d" for n, (p, g) in FACTS.items()))
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(8).selectExpr("(id & 1) = 1 as a", "(id & 2) = 2 as b", "(id & 4) = 4 as c")
+    d = drawn(spark, sf_dir, 8).selectExpr("(id & 1) = 1 as a", "(id & 2) = 2 as b", "(id & 4) = 4 as c")
     rows = F.array(*[F.struct(F.lit(n).alias("contract"), F.expr(p).alias("p"), F.expr(f"({p}) and not ({g})").alias("bad")) for n, (p, g) in FACTS.items()])
     out = d.select(F.inline(rows)).groupBy("contract").agg(F.count_if("p").alias("n_premises"), F.count_if("bad").alias("violations"))
     return out.withColumn("status", F.when(F.col("n_premises") == 0, "vacuous").when(F.col("violations") > 0, "refuted").otherwise("proved"))
 
 
-@query("hoist_invariance", "with g as (select i & 7 as x0, (i >> 3) & 7 as x1, (i >> 6) & 7 as k from range(512) t(i)) select 'invariant' as contract, count(*) as n_rows, count(*) filter (((x0 + k) & 7) <> ((x0 + k) & 7)) as violations from g union all select 'variant', count(*), count(*) filter (((x0 + k) & 7) <> ((x1 + k) & 7)) from g")
+@query("hoist_invariance", f"with g as (select i & 7 as x0, (i >> 3) & 7 as x1, (i >> 6) & 7 as k from {drawn_sql(512)}) select 'invariant' as contract, count(*) as n_rows, count(*) filter (((x0 + k) & 7) <> ((x0 + k) & 7)) as violations from g union all select 'variant', count(*), count(*) filter (((x0 + k) & 7) <> ((x1 + k) & 7)) from g")
 def _invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An operation moved before a loop: its operand is the same there, or that of another turn. The second copy of an operand went through text."""
-    g = spark.range(512).selectExpr("id & 7 as x0", "shiftright(id, 3) & 7 as x1", "shiftright(id, 6) & 7 as k").selectExpr("*", "cast(cast(x0 as string) as bigint) as same")
+    g = drawn(spark, sf_dir, 512).selectExpr("id & 7 as x0", "shiftright(id, 3) & 7 as x1", "shiftright(id, 6) & 7 as k").selectExpr("*", "cast(cast(x0 as string) as bigint) as same")
     rows = F.array(*[F.struct(F.lit(n).alias("contract"), F.expr(f"((x0 + k) & 7) <> (({x} + k) & 7)").alias("bad")) for n, x in (("invariant", "same"), ("variant", "x1"))])
     return g.select(F.inline(rows)).groupBy("contract").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("violations"))

@@ -84,29 +84,35 @@ def _domain(shift: str) -> list[str]:
 
 
 ROWS = 2 ** sum(_BITS.values())
-DOMAIN_SQL = f"select * from (select {', '.join(_domain('i >> {n}'))} from range({ROWS}) t(i)) where p < {CELLS} and q < {CELLS}"
+WHOLE = ROWS * CELLS * CELLS // 16  # rows of the model
 
 
-def model(spark: SparkSession) -> DataFrame:
-    """All cells, addresses, values and one condition."""
-    return spark.range(ROWS).selectExpr(*_domain("shiftright(id, {n})")).where(f"p < {CELLS} and q < {CELLS}")
+def model(spark: SparkSession, ids: DataFrame | None = None) -> DataFrame:
+    """All cells, addresses, values and one condition. ``ids``: only these of the counter below ROWS, each once."""
+    return (spark.range(ROWS) if ids is None else ids).selectExpr(*_domain("shiftright(id, {n})")).where(f"p < {CELLS} and q < {CELLS}")
 
 
-def verdicts(domain: DataFrame, contracts: list[Contract]) -> DataFrame:
-    """contract, rows_checked, violations, status: one aggregate for each four contracts, nothing is shuffled but its results."""
+def verdicts(domain: DataFrame, contracts: list[Contract], drawn: bool = False) -> DataFrame:
+    """contract, rows_checked, violations, status: one aggregate for each four contracts, nothing is shuffled but its results.
+
+    ``drawn``: the domain may lack rows of the model; without a violation it proves nothing then, unless it lacks none.
+    """
     out = None
     for k in range(0, len(contracts), 4):
         some = contracts[k : k + 4]
         sums = [x for i, c in enumerate(some) for x in (F.count_if(F.expr(c.assume)).alias(f"n{i}"), F.count_if(F.expr(f"({c.assume}) and ({differs(c, SPARK)})")).alias(f"b{i}"))]
         rows = F.array(*[F.struct(F.lit(c.name).alias("contract"), F.col(f"n{i}").alias("rows_checked"), F.col(f"b{i}").alias("violations")) for i, c in enumerate(some)])
-        part = domain.agg(*sums).select(F.inline(rows))
+        part = domain.agg(*sums, F.count(F.lit(1)).alias("every")).select("every", F.inline(rows))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("status", F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").otherwise("proved"))
+    whole = F.col("every") == WHOLE if drawn else F.lit(True)
+    return out.withColumn("status", F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(whole, "proved").otherwise("sampled-agree")).drop("every")
 
 
-def verdicts_sql(contracts: list[Contract]) -> str:
-    parts = [f"select '{c.name}' as contract, count(*) filter ({c.assume}) as rows_checked, count(*) filter (({c.assume}) and ({differs(c, DUCKDB)})) as violations from d" for c in contracts]
-    return f"with d as ({DOMAIN_SQL}), v as ({' union all '.join(parts)}) select *, case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' else 'proved' end as status from v"
+def verdicts_sql(contracts: list[Contract], ids: str) -> str:
+    """The same in DuckDB's SQL; ``ids``: what gives the counter i."""
+    domain = f"select * from (select {', '.join(_domain('i >> {n}'))} from {ids}) where p < {CELLS} and q < {CELLS}"
+    parts = [f"select '{c.name}' as contract, count(*) filter ({c.assume}) as rows_checked, count(*) filter (({c.assume}) and ({differs(c, DUCKDB)})) as violations, count(*) as every from d" for c in contracts]
+    return f"with d as ({domain}), v as ({' union all '.join(parts)}) select * exclude (every), case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when every = {WHOLE} then 'proved' else 'sampled-agree' end as status from v"
 
 
 _S, _L = "store", "load"

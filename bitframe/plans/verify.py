@@ -35,9 +35,12 @@ _COPY = "__"  # suffix of the second columns
 _AT_ONCE = 4  # rules in one aggregate: more make its code too long to be compiled
 
 
-def exhaustive(spark: SparkSession, width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
-    """All assignments of the variables, one row each, cut from one counter; n says how often each counts. ``poison``: variables that have a poison bit, too."""
-    ids = spark.range(2 ** (width * len(names) + len(poison)))
+def exhaustive(spark: SparkSession, width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), ids: DataFrame | None = None) -> DataFrame:
+    """All assignments of the variables, one row each, cut from one counter; n says how often each counts. ``poison``: variables that have a poison bit, too.
+
+    ``ids``: of the counter, only these, each once.
+    """
+    ids = spark.range(2 ** (width * len(names) + len(poison))) if ids is None else ids
     bits = [F.expr(f"(shiftright(id, {width * len(names) + i}) & 1) = 1").alias(f"{p}_poison") for i, p in enumerate(poison)]
     return ids.select(*[F.expr(f"shiftright(id, {width * i}) & {2**width - 1}").alias(n) for i, n in enumerate(names)], *bits, F.lit(1).cast("bigint").alias("n"))
 
@@ -61,8 +64,11 @@ def _judged(rule: Rule, width: int, dialect: Dialect, poison: frozenset[str], su
     return f"(not ({ub}) and not ({pb}))", f"(not ({ub}) and (({ua}) or {wrong}))"
 
 
-def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
-    """rule, rows_checked, defined, violations, witness_<name>, status: one row per rule. domain: the variables, distinct, their poison bits, and n."""
+def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False) -> DataFrame:
+    """rule, rows_checked, defined, violations, witness_<name>, status: one row per rule. domain: the variables, distinct, their poison bits, and n.
+
+    ``drawn``: the domain may lack assignments; rules without a violation are then bounded-proved only if it lacks none, else sampled-agree.
+    """
     if width * len(names) > 62:
         raise ValueError("a witness has 62 bits at most")
     held = frozenset(poison)
@@ -78,23 +84,25 @@ def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str,
                 sums.append(F.expr(f"coalesce(sum(case when {test} then n else 0 end), 0)").alias(f"{name}{i}"))
             sums.append(F.expr(f"min(case when ({r.assume}) and {bad} then {at} end)").alias(f"at{i}"))
             rows.append(F.struct(F.lit(r.name).alias("rule"), F.col(f"ok{i}").alias("rows_checked"), F.col(f"fine{i}").alias("defined"), F.col(f"bad{i}").alias("violations"), F.col(f"at{i}").alias("at")))
-        part = both.agg(*sums).select(F.inline(F.array(*rows)))
+        part = both.agg(*sums, F.count(F.lit(1)).alias("every")).select("every", F.inline(F.array(*rows)))
         out = part if out is None else out.unionByName(part)
-    status = F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(F.col("defined") == 0, "vacuous").otherwise(f"bounded-proved@{width}")
+    whole = F.col("every") == 2 ** (width * len(names) + len(poison)) if drawn else F.lit(True)
+    status = F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(F.col("defined") == 0, "vacuous").when(whole, f"bounded-proved@{width}").otherwise("sampled-agree")
     witness = [F.expr(f"shiftright(at, {width * (len(names) - 1 - i)}) & {2**width - 1}").alias(f"witness_{n}") for i, n in enumerate(names)]
     return out.select("rule", "rows_checked", "defined", "violations", *witness, status.alias("status"))
 
 
-def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> str:
+def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False) -> str:
     """The same in DuckDB's SQL over a subquery that has the variables and their poison bits."""
     parts = []
     for r in rules:
         defined, bad = _judged(r, width, DUCKDB, frozenset(poison), "")
         parts.append(f"select '{r.name}' as rule, {', '.join(names)}, ({r.assume}) as ok, {defined} as fine, {bad} as bad from d")
     witness = ", ".join(f"(min(({', '.join(names)})) filter (ok and bad))[{i + 1}] as witness_{n}" for i, n in enumerate(names))
+    whole = f"every = {2 ** (width * len(names) + len(poison))}" if drawn else "true"
     return f"""with d as ({domain}), r as ({' union all '.join(parts)}),
-    v as (select rule, count(*) filter (ok) as rows_checked, count(*) filter (ok and fine) as defined, count(*) filter (ok and bad) as violations, {witness} from r group by rule)
-    select *, case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when defined = 0 then 'vacuous' else 'bounded-proved@{width}' end as status from v"""
+    v as (select rule, count(*) filter (ok) as rows_checked, count(*) filter (ok and fine) as defined, count(*) filter (ok and bad) as violations, {witness}, count(*) as every from r group by rule)
+    select * exclude (every), case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when defined = 0 then 'vacuous' when {whole} then 'bounded-proved@{width}' else 'sampled-agree' end as status from v"""
 
 
 X, Y, Z = "x", "y", "z"

@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from .checkpoints import checkpointed
 from .functions.words import DUCKDB
 from .operators import configs, probes
-from .registry import query
+from .registry import _table, query
 
-SEEDS = 2000
 _ALL = ", ".join(configs.FIELDS)
-_ROWS_SQL = f"select i as seed, {', '.join(f'{configs.of_seed(f, chr(105), DUCKDB)} as {f}' for f in configs.FIELDS)} from range({SEEDS}) t(i)"
+_ROWS_SQL = f"select i as seed, {', '.join(f'{configs.of_seed(f, chr(105), DUCKDB)} as {f}' for f in configs.FIELDS)} from (select event_id from events where event_id is not null) t(i)"
 
 
-def _rows(spark: SparkSession) -> DataFrame:
-    """Rows of the first seeds, written once: the mixes are long expressions that many columns use."""
-    return checkpointed(configs.seeded(spark.range(SEEDS).withColumnRenamed("id", "seed"), "seed"))
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seed for each event: its number."""
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("seed")).where("seed is not null")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each seed, written once: the mixes are long expressions that many columns use."""
+    return checkpointed(configs.seeded(_seeds(spark, sf_dir), "seed"))
 
 
 @query("config_rows", _ROWS_SQL)
 def _config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configs.seeded(spark.range(SEEDS).withColumnRenamed("id", "seed"), "seed")
+    return configs.seeded(_seeds(spark, sf_dir), "seed")
 
 
 _FORCED = {f: f"case when seed % 4 = 0 then {f} else 0 end" for f in ("vector_shape", "global_shape")}  # most seeds have a vector or global shape, which hides all others
 _SHAPED_SQL = f"select * replace ({', '.join(f'{e} as {f}' for f, e in _FORCED.items())}) from ({_ROWS_SQL})"
 
 
-def _shaped(spark: SparkSession) -> DataFrame:
-    return _rows(spark).withColumns({f: F.expr(e).cast("bigint") for f, e in _FORCED.items()})
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).withColumns({f: F.expr(e).cast("bigint") for f, e in _FORCED.items()})
 
 
 _RAW = {f: f"(user_id * {3 + i} - event_id * {5 + 2 * i})" for i, f in enumerate(configs.FIELDS)}
@@ -49,19 +53,19 @@ def _default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("config_mutants", configs.mutants_sql(f"({_ROWS_SQL})", "seed", 1, DUCKDB))
 def _mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configs.mutants(_rows(spark), "seed", 1)
+    return configs.mutants(_rows(spark, sf_dir), "seed", 1)
 
 
 @query("config_children", f"with c as ({_ROWS_SQL}), p as (select seed - 1 as s2, {', '.join(f'{f} as {f}_2' for f in configs.FIELDS)} from c) select seed, {', '.join(f'{configs.crossed(f, chr(115) + chr(101) + chr(101) + chr(100), DUCKDB)} as {f}' for f in configs.FIELDS)} from c join p on seed = s2")
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _rows(spark)
+    c = _rows(spark, sf_dir)
     p = c.select((F.col("seed") - 1).alias("seed"), *[F.col(f).alias(f"{f}_2") for f in configs.FIELDS])
     return c.join(p, "seed").selectExpr("seed", *[f"{configs.crossed(f, 'seed')} as {f}" for f in configs.FIELDS])
 
 
 @query("config_text", f"with c as ({_ROWS_SQL}) select seed, sha256({' || '.join(f'''('{f}=' || {f} || chr(10))''' for f in configs.FIELDS)}) as digest from c")
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark).select("seed", F.sha2(configs.as_text(), 256).alias("digest"))
+    return _rows(spark, sf_dir).select("seed", F.sha2(configs.as_text(), 256).alias("digest"))
 
 
 _PATCHES = "select * from (values " + ", ".join(f"('{m}', '{f}', {v}::BIGINT)" for m, p in probes.MARKERS.items() for f, v in configs.patched(p).items()) + ") t(marker, field, value)"
@@ -80,13 +84,13 @@ _MARKED_SQL = f"select *, list_filter([{', '.join(f'''case when {c} then '{m}' e
 
 @query("probe_markers", f"with c as ({_SHAPED_SQL}) select seed, array_to_string(markers, ',') as markers, len(markers)::BIGINT as n from ({_MARKED_SQL})")
 def _probe_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = probes.records(_shaped(spark)).select("seed", probes.markers().alias("m"))
+    found = probes.records(_shaped(spark, sf_dir)).select("seed", probes.markers().alias("m"))
     return found.select("seed", F.concat_ws(",", "m").alias("markers"), F.size("m").cast("bigint").alias("n"))
 
 
 @query("probe_counts", f"with c as ({_SHAPED_SQL}), m as ({_MARKED_SQL}) select marker, count(*) as n from (select unnest(markers) as marker from m) group by 1")
 def _probe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes.records(_shaped(spark)).select(F.explode(probes.markers()).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    return probes.records(_shaped(spark, sf_dir)).select(F.explode(probes.markers()).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LEN = "case when global_shape <> 0 or vector_shape <> 0 then 0 when memory_shape <> 0 then (case pointer_mode when 0 then 1 else 2 end) + (case memory_shape when 1 then (case store_mode when 0 then 2 else 3 end) when 2 then 3 when 3 then 1 when 4 then 3 else 0 end) when loop_shape <> 0 then 7 + (case loop_shape when 2 then 2 else 0 end) else (case shape when 0 then 1 when 1 then 2 when 3 then 2 else 3 end) + (case when extra_opcode <> 0 then 1 else 0 end) end"
@@ -95,19 +99,19 @@ _BLOCKS = "case when global_shape <> 0 or vector_shape <> 0 then 1 when memory_s
 
 @query("abstract_records", f"with c as ({_SHAPED_SQL}) select seed, ({_LEN})::BIGINT as n_instructions, ({_BLOCKS})::BIGINT as n_blocks from c")
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes.records(_shaped(spark)).select("seed", F.size("instructions").cast("bigint").alias("n_instructions"), F.size("blocks").cast("bigint").alias("n_blocks"))
+    return probes.records(_shaped(spark, sf_dir)).select("seed", F.size("instructions").cast("bigint").alias("n_instructions"), F.size("blocks").cast("bigint").alias("n_blocks"))
 
 
 @query("opcode_presence", f"with c as ({_SHAPED_SQL}) select count(*) filter (global_shape = 0 and vector_shape = 0 and memory_shape in (1, 2, 4)) as with_load, count(*) filter (global_shape = 0 and vector_shape = 0 and memory_shape = 2) as with_two_loads, count(*) filter (global_shape = 0 and vector_shape = 0 and memory_shape = 0 and loop_shape <> 0) as with_phi, count(*) filter (global_shape = 0 and vector_shape = 0 and memory_shape = 0 and loop_shape = 0 and shape = 3) as with_unreachable from c")
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda name: F.size(F.filter("instructions", lambda i: i.opcode == name))
-    r = probes.records(_shaped(spark))
+    r = probes.records(_shaped(spark, sf_dir))
     return r.agg(F.count_if(n("load") > 0).alias("with_load"), F.count_if(n("load") > 1).alias("with_two_loads"), F.count_if(n("phi") > 0).alias("with_phi"), F.count_if(F.exists("blocks", lambda b: ~b.reachable)).alias("with_unreachable"))
 
 
 @query("category", f"with c as ({_SHAPED_SQL}) select seed, {probes.CATEGORY} as category, case {probes.CATEGORY} " + " ".join(f"when '{k}' then '{v}'" for k, v in probes.PIPELINES.items()) + " else 'instcombine' end as pipeline from c")
 def _category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _shaped(spark).select("seed", F.expr(probes.CATEGORY).alias("category"))
+    c = _shaped(spark, sf_dir).select("seed", F.expr(probes.CATEGORY).alias("category"))
     named = F.create_map(*[F.lit(x) for kv in probes.PIPELINES.items() for x in kv])
     return c.select("seed", "category", F.coalesce(F.try_element_at(named, F.col("category")), F.lit("instcombine")).alias("pipeline"))
 
@@ -117,7 +121,7 @@ _NEEDED = ["probe.mem2reg.promotable-alloca", "probe.mem2reg.store-load-forward"
 
 @query("marker_preserved", f"with c as ({_SHAPED_SQL}), m as ({_MARKED_SQL}) select seed, list_has_all(markers, {_NEEDED!r}) as preserved, case when len(markers) = 0 then 'not-instrumented' when list_has_all(markers, {_NEEDED!r}) and len(markers) = {len(_NEEDED)} then 'matched' else 'mismatch' end as exact, case when len(markers) = 0 then 'not-instrumented' when list_has_all(markers, {_NEEDED!r}) then 'matched' else 'mismatch' end as with_extra from m")
 def _preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, needed = probes.records(_shaped(spark)).select("seed", probes.markers().alias("m")), F.lit(_NEEDED)
+    found, needed = probes.records(_shaped(spark, sf_dir)).select("seed", probes.markers().alias("m")), F.lit(_NEEDED)
     return found.select("seed", probes.preserved(F.col("m"), needed).alias("preserved"), probes.oracle_status(needed, F.col("m")).alias("exact"), probes.oracle_status(needed, F.col("m"), True).alias("with_extra"))
 
 
@@ -137,7 +141,7 @@ _STATIC |= {f"vector.{m}": f"vector_shape = {i + 1} and (compose_bits <> 0 or gl
 @query("static_coverage", f"with c as ({_SHAPED_SQL}), f as (select unnest(list_filter([{', '.join(f'''case when {v} then '{k}' end''' for k, v in _STATIC.items())}], lambda x: x is not null)) as flag, compose_bits <> 0 as composed from c) select flag, composed, count(*) as n from f group by all")
 def _static(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _STATIC.items()]))
-    return _shaped(spark).select(F.explode(flags).alias("flag"), (F.col("compose_bits") != 0).alias("composed")).groupBy("flag", "composed").agg(F.count(F.lit(1)).alias("n"))
+    return _shaped(spark, sf_dir).select(F.explode(flags).alias("flag"), (F.col("compose_bits") != 0).alias("composed")).groupBy("flag", "composed").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TARGET = "probe.dse.overwritten-store"
@@ -153,6 +157,6 @@ def _reduce_sql() -> str:
 
 @query("marker_reduce", _reduce_sql())
 def _reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes.reduced(_shaped(spark).where(probes.CLOSED[_TARGET]), _TARGET).select("seed", *configs.FIELDS)
+    return probes.reduced(_shaped(spark, sf_dir).where(probes.CLOSED[_TARGET]), _TARGET).select("seed", *configs.FIELDS)
 
 

@@ -96,9 +96,26 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("n", rows.alias("r")).select("r.op", "r.flag", "r.n_poison", "n")
 
 
-# ---- verification
+# ---- verification: the inputs are those that rows of lineitem stand for
 
-_GRID = "select i & 255 as x, (i >> 8) & 255 as y from range(65536) t(i)"
+_PLACE = "((l_orderkey % 1000003) * 40503 + (l_partkey % 1000003) * 65599 + (l_suppkey % 1000003) * 97 + l_linenumber)"
+
+
+def drawn(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """id: the numbers below ``n`` that rows of lineitem fall on, each once; all of them, once the table is much longer than ``n``."""
+    return _table(spark, sf_dir, "lineitem").select(F.expr(f"cast({_PLACE} % {n} as bigint)").alias("id")).where("id is not null").distinct()
+
+
+def drawn_sql(n: int, name: str = "i") -> str:
+    return f"(select distinct ({_PLACE} % {n})::BIGINT from lineitem where {_PLACE} is not null) t({name})"
+
+
+def sampled(spark: SparkSession, sf_dir: str, width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
+    """Assignments of variables, cut from the numbers of drawn()."""
+    return verify.exhaustive(spark, width, names, poison, drawn(spark, sf_dir, 2 ** (width * len(names) + len(poison))))
+
+
+_GRID = f"select i & 255 as x, (i >> 8) & 255 as y from {drawn_sql(65536)}"
 _SETS = {
     "identities": verify.IDENTITIES, "negatives": verify.NEGATIVES, "flags": verify.FLAGS, "guarded": verify.GUARDED, "lift_rules": verify.LIFTED, "multi_instruction": verify.STEPS, "ub": verify.UNDEFINED,
     "interprocedural": verify.CALLS, "branches": verify.BRANCHES,
@@ -106,24 +123,24 @@ _SETS = {
 for _name, _rules in _SETS.items():
 
     def _run(spark: SparkSession, sf_dir: str, rules: list = _rules) -> DataFrame:
-        return verify.verdicts(verify.exhaustive(spark, 8), rules, 8)
+        return verify.verdicts(sampled(spark, sf_dir, 8), rules, 8, drawn=True)
 
-    query(f"verify_{_name}", verify.verdicts_sql(_GRID, _rules, 8))(_run)
+    query(f"verify_{_name}", verify.verdicts_sql(_GRID, _rules, 8, drawn=True))(_run)
 
-_CUBE = "select i & 255 as x, (i >> 8) & 255 as y, (i >> 16) & 255 as z from range(16777216) t(i)"
+_CUBE = f"select i & 255 as x, (i >> 8) & 255 as y, (i >> 16) & 255 as z from {drawn_sql(16777216)}"
 
 
-@query("verify_three_variables", verify.verdicts_sql(_CUBE, verify.TRIPLES, 8, ("x", "y", "z")))
+@query("verify_three_variables", verify.verdicts_sql(_CUBE, verify.TRIPLES, 8, ("x", "y", "z"), drawn=True))
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verdicts(verify.exhaustive(spark, 8, ("x", "y", "z")), verify.TRIPLES, 8, ("x", "y", "z"))
+    return verify.verdicts(sampled(spark, sf_dir, 8, ("x", "y", "z")), verify.TRIPLES, 8, ("x", "y", "z"), drawn=True)
 
 
-_POISON_GRID = "select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from range(1024) t(i)"
+_POISON_GRID = f"select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from {drawn_sql(1024)}"
 
 
-@query("verify_poison_states", verify.verdicts_sql(_POISON_GRID, verify.POISONED, 4, poison=("x", "y")))
+@query("verify_poison_states", verify.verdicts_sql(_POISON_GRID, verify.POISONED, 4, poison=("x", "y"), drawn=True))
 def _poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verdicts(verify.exhaustive(spark, 4, poison=("x", "y")), verify.POISONED, 4, poison=("x", "y"))
+    return verify.verdicts(sampled(spark, sf_dir, 4, poison=("x", "y")), verify.POISONED, 4, poison=("x", "y"), drawn=True)
 
 
 _WIDTHS = (4, 8, 12)  # a constant that doesn't fit a width isn't carried to it
@@ -139,16 +156,16 @@ def _at_width(width: int) -> list:
 
 
 _WIDTH_SQL = " union all ".join(f"select '{r.name}' as rule, {w}::BIGINT as width, 'non-portable' as status" for w in _WIDTHS for r in _CARRIED if r not in _at_width(w))
-_WIDTH_SQL += " union all " + " union all ".join(f"select rule, {w}::BIGINT as width, status from ({verify.verdicts_sql(f'select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from range({2 ** (2 * min(w, 8))}) t(i)', _at_width(w), w)})" for w in _WIDTHS)
+_WIDTH_SQL += " union all " + " union all ".join(f"select rule, {w}::BIGINT as width, status from ({verify.verdicts_sql(f'select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from {drawn_sql(2 ** (2 * w))}', _at_width(w), w, drawn=True)})" for w in _WIDTHS)
 
 
 @query("verify_widths", _WIDTH_SQL)
 def _widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rule at several widths: exhaustively up to 8 bits, over the first 65,536 inputs beyond; constants that don't fit are said to be not portable."""
+    """Each rule at several widths, over the inputs that are drawn; constants that don't fit are said to be not portable."""
     out = None
     for w in _WIDTHS:
-        some = spark.range(2 ** (2 * min(w, 8))).selectExpr(f"id & {2**w - 1} as x", f"shiftright(id, {w}) & {2**w - 1} as y", "1L as n")
-        here = verify.verdicts(some, _at_width(w), w).select("rule", F.lit(w).cast("bigint").alias("width"), "status")
+        some = drawn(spark, sf_dir, 2 ** (2 * w)).selectExpr(f"id & {2**w - 1} as x", f"shiftright(id, {w}) & {2**w - 1} as y", "1L as n")
+        here = verify.verdicts(some, _at_width(w), w, drawn=True).select("rule", F.lit(w).cast("bigint").alias("width"), "status")
         out = here if out is None else out.unionByName(here)
     left = [(r.name, w, "non-portable") for w in _WIDTHS for r in _CARRIED if r not in _at_width(w)]
     return out.unionByName(spark.createDataFrame(left, "rule string, width bigint, status string"))
@@ -178,7 +195,7 @@ def _guard_sql() -> str:
 
 @query("guard_inference", _guard_sql())
 def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.guards(verify.exhaustive(spark, 8), _BAD["spark"], _ATOMS, 3)
+    return search.guards(sampled(spark, sf_dir, 8), _BAD["spark"], _ATOMS, 3)
 
 
 @query("assumption_normalize", "select l_suppkey as name, bit_or(l_orderkey & 15) as zeros, bit_or(l_partkey & 240) as ones, (bit_or(l_orderkey & 15) & bit_or(l_partkey & 240)) <> 0 as contradiction from lineitem group by 1")
@@ -186,41 +203,41 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.merged_facts(_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as name", "l_orderkey & 15 as zeros", "l_partkey & 240 as ones"))
 
 
-@query("truth_tables", """with d as (select (i & 1) = 1 as a, (i & 2) = 2 as b, (i & 4) = 4 as c from range(8) t(i)) select 'if-conversion' as contract, bool_and((case when a then b else c end) = ((a and b) or (not a and c))) as holds, count(*) as n_rows from d
+@query("truth_tables", f"""with d as (select (i & 1) = 1 as a, (i & 2) = 2 as b, (i & 4) = 4 as c from {drawn_sql(8)}) select 'if-conversion' as contract, bool_and((case when a then b else c end) = ((a and b) or (not a and c))) as holds, count(*) as n_rows from d
 union all select 'dead-code', bool_and(not (a and b) or b), count(*) from d union all select 'hoist-unsafe', bool_and(not a or b), count(*) from d""")
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(8).selectExpr("(id & 1) = 1 as a", "(id & 2) = 2 as b", "(id & 4) = 4 as c")
+    d = drawn(spark, sf_dir, 8).selectExpr("(id & 1) = 1 as a", "(id & 2) = 2 as b", "(id & 4) = 4 as c")
     goals = {"if-conversion": "(if(a, b, c)) = ((a and b) or (not a and c))", "dead-code": "not (a and b) or b", "hoist-unsafe": "not a or b"}
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("contract"), F.expr(g).alias("ok")) for n, g in goals.items()]))
     return d.select(rows.alias("r")).groupBy("r.contract").agg(F.bool_and("r.ok").alias("holds"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("freeze_quantifier", "with g as (select i & 15 as x, (i >> 4) & 15 as c, (i >> 8) & 15 as s from range(4096) t(i)), per as (select x, c, bool_and(c <> s) as bad from g group by all) select x, bool_or(bad) as refuted from per group by x")
+@query("freeze_quantifier", f"with g as (select i & 15 as x, (i >> 4) & 15 as c, (i >> 8) & 15 as s from {drawn_sql(4096)}), per as (select x, c, bool_and(c <> s) as bad from g group by all) select x, bool_or(bad) as refuted from per group by x")
 def _freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = verify.exhaustive(spark, 4, ("x", "c", "s"))
+    g = sampled(spark, sf_dir, 4, ("x", "c", "s"))
     return g.groupBy("x", "c").agg(F.bool_and(F.col("c") != F.col("s")).alias("bad")).groupBy("x").agg(F.bool_or("bad").alias("refuted"))
 
 
-@query("closed_form_check", "with g as (select i as n from range(200) t(i)), s as (select n, (select coalesce(sum(k), 0) from range(n) r(k)) as loop_sum from g) select n, loop_sum::BIGINT as loop_sum, loop_sum = n * (n - 1) // 2 as agrees from s")
+@query("closed_form_check", f"with g as (select i as n from {drawn_sql(200)}), s as (select n, (select coalesce(sum(k), 0) from range(n) r(k)) as loop_sum from g) select n, loop_sum::BIGINT as loop_sum, loop_sum = n * (n - 1) // 2 as agrees from s")
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(200).select(F.col("id").alias("n"))
+    n = drawn(spark, sf_dir, 200).select(F.col("id").alias("n"))
     total = F.when(F.col("n") > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda a, k: a + k)).otherwise(0)
     return n.select("n", total.alias("loop_sum"), (total == F.expr("n * (n - 1) div 2")).alias("agrees"))
 
 
-@query("poly_grid", "with c as (select a - 3 as a, b - 3 as b from range(7) t(a), range(7) u(b)), g as (select i as n from range(4) t(i)) select a, b, bool_and(2 * (n * (n - 1) // 2) = a * n * n + b * n) as fits from c, g group by all")
+@query("poly_grid", f"with c as (select a - 3 as a, b - 3 as b from range(7) t(a), range(7) u(b)), g as (select i as n from {drawn_sql(64)}) select a, b, bool_and(2 * (n * (n - 1) // 2) = a * n * n + b * n) as fits from c, g group by all")
 def _poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.range(49).selectExpr("id div 7 - 3 as a", "id % 7 - 3 as b")
-    grid = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
-    return c.withColumn("n", grid).groupBy("a", "b").agg(F.bool_and(F.expr("2 * (n * (n - 1) div 2) = a * n * n + b * n")).alias("fits"))
+    """49 candidates at each drawn point."""
+    c = drawn(spark, sf_dir, 64).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(48).cast("bigint"))).alias("id"))
+    return c.selectExpr("n", "id div 7 - 3 as a", "id % 7 - 3 as b").groupBy("a", "b").agg(F.bool_and(F.expr("2 * (n * (n - 1) div 2) = a * n * n + b * n")).alias("fits"))
 
 
 _MIX_SQL = seeds.mixed("s", DUCKDB)
 
 
-@query("seeded_configs", f"with d as (select i as seed, k, (i * 31 + k) & 4294967295 as s from range(1000) t(i), range(6) u(k)) select seed, k, {_MIX_SQL} as mixed, ({_MIX_SQL}) % 5 as field from d")
+@query("seeded_configs", f"with d as (select i as seed, k, (i * 31 + k) & 4294967295 as s from (select event_id from events) t(i), range(6) u(k)) select seed, k, {_MIX_SQL} as mixed, ({_MIX_SQL}) % 5 as field from d")
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(6000).selectExpr("id div 6 as seed", "id % 6 as k").withColumn("s", F.expr("(seed * 31 + k) & 4294967295"))
+    d = _table(spark, sf_dir, "events").select(F.col("event_id").alias("seed"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("k")).withColumn("s", F.expr("(seed * 31 + k) & 4294967295"))
     return d.selectExpr("seed", "k", f"{seeds.mixed('s', SPARK)} as mixed", f"({seeds.mixed('s', SPARK)}) % 5 as field")
 
 

@@ -13,7 +13,7 @@ from .operators import configs, probes
 from .plans import verify
 from .plans.expression import compiled, variables
 from .probing import _SHAPED_SQL, _shaped
-from .registry import _table, query
+from .registry import _table, drawn, drawn_sql, query, sampled
 from .trails import _grid, _values
 
 # ---- rules: mutants, freeze, free variables, preconditions
@@ -21,23 +21,23 @@ from .trails import _grid, _values
 _MUTANTS = [verify.Rule(f"{r.name}+1", r.before, ("add", r.after, 1)) for r in verify.IDENTITIES] + [verify.Rule(f"{r.name}|swap", (r.before[0], r.before[2], r.before[1]), r.after) for r in verify.IDENTITIES if isinstance(r.before, tuple) and r.before[0] in ("sub", "shl", "lshr")]
 
 
-@query("verify_mutants", verify.verdicts_sql(_grid(8), _MUTANTS, 8))
+@query("verify_mutants", verify.verdicts_sql(_grid(8), _MUTANTS, 8, drawn=True))
 def _mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known rules, each made wrong: a checker without teeth would let one pass. Swapped operands of a rule over equal ones change nothing."""
-    return verify.verdicts(verify.exhaustive(spark, 8), _MUTANTS, 8)
+    return verify.verdicts(sampled(spark, sf_dir, 8), _MUTANTS, 8, drawn=True)
 
 
 _FREEZE = [
     verify.Rule("freeze-same", ("freeze", "x", "c"), ("freeze", "x", "c")), verify.Rule("freeze-dropped", ("freeze", "x", "c"), "x"), verify.Rule("freeze-added", "x", ("freeze", "x", "c")),
     verify.Rule("freeze-twice", ("sub", ("freeze", "x", "c"), ("freeze", "x", "c")), 0), verify.Rule("freeze-through", ("freeze", ("xor", "x", 5), "c"), ("xor", ("freeze", "x", "c"), 5)),
 ]
-_FROZEN = "select i & 15 as x, (i >> 4) & 15 as c, ((i >> 8) & 1) = 1 as x_poison from range(512) t(i)"
+_FROZEN = f"select i & 15 as x, (i >> 4) & 15 as c, ((i >> 8) & 1) = 1 as x_poison from {drawn_sql(512)}"
 
 
-@query("verify_freeze", verify.verdicts_sql(_FROZEN, _FREEZE, 4, ("x", "c"), ("x",)))
+@query("verify_freeze", verify.verdicts_sql(_FROZEN, _FREEZE, 4, ("x", "c"), ("x",), True))
 def _freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frozen values as choices of their own; both sides have the same choice, so a freeze that moves through an operation is refuted."""
-    return verify.verdicts(verify.exhaustive(spark, 4, ("x", "c"), ("x",)), _FREEZE, 4, ("x", "c"), ("x",))
+    return verify.verdicts(sampled(spark, sf_dir, 4, ("x", "c"), ("x",)), _FREEZE, 4, ("x", "c"), ("x",), True)
 
 
 _ALL_RULES = [*verify.IDENTITIES, *verify.NEGATIVES, *verify.STEPS, *verify.CALLS]
@@ -70,7 +70,7 @@ _PRE_SQL = f"with g as ({_grid(8)}), r as (" + " union all ".join(f"select '{n}'
 @query("precondition_synthesis", _PRE_SQL)
 def _preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each transform the first working set of atoms, fewest first; sets that hold nowhere don't count. One pass over the domain for each transform."""
-    g, out = verify.exhaustive(spark, 8), None
+    g, out = sampled(spark, sf_dir, 8), None
     for name in _WANTED:
         rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.expr(_holds(c)).alias("on")) for i, c in enumerate(_CHOICES)])
         seen = g.select(F.expr(_fails(name, SPARK)).alias("bad"), F.inline(rows)).where("on").groupBy("ord").agg(F.count_if("bad").alias("leaks")).where("leaks = 0")
@@ -86,23 +86,23 @@ def _preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOPS = {"count-up": "7 + 3 * i", "count-down": "5 - 2 * i", "square": "i * i", "constant": "4"}
 
 
-@query("affine_templates", "with v as (" + " union all ".join(f"select '{n}' as loop, i, {e} as v from range(12) t(i)" for n, e in _LOOPS.items()) + "), c as (select o - 8 as start, s - 8 as stride from range(17) a(o), range(17) b(s)), f as (select loop, start, stride from v, c group by all having bool_and(v = start + i * stride)) select l.loop, f.start::BIGINT as start, f.stride::BIGINT as stride from (select distinct loop from v) l left join f on f.loop = l.loop")
+@query("affine_templates", "with v as (" + " union all ".join(f"select '{n}' as loop, i, {e} as v from {drawn_sql(12)}" for n, e in _LOOPS.items()) + "), c as (select o - 8 as start, s - 8 as stride from range(17) a(o), range(17) b(s)), f as (select loop, start, stride from v, c group by all having bool_and(v = start + i * stride)) select l.loop, f.start::BIGINT as start, f.stride::BIGINT as stride from (select distinct loop from v) l left join f on f.loop = l.loop")
 def _affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """start + i * stride for a loop's values: a candidate is fixed by two values, so only those meet the rest."""
-    v = spark.range(12).select(F.col("id").alias("i"), F.inline(F.array(*[F.struct(F.lit(n).alias("loop"), F.expr(e.replace("i", "id")).cast("bigint").alias("v")) for n, e in _LOOPS.items()])))
+    v = drawn(spark, sf_dir, 12).select(F.col("id").alias("i"), F.inline(F.array(*[F.struct(F.lit(n).alias("loop"), F.expr(e.replace("i", "id")).cast("bigint").alias("v")) for n, e in _LOOPS.items()])))
     first = v.groupBy("loop").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("start"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("next")).withColumn("stride", F.col("next") - F.col("start"))
     good = v.join(first, "loop").groupBy("loop", "start", "stride").agg(F.bool_and(F.col("v") == F.col("start") + F.col("i") * F.col("stride")).alias("fits"))
     inside = F.col("fits") & F.col("start").between(-8, 8) & F.col("stride").between(-8, 8)
     return good.select("loop", F.when(inside, F.col("start")).alias("start"), F.when(inside, F.col("stride")).alias("stride"))
 
 
-@query("coupled_synthesis", "with g as (select a, n from range(1, 6) t(a), range(0, 9) u(n)), v as (select a, n, a * n as s, (select coalesce(sum(a * k), 0) from range(n) r(k)) as t from g), p as (select x - 4 as p from range(9) t(x)), first as (select 's' as name, p as square, 0 as linear from v, p group by p having bool_and(s = p * a * n)), second as (select 't' as name, x.p as square, y.p as linear from v, p x, p y group by all having bool_and(2 * t = a * (x.p * n * n + y.p * n))) select name, square::BIGINT as square, linear::BIGINT as linear from first union all select name, square, linear from second")
+@query("coupled_synthesis", f"with g as (select i // 9 + 1 as a, i % 9 as n from {drawn_sql(45)}), v as (select a, n, a * n as s, (select coalesce(sum(a * k), 0) from range(n) r(k)) as t from g), p as (select x - 4 as p from range(9) t(x)), first as (select 's' as name, p as square, 0 as linear from v, p group by p having bool_and(s = p * a * n)), second as (select 't' as name, x.p as square, y.p as linear from v, p x, p y group by all having bool_and(2 * t = a * (x.p * n * n + y.p * n))) select name, square::BIGINT as square, linear::BIGINT as linear from first union all select name, square, linear from second")
 def _coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s += a, then t += s: the form of s first, then that of t with it, over all starts and trips up to the degree and beyond."""
     trips = F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("n"), F.lit(1)))
     step = lambda z, _: F.struct((z.s + F.col("a")).alias("s"), (z.t + z.s).alias("t"))
     zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("t"))
-    g = spark.range(45).selectExpr("id div 9 + 1 as a", "id % 9 as n")
+    g = drawn(spark, sf_dir, 45).selectExpr("id div 9 + 1 as a", "id % 9 as n")
     v = g.select("a", "n", F.when(F.col("n") == 0, zero).otherwise(F.aggregate(trips, zero, step)).alias("z")).select("a", "n", "z.s", "z.t")
     few = F.explode(F.sequence(F.lit(-4).cast("bigint"), F.lit(4).cast("bigint")))
     first = v.withColumn("square", few).groupBy("square").agg(F.bool_and(F.expr("s = square * a * n")).alias("fits")).where("fits").select(F.lit("s").alias("name"), "square", F.lit(0).cast("bigint").alias("linear"))
@@ -113,17 +113,17 @@ def _coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = {"product": ("i * k", "k + k * (i - 1)"), "triangle": ("i * (i + 1)", "i * i + i"), "off-by-one": ("i * k", "(i + 1) * k"), "sum-of-both": ("i * k + i", "i * (k + 1)")}
 
 
-@query("relational_synthesis", "with g as (select i, k from range(9) t(i), range(9) u(k)) " + " union all ".join(f"select '{n}' as model, count(*) as points, bool_and(({a}) = ({b})) as found from g" for n, (a, b) in _PAIRS.items()))
+@query("relational_synthesis", f"with g as (select j // 9 as i, j % 9 as k from {drawn_sql(81, 'j')}) " + " union all ".join(f"select '{n}' as model, count(*) as points, bool_and(({a}) = ({b})) as found from g" for n, (a, b) in _PAIRS.items()))
 def _relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of two loops as polynomials of degree two: equal on nine by nine points, so equal."""
-    g = spark.range(81).selectExpr("id div 9 as i", "id % 9 as k", "cast(cast(id div 9 as string) as bigint) as j", "cast(cast(id % 9 as string) as bigint) as l")
+    g = drawn(spark, sf_dir, 81).selectExpr("id div 9 as i", "id % 9 as k", "cast(cast(id div 9 as string) as bigint) as j", "cast(cast(id % 9 as string) as bigint) as l")
     other = lambda e: e.replace("i", "j").replace("k", "l")
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.expr(f"({a}) = ({other(b)})").alias("same")) for n, (a, b) in _PAIRS.items()])
     return g.select(F.inline(rows)).groupBy("model").agg(F.count(F.lit(1)).alias("points"), F.bool_and("same").alias("found"))
 
 
 _OUTPUTS = {"a": ["i * 2", "i + 3", "i + i", "i * i * i"], "b": ["3 + i", "2 * i", "i * i", "i + i + 0"]}
-_OUT_SQL = "select side, ord, list(v order by i) as v from (" + " union all ".join(f"select '{s}' as side, {k} as ord, i, {e} as v from range(8) t(i)" for s, es in _OUTPUTS.items() for k, e in enumerate(es)) + ") group by 1, 2"
+_OUT_SQL = "select side, ord, list(v order by i) as v from (" + " union all ".join(f"select '{s}' as side, {k} as ord, i, {e} as v from {drawn_sql(8)}" for s, es in _OUTPUTS.items() for k, e in enumerate(es)) + ") group by 1, 2"
 
 
 @query("output_pairing", f"with o as ({_OUT_SQL}), r as (select *, row_number() over (partition by side, v order by ord) as k from o) select a.ord::BIGINT as before, b.ord::BIGINT as after from (select * from r where side = 'a') a left join (select * from r where side = 'b') b on a.v = b.v and a.k = b.k")
@@ -132,7 +132,7 @@ def _pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(k).cast("bigint").alias("ord"), F.expr(e.replace("i", "id")).alias("v")) for s, es in _OUTPUTS.items() for k, e in enumerate(es)])
-    o = spark.range(8).select("id", F.inline(rows)).groupBy("side", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("v"))
+    o = drawn(spark, sf_dir, 8).select("id", F.inline(rows)).groupBy("side", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("v"))
     r = o.withColumn("k", F.row_number().over(Window.partitionBy("side", "v").orderBy("ord")))
     a, b = (r.where(F.col("side") == s).select("v", "k", F.col("ord").alias(n)) for s, n in (("a", "before"), ("b", "after")))
     return a.join(b, ["v", "k"], "left").select("before", "after")
@@ -146,13 +146,13 @@ def _atom(name: str, after: bool = False) -> str:
     return "(" + _HOUDINI[name].format(**(_NEXT if after else {"x": "x", "y": "y"})) + ")"
 
 
-_HOUDINI_SQL = f"with s as (select i & 15 as x, i >> 4 as y from range(256) t(i)), m as (select unnest(range({2 ** len(_HOUDINI)})) as m), " + "good as (select m from m, s group by m having bool_and(not (" + " and ".join(f"((m & {2**k}) = 0 or {_atom(n)})" for k, n in enumerate(_HOUDINI)) + ") or (" + " and ".join(f"((m & {2**k}) = 0 or {_atom(n, True)})" for k, n in enumerate(_HOUDINI)) + "))), top as (select bit_or(m) as m from good) select atom, (m & b) <> 0 as kept from top, (values " + ", ".join(f"('{n}', {2**k})" for k, n in enumerate(_HOUDINI)) + ") t(atom, b)"
+_HOUDINI_SQL = f"with s as (select i & 15 as x, i >> 4 as y from {drawn_sql(256)}), m as (select unnest(range({2 ** len(_HOUDINI)})) as m), " + "good as (select m from m, s group by m having bool_and(not (" + " and ".join(f"((m & {2**k}) = 0 or {_atom(n)})" for k, n in enumerate(_HOUDINI)) + ") or (" + " and ".join(f"((m & {2**k}) = 0 or {_atom(n, True)})" for k, n in enumerate(_HOUDINI)) + "))), top as (select bit_or(m) as m from good) select atom, (m & b) <> 0 as kept from top, (values " + ", ".join(f"('{n}', {2**k})" for k, n in enumerate(_HOUDINI)) + ") t(atom, b)"
 
 
 @query("houdini", _HOUDINI_SQL)
 def _houdini(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all atoms that hold at the start (0, 0), those go that a step from where all others hold doesn't keep, until none goes. The SQL tries all subsets."""
-    s = spark.range(256).selectExpr("id & 15 as x", "shiftright(id, 4) as y")
+    s = drawn(spark, sf_dir, 256).selectExpr("id & 15 as x", "shiftright(id, 4) as y")
     kept = list(_HOUDINI)
     while kept:
         row = s.where(" and ".join(_atom(n) for n in kept)).agg(*[F.coalesce(F.bool_and(F.expr(_atom(n, True))), F.lit(True)).alias(f"a{i}") for i, n in enumerate(kept)]).first()
@@ -168,10 +168,10 @@ def _houdini(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIM = {"same": ("s", "((a + s) & 63)", "s < 40"), "other-step": ("s", "((a + s + 1) & 63)", "s < 40"), "other-guard": ("s", "((a + s) & 63)", "s < 41")}
 
 
-@query("simulation_obligations", "with g as (select i & 63 as s, (i >> 6) & 63 as a from range(4096) t(i)) " + " union all ".join(f"select '{n}' as model, 0::BIGINT as bad_init, count(*) filter ((s < 40) <> ({g})) as bad_guard, count(*) filter (s < 40 and ((a + s) & 63) <> {st}) as bad_step, 0::BIGINT as bad_result from g" for n, (_, st, g) in _SIM.items()))
+@query("simulation_obligations", f"with g as (select i & 63 as s, (i >> 6) & 63 as a from {drawn_sql(4096)}) " + " union all ".join(f"select '{n}' as model, 0::BIGINT as bad_init, count(*) filter ((s < 40) <> ({g})) as bad_guard, count(*) filter (s < 40 and ((a + s) & 63) <> {st}) as bad_step, 0::BIGINT as bad_result from g" for n, (_, st, g) in _SIM.items()))
 def _simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loops under equality of their states: start, guard, step and result, each counted where it fails. The second loop's state went through text."""
-    g = spark.range(4096).selectExpr("id & 63 as s", "shiftright(id, 6) & 63 as a").selectExpr("*", "cast(cast(s as string) as bigint) as s2", "cast(cast(a as string) as bigint) as a2")
+    g = drawn(spark, sf_dir, 4096).selectExpr("id & 63 as s", "shiftright(id, 6) & 63 as a").selectExpr("*", "cast(cast(s as string) as bigint) as s2", "cast(cast(a as string) as bigint) as a2")
     two = lambda e: e.replace("s", "s2").replace("a", "a2")
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.expr("s = 0 and s2 <> 0").alias("i"), F.expr(f"(s < 40) <> ({two(gd)})").alias("g"), F.expr(f"s < 40 and ((a + s) & 63) <> {two(st)}").alias("t"), F.expr("s >= 40 and a <> a2").alias("r")) for n, (_, st, gd) in _SIM.items()])
     return g.select(F.inline(rows)).groupBy("model").agg(*[F.count_if(c).alias(n) for c, n in (("i", "bad_init"), ("g", "bad_guard"), ("t", "bad_step"), ("r", "bad_result"))])
@@ -184,10 +184,10 @@ def _exit_parts(d1: list, r1: list, d2: list, r2: list) -> tuple[str, str]:
     return " or ".join(f"(({a}) <> ({b}))" for a, b in zip(d1, d2)), " or ".join(f"(({a}) and ({x}) <> ({y}))" for a, x, y in zip(d1, r1, r2))
 
 
-@query("multi_exit", "with g as (select i & 63 as s, (i >> 6) & 63 as a from range(4096) t(i)) " + " union all ".join(f"select '{n}' as model, {str(len(d1) == len(d2)).lower()} as same_exits, count(*) filter ({_exit_parts(d1, r1, d2, r2)[0]}) as bad_decisions, count(*) filter ({_exit_parts(d1, r1, d2, r2)[1]}) as bad_results from g" for n, (d1, r1, d2, r2) in _EXITS.items()))
+@query("multi_exit", f"with g as (select i & 63 as s, (i >> 6) & 63 as a from {drawn_sql(4096)}) " + " union all ".join(f"select '{n}' as model, {str(len(d1) == len(d2)).lower()} as same_exits, count(*) filter ({_exit_parts(d1, r1, d2, r2)[0]}) as bad_decisions, count(*) filter ({_exit_parts(d1, r1, d2, r2)[1]}) as bad_results from g" for n, (d1, r1, d2, r2) in _EXITS.items()))
 def _multi_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops with several exits: as many of them, each decided alike, each with equal results where it is taken."""
-    g = spark.range(4096).selectExpr("id & 63 as s", "shiftright(id, 6) & 63 as a")
+    g = drawn(spark, sf_dir, 4096).selectExpr("id & 63 as s", "shiftright(id, 6) & 63 as a")
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(len(d1) == len(d2)).alias("same_exits"), F.expr(_exit_parts(d1, r1, d2, r2)[0]).alias("d"), F.expr(_exit_parts(d1, r1, d2, r2)[1]).alias("r")) for n, (d1, r1, d2, r2) in _EXITS.items()])
     return g.select(F.inline(rows)).groupBy("model", "same_exits").agg(F.count_if("d").alias("bad_decisions"), F.count_if("r").alias("bad_results"))
 
@@ -203,10 +203,10 @@ def _four(e: str, start: str = "a") -> str:
     return out
 
 
-@query("nested_loops", "with t as (select i as a, " + ", ".join(f"{e.replace('a', 'i')} as {n}" for n, e in _INNER.items()) + " from range(256) r(i)), " + ", ".join(f"{n}_4 as (select p.a, q4.{n} as out from t p join t q2 on q2.a = p.{n} join t q3 on q3.a = q2.{n} join t q4 on q4.a = q3.{n})" for n in _INNER) + " " + " union all ".join(f"select '{n}' as inner_loop, (select count(*) from t where before <> {n}) as inner_violations, (select count(*) from before_4 x join {n}_4 y on x.a = y.a where x.out <> y.out) as outer_violations" for n in ("after", "wrong")))
+@query("nested_loops", "with t as (select i as a, " + ", ".join(f"{e.replace('a', 'i')} as {n}" for n, e in _INNER.items()) + f" from {drawn_sql(256)}), " + ", ".join(f"{n}_4 as (select p.a, q4.{n} as out from t p join t q2 on q2.a = p.{n} join t q3 on q3.a = q2.{n} join t q4 on q4.a = q3.{n})" for n in _INNER) + " " + " union all ".join(f"select '{n}' as inner_loop, (select count(*) from t where before <> {n}) as inner_violations, (select count(*) from before_4 x join {n}_4 y on x.a = y.a where x.out <> y.out) as outer_violations" for n in ("after", "wrong")))
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inner loop as a table of its effect, joined once for each turn of the outer one."""
-    t = spark.range(256).selectExpr("id as a", *[f"{e.replace('a', 'id')} as {n}" for n, e in _INNER.items()])
+    t = drawn(spark, sf_dir, 256).selectExpr("id as a", *[f"{e.replace('a', 'id')} as {n}" for n, e in _INNER.items()])
     turned = {}
     for n in _INNER:
         run = t.select("a", F.col(n).alias("at"))
@@ -220,10 +220,10 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(inner, "i").join(count(outer, "o"), "inner_loop")
 
 
-@query("loop_rotate", "with g as (select n, k from range(33) t(n), range(5) u(k)) select n, k, (n * k) & 255 as plain, case when n > 0 then (k + (n - 1) * k) & 255 else 0 end as rotated, ((n * k) & 255) = (case when n > 0 then (k + (n - 1) * k) & 255 else 0 end) as agrees, ((n * k) & 255) = ((k + (greatest(n, 1) - 1) * k) & 255) as unguarded from g")
+@query("loop_rotate", f"with g as (select j // 5 as n, j % 5 as k from {drawn_sql(165, 'j')}) select n, k, (n * k) & 255 as plain, case when n > 0 then (k + (n - 1) * k) & 255 else 0 end as rotated, ((n * k) & 255) = (case when n > 0 then (k + (n - 1) * k) & 255 else 0 end) as agrees, ((n * k) & 255) = ((k + (greatest(n, 1) - 1) * k) & 255) as unguarded from g")
 def _rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loop tested at its head, and the same tested at its foot behind a guard: folds over the turns. Without the guard it runs once too often for no turns."""
-    g = spark.range(165).selectExpr("id div 5 as n", "id % 5 as k")
+    g = drawn(spark, sf_dir, 165).selectExpr("id div 5 as n", "id % 5 as k")
     zero = F.lit(0).cast("bigint")
     run = lambda turns, start: F.aggregate(turns, start, lambda s, _: (s + F.col("k")).bitwiseAND(F.lit(255)))
     turns = lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1)))).otherwise(F.lit([]).cast("array<bigint>"))
@@ -242,10 +242,10 @@ def _unrolled(trips: int) -> str:
     return out
 
 
-@query("bounded_unroll", "with g as (select x from range(256) t(x)) " + " union all ".join(f"select {t}::BIGINT as trips, count(*) as points, count(*) filter (list_reduce(list_prepend(x, range({t})), lambda a, i: {_STEP}) <> {_unrolled(t)}) as violations, count(*) filter (list_reduce(list_prepend(x, range({t})), lambda a, i: {_STEP}) <> {_unrolled(t - 1)}) as teeth from g" for t in (2, 4, 6)))
+@query("bounded_unroll", f"with g as (select x from {drawn_sql(256, 'x')}) " + " union all ".join(f"select {t}::BIGINT as trips, count(*) as points, count(*) filter (list_reduce(list_prepend(x, range({t})), lambda a, i: {_STEP}) <> {_unrolled(t)}) as violations, count(*) filter (list_reduce(list_prepend(x, range({t})), lambda a, i: {_STEP}) <> {_unrolled(t - 1)}) as teeth from g" for t in (2, 4, 6)))
 def _unroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loop of constant trips as a fold, against itself written out; one turn less is found."""
-    g = spark.range(256).withColumnRenamed("id", "x").withColumn("y", F.expr("cast(cast(x as string) as bigint)"))
+    g = drawn(spark, sf_dir, 256).withColumnRenamed("id", "x").withColumn("y", F.expr("cast(cast(x as string) as bigint)"))
     rows = F.array(*[F.struct(F.lit(t).cast("bigint").alias("trips"), F.expr(f"aggregate(sequence(0L, {t - 1}L), x, (a, i) -> {_STEP}) <> {_unrolled(t).replace('x', 'y')}").alias("bad"), F.expr(f"aggregate(sequence(0L, {t - 1}L), x, (a, i) -> {_STEP}) <> {_unrolled(t - 1).replace('x', 'y')}").alias("short")) for t in (2, 4, 6)])
     return g.select(F.inline(rows)).groupBy("trips").agg(F.count(F.lit(1)).alias("points"), F.count_if("bad").alias("violations"), F.count_if("short").alias("teeth"))
 
@@ -297,7 +297,7 @@ def _fixpoint_sql(rounds: int) -> str:
 @query("reduce_fixpoint", _fixpoint_sql(3))
 def _fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds of reduction until none changes a row; what is left, and of how many."""
-    rows = checkpointed(_shaped(spark).where(probes.CLOSED[_TARGET]).groupBy(*configs.FIELDS).agg(F.count(F.lit(1)).alias("n")))
+    rows = checkpointed(_shaped(spark, sf_dir).where(probes.CLOSED[_TARGET]).groupBy(*configs.FIELDS).agg(F.count(F.lit(1)).alias("n")))
     while True:
         after = checkpointed(probes.reduced(rows, _TARGET).groupBy(*configs.FIELDS).agg(F.sum("n").alias("n")))
         if after.count() == rows.count() and rows.join(after, [*configs.FIELDS, "n"], "left_anti").isEmpty():
@@ -320,7 +320,7 @@ def _campaign_sql(generations: int) -> str:
 @query("campaign", _campaign_sql(3))
 def _campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generations of mutants; a row is kept for each marker that no generation has shown and that it shows first. What was seen is a table of markers."""
-    rows, seen = checkpointed(_shaped(spark).where("seed < 300")), None
+    rows, seen = checkpointed(_shaped(spark, sf_dir).where("seed < 300")), None
     for k in range(4):
         if k:
             rows = checkpointed(configs.mutants(rows, "seed", k))

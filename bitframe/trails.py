@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.words import DUCKDB
 from .operators import graphs, ordered
 from .plans import verify
-from .registry import _table, query
+from .registry import _table, drawn, drawn_sql, query, sampled
 
 _KEYS4 = "l_linenumber, l_partkey, l_suppkey"
 
@@ -50,15 +50,15 @@ _SMALL = [verify.Rule(r.name, r.before, r.after) for r in (*verify.LIFTED, *veri
 
 
 def _grid(w: int) -> str:
-    return f"select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from range({2 ** (2 * w)}) t(i)"
+    return f"select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from {drawn_sql(2 ** (2 * w))}"
 
 
-@query("verdict_reconcile", f"with a as ({verify.verdicts_sql(_grid(4), _SMALL, 4)}), b as ({verify.verdicts_sql(_grid(8), _SMALL, 8)}) select rule, a.status as narrow, b.status as wide, split_part(a.status, '@', 1) = split_part(b.status, '@', 1) as agree from a join b using (rule)")
+@query("verdict_reconcile", f"with a as ({verify.verdicts_sql(_grid(4), _SMALL, 4, drawn=True)}), b as ({verify.verdicts_sql(_grid(8), _SMALL, 8, drawn=True)}) select rule, a.status as narrow, b.status as wide, (a.status = 'refuted') = (b.status = 'refuted') and (a.status = 'vacuous') = (b.status = 'vacuous') as agree from a join b using (rule)")
 def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules enumerated at two widths; they have to agree."""
-    a, b = (verify.verdicts(verify.exhaustive(spark, w), _SMALL, w).select("rule", F.col("status").alias(n)) for w, n in ((4, "narrow"), (8, "wide")))
-    kind = lambda c: F.split_part(c, F.lit("@"), F.lit(1))
-    return a.join(b, "rule").withColumn("agree", kind("narrow") == kind("wide"))
+    a, b = (verify.verdicts(sampled(spark, sf_dir, w), _SMALL, w, drawn=True).select("rule", F.col("status").alias(n)) for w, n in ((4, "narrow"), (8, "wide")))
+    same = lambda x: (F.col("narrow") == x) == (F.col("wide") == x)
+    return a.join(b, "rule").withColumn("agree", same("refuted") & same("vacuous"))
 
 
 # ---- fixed batteries
@@ -72,28 +72,28 @@ def edge_values(width: int) -> list[int]:
     return [0, 1, 2, 3, 2**width - 1, 2**width - 2, 2 ** (width - 1), 2 ** (width - 1) - 1]
 
 
-def _battery_sql(width: int, count: int = 48) -> str:
-    """Edge values for both inputs, then a tail of mixed counters."""
+def _battery_sql(width: int, count: int = 4096) -> str:
+    """Edge values for both inputs, then a tail of mixed numbers that rows of lineitem fall on."""
     from .functions import seeds
 
     m = 2**width - 1
     tail = lambda k, d: f"(({seeds.mixed(f'((i * 2 + {k}) & 4294967295)', d)}) & {m})"
-    return f"select i, list_extract({edge_values(width)}, i + 1)::BIGINT as x, list_extract({edge_values(width)}, i + 1)::BIGINT as y from range(8) t(i) union all select i, {tail(0, DUCKDB)} as x, {tail(1, DUCKDB)} as y from range(8, {count}) t(i)"
+    return f"select i, list_extract({edge_values(width)}, i + 1)::BIGINT as x, list_extract({edge_values(width)}, i + 1)::BIGINT as y from range(8) t(i) union all select i, {tail(0, DUCKDB)} as x, {tail(1, DUCKDB)} as y from {drawn_sql(count)} where i >= 8"
 
 
-def battery(spark: SparkSession, width: int, count: int = 48) -> DataFrame:
-    """i, x, y: the diagonal of edge values, then mixed counters, the same on every run."""
+def battery(spark: SparkSession, sf_dir: str, width: int, count: int = 4096) -> DataFrame:
+    """i, x, y: the diagonal of edge values, then mixed numbers below ``count`` that rows of lineitem fall on."""
     from .functions import seeds
 
     m = 2**width - 1
     edges = spark.createDataFrame(list(enumerate(edge_values(width))), "i bigint, x bigint").withColumn("y", F.col("x"))
-    tail = spark.range(8, count).selectExpr("id as i", *[f"({seeds.mixed(f'((id * 2 + {k}) & 4294967295)')}) & {m} as {n}" for k, n in ((0, "x"), (1, "y"))])
+    tail = drawn(spark, sf_dir, count).where("id >= 8").selectExpr("id as i", *[f"({seeds.mixed(f'((id * 2 + {k}) & 4294967295)')}) & {m} as {n}" for k, n in ((0, "x"), (1, "y"))])
     return edges.unionByName(tail)
 
 
 @query("edge_battery", f"select 8::BIGINT as width, * from ({_battery_sql(8)}) union all select 16, * from ({_battery_sql(16)})")
 def _battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return battery(spark, 8).withColumn("width", F.lit(8).cast("bigint")).unionByName(battery(spark, 16).withColumn("width", F.lit(16).cast("bigint")))
+    return battery(spark, sf_dir, 8).withColumn("width", F.lit(8).cast("bigint")).unionByName(battery(spark, sf_dir, 16).withColumn("width", F.lit(16).cast("bigint")))
 
 
 _SAMPLED = [*verify.LIFTED[:3], *verify.NEGATIVES[:3], *verify.STEPS[:4]]
@@ -102,24 +102,26 @@ _SAMPLED = [*verify.LIFTED[:3], *verify.NEGATIVES[:3], *verify.STEPS[:4]]
 @query("sampled_equivalence", f"with v as ({verify.verdicts_sql(f'select x, y from ({_battery_sql(8)})', _SAMPLED, 8)}) select rule, rows_checked, violations, case when violations > 0 then 'refuted' else 'sampled-agree' end as status from v")
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A battery proves nothing; it refutes or agrees."""
-    v = verify.verdicts(battery(spark, 8).select("x", "y", F.lit(1).cast("bigint").alias("n")), _SAMPLED, 8)
+    v = verify.verdicts(battery(spark, sf_dir, 8).select("x", "y", F.lit(1).cast("bigint").alias("n")), _SAMPLED, 8)
     return v.select("rule", "rows_checked", "violations", F.when(F.col("violations") > 0, "refuted").otherwise("sampled-agree").alias("status"))
 
 
-@query("sample_pairs", f"select a::BIGINT as a, b::BIGINT as b, (a + b)::BIGINT as total, (a & b)::BIGINT as common, a < b as less from (values {_values(SAMPLES)}) t(a, b)")
+@query("sample_pairs", f"select a::BIGINT as a, b::BIGINT as b, (a + b)::BIGINT as total, (a & b)::BIGINT as common, a < b as less, count(l_orderkey) as n from (values {_values(SAMPLES)}) t(a, b) left join lineitem on l_linenumber - 4 = a and l_suppkey % 11 - 3 = b group by a, b")
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, and how many rows fall on each."""
     t = spark.createDataFrame(SAMPLES, "a bigint, b bigint")
-    return t.selectExpr("a", "b", "a + b as total", "a & b as common", "a < b as less")
+    n = _table(spark, sf_dir, "lineitem").selectExpr("l_linenumber - 4L as a", "l_suppkey % 11 - 3 as b").groupBy("a", "b").agg(_n().alias("n"))
+    return t.join(n, ["a", "b"], "left").selectExpr("a", "b", "a + b as total", "a & b as common", "a < b as less", "coalesce(n, 0) as n")
 
 
 _SWEEP = [0, 1, 2, 3, 7, 16, 2**31 - 1, 2**31, 2**32 - 2, 2**32 - 1]
 _LOOPS = {"product": ("(n * p) & 4294967295", "(n * p) & 4294967295"), "one-short": ("(n * p) & 4294967295", "((n - 1) * p) & 4294967295"), "triangle": ("((n * (n + 1)) // 2 * p) & 4294967295", "(n * p) & 4294967295")}
 
 
-@query("small_first_witness", f"with g as (select n, p from range(13) t(n), (select unnest({_SWEEP}) as p)), " + "r as (" + " union all ".join(f"select '{k}' as loop, n, p, ({a}) <> ({b}) as bad from g" for k, (a, b) in _LOOPS.items()) + ") select loop, count(*) filter (bad) as violations, (min((n, p)) filter (bad))[1]::BIGINT as trips, (min((n, p)) filter (bad))[2]::BIGINT as parameter from r group by loop")
+@query("small_first_witness", f"with g as (select n, p from {drawn_sql(13, 'n')}, (select unnest({_SWEEP}) as p)), " + "r as (" + " union all ".join(f"select '{k}' as loop, n, p, ({a}) <> ({b}) as bad from g" for k, (a, b) in _LOOPS.items()) + ") select loop, count(*) filter (bad) as violations, (min((n, p)) filter (bad))[1]::BIGINT as trips, (min((n, p)) filter (bad))[2]::BIGINT as parameter from r group by loop")
 def _small_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops against closed forms over trip counts and edge values; the witness of the fewest trips, then of the smallest parameter."""
-    g = spark.range(13).select(F.col("id").alias("n"), F.explode(F.lit(_SWEEP).cast("array<bigint>")).alias("p"))
+    g = drawn(spark, sf_dir, 13).select(F.col("id").alias("n"), F.explode(F.lit(_SWEEP).cast("array<bigint>")).alias("p"))
     rows = F.array(*[F.struct(F.lit(k).alias("loop"), F.expr(f"({a.replace('//', 'div')}) <> ({b.replace('//', 'div')})").alias("bad")) for k, (a, b) in _LOOPS.items()])
     r = g.select("n", "p", F.inline(rows)).groupBy("loop").agg(F.count_if("bad").alias("violations"), F.min(F.when(F.col("bad"), F.struct("n", "p"))).alias("w"))
     return r.select("loop", "violations", F.col("w.n").alias("trips"), F.col("w.p").alias("parameter"))
@@ -131,19 +133,19 @@ _RELATED = [
 ]
 
 
-@query("verify_relations", verify.verdicts_sql(_grid(8), _RELATED, 8))
+@query("verify_relations", verify.verdicts_sql(_grid(8), _RELATED, 8, drawn=True))
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that hold under a relation of two variables: order, inequality, masks that don't meet."""
-    return verify.verdicts(verify.exhaustive(spark, 8), _RELATED, 8)
+    return verify.verdicts(sampled(spark, sf_dir, 8), _RELATED, 8, drawn=True)
 
 
 _CLEAN = [verify.Rule("uses-poison", ("mul", "x", 0), ("mul", "y", 0), assume=a) for a in ("true",)] + [verify.Rule("not-poison", ("mul", "x", 0), ("mul", "y", 0), assume="not y_poison"), verify.Rule("neither-poison", ("xor", "x", "x"), ("xor", "y", "y"), assume="not x_poison and not y_poison")]
-_STATES = "select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from range(1024) t(i)"
+_STATES = f"select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from {drawn_sql(1024)}"
 
 
-@query("verify_not_poison", verify.verdicts_sql(_STATES, _CLEAN, 4, poison=("x", "y")))
+@query("verify_not_poison", verify.verdicts_sql(_STATES, _CLEAN, 4, poison=("x", "y"), drawn=True))
 def _not_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verdicts(verify.exhaustive(spark, 4, poison=("x", "y")), _CLEAN, 4, poison=("x", "y"))
+    return verify.verdicts(sampled(spark, sf_dir, 4, poison=("x", "y")), _CLEAN, 4, poison=("x", "y"), drawn=True)
 
 
 # ---- attribution, shapes, guards
@@ -166,7 +168,7 @@ def _vectors_sql(items: dict[str, str], name: str) -> str:
 @query("attribution_join", f"with b as ({_battery_sql(8)}), s as (select * from ({_vectors_sql(_BEFORE, 'f')}) where swapped = 0), t as (select * from ({_vectors_sql(_AFTER, 'f')}) where swapped = 0), fb as ({_vectors_sql({k: a for k, (a, _) in _FOLDS.items()}, 'fold')}), fa as ({_vectors_sql({k: c for k, (_, c) in _FOLDS.items()}, 'fold')}), o as (select * from (values {_values(list((k, i) for i, k in enumerate(_FOLDS)))}) v(fold, ord)), m as (select s.f, fb.fold, ord from s join fb on s.v = fb.v join fa on fb.fold = fa.fold and fb.swapped = fa.swapped join t on t.f = s.f and t.v = fa.v join o on o.fold = fb.fold) select f, arg_min(fold, ord) as fold from m group by f")
 def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change of a function with the first fold that explains it under some order of the parameters: outputs over one battery are the join key."""
-    b = battery(spark, 8)
+    b = battery(spark, sf_dir, 8)
 
     def vectors(items: dict[str, str], name: str) -> DataFrame:
         both = F.array(*[F.struct(F.lit(k).alias(name), F.lit(p).alias("swapped"), F.expr(f"cast({_named(e, p)} as bigint)").alias("out")) for k, e in items.items() for p in (0, 1)])
@@ -383,10 +385,10 @@ def _triage_rules() -> list:
     return [verify.Rule(f"{n}|{g or 'always'}", b, a, assume=_ATOMS.get(g, "true")) for n, _, b, a, _ in _TRIAGE for g in ("", *_ATOMS)]
 
 
-@query("triage", f"with v as ({verify.verdicts_sql(_grid(4), _triage_rules(), 4)}), s as (select split_part(rule, '|', 1) as name, bool_or(split_part(rule, '|', 2) = 'always' and violations = 0) as sound, bool_or(split_part(rule, '|', 2) <> 'always' and violations = 0 and rows_checked > 0) as guarded from v group by 1), t as (select * from (values {_values([(n, f, r) for n, f, _, _, r in _TRIAGE])}) t(name, faithful, run)) select name, case when not faithful then 'lifter-issue' when sound then 'not-a-bug' when guarded then 'missing-precondition' when run = 'refuted' then 'real' else 'suspected' end as verdict from t join s using (name)")
+@query("triage", f"with v as ({verify.verdicts_sql(_grid(4), _triage_rules(), 4, drawn=True)}), s as (select split_part(rule, '|', 1) as name, bool_or(split_part(rule, '|', 2) = 'always' and violations = 0) as sound, bool_or(split_part(rule, '|', 2) <> 'always' and violations = 0 and rows_checked > 0) as guarded from v group by 1), t as (select * from (values {_values([(n, f, r) for n, f, _, _, r in _TRIAGE])}) t(name, faithful, run)) select name, case when not faithful then 'lifter-issue' when sound then 'not-a-bug' when guarded then 'missing-precondition' when run = 'refuted' then 'real' else 'suspected' end as verdict from t join s using (name)")
 def _triage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a refuted transform is: ill read, sound after all, sound under some guard, refuted by a run as well, or suspected."""
-    v = verify.verdicts(verify.exhaustive(spark, 4), _triage_rules(), 4)
+    v = verify.verdicts(sampled(spark, sf_dir, 4), _triage_rules(), 4, drawn=True)
     name, guard = F.split_part("rule", F.lit("|"), F.lit(1)), F.split_part("rule", F.lit("|"), F.lit(2))
     good = F.col("violations") == 0
     s = v.groupBy(name.alias("name")).agg(F.bool_or((guard == "always") & good).alias("sound"), F.bool_or((guard != "always") & good & (F.col("rows_checked") > 0)).alias("guarded"))
@@ -410,36 +412,33 @@ def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graphs
 
-# Graphs with known loops: a line, nested loops, a diamond with a loop in an arm, a loop with two entries.
-_EDGES = [
-    ("line", 0, 1), ("line", 1, 2), ("line", 2, 3), ("nested", 0, 1), ("nested", 1, 2), ("nested", 2, 3), ("nested", 3, 2), ("nested", 3, 4), ("nested", 4, 1), ("nested", 4, 5), ("nested", 9, 4),
-    ("diamond", 0, 1), ("diamond", 0, 2), ("diamond", 1, 3), ("diamond", 2, 4), ("diamond", 4, 2), ("diamond", 2, 3), ("diamond", 3, 5), ("two-entries", 0, 1), ("two-entries", 0, 2), ("two-entries", 1, 2), ("two-entries", 2, 1), ("two-entries", 2, 3),
-]
-_GRAPHS = ("line", "nested", "diamond", "two-entries")
-_DOM_SQL = f"recursive e as (select graph, src::BIGINT as src, dst::BIGINT as dst from (values {_values(_EDGES)}) t(graph, src, dst)), r as (select distinct graph, 0::BIGINT as node from e union select e.graph, e.dst from r join e on e.graph = r.graph and e.src = r.node), a as (select graph, node as without, 0::BIGINT as node from r where node <> 0 union select a.graph, a.without, e.dst from a join e on e.graph = a.graph and e.src = a.node and e.dst <> a.without), dom as (select r.graph, r.node, d.node as dominator from r join r d on r.graph = d.graph where not exists (select 1 from a where a.graph = r.graph and a.without = d.node and a.node = r.node))"
+# A graph for each order: its lines lead from one of eight nodes to another; the root is node 0.
+_DOM_SQL = "recursive e as (select distinct l_orderkey as graph, (l_linenumber - 1)::BIGINT as src, (l_partkey % 8)::BIGINT as dst from lineitem), r as (select distinct graph, 0::BIGINT as node from e union select e.graph, e.dst from r join e on e.graph = r.graph and e.src = r.node), a as (select graph, node as without, 0::BIGINT as node from r where node <> 0 union select a.graph, a.without, e.dst from a join e on e.graph = a.graph and e.src = a.node and e.dst <> a.without), dom as (select r.graph, r.node, d.node as dominator from r join r d on r.graph = d.graph where not exists (select 1 from a where a.graph = r.graph and a.without = d.node and a.node = r.node))"
 
 
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_EDGES, "graph string, src bigint, dst bigint"), spark.createDataFrame([(g, 0) for g in _GRAPHS], "graph string, node bigint")
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as graph", "l_linenumber - 1L as src", "l_partkey % 8 as dst").distinct()
+    return edges, edges.select("graph", F.lit(0).cast("bigint").alias("node")).distinct()
 
 
 @query("dominators", f"with {_DOM_SQL} select graph, node, string_agg(dominator::VARCHAR, ',' order by dominator) as dominators from dom group by graph, node")
 def _dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.dominators(*_graph(spark)).select("graph", "node", F.array_join(F.col("dominators").cast("array<string>"), ",").alias("dominators"))
+    return graphs.dominators(*_graph(spark, sf_dir)).select("graph", "node", F.array_join(F.col("dominators").cast("array<string>"), ",").alias("dominators"))
 
 
 @query("loop_headers", f"with {_DOM_SQL} select distinct e.graph, e.dst as header, e.src as tail from e join dom on dom.graph = e.graph and dom.node = e.src and dom.dominator = e.dst")
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, roots = _graph(spark)
+    edges, roots = _graph(spark, sf_dir)
     return graphs.loop_headers(edges, graphs.dominators(edges, roots))
 
 
-_PATHS = [("nested", "inner", [2, 3, 2]), ("nested", "outer", [1, 2, 3, 4, 1]), ("nested", "broken", [1, 3]), ("line", "single", [2]), ("diamond", "arm", [0, 2, 4, 2, 3]), ("line", "backwards", [2, 1])]
-
-
-@query("path_check", f"with e as (select * from (values {_values(_EDGES)}) t(graph, src, dst)), p as (select * from (values {_values(_PATHS)}) t(graph, path, nodes)), s as (select graph, path, unnest(nodes[1:len(nodes)-1]) as src, unnest(nodes[2:]) as dst from p) select p.path, count(s.src) as n_steps, bool_and(s.src is null or e.src is not null) as exists from p left join s using (graph, path) left join (select distinct * from e) e on e.graph = p.graph and e.src = s.src and e.dst = s.dst group by p.path")
+@query("path_check", "with e as (select distinct l_orderkey as graph, l_linenumber - 1 as src, l_partkey % 8 as dst from lineitem), p as (select l_orderkey as path, list_prepend(0, list(l_partkey % 8 order by l_linenumber, l_partkey, l_suppkey)) as nodes from lineitem group by 1), s as (select path, unnest(nodes[1:len(nodes)-1]) as src, unnest(nodes[2:]) as dst from p) select p.path, count(s.src) as n_steps, bool_and(s.src is null or e.src is not null) as exists from p left join s using (path) left join e on e.graph = p.path and e.src = s.src and e.dst = s.dst group by p.path")
 def _path_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.paths_exist(spark.createDataFrame(_PATHS, "graph string, path string, nodes array<bigint>"), _graph(spark)[0])
+    """Where each order's lines lead, one after the other, as a path through its graph."""
+    line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    p = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("graph")).agg(F.transform(line, lambda x: x.l_partkey % 8).alias("nodes"))
+    p = p.select("graph", F.col("graph").alias("path"), F.concat(F.array(F.lit(0).cast("bigint")), "nodes").alias("nodes"))
+    return graphs.paths_exist(p, _graph(spark, sf_dir)[0])
 
 
 @query("program_graph", "with e as (select event_id, user_id, event_type, row_number() over w as place, lead(event_id) over w as next, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as def from events window w as (partition by user_id order by ts, event_id)) select event_id as src, next as dst, 'flow' as kind from e where next is not null union all select def, event_id, 'use' from e where event_type = 'click' and def is not null")
@@ -456,7 +455,7 @@ def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("graph_contract", f"with {_DOM_SQL}, n as (select graph, src as node from e union select graph, dst from e), f as (select n.graph, count(*) filter (r.node is null) as lost, (select count(*) from e x where x.graph = n.graph and x.src = x.dst) as self_loops, (select count(*) from e x where x.graph = n.graph and x.dst = 0) as into_root from n left join r on r.graph = n.graph and r.node = n.node group by n.graph) select graph, concat_ws(',', case when lost > 0 then 'unreachable' end, case when self_loops > 0 then 'self-loop' end, case when into_root > 0 then 'root-entered' end) as failed, case when lost + self_loops + into_root = 0 then 'ok' else 'failed' end as status from f")
 def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of each graph, which of them failed, and the status that follows."""
-    edges, roots = _graph(spark)
+    edges, roots = _graph(spark, sf_dir)
     nodes = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
     lost = nodes.join(graphs.reachable(edges, roots, ("graph",)).select("graph", "node", F.lit(True).alias("seen")), ["graph", "node"], "left").groupBy("graph").agg(F.count_if(F.col("seen").isNull()).alias("lost"))
     other = edges.groupBy("graph").agg(F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.count_if(F.col("dst") == 0).alias("into_root"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import wide
 from .functions.words import COMPARE, DUCKDB, SPARK, Words
 from .operators import lanes
-from .registry import _BUCKETS_SQL, _buckets, _table, query
+from .registry import _BUCKETS_SQL, _buckets, _table, drawn, drawn_sql, query
 
 _B, _D = Words(8, SPARK), Words(8, DUCKDB)
 _V = f"with d as (select vec_id, {_BUCKETS_SQL} as v from embeddings)"
@@ -132,10 +132,10 @@ def _tree(op: str, xs: list[str]) -> str:
 _XS = ["x0", "x1", "x2", "x3"]
 
 
-@query("reduction_contract", f"with g as (select {', '.join(f'(i >> {2 * k}) & 3 as {x}' for k, x in enumerate(_XS))} from range(256) t(i)) " + " union all ".join(f"select '{o}' as op, count(*) as n_rows, count(*) filter ({_chain(o, _XS)} <> {_tree(o, _XS)}) as violations from g" for o in _REDUCE))
+@query("reduction_contract", f"with g as (select {', '.join(f'(i >> {2 * k}) & 3 as {x}' for k, x in enumerate(_XS))} from {drawn_sql(256)}) " + " union all ".join(f"select '{o}' as op, count(*) as n_rows, count(*) filter ({_chain(o, _XS)} <> {_tree(o, _XS)}) as violations from g" for o in _REDUCE))
 def _reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain and a balanced tree over four lanes; the tree's lanes went through text."""
-    g = spark.range(256).selectExpr(*[f"shiftright(id, {2 * k}) & 3 as {x}" for k, x in enumerate(_XS)])
+    g = drawn(spark, sf_dir, 256).selectExpr(*[f"shiftright(id, {2 * k}) & 3 as {x}" for k, x in enumerate(_XS)])
     g = g.selectExpr("*", *[f"cast(cast({x} as string) as bigint) as {x}_t" for x in _XS])
     rows = F.array(*[F.struct(F.lit(o).alias("op"), F.expr(f"{_chain(o, _XS)} <> {_tree(o, [x + '_t' for x in _XS])}").alias("bad")) for o in _REDUCE])
     return g.select(F.inline(rows)).groupBy("op").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("violations"))
@@ -179,10 +179,11 @@ _FAST = {"add-negated": ("x + (-x)", False), "sub-self": ("x - x", False), "add-
 _FAST_SQL = " union all ".join(f"select '{n}' as rule, count(*) filter (not {'(isnan(x) or isinf(x))' if flags else 'false'}) as n_rows, count(*) filter (not {'(isnan(x) or isinf(x))' if flags else 'false'} and not coalesce(({e}) = 0 and not isnan({e}), false)) as violations from f" for n, (e, flags) in _FAST.items())
 
 
-@query("verify_fast_math", f"with f as (select v::FLOAT as x from (values {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _FLOATS)}) t(v)) {_FAST_SQL}")
+@query("verify_fast_math", f"with f as (select v::FLOAT as x from (values {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _FLOATS)}) t(v) union all select l_quantity::FLOAT from lineitem) {_FAST_SQL}")
 def _fast_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does it give zero? Without flags NaN and infinity are against it; flags take them out."""
     f = spark.createDataFrame([(x,) for x in _FLOATS], "v string").select(F.col("v").cast("float").alias("x"))
+    f = f.unionByName(_table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("float").alias("x")))
     odd = F.isnan("x") | (F.abs("x") == F.lit(float("inf")).cast("float"))
     rows = F.array(*[F.struct(F.lit(n).alias("rule"), (~odd if flags else F.lit(True)).alias("ok"), F.expr(f"not (({e}) = 0 and not isnan({e}))").alias("bad")) for n, (e, flags) in _FAST.items()])
     return f.select(F.inline(rows)).groupBy("rule").agg(F.count_if("ok").alias("n_rows"), F.count_if(F.col("ok") & F.col("bad")).alias("violations"))
