@@ -16,13 +16,16 @@ for _name, _contracts in (("words", memory.WORDS), ("paths", memory.PATHS), ("or
     query(f"memory_{_name}", memory.verdicts_sql(_contracts, drawn_sql(memory.ROWS)))(_run)
 
 
-@query("memory_bytes", "select contract, (list_bool_and(list_transform(range(0, dead), lambda b: b >= off and b < off + size))) as covered, case when off <= 0 and off + size >= dead then 'proved' else 'refuted' end as status, (select count(*) from range(0, dead) t(b) where b < off or b >= off + size)::BIGINT as surviving from (values " + ", ".join(f"('{n}', {d}, {o}, {s})" for n, d, o, s in memory.BYTES) + ") t(contract, dead, off, size)")
+_SPANS = "l_linenumber + 1 as dead, l_suppkey % 6 - 2 as off, l_partkey % 10 as size"
+
+
+@query("memory_bytes", f"with t as (select dead, off, size, count(*) as n from (select {_SPANS} from lineitem) group by all) select dead::BIGINT as dead, off, size, n, list_bool_and(list_transform(range(0, dead), lambda b: b >= off and b < off + size)) as covered, case when off <= 0 and off + size >= dead then 'proved' else 'refuted' end as status, len(list_filter(range(0, dead), lambda b: b < off or b >= off + size))::BIGINT as surviving from t")
 def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store kills another if its bytes cover all of the other's: by the interval, and byte by byte."""
-    t = spark.createDataFrame(memory.BYTES, "contract string, dead int, off int, size int")
-    left = F.filter(F.sequence(F.lit(0), F.col("dead") - 1), lambda b: (b < F.col("off")) | (b >= F.col("off") + F.col("size")))
+    """A store kills another if its bytes cover all of the other's: by the interval, and byte by byte. The shapes of stores are those of rows."""
+    t = _table(spark, sf_dir, "lineitem").selectExpr(*[x.replace("l_linenumber + 1", "l_linenumber + 1L") for x in _SPANS.split(", ")]).groupBy("dead", "off", "size").agg(F.count(F.lit(1)).alias("n"))
+    left = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("dead") - 1), lambda b: (b < F.col("off")) | (b >= F.col("off") + F.col("size")))
     status = F.when((F.col("off") <= 0) & (F.col("off") + F.col("size") >= F.col("dead")), "proved").otherwise("refuted")
-    return t.select("contract", (F.size(left) == 0).alias("covered"), status.alias("status"), F.size(left).cast("bigint").alias("surviving"))
+    return t.select("dead", "off", "size", "n", (F.size(left) == 0).alias("covered"), status.alias("status"), F.size(left).cast("bigint").alias("surviving"))
 
 
 @query("memory_expression", "with d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_partkey & 255, l_suppkey & 255, l_orderkey & 255, 0] as m, l_linenumber % 4 as a, l_suppkey % 4 as b from lineitem), s as (select *, list_transform(m, lambda v, i: case when i - 1 = a then (l_orderkey * 7) & 255 else v end) as n from d) select l_orderkey, l_linenumber, l_partkey, l_suppkey, n as memory, n[b + 1] as loaded, m[b + 1] as before from s")
@@ -46,25 +49,26 @@ def _little(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*keys, (F.col("bytes")[2] + F.col("bytes")[3] * 256).cast("bigint").alias("half"), (F.col("poison")[2] | F.col("poison")[3]).alias("half_poison"))
 
 
-_ACCESS = ", ".join(f"('{n}', {i}, '{a}', {str(e).lower()})" for n, s, e in memory.GLOBALS for i, a in enumerate(s or ["none"]))
+_ACCESS = "case when l_returnflag = 'R' then 'load' else 'store' end as access, l_suppkey % 50 = 7 as outside"
 
 
-@query("global_initializers", f"with a as (select * from (values {_ACCESS}) t(contract, ord, access, outside)), s as (select *, count(*) filter (access = 'store') over (partition by contract order by ord rows unbounded preceding) as stores from a) select contract, count(*) filter (access = 'load' and stores = 0) as bare_loads, case when bool_or(outside) or count(*) filter (access = 'load' and stores = 0) > 0 then 'refuted' else 'proved' end as status from s group by contract")
+@query("global_initializers", f"with a as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, {_ACCESS} from lineitem), s as (select *, count(*) filter (access = 'store') over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as stores from a) select l_orderkey, count(*) filter (access = 'load' and stores = 0) as bare_loads, case when bool_or(outside) or count(*) filter (access = 'load' and stores = 0) > 0 then 'refuted' else 'proved' end as status from s group by l_orderkey")
 def _initializers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An initializer may change if nothing sees it: no load before the first store, no reader from outside. A fold over the accesses."""
-    rows = [(n, s, e) for n, s, e in memory.GLOBALS]
-    t = spark.createDataFrame(rows, "contract string, accesses array<string>, outside boolean")
+    """An initializer may change if nothing sees it: no load before the first store, no reader from outside. An order's lines are the accesses to a global."""
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    t = _table(spark, sf_dir, "lineitem").selectExpr("*", *[x.strip() for x in _ACCESS.rsplit(", ", 1)]).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "access"))).alias("accesses"), F.bool_or("outside").alias("outside"))
     start = F.struct(F.lit(False).alias("stored"), F.lit(0).cast("bigint").alias("bare"))
-    seen = F.aggregate("accesses", start, lambda s, a: F.struct((s.stored | (a == "store")).alias("stored"), (s.bare + F.when((a == "load") & ~s.stored, 1).otherwise(0)).cast("bigint").alias("bare")))
-    return t.select("contract", seen.bare.alias("bare_loads"), F.when(F.col("outside") | (seen.bare > 0), "refuted").otherwise("proved").alias("status"))
+    seen = F.aggregate("accesses", start, lambda s, a: F.struct((s.stored | (a.access == "store")).alias("stored"), (s.bare + F.when((a.access == "load") & ~s.stored, 1).otherwise(0)).cast("bigint").alias("bare")))
+    return t.select("l_orderkey", seen.bare.alias("bare_loads"), F.when(F.col("outside") | (seen.bare > 0), "refuted").otherwise("proved").alias("status"))
 
 
-@query("lane_packs", "select contract, list_bool_and(list_transform(range(1, 5), lambda i: pack[ext[i] + 1] = i - 1)) as lines_up, case when list_bool_and(list_transform(range(1, 5), lambda i: pack[ext[i] + 1] = i - 1)) then 'proved' else 'refuted' end as status from (values " + ", ".join(f"('{n}', {p}, {e})" for n, p, e in memory.PACKS) + ") t(contract, pack, ext)")
+@query("lane_packs", "with t as (select distinct l_partkey % 256 as p, l_suppkey % 256 as s from lineitem), v as (select p, s, list_transform(range(0, 4), lambda i: (p >> (2 * i)) & 3) as pack, list_transform(range(0, 4), lambda i: (s >> (2 * i)) & 3) as ext from t) select p, s, list_bool_and(list_transform(range(1, 5), lambda i: pack[ext[i] + 1] = i - 1)) as lines_up, case when list_bool_and(list_transform(range(1, 5), lambda i: pack[ext[i] + 1] = i - 1)) then 'proved' else 'refuted' end as status from v")
 def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lanes packed and extracted line up if pack[ext[i]] = i for every lane."""
-    t = spark.createDataFrame(memory.PACKS, "contract string, pack array<int>, ext array<int>")
+    """Lanes packed and extracted line up if pack[ext[i]] = i for every lane. Both maps are cut from keys, two bits a lane."""
+    lanes = lambda c: F.array(*[F.expr(f"cast(shiftright({c}, {2 * i}) & 3 as int)") for i in range(4)])
+    t = _table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 256 as p", "l_suppkey % 256 as s").distinct().select("p", "s", lanes("p").alias("pack"), lanes("s").alias("ext"))
     good = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("pack")[F.col("ext")[i]] == i)
-    return t.select("contract", good.alias("lines_up"), F.when(good, "proved").otherwise("refuted").alias("status"))
+    return t.select("p", "s", good.alias("lines_up"), F.when(good, "proved").otherwise("refuted").alias("status"))
 
 
 # Propositional contracts, as premises and goal over the facts a to d.

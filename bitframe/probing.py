@@ -46,9 +46,12 @@ def _normal_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("event_id", *[f"cast({configs.normal(f, v)} as bigint) as {f}" for f, v in _RAW.items()])
 
 
-@query("config_default", "select * from (values " + ", ".join(f"('{f}', {v}::BIGINT)" for f, v in configs.default().items()) + ") t(field, value)")
+@query("config_default", f"with c as ({_ROWS_SQL}) " + " union all ".join(f"select '{f}' as field, {v}::BIGINT as value, count(*) filter ({f} = {v}) as n from c" for f, v in configs.default().items()))
 def _default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(configs.default().items()), "field string, value bigint")
+    """The default row, and how many seeds have each of its values."""
+    base = configs.default()
+    sums = _rows(spark, sf_dir).agg(*[F.count_if(F.col(f) == v).alias(f) for f, v in base.items()])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).cast("bigint").alias("value"), F.col(f).alias("n")) for f, v in base.items()])))
 
 
 @query("config_mutants", configs.mutants_sql(f"({_ROWS_SQL})", "seed", 1, DUCKDB))
@@ -71,12 +74,15 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATCHES = "select * from (values " + ", ".join(f"('{m}', '{f}', {v}::BIGINT)" for m, p in probes.MARKERS.items() for f, v in configs.patched(p).items()) + ") t(marker, field, value)"
 
 
-@query("marker_patches", _PATCHES)
+@query("marker_patches", f"with c as ({_ROWS_SQL}), p as ({_PATCHES}), n as (" + " union all ".join(f"select '{f}' as field, {f} as value, count(*) as n from c group by 2" for f in configs.FIELDS) + ") select marker, field, value, coalesce(n, 0) as n from p left join n using (field, value)")
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches meet the default row by field: a left join, the patch's value first."""
+    """Patches meet the default row by field: a left join, the patch's value first; n: seeds with this value."""
     patch = spark.createDataFrame([(m, f, v) for m, p in probes.MARKERS.items() for f, v in p.items()], "marker string, field string, patch bigint")
     base = spark.createDataFrame([(m, f, v) for m in probes.MARKERS for f, v in configs.default().items()], "marker string, field string, value bigint")
-    return base.join(patch, ["marker", "field"], "left").select("marker", "field", F.coalesce("patch", "value").alias("value"))
+    asked = base.join(patch, ["marker", "field"], "left").select("marker", "field", F.coalesce("patch", "value").alias("value"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in configs.FIELDS]))
+    n = _rows(spark, sf_dir).select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(n, ["field", "value"], "left").select("marker", "field", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _MARKED_SQL = f"select *, list_filter([{', '.join(f'''case when {c} then '{m}' end''' for m, c in ((m, probes.CLOSED[m]) for m in probes.MARKERS))}], lambda x: x is not null) as markers from c"

@@ -43,11 +43,13 @@ def _freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL_RULES = [*verify.IDENTITIES, *verify.NEGATIVES, *verify.STEPS, *verify.CALLS]
 
 
-@query("undef_risk", f"select rule, len(list_filter(after, lambda v: not list_contains(before, v))) > 0 as risky from (values {_values([(f'{i}:{r.name}', variables(r.before), variables(r.after)) for i, r in enumerate(_ALL_RULES)]).replace('[]', '[]::VARCHAR[]')}) t(rule, before, after)")
+@query("undef_risk", f"select rule, len(list_filter(after, lambda v: not list_contains(before, v))) > 0 as risky, case when len(list_filter(after, lambda v: not list_contains(before, v))) > 0 then (select count(*) from lineitem where l_linenumber % 7 = 0) else 0 end as n_rows from (values {_values([(f'{i}:{r.name}', variables(r.before), variables(r.after)) for i, r in enumerate(_ALL_RULES)]).replace('[]', '[]::VARCHAR[]')}) t(rule, before, after)")
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule whose result has a variable that its source hasn't can't be judged where that variable may be undefined."""
-    t = spark.createDataFrame([(f"{i}:{r.name}", variables(r.before), variables(r.after)) for i, r in enumerate(_ALL_RULES)], "rule string, before array<string>, after array<string>")
-    return t.select("rule", (F.size(F.array_except("after", "before")) > 0).alias("risky"))
+    """A rule whose result has a variable that its source hasn't can't be judged where that variable may be undefined: here in every row of the seventh line."""
+    unsure = _table(spark, sf_dir, "lineitem").agg(F.count_if(F.col("l_linenumber") % 7 == 0).alias("n"))
+    risky = F.size(F.array_except("after", "before")) > 0
+    rows = F.explode(F.array(*[F.struct(F.lit(f"{i}:{r.name}").alias("rule"), F.lit(variables(r.before)).cast("array<string>").alias("before"), F.lit(variables(r.after)).cast("array<string>").alias("after")) for i, r in enumerate(_ALL_RULES)]))
+    return unsure.select("n", rows.alias("r")).select("n", "r.*").select("rule", risky.alias("risky"), F.when(risky, F.col("n")).otherwise(0).alias("n_rows"))
 
 
 _ATOMS = {"x<128": "x < 128", "y<128": "y < 128", "y>0": "y > 0", "pow2(y)": "y > 0 and (y & (y - 1)) = 0", "x>=y": "x >= y", "apart": "(x & y) = 0"}

@@ -186,13 +186,14 @@ def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(t, "f").join(folds, ["source", "target"]).groupBy("f").agg(F.min_by("fold", order).alias("fold"))
 
 
-_TREES = ["(add a (mul b a))", "(add y (mul x y))", "(add a (mul a b))", "(sub p q)", "(sub q p)", "(xor m m)", "(xor z z)", "(xor m n)"]
+# A tree for each row: two operations and three variables.
+_TREE = "concat('(', case l_returnflag when 'A' then 'add' when 'N' then 'sub' else 'xor' end, ' ', chr(cast(97 + l_partkey % 4 as int)), ' (', case l_linestatus when 'F' then 'mul' else 'shl' end, ' ', chr(cast(97 + l_suppkey % 4 as int)), ' ', chr(cast(97 + l_linenumber % 4 as int)), '))')"
 
 
-@query("shape_canonical", f"with t as (select i, s, regexp_extract_all(s, '[a-z]+|[()]') as w from (select unnest(range({len(_TREES)})) as i, unnest({_TREES!r}) as s)), v as (select i, s, w, list_distinct_ordered as u from (select i, s, w, list_transform(list_filter(w, lambda x: len(x) = 1 and x not in ('(', ')')), lambda x: x) as n from t) q, lateral (select list(x order by p) as list_distinct_ordered from (select x, min(p) as p from (select unnest(n) as x, generate_subscripts(n, 1) as p) group by x))), c as (select i, s, array_to_string(list_transform(w, lambda x: case when len(x) = 1 and x not in ('(', ')') then 'v' || list_position(u, x) else x end), ' ') as canonical from v) select canonical, count(*) as n, string_agg(s, ';' order by s) as trees from c group by 1")
+@query("shape_canonical", f"with t as (select i, s, regexp_extract_all(s, '[a-z]+|[()]') as w from (select row_number() over () as i, s from (select distinct {_TREE} as s from lineitem))), v as (select i, s, w, list_distinct_ordered as u from (select i, s, w, list_transform(list_filter(w, lambda x: len(x) = 1 and x not in ('(', ')')), lambda x: x) as n from t) q, lateral (select list(x order by p) as list_distinct_ordered from (select x, min(p) as p from (select unnest(n) as x, generate_subscripts(n, 1) as p) group by x))), c as (select i, s, array_to_string(list_transform(w, lambda x: case when len(x) = 1 and x not in ('(', ')') then 'v' || list_position(u, x) else x end), ' ') as canonical from v) select canonical, count(*) as n, string_agg(s, ';' order by s) as trees from c group by 1")
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees that are equal up to the names of variables: names become their order of appearance, and the text is the key."""
-    t = spark.createDataFrame([(s,) for s in _TREES], "s string").withColumn("w", F.regexp_extract_all("s", F.lit("[a-z]+|[()]"), F.lit(0)))
+    t = _table(spark, sf_dir, "lineitem").select(F.expr(_TREE).alias("s")).distinct().withColumn("w", F.regexp_extract_all("s", F.lit("[a-z]+|[()]"), F.lit(0)))
     variable = lambda x: x.rlike("^[a-z]$")
     t = t.withColumn("u", F.array_distinct(F.filter("w", variable)))
     canonical = F.array_join(F.transform("w", lambda x: F.when(variable(x), F.concat(F.lit("v"), F.array_position("u", x).cast("string"))).otherwise(x)), " ")
@@ -251,10 +252,12 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- matrices, gaps, top counts, sets
 
-@query("matrix_grid", "select w::BIGINT as width, l::BIGINT as lanes, (w * l)::BIGINT as bits from (select unnest([8, 16, 32, 64]) as w) a, (select unnest([2, 4, 8, 16]) as l) b")
+@query("matrix_grid", "with n as (select 8 << (l_linenumber % 4) as w, 2 << (l_suppkey % 4)::INT as l, count(*) as n from lineitem where l_partkey % 3 = 0 and l_suppkey % 5 > 0 group by 1, 2) select a.w::BIGINT as width, b.l::BIGINT as lanes, (a.w * b.l)::BIGINT as bits, coalesce(n, 0) as n from (select unnest([8, 16, 32, 64]) as w) a cross join (select unnest([2, 4, 8, 16]) as l) b left join n on n.w = a.w and n.l = b.l")
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = spark.range(1).select(F.explode(F.lit([8, 16, 32, 64]).cast("array<bigint>")).alias("width"))
-    return one.select("width", F.explode(F.lit([2, 4, 8, 16]).cast("array<bigint>")).alias("lanes")).withColumn("bits", F.col("width") * F.col("lanes"))
+    grid = one.select("width", F.explode(F.lit([2, 4, 8, 16]).cast("array<bigint>")).alias("lanes")).withColumn("bits", F.col("width") * F.col("lanes"))
+    found = _table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0 and l_suppkey % 5 > 0").selectExpr("shiftleft(8L, l_linenumber % 4) as width", "shiftleft(2L, cast(l_suppkey % 4 as int)) as lanes").groupBy("width", "lanes").agg(_n().alias("n"))
+    return grid.join(found, ["width", "lanes"], "left").select("width", "lanes", "bits", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("pass_loop_matrix", "with p as (select distinct l_returnflag as pass from lineitem), l as (select unnest(range(1, 9)) as loop), c as (select l_returnflag as pass, l_linenumber as loop, count(*) as n, count(*) filter (l_linestatus = 'F') as positive from lineitem group by 1, 2), m as (select p.pass, l.loop, coalesce(n, 0) as n, coalesce(positive, 0) as positive from p cross join l left join c on c.pass = p.pass and c.loop = l.loop) select coalesce(pass, 'all') as pass, loop::BIGINT as loop, sum(n)::BIGINT as n, sum(positive)::BIGINT as positive, (case when sum(n) = 0 then 0 else round(100.0 * sum(positive) / sum(n), 1) end)::DOUBLE as rate from m group by grouping sets ((pass, loop), (pass), ())")
@@ -346,16 +349,18 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATES = [("identity", "(?op ?x 0)"), ("self", "(?op ?x ?x)"), ("commute", "(?op ?x ?y)")]
-_HOLES = [("identity", "?op", "add"), ("identity", "?x", "a"), ("self", "?op", "xor"), ("self", "?x", "b"), ("commute", "?op", "mul"), ("commute", "?x", "a"), ("commute", "?y", "b")]
+_FILLERS = "case l_returnflag when 'A' then 'add' when 'N' then 'mul' else 'xor' end as op, chr(cast(97 + l_partkey % 5 as int)) as x, case when l_suppkey % 7 > 0 then chr(cast(97 + l_suppkey % 7 as int)) end as y"
 
 
-@query("template_instances", "select * from (values ('identity', '(add a 0)', 0::BIGINT), ('self', '(xor b b)', 0), ('commute', '(mul a b)', 0)) t(rule, text, open_holes)")
+@query("template_instances", f"with b as (select distinct {_FILLERS} from lineitem), t as (select * from (values {_values(_TEMPLATES)}) t(rule, template)), f as (select rule, replace(replace(replace(template, '?op', op), '?x', x), '?y', coalesce(y, '?y')) as text from t, b) select distinct rule, text, (length(text) - length(replace(text, '?', '')))::BIGINT as open_holes from f")
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates with their holes filled, one after the other by a fold over their bindings."""
-    t = spark.createDataFrame(_TEMPLATES, "rule string, template string")
-    b = spark.createDataFrame(_HOLES, "rule string, hole string, filler string").groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("hole", "filler"))).alias("b"))
-    text = F.aggregate("b", F.col("template"), lambda s, x: F.replace(s, x.hole, x.filler))
-    return t.join(b, "rule").select("rule", text.alias("text"), F.regexp_count(text, F.lit(r"\?")).cast("bigint").alias("open_holes"))
+    """Templates with their holes filled from rows' bindings, one after the other by a fold; a hole without a binding stays open."""
+    b = _table(spark, sf_dir, "lineitem").select(F.expr(f"struct({_FILLERS})").alias("b")).select("b.*").distinct()
+    every = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(t).alias("template")) for r, t in _TEMPLATES]))
+    holes = F.array(*[F.struct(F.lit(f"?{n}").alias("hole"), F.col(n).alias("filler")) for n in ("op", "x", "y")])
+    text = F.aggregate("holes", F.col("t.template"), lambda s, h: F.when(h.filler.isNull(), s).otherwise(F.replace(s, h.hole, h.filler)))
+    out = b.select(holes.alias("holes"), every.alias("t")).select("t.rule", text.alias("text")).distinct()
+    return out.select("rule", "text", F.regexp_count("text", F.lit(r"\?")).cast("bigint").alias("open_holes"))
 
 
 @query("golden_digest", "select o_orderkey, sha256('{\"custkey\":' || o_custkey || ',\"priority\":\"' || o_orderpriority || '\",\"status\":\"' || o_orderstatus || '\"}') as digest from orders")

@@ -164,10 +164,11 @@ _KIND = "case when isnan({v}) then 'nan' when isinf({v}) then case when {v} > 0
 _FP = {"fpadd": "a + b", "fpsub": "a - b", "fpmul": "a * b"}
 
 
-@query("fp_semantics", f"with t as (select * from (values {_FLOAT_SQL}) v(x, y)), f as (select x, y, x::FLOAT as a, y::FLOAT as b from t), " + "r as (" + " union all ".join(f"select '{o}' as op, x, y, a, b, ({e})::FLOAT as v from f" for o, e in _FP.items()) + " union all select 'fpneg', x, y, a, b, (-a)::FLOAT from f) select op, x, y, " + _KIND.format(v="v") + " as kind, (isnan(a) or isnan(b) or isnan(v)) as nnan_poison, (isinf(a) or isinf(b) or isinf(v)) as ninf_poison from r")
+@query("fp_semantics", f"with t as (select * from (values {_FLOAT_SQL}) v(x, y) union select l_quantity::VARCHAR, l_linenumber::VARCHAR from lineitem), f as (select x, y, x::FLOAT as a, y::FLOAT as b from t), " + "r as (" + " union all ".join(f"select '{o}' as op, x, y, a, b, ({e})::FLOAT as v from f" for o, e in _FP.items()) + " union all select 'fpneg', x, y, a, b, (-a)::FLOAT from f) select op, x, y, " + _KIND.format(v="v") + " as kind, (isnan(a) or isnan(b) or isnan(v)) as nnan_poison, (isinf(a) or isinf(b) or isinf(v)) as ninf_poison from r")
 def _fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, differences, products and signs of 32-bit floats, which kind they are, and when the flags against NaN and infinity make poison."""
-    t = spark.createDataFrame([(x, y) for x in _FLOATS for y in _FLOATS], "x string, y string").select("x", "y", F.col("x").cast("float").alias("a"), F.col("y").cast("float").alias("b"))
+    t = spark.createDataFrame([(x, y) for x in _FLOATS for y in _FLOATS], "x string, y string")
+    t = t.unionByName(_table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("string").alias("x"), F.col("l_linenumber").cast("string").alias("y"))).distinct().select("x", "y", F.col("x").cast("float").alias("a"), F.col("y").cast("float").alias("b"))
     rows = F.array(*[F.struct(F.lit(o).alias("op"), F.expr(e).alias("v")) for o, e in (_FP | {"fpneg": "-a"}).items()])
     r = t.select("x", "y", "a", "b", F.explode(rows).alias("r")).select("r.op", "x", "y", "a", "b", "r.v")
     endless = lambda c: F.abs(F.col(c)) == F.lit(float("inf")).cast("float")
