@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoints import checkpoint_dir
-from .operators import automata, dependencies, intervals, minimise, ordered, passages, recurrences, regions, text, trees
+from .operators import automata, dependencies, extensions, intervals, minimise, ordered, passages, recurrences, regions, text, trees
 from .registry import KEYS, _table, query
 from .sources import records
-from .streaming import versions
+from .streaming import definitions, versions
 
 # ---- elements of pages and their shapes
 
@@ -281,3 +281,102 @@ def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd.select("lot", F.concat(F.lit("[\n"), F.array_join("v", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("lot").text(f"{folder}/arrays")
     rows, rejects = records.ragged(spark, folder, o.schema, recursive=True)
     return rows.withColumn("why", F.lit(None).cast("string")).unionByName(rejects.select("why"), allowMissingColumns=True)
+
+
+# ---- last definitions: the exact name first, then its base name
+
+KEEP = 5 * DAY
+_DEFINED = "user_id as user, epoch_us(ts) as tm, event_id as row, 'item' || case when (event_id // 3) % 4 = 0 then case when event_type = 'purchase' then '' else '.0' end else '.' || ((event_id // 3) % 4)::varchar end as symbol, event_type = 'purchase' as defines"
+_DEFINED_SQL = (
+    f"with r as (select {_DEFINED} from events where event_type in ('purchase', 'click')), w as (select *, "
+    "last_value(case when defines then {'d': row, 't': tm} end ignore nulls) over (partition by user, symbol order by tm, row rows between unbounded preceding and 1 preceding) as exact, "
+    "last_value(case when defines and symbol = 'item' then {'d': row, 't': tm} end ignore nulls) over (partition by user order by tm, row rows between unbounded preceding and 1 preceding) as near from r) "
+    f"select user::varchar as user, row, case when tm - exact.t <= {KEEP} then exact.d when tm - near.t <= {KEEP} then near.d end as definition, case when tm - exact.t <= {KEEP} then 'exact' when tm - near.t <= {KEEP} then 'base' end as found from w where not defines"
+)
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").where("event_type in ('purchase', 'click')")
+    part = F.expr("(event_id div 3) % 4")
+    name = F.when(part != 0, F.concat(F.lit("item."), part.cast("string"))).when(F.col("event_type") == "purchase", "item").otherwise("item.0")
+    time = F.col("ts").cast("timestamp")
+    return e.select(F.col("user_id").alias("user"), time.alias("time"), F.unix_micros(time).alias("at"), F.col("event_id").alias("row"), name.alias("symbol"), (F.col("event_type") == "purchase").alias("defines"))
+
+
+@query("definitions_with_fallback", _DEFINED_SQL)
+def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.last(_definitions(spark, sf_dir), KEEP)
+
+
+@query("definitions_on_a_stream", _DEFINED_SQL)
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and clicks as a stream of three files in the order of time, then a row long after, which lets the watermark pass all others."""
+    folder = f"{checkpoint_dir(spark)}/definitions-{uuid.uuid4().hex}"
+    rows = _definitions(spark, sf_dir)
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        return definitions.last(rows, KEEP)
+    part = F.least(F.lit(2), F.floor((F.col("at") - low) * 3 / (high - low + 1)))
+    for k in range(3):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end = rows.limit(1).withColumns({"user": F.lit(-1).cast("bigint"), "at": F.lit(high + 30 * DAY)}).withColumn("time", F.timestamp_micros("at"))
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    before = definitions.use_state_store(spark)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        out = definitions.streamed(stream, KEEP)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(definitions.RESULT).parquet(f"{folder}/out")
+
+
+# ---- operators of users, admitted by their results
+
+_ROTATED = "((x << 3) | (x >> 5)) & 255"
+
+
+class _Bits:
+    """The places of a number's set bits, a row for each."""
+
+    def eval(self, x: int):  # noqa: ANN201
+        for i in range(8):
+            if x >> i & 1:
+                yield (i,)
+
+
+class _BitsOff:
+    """The same, but for the highest bit, which it forgets."""
+
+    def eval(self, x: int):  # noqa: ANN201
+        for i in range(7):
+            if x >> i & 1:
+                yield (i,)
+
+
+def _proposals() -> extensions.Registry:
+    shift = lambda x, k: F.shiftleft(x, k).bitwiseOR(F.shiftright(x, 8 - k)).bitwiseAND(F.lit(255))
+    bits = lambda x: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftright", x, i).bitwiseAND(1) == 1).cast("array<bigint>")
+    return extensions.Registry(
+        [
+            extensions.Scalar("rotate-3", lambda x: shift(x, 3), lambda x: ((x << 3) | (x >> 5)) & 255),
+            extensions.Scalar("rotate-3-by-5", lambda x: shift(x, 5), lambda x: ((x << 3) | (x >> 5)) & 255),
+            extensions.Scalar("fails-at-7", lambda x: F.lit(1).cast("bigint"), lambda x: 1 // (x - 7) * 0 + 1),
+            extensions.Table("bits", _Bits, bits),
+            extensions.Table("bits-but-one", _BitsOff, bits),
+        ]
+    )
+
+
+@query("extensions_admitted", f"with b as (select distinct l_partkey & 255 as x from lineitem), n as (select count(*) as n from b) select 'rotate-3' as name, 'scalar' as kind, n as checked, 0::BIGINT as disagreements, null::BIGINT as witness, n > 0 as admitted from n union all select 'rotate-3-by-5', 'scalar', n, (select count(*) from b where (((x << 5) | (x >> 3)) & 255) <> ({_ROTATED})), (select min(x) from b where (((x << 5) | (x >> 3)) & 255) <> ({_ROTATED})), false from n union all select 'fails-at-7', 'scalar', n, (select count(*) from b where x = 7), (select min(x) from b where x = 7), (select count(*) from b where x = 7) = 0 from n union all select 'bits', 'table', n, 0, null, n > 0 from n union all select 'bits-but-one', 'table', n, (select count(*) from b where x >= 128), (select min(x) from b where x >= 128), false from n")
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposals().verdicts(_table(spark, sf_dir, "lineitem").select(F.expr("l_partkey & 255").alias("x")))
+
+
+@query("extensions_applied", f"with d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey & 255 as x from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, {_ROTATED} as rotated, i::BIGINT as bit from d, range(8) t(i) where (x >> i) & 1 = 1")
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two operators that were admitted, on all rows."""
+    rows = _table(spark, sf_dir, "lineitem").select(*KEYS, F.expr("l_partkey & 255").alias("x"))
+    registry = _proposals()
+    registry.admit(rows.select("x"))
+    return registry.apply(registry.apply(rows, "rotate-3", "x", "rotated"), "bits", "x", "bit").drop("x")

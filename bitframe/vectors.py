@@ -149,13 +149,13 @@ def _halves_sql(v: str, n: int) -> str:
     return f"({v})[1]"
 
 
-@query("fp_reduce", "with d as (select vec_id, embedding[1:8] as v, embedding as e from embeddings) select vec_id, list_reduce(e, lambda a, x: a + x, 0::FLOAT)::DOUBLE as chain, list_reduce(v, lambda a, x: a * x, 1::FLOAT)::DOUBLE as product, " + f"({_halves_sql('v', 8)})::DOUBLE as tree_of_eight from d")
+@query("fp_reduce", "with d as (select vec_id, embedding as e from embeddings), " + ", ".join(f"h{n} as (select *, list_transform(range(1, {n + 1}), lambda i: {v}[i] + {v}[i + {n}]) as h{n} from {d})" for n, v, d in ((32, "e", "d"), (16, "h32", "h32"), (8, "h16", "h16"), (4, "h8", "h8"), (2, "h4", "h4"))) + " select vec_id, list_reduce(e, lambda a, x: a + x, 0::FLOAT)::DOUBLE as chain, list_reduce(e, lambda a, x: a * x, 1::FLOAT)::DOUBLE as product, list_reduce(e, lambda a, x: a - x, 0::FLOAT)::DOUBLE as difference, (h2[1] + h2[2])::DOUBLE as tree from h2")
 def _fp_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered folds of 32-bit floats, and a tree over eight lanes, which rounds otherwise."""
-    d = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e"), F.slice("embedding", 1, 8).alias("v"))
+    """Ordered folds of 32-bit floats over all lanes, and a tree over them, which rounds otherwise."""
+    d = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e"))
     one = lambda x: F.lit(x).cast("float")
     plus = lambda a, x: a + x
-    return d.select("vec_id", lanes.folded(F.col("e"), one(0), plus).cast("double").alias("chain"), lanes.folded(F.col("v"), one(1), lambda a, x: a * x).cast("double").alias("product"), lanes.balanced(F.col("v"), 8, plus).cast("double").alias("tree_of_eight"))
+    return d.select("vec_id", lanes.folded(F.col("e"), one(0), plus).cast("double").alias("chain"), lanes.folded(F.col("e"), one(1), lambda a, x: a * x).cast("double").alias("product"), lanes.folded(F.col("e"), one(0), lambda a, x: a - x).cast("double").alias("difference"), lanes.balanced(F.col("e"), 64, plus).cast("double").alias("tree"))
 
 
 _FLOATS = ["0.0", "-0.0", "1.0", "-1.0", "1.5e38", "3.0e38", "Infinity", "-Infinity", "NaN"]

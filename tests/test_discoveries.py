@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.operators import automata, dependencies, intervals, minimise, passages, recurrences, regions, trees
-from bitframe.streaming import versions
+from bitframe.operators import automata, dependencies, extensions, intervals, minimise, passages, recurrences, regions, trees
+from bitframe.streaming import definitions, versions
 
 
 def plain_pairs(tokens):
@@ -294,3 +294,71 @@ def test_versions_count_each_batch_once(spark, tmp_path):
         add(frame.where(f"i % 3 = {k}"), k)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state")).collect()), key=repr) == before and state() == want
     assert state(before=1) == {f: min(a for i, (g, a) in enumerate(rows) if g == f and i % 3 == 0) for i, (f, _) in enumerate(rows) if i % 3 == 0}
+
+
+# ---- definitions, in batch and on a stream
+
+def plain_definitions(rows, keep):
+    out = []
+    for u, at, row, symbol, defines in rows:
+        if defines or at is None or symbol is None:
+            continue
+        before = sorted((a, r, s) for v, a, r, s, d in rows if v == u and d and a is not None and s is not None and (a, r) < (at, row))
+        pick = lambda name: next(((r, a) for a, r, s in reversed(before) if s == name), None)
+        exact, near = pick(symbol), pick(symbol.split(".")[0])
+        got = (exact[0], "exact") if exact and at - exact[1] <= keep else (near[0], "base") if near and at - near[1] <= keep else (None, None)
+        out.append((None if u is None else str(u), row, *got))
+    return sorted(out, key=repr)
+
+
+def test_definitions_by_name_then_by_base_name(spark, tmp_path):
+    rng = random.Random(14)
+    minute = 60_000_000
+    rows = [(rng.choice([1, 2]), (1000 + rng.randrange(0, 600)) * minute, i, rng.choice(["a", "a.x", "a.y", "b.x", "b"]), rng.random() < 0.4) for i in range(240)]
+    odd = [(None, 5, 900, "a", True), (None, 9, 901, "a.z", False), (1, None, 902, "a", False), (1, 7, 903, None, False)]
+    kinds = "user long, at long, row long, symbol string, defines boolean"
+    keep = 90 * minute
+    assert sorted(map(tuple, definitions.last(spark.createDataFrame(rows + odd, kinds), keep).collect()), key=repr) == plain_definitions(rows + odd, keep)
+    frame = spark.createDataFrame(rows, kinds).withColumn("time", F.timestamp_micros("at"))
+    late = f"(at >= {1200 * minute} and at < {1250 * minute} and row % 2 = 1)"  # within the delay
+    for part in (f"at < {1250 * minute} and not {late}", late, f"at >= {1250 * minute}"):
+        frame.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(9, 10**6 * minute, 999, "a", False)], kinds).withColumn("time", F.timestamp_micros("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = definitions.use_state_store(spark)
+    assert before is None or before.startswith("org.")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    definitions.streamed(stream, keep).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted(map(tuple, spark.read.schema(definitions.RESULT).parquet(str(tmp_path / "out")).collect()), key=repr)
+    whole = plain_definitions(rows, keep)
+    assert got == whole
+
+
+# ---- operators of users
+
+class Halves:
+    def eval(self, x: int):
+        while x:
+            yield (x,)
+            x //= 2
+
+
+def test_operators_are_admitted_by_their_results(spark):
+    plus = extensions.Scalar("plus", lambda x: x + 1, lambda x: x + 1)
+    wrong = extensions.Scalar("wrong at 5", lambda x: F.when(x == 5, 0).otherwise(x + 1), lambda x: x + 1)
+    raises = extensions.Scalar("raises", lambda x: x, lambda x: [0, 1][x])
+    nulls = extensions.Scalar("nulls", lambda x: F.when(x > 3, x), lambda x: x if x > 3 else None)
+    halves = extensions.Table("halves", Halves, lambda x: F.when(x == 0, F.lit([]).cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.log2(x.cast("double")).cast("int")), lambda i: F.call_function("shiftright", x, i))))
+    fewer = extensions.Table("fewer", Halves, lambda x: F.array(x))
+    registry = extensions.Registry([plus, wrong, raises, nulls, halves, fewer])
+    battery = spark.createDataFrame([(x,) for x in (0, 1, 5, 9, 5, None)], "v long")
+    got = {r.name: (r.kind, r.checked, r.disagreements, r.witness, r.admitted) for r in registry.verdicts(battery).collect()}
+    assert got == {"plus": ("scalar", 4, 0, None, True), "wrong at 5": ("scalar", 4, 1, 5, False), "raises": ("scalar", 4, 2, 5, False), "nulls": ("scalar", 4, 0, None, True), "halves": ("table", 4, 0, None, True), "fewer": ("table", 4, 3, 0, False)}
+    with pytest.raises(extensions.Refused):
+        registry.apply(battery, "plus", "v", "w")
+    assert registry.admit(battery) == {"plus", "nulls", "halves"}
+    assert [tuple(r) for r in registry.apply(battery.where("v = 9"), "halves", "v", "w").collect()] == [(9, 9), (9, 4), (9, 2), (9, 1)]
+    assert [r.w for r in registry.apply(battery.where("v = 9"), "plus", "v", "w").collect()] == [10]
+    with pytest.raises(extensions.Refused):
+        registry.apply(battery, "wrong at 5", "v", "w")
+    assert registry.admit(battery.where("false")) == set()
