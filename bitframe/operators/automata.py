@@ -109,6 +109,8 @@ def regions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], symbol:
 
     Rows are in ``order`` within ``keys``, which tells them apart; null keys are a key. A null symbol is none of those named. 2^bits rows are a block.
     """
+    if bits < 1:
+        raise ValueError("a block has two rows at least")
     index = F.lit(len(machine.symbols) - 1)
     for i, x in enumerate(machine.symbols[:-1]):
         index = F.when(F.col(symbol) == x, i).otherwise(index)
