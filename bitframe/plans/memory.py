@@ -116,32 +116,32 @@ def verdicts_sql(contracts: list[Contract], ids: str) -> str:
 
 
 _S, _L = "store", "load"
-# Contracts with known verdicts, each with and without the fact that it needs.
+# Contracts with known verdicts under their published names, in the published order.
 WORDS = [
-    Contract("dead-store-same-address", [(_S, "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")]), Contract("dead-store-other-address", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1")]),
-    Contract("dead-store-aliased", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1")], assume="p = q"),
-    Contract("forward", [(_S, "p", "v0"), (_L, "r", "p")], [(_S, "p", "v0"), ("bind", "r", "v0")], "r"), Contract("forward-wrong-value", [(_S, "p", "v0"), (_L, "r", "p")], [(_S, "p", "v0"), ("bind", "r", "v1")], "r"),
-    Contract("overwritten-load", [(_S, "p", "v0"), (_S, "p", "v1"), (_L, "r", "p")], [("bind", "r", "v1")], "r"),
-    Contract("load-beside-store", [(_S, "p", "v0"), (_L, "r", "q")], [(_L, "r", "q")], "r", "p <> q"), Contract("load-beside-store-unknown", [(_S, "p", "v0"), (_L, "r", "q")], [(_L, "r", "q")], "r"),
-    Contract("forward-across", [(_S, "p", "v0"), (_S, "q", "v1"), (_L, "r", "p")], [(_S, "p", "v0"), (_S, "q", "v1"), ("bind", "r", "v0")], "r", "p <> q"),
-    Contract("forward-across-unknown", [(_S, "p", "v0"), (_S, "q", "v1"), (_L, "r", "p")], [(_S, "p", "v0"), (_S, "q", "v1"), ("bind", "r", "v0")], "r"),
-    Contract("load-again-across", [(_L, "r1", "p"), (_S, "q", "v0"), (_L, "r2", "p")], [(_L, "r1", "p"), (_S, "q", "v0"), ("bind", "r2", "r1")], "r2", "p <> q"),
-    Contract("load-again-across-unknown", [(_L, "r1", "p"), (_S, "q", "v0"), (_L, "r2", "p")], [(_L, "r1", "p"), (_S, "q", "v0"), ("bind", "r2", "r1")], "r2"),
-    Contract("impossible-fact", [(_S, "p", "v0")], [], assume="p <> p"),
+    Contract("dse-dead-store-same-addr-sound", [(_S, "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")]),
+    Contract("dse-dead-store-diff-addr-unsound", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1")]),
+    Contract("store-load-forward-sound", [(_S, "p", "v0"), (_L, "r", "p")], [(_S, "p", "v0"), ("bind", "r", "v0")], "r"),
+    Contract("load-noalias-preserved-sound", [(_S, "p", "v0"), (_L, "r", "q")], [(_L, "r", "q")], "r", "p <> q"),
+    Contract("overwritten-store-fully-killed-sound", [(_S, "p", "v0"), (_S, "p", "v1"), (_L, "r", "p")], [("bind", "r", "v1")], "r"),
+    Contract("store-forward-wrong-value-unsound", [(_S, "p", "v0"), (_L, "r", "p")], [(_S, "p", "v0"), ("bind", "r", "v1")], "r"),
+    Contract("dse-overwrite", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1")], assume="p = q"),
+    Contract("store-forward-across-noalias", [(_S, "p", "v0"), (_S, "q", "v1"), (_L, "r", "p")], [(_S, "p", "v0"), (_S, "q", "v1"), ("bind", "r", "v0")], "r", "p <> q"),
+    Contract("redundant-load-across-noalias", [(_L, "r1", "p"), (_S, "q", "v0"), (_L, "r2", "p")], [(_L, "r1", "p"), (_S, "q", "v0"), ("bind", "r2", "r1")], "r2", "p <> q"),
 ]
+# The same without the fact that they need, and one under a fact that never holds.
+WORDS += [c._replace(name=f"{c.name}: fact dropped", assume="true") for c in WORDS if c.assume != "true" and c.name != "dse-overwrite"]
+WORDS += [Contract("impossible-fact", [(_S, "p", "v0")], [], assume="p <> p")]
+# Published names and order.
 PATHS = [
-    Contract("dead-on-all-paths", [(_S, "p", "v0"), ("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])], [("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])]),
-    Contract("dead-on-one-path", [(_S, "p", "v0"), ("if", "c", [(_S, "p", "v1")], [(_S, "q", "v2")])], [("if", "c", [(_S, "p", "v1")], [(_S, "q", "v2")])], assume="p <> q"),
-    Contract("sink-store", [("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])], [("pick", "p", "c", "v1", "v2")]),
+    Contract("dse-across-diamond-allpaths", [(_S, "p", "v0"), ("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])], [("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])]),
+    Contract("dse-across-diamond-onepath", [(_S, "p", "v0"), ("if", "c", [(_S, "p", "v1")], [(_S, "q", "v2")])], [("if", "c", [(_S, "p", "v1")], [(_S, "q", "v2")])], assume="p <> q"),
+    Contract("store-sink-conditional", [("if", "c", [(_S, "p", "v1")], [(_S, "p", "v2")])], [("pick", "p", "c", "v1", "v2")]),
 ]
+# Published names and order; the last one drops a fact.
 ORDER = [
-    Contract("plain-overwrite", [(_S, "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")], "order"), Contract("synchronised-overwrite", [("sync", "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")], "order"),
-    Contract("swap-across-sync", [(_S, "q", "v1"), ("sync", "p", "v0")], [("sync", "p", "v0"), (_S, "q", "v1")], "order", "p <> q"), Contract("swap-apart", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1"), (_S, "p", "v0")], "order", "p <> q"),
-    Contract("swap-unknown", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1"), (_S, "p", "v0")], "order"),
+    Contract("dse-nonatomic-overwrite", [(_S, "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")], "order"),
+    Contract("dse-atomic-store-not-eliminable", [("sync", "p", "v0"), (_S, "p", "v1")], [(_S, "p", "v1")], "order"),
+    Contract("reorder-store-across-sync", [(_S, "q", "v1"), ("sync", "p", "v0")], [("sync", "p", "v0"), (_S, "q", "v1")], "order", "p <> q"),
+    Contract("reorder-nonatomic-nonalias", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1"), (_S, "p", "v0")], "order", "p <> q"),
+    Contract("reorder-nonatomic-nonalias: fact dropped", [(_S, "p", "v0"), (_S, "q", "v1")], [(_S, "q", "v1"), (_S, "p", "v0")], "order"),
 ]
-# Fixed values: (contract, sizes in bytes of the dead store, offset and size of the one that kills it).
-BYTES = [("full-same", 4, 0, 4), ("full-wider", 4, 0, 8), ("partial-short", 4, 0, 2), ("partial-offset", 4, 2, 4)]
-# Fixed values: (contract, accesses in order, read from outside).
-GLOBALS = [("no-uses", [], False), ("stored-before-read", ["store", "load"], False), ("read-before-store", ["load", "store"], False), ("read-only", ["load"], False), ("external", [], True)]
-# Fixed values: (contract, pack, extract) of lanes.
-PACKS = [("identity", [0, 1, 2, 3], [0, 1, 2, 3]), ("swapped-extract", [0, 1, 2, 3], [1, 0, 2, 3]), ("inverse-permutation", [2, 0, 3, 1], [1, 3, 0, 2])]

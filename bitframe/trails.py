@@ -232,13 +232,20 @@ def _text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(fact.alias("f")).groupBy("f.kind", "f.subject", "f.value").agg(_n().alias("n"))
 
 
-# Kinds of guards, each with its effect on a proof, and a text that shows it.
+# Kinds of guards in the published order, each with its effect on a proof; the texts that show them are ours.
 GUARD_CATALOG = [
-    ("known-nonzero", "assumes-subject-nonzero", "isKnownNonZero"), ("known-nonnegative", "assumes-subject-nonnegative", "isKnownNonNegative"), ("known-power-of-two", "assumes-subject-power-of-two", "isPowerOfTwo"),
-    ("masked-value-is-zero", "assumes-subject-known-zero-mask", "MaskedValueIsZero|& [0-9]+\\) == 0"), ("known-nonequal", "assumes-subjects-distinct", " != "), ("one-use", "structural-precondition-no-smt-effect", "hasOneUse"),
-    ("guaranteed-not-poison", "assumes-subject-not-poison", "isGuaranteedNotToBePoison"), ("known-positive", "assumes-subject-positive", "isKnownPositive"), ("no-poison-generating-flags", "uses-unflagged-op-semantics", "dropPoisonGeneratingFlags"),
-    ("profitability", "evidence-only-no-smt-effect", "isProfitable"), ("unknown", "unmodeled", "^unrelated$"),
-]
+    ("known-nonzero", "assumes-subject-nonzero", "isKnownNonZero"),
+    ("guaranteed-not-poison", "assumes-subject-not-poison", "isGuaranteedNotToBePoison"),
+    ("known-positive", "assumes-subject-positive", "isKnownPositive"),
+    ("known-nonnegative", "assumes-subject-nonnegative", "isKnownNonNegative"),
+    ("one-use", "structural-precondition-no-smt-effect", "hasOneUse"),
+    ("masked-value-is-zero", "assumes-subject-known-zero-mask", "MaskedValueIsZero|& [0-9]+\\) == 0"),
+    ("known-power-of-two", "assumes-subject-power-of-two", "isPowerOfTwo"),
+    ("no-poison-generating-flags", "uses-unflagged-op-semantics", "dropPoisonGeneratingFlags"),
+    ("profitability", "evidence-only-no-smt-effect", "isProfitable"),
+    ("known-nonequal", "assumes-subjects-distinct", " != "),
+    ("unknown", "unmodeled", "^unrelated$"),
+]
 
 
 @query("guard_catalog", f"with c as (select {_CLAUSE} as clause from lineitem), g as (select * from (values {_values(GUARD_CATALOG)}) t(kind, effect, pattern)), h as (select kind, count(*) as n from c join g on regexp_matches(clause, pattern) group by 1) select g.kind, effect, coalesce(n, 0) as n from g left join h on g.kind = h.kind")

@@ -30,10 +30,13 @@ def test_catalogue_has_the_known_verdicts(spark):
 def test_memory_contracts_have_the_known_verdicts(spark):
     m = memory.model(spark).cache()
     status = lambda cs: {r.contract: r.status for r in memory.verdicts(m, cs).collect()}
-    refuted = {c.name for c in memory.WORDS if c.name.endswith(("unknown", "wrong-value")) or c.name == "dead-store-other-address"}
+    refuted = {c.name for c in memory.WORDS if c.name.endswith(("fact dropped", "unsound"))}
     assert status(memory.WORDS) == {c.name: "vacuous" if c.name == "impossible-fact" else "refuted" if c.name in refuted else "proved" for c in memory.WORDS}
-    assert status(memory.PATHS) == {"dead-on-all-paths": "proved", "dead-on-one-path": "refuted", "sink-store": "proved"}
-    assert status(memory.ORDER) == {"plain-overwrite": "proved", "synchronised-overwrite": "refuted", "swap-across-sync": "refuted", "swap-apart": "proved", "swap-unknown": "refuted"}
+    assert status(memory.PATHS) == {"dse-across-diamond-allpaths": "proved", "dse-across-diamond-onepath": "refuted", "store-sink-conditional": "proved"}
+    assert status(memory.ORDER) == {
+        "dse-nonatomic-overwrite": "proved", "dse-atomic-store-not-eliminable": "refuted", "reorder-store-across-sync": "refuted",
+        "reorder-nonatomic-nonalias": "proved", "reorder-nonatomic-nonalias: fact dropped": "refuted",
+    }
 
 
 def test_a_mutated_rule_is_refuted_with_the_smallest_witness(spark):
