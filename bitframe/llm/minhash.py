@@ -4,11 +4,10 @@
 2. 160 minima give 40 band keys of four minima each, and two low bits of each minimum are packed into 40 bytes. All
    bands of a pair differ with a probability of 7e-10 at a similarity of 0.8, and 2e-13 at 0.85.
 3. Classes that share a band key are candidates. A bucket of up to ``PAIRED`` classes yields its pairs. In a larger one,
-   each class is paired with the bucket's pivot, the class that lies in the most large buckets; then only those that
-   aren't linked to their pivot are paired with others, after an exact bound from the shingles that no other class in
-   large buckets has. Those too far from the pivot to be linked with anything that is linked to it (by the triangle inequality, with
-   a margin of five deviations) are paired with each other only. No pair that can reach the threshold is left out by the bounds.
-   Likely pairs come first; after them, pairs that are known to be of one component need no test.
+   each class is paired with the bucket's pivot, the class that lies in the most large buckets. Where that doesn't tie all of a
+   pivot's classes to one component, prefix filtering finds the other pairs: two sets that reach the threshold share one of
+   their rarest shingles, so pages of one template, which only share what all have, meet nowhere. No pair that can reach the
+   threshold is left out. Likely pairs come first; after them, pairs that are known to be of one component need no test.
 4. Pairs whose collision-corrected estimate from the packed bits is more than five deviations below the threshold go; the
    rest are confirmed by the sizes of intersection and union of the full sets.
 5. Connected components by alternating star contractions, each round written to the shared folder.
@@ -170,6 +169,35 @@ def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.unionByName(over.join(roots.select("node"), "node", "left_anti"))
 
 
+def rare_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of different roots that share one of their rarest shingles; every pair that reaches the threshold is among them.
+
+    rows: key, n_shingles, root, items (the whole set). Sets are ordered by how many rows have a shingle, then by the shingle. The first
+    one that both sets of a pair have comes with all others that they share behind it, so from it on either set has as many shingles
+    as a pair of these two sizes has to share. Shingles of one row only come first and are in no pair.
+
+    A shingle may stand in a third of all rows. Rows of its most frequent root aren't compared with each other, and rows too large for
+    the smallest that has the shingle are left out before the join.
+    """
+    items = rows.select("key", F.explode("items").alias("item"))
+    counts = written(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    lists = items.join(counts, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("common"))
+    spare = F.expr(f"(100 * size(common) - {threshold} * n_shingles) div 100 + 1")  # more would leave too few behind them for any partner
+    lists = lists.join(rows.select("key", "n_shingles", "root"), "key").where(100 * F.size("common") >= threshold * F.col("n_shingles"))
+    places = lists.select("key", "root", "n_shingles", F.size("common").cast("bigint").alias("size"), F.posexplode(F.slice("common", F.lit(1), spare.cast("int"))).alias("pos", "at"))
+    places = written(places.select("key", "root", "n_shingles", F.col("at.item").alias("item"), (F.col("size") - F.col("pos")).alias("behind")))
+    by_root = places.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least"))
+    about = by_root.groupBy("item").agg(F.max(F.struct("n", "root")).alias("top"), F.min("least").alias("least"), F.count(F.lit(1)).alias("roots"))
+    about = written(about.where("roots > 1").select("item", F.col("top.root").alias("top"), "least"))
+    enough = lambda behind, n, m: (100 + threshold) * F.col(behind) >= threshold * (F.col(n) + F.col(m))
+    able = places.join(about, "item").where(enough("behind", "n_shingles", "least"))
+    able = written(able.select("item", "key", "root", "n_shingles", "behind", (F.col("root") != F.col("top")).alias("other")))
+    fits = enough("x.behind", "x.n_shingles", "y.n_shingles") & enough("y.behind", "x.n_shingles", "y.n_shingles")
+    once = ~F.col("y.other") | (F.col("x.key") < F.col("y.key"))
+    both = able.where("other").alias("x").join(able.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.root") != F.col("y.root")) & once & fits)
+    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b, n_a, n_b, shared) between different classes, as many as tie all components together, and (node, root) of those components.
 
@@ -203,15 +231,13 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
     )
     facts = written(involved.join(alone, "key", "left").select("key", "n_shingles", "bits", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")))
 
-    def possible(x: str, y: str, count: str, floor: float) -> Column:
-        """Can the pair reach the threshold, if at most ``count`` shingles of either are in the other?"""
-        n_x, n_y, most = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles"), F.least(F.col(f"{x}.{count}"), F.col(f"{y}.{count}"))
+    def near(pairs: DataFrame, count: str, likely: float | None = None) -> DataFrame:
+        """Pairs that can reach the threshold, if at most ``count`` shingles of either are in the other; ``likely``: whether they are estimated at so much."""
+        n_x, n_y, most = F.col("x.n_shingles"), F.col("y.n_shingles"), F.least(f"x.{count}", f"y.{count}")
         fits = 100 * most >= threshold * F.greatest(n_x, n_y, n_x + n_y - most)
-        return fits & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= floor)
-
-    def near(pairs: DataFrame, count: str) -> DataFrame:
         both = pairs.join(facts.alias("x"), F.col("x.key") == F.col("a")).join(facts.alias("y"), F.col("y.key") == F.col("b"))
-        return both.where(possible("x", "y", count, least)).select("a", "b", F.col("x.n_shingles").alias("n_a"), F.col("y.n_shingles").alias("n_b"))
+        both = both.withColumn("estimate", estimate(F.col("x.bits"), F.col("y.bits"))).where(fits & (F.col("estimate") >= least))
+        return both.select("a", "b", n_x.alias("n_a"), n_y.alias("n_b"), *([] if likely is None else [(F.col("estimate") >= likely).alias("likely")]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The arrays of the full sets travel only for pairs that can be links."""
@@ -220,26 +246,18 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, size: int =
         return both.where(100 * F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
     found = written(confirmed(near(paired, "n_shingles").unionByName(near(stars, "common")).distinct()))
-    able = crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles"))
-    able = able.join(facts.select(F.col("key").alias("pivot"), F.col("bits").alias("center")), "pivot")
-    tied = found.select("a", "b", F.lit(True).alias("tied"))
-    able = able.join(tied, (F.least("key", "pivot") == F.col("a")) & (F.greatest("key", "pivot") == F.col("b")), "left")
-    far = estimate(F.col("bits"), F.col("center")) < 2 * t - 1 - 5 * 1.25 * 0.5 / math.sqrt(BANDS * ROWS)  # its distance is more than twice that of a link
-    able = written(able.select("key", "pivot", "n_shingles", "bits", "common", F.coalesce("tied", F.lit(False)).alias("tied"), far.alias("far")))
     roots = written(components(found))
-    for floor in (t, least):
-        rooted = able.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        main = written(rooted.where("key = pivot").select("pivot", F.col("root").alias("main")))
-        rooted = written(rooted.join(main, "pivot", "left").withColumn("apart", F.coalesce(F.col("root") != F.col("main"), F.lit(True))))
-        once = ~F.col("y.apart") | (F.col("x.key") < F.col("y.key")) | (F.col("y.far") != F.col("x.far"))
-
-        def pairs(x: DataFrame, y: DataFrame, floor: float = floor, once: Column = once) -> DataFrame:
-            both = x.alias("x").join(y.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", "common", floor))
-            return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-
-        apart = rooted.where("apart")
-        rest = pairs(apart.where("not far"), rooted).unionByName(pairs(apart.where("far"), rooted.where("not tied and key <> pivot"))).distinct()
-        more = written(confirmed(near(rest, "common")))
+    able = crowd.join(facts, "key").where(100 * F.col("common") >= threshold * F.col("n_shingles")).select("pivot", "key", "n_shingles")
+    able = written(able.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    mixed = written(able.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pivot"))
+    open_ = able.join(mixed, "pivot", "left_semi").select("key", "n_shingles", "root").distinct()
+    rest = written(near(rare_pairs(open_.join(sets, "key"), threshold), "common", likely=t))
+    for likely in (True, False):
+        apart = rest.where(F.col("likely") == likely)
+        for end in ("a", "b"):
+            apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "n_a", "n_b")
+        more = written(confirmed(apart))
         found, roots = found.unionByName(more), written(joined(roots, more))
     return found, roots
 

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions on small fixtures, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -69,6 +70,43 @@ def test_near_duplicates(docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_rare_shingles_find_every_pair(spark, threshold):
+    """Sets of many sizes over one template, in families, with ties: all pairs of different roots that reach the threshold, and no pair of templates alone."""
+    rng = random.Random(threshold)
+    template, rows = list(range(100)), []
+    for k in range(120):
+        own = [1000 * k + 200 + i for i in range(rng.choice([5, 12, 20, 30]))]
+        for m in range(rng.choice([1, 1, 3])):
+            items = sorted(set(rng.sample(template, rng.choice([100, 100, 97, 60]))) | set(own[m:]))
+            rows.append((f"{k:04d}{m}".encode(), rng.choice([b"one", b"two", f"{k}".encode()]), len(items), items))
+    rows += [(b"lone", b"lone", 3, [1, 2, 3]), (b"lonf", b"lonf", 3, [1, 2, 3])]
+    df = spark.createDataFrame(rows, "key binary, root binary, n_shingles long, items array<long>")
+    got = [(bytes(r.a), bytes(r.b)) for r in minhash.rare_pairs(df, threshold).collect()]
+    want = set()
+    for (a, r, _, x), (b, q, _, y) in itertools.combinations(sorted(rows), 2):
+        both = len(set(x) & set(y))
+        if r != q and 100 * both >= threshold * (len(x) + len(y) - both):
+            want.add((a, b))
+    assert len(got) == len(set(got)) and want and want <= set(got) and len(got) < len(rows) * (len(rows) - 1) / 4
+
+
+def test_pages_of_one_template(spark):
+    """Pages that share nine tenths of their words and aren't linked meet nowhere; near copies among them are found."""
+    template = prose(900, 1)
+    pages = [f"{template} {prose(100, 100 + i)}" for i in range(60)]
+    pages += [p.rsplit(" ", 2)[0] for p in pages[:5]]
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
+    words = [p.lower().split() for p in pages]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    low = list(range(len(pages)))
+    for i, j in itertools.combinations(range(len(pages)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            low[j] = min(low[i], low[j])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(low)) and len(set(low)) == 60
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
