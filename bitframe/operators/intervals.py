@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from . import ordered
 
 
@@ -30,14 +31,17 @@ def enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str
 
     A range has at most two nodes a level, a point one for each level that occurs, so nested and overlapping ranges cost no more than their
     rows. ``grain`` makes keys coarser (units of it), which saves levels; the ends are compared exactly. Nulls meet nothing; a range that ends before it begins
-    holds nothing; repeated rows make pairs of their own. A large key is dealt out by its nodes.
+    holds nothing; repeated rows make pairs of their own. A large key is dealt out by its nodes: the join sorts both sides, as neither may be broadcast:
+    Spark takes points for as large as they were before their levels.
     """
     unit = lambda c: F.floor(F.col(c).cast("bigint") / grain) if grain > 1 else F.col(c).cast("bigint")
-    keyed = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__x", F.explode(cover(unit(lo), unit(hi)))).withColumns({"__level": F.col("__x.level"), "__node": F.col("__x.node")}).drop("__x")
+    keyed = ranges.where(F.col(lo) <= F.col(hi)).withColumns({"__a": unit(lo), "__b": unit(hi)})
+    keyed = keyed.withColumn("__x", F.explode(cover(F.col("__a"), F.col("__b")))).drop("__a", "__b").withColumns({"__level": F.col("__x.level"), "__node": F.col("__x.node")}).drop("__x")
+    keyed = checkpointed(keyed)
     levels = sorted(r[0] for r in keyed.select("__level").distinct().collect())  # 64 numbers at most
     nodes = F.explode(F.lit(levels).cast("array<int>"))
     up = points.withColumn("__level", nodes).withColumn("__node", F.call_function("shiftright", unit(at), F.col("__level")))
-    return up.join(keyed, [*keys, "__level", "__node"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__level", "__node")
+    return up.join(keyed.hint("merge"), [*keys, "__level", "__node"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__level", "__node")
 
 
 def innermost(pairs: DataFrame, point: Sequence[str], lo: str, hi: str, carry: Sequence[str]) -> DataFrame:

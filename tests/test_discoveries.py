@@ -131,6 +131,21 @@ def test_dyadic_covers_are_exact_and_small(spark):
         assert max(sum(x.level == k for x in r.c) for k in range(64)) <= 2
 
 
+def _stabbed(spark):
+    """Points by numbers, which are small before their levels, and ranges of many levels."""
+    p = spark.range(300).select(F.col("id").alias("point"), (F.col("id") % 3).alias("k"), (F.col("id") * 1000).alias("at"))
+    s = spark.range(40).select((F.col("id") % 3).alias("k"), (F.col("id") * 5000).alias("lo"), (F.col("id") * 5000 + F.shiftleft(F.lit(1).cast("bigint"), 9) * F.col("id")).alias("hi"), F.col("id").alias("span"))
+    want = [(q, q % 3, i) for q in range(300) for i in range(40) if i % 3 == q % 3 and i * 5000 <= q * 1000 <= i * 5000 + 512 * i]
+    return intervals.enclosing(p, s, ["k"], "at", "lo", "hi"), want
+
+
+def test_points_with_their_levels_are_not_broadcast(spark):
+    pairs, want = _stabbed(spark)
+    assert sorted(map(tuple, pairs.select("point", "k", "span").collect())) == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+
 @pytest.mark.parametrize("grain", [1, 10])
 def test_nested_and_overlapping_intervals(spark, grain):
     rng = random.Random(grain)
