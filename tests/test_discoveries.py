@@ -376,3 +376,13 @@ def test_operators_are_admitted_by_their_results(spark):
     with pytest.raises(extensions.Refused):
         registry.apply(battery, "wrong at 5", "v", "w")
     assert registry.admit(battery.where("false")) == set()
+
+
+def test_the_innermost_of_many_points_needs_no_broadcast(spark):
+    pairs, want = _stabbed(spark)
+    got = intervals.innermost(pairs, ["point"], "lo", "hi", ["span"])
+    best = {}
+    for q, _, i in want:
+        best.setdefault(q, []).append((512 * i, -5000 * i, i))
+    assert {r["point"]: (r["n"], r["span"]) for r in got.collect()} == {q: (len(v), min(v)[2]) for q, v in best.items()}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
