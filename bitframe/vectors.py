@@ -198,14 +198,23 @@ _U = "(case when {x} < 0 then {x}::HUGEINT + 18446744073709551616::HUGEINT else
 _S = "(case when {x} >= 9223372036854775808::HUGEINT then {x} - 18446744073709551616::HUGEINT else {x} end)::BIGINT"
 _UA, _UB, _M64 = _U.format(x="a"), _U.format(x="b"), "18446744073709551616::HUGEINT"
 _D64 = f"with d as (select {', '.join(_KEYS)}, {_A} as a, {_BB} as b, (l_linenumber * 11)::BIGINT as n from lineitem)"
+
+
+def _wide_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and the words a, b and n: the SQL's products, which wrap where larger keys take them past 63 bits. Each step has columns of its own, so that its text isn't repeated."""
+    d = _table(spark, sf_dir, "lineitem").selectExpr(*_KEYS, f"{wide.mul('l_orderkey', '1000003L')} as o", f"{wide.mul('l_partkey', '8191L')} as p", f"{wide.mul('l_suppkey', '16777259L')} as s", "(case when l_linenumber % 2 = 0 then -1L else 1L end) * (l_partkey % 1000) as c")
+    d = d.selectExpr(*_KEYS, "o", f"{wide.add('p', '1L')} as p", f"{wide.mul('s', 'c')} as b")
+    d = d.selectExpr(*_KEYS, f"{wide.mul('o', 'p')} as op", "b")
+    return d.selectExpr(*_KEYS, f"{wide.add('op', '-4611686018427387L')} as a", "b", "cast(l_linenumber * 11 as bigint) as n")
+
+
 # the product by halves, so that HUGEINT holds it
 _MUL_SQL = f"((({_UA} % 4294967296) * {_UB} + ((({_UA} // 4294967296) * ({_UB} % 4294967296)) % 4294967296) * 4294967296) % {_M64})"
 
 
 @query("bv_mul64_limbs", f"{_D64} select {', '.join(_KEYS)}, {_S.format(x=_MUL_SQL)} as v from d")
 def _mul64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "lineitem").selectExpr(*_KEYS, f"{_A} as a", f"{_BB} as b")
-    return d.selectExpr(*_KEYS, f"{wide.mul('a', 'b')} as v")
+    return _wide_words(spark, sf_dir).selectExpr(*_KEYS, f"{wide.mul('a', 'b')} as v")
 
 
 _WORD64 = {
@@ -217,5 +226,5 @@ _WORD64 = {
 
 @query("bv_word64", f"{_D64} select {', '.join(_KEYS)}, {', '.join(f'{_S.format(x=x)} as {n}' for n, x in _WORD64.items())}, {_UA} < {_UB} as ult, a < b as slt from d")
 def _word64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = wide.with_quotient(_table(spark, sf_dir, "lineitem").selectExpr(*_KEYS, f"{_A} as a", f"{_BB} as b", "cast(l_linenumber * 11 as bigint) as n"), "a", "b", "udiv")
+    d = wide.with_quotient(_wide_words(spark, sf_dir), "a", "b", "udiv")
     return d.selectExpr(*_KEYS, f"{wide.add('a', 'b')} as added", f"{wide.sub('a', 'b')} as subtracted", f"{wide.less('a', 'b')} as ult", "a < b as slt", f"{wide.shifted_left('a', 'n')} as shl", f"{wide.shifted_right('a', 'n')} as lshr", "udiv")
