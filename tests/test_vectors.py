@@ -29,3 +29,12 @@ def test_products_of_large_keys_wrap(spark, large):
     folder, words = large
     got = __spark_entry__.queries()["bv_mul64_limbs"](spark, folder).collect()
     assert {tuple(r)[:4]: r["v"] for r in got} == {k: signed(a * b) for k, (a, b) in words.items()}
+
+
+def test_words_of_large_keys(spark, large):
+    folder, words = large
+    for r in __spark_entry__.queries()["bv_word64"](spark, folder).collect():
+        a, b = words[tuple(r[c] for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+        n, ua, ub = 11 * r["l_linenumber"], a % TOP, b % TOP
+        want = {"added": signed(a + b), "subtracted": signed(a - b), "ult": ua < ub, "slt": a < b, "shl": signed(ua << n) if n < 64 else 0, "lshr": signed(ua >> n) if n < 64 else 0, "udiv": signed(ua // ub) if ub else -1}
+        assert {k: r[k] for k in want} == want
