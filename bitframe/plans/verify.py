@@ -45,6 +45,21 @@ def exhaustive(spark: SparkSession, width: int, names: tuple[str, ...] = ("x", "
     return ids.select(*[F.expr(f"shiftright(id, {width * i}) & {2**width - 1}").alias(n) for i, n in enumerate(names)], *bits, F.lit(1).cast("bigint").alias("n"))
 
 
+def whole(ids: DataFrame, width: int, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """All assignments of the variables, each with n = 1 and met = 0, and those that rows of a table stand for, with n = 0 and met, the number of these rows.
+
+    ids: a row's number on the counter of assignments.
+    """
+    cut = [F.expr(f"shiftright(id, {width * i}) & {2**width - 1}").alias(n) for i, n in enumerate(names)]
+    return counted(ids, 2 ** (width * len(names))).select(*cut, "n", "met")
+
+
+def counted(ids: DataFrame, size: int) -> DataFrame:
+    """id, n, met: the counter below ``size`` with n = 1 and met = 0, and the numbers of a table's rows with n = 0 and how many rows have them."""
+    rows = ids.groupBy("id").agg(F.lit(0).cast("bigint").alias("n"), F.count(F.lit(1)).alias("met"))
+    return ids.sparkSession.range(size).select("id", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("met")).unionByName(rows)
+
+
 def observed(rows: DataFrame, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """The assignments that a table holds, each once, and how often: a rule is evaluated once for equal inputs."""
     return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
@@ -64,9 +79,10 @@ def _judged(rule: Rule, width: int, dialect: Dialect, poison: frozenset[str], su
     return f"(not ({ub}) and not ({pb}))", f"(not ({ub}) and (({ua}) or {wrong}))"
 
 
-def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False) -> DataFrame:
+def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False, met: bool = False) -> DataFrame:
     """rule, rows_checked, defined, violations, witness_<name>, status: one row per rule. domain: the variables, distinct, their poison bits, and n.
 
+    ``met``: the domain is that of ``whole``; two more columns, rows_met and violations_met, say how many rows of the table a rule is checked on and violated by.
     ``drawn``: the domain may lack assignments; rules without a violation are then bounded-proved only if it lacks none, else sampled-agree.
     """
     if width * len(names) > 62:
@@ -82,26 +98,30 @@ def verdicts(domain: DataFrame, rules: list[Rule], width: int, names: tuple[str,
             defined, bad = _judged(r, width, SPARK, held, _COPY)
             for name, test in (("ok", r.assume), ("fine", f"({r.assume}) and {defined}"), ("bad", f"({r.assume}) and {bad}")):
                 sums.append(F.expr(f"coalesce(sum(case when {test} then n else 0 end), 0)").alias(f"{name}{i}"))
+            for name, test in (("met", r.assume), ("hit", f"({r.assume}) and {bad}")) if met else ():
+                sums.append(F.expr(f"coalesce(sum(case when {test} then met else 0 end), 0)").alias(f"{name}{i}"))
             sums.append(F.expr(f"min(case when ({r.assume}) and {bad} then {at} end)").alias(f"at{i}"))
-            rows.append(F.struct(F.lit(r.name).alias("rule"), F.col(f"ok{i}").alias("rows_checked"), F.col(f"fine{i}").alias("defined"), F.col(f"bad{i}").alias("violations"), F.col(f"at{i}").alias("at")))
+            rows.append(F.struct(F.lit(r.name).alias("rule"), F.col(f"ok{i}").alias("rows_checked"), F.col(f"fine{i}").alias("defined"), F.col(f"bad{i}").alias("violations"), F.col(f"at{i}").alias("at"), *([F.col(f"met{i}").alias("rows_met"), F.col(f"hit{i}").alias("violations_met")] if met else [])))
         part = both.agg(*sums, F.count(F.lit(1)).alias("every")).select("every", F.inline(F.array(*rows)))
         out = part if out is None else out.unionByName(part)
     whole = F.col("every") == 2 ** (width * len(names) + len(poison)) if drawn else F.lit(True)
     status = F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(F.col("defined") == 0, "vacuous").when(whole, f"bounded-proved@{width}").otherwise("sampled-agree")
     witness = [F.expr(f"shiftright(at, {width * (len(names) - 1 - i)}) & {2**width - 1}").alias(f"witness_{n}") for i, n in enumerate(names)]
-    return out.select("rule", "rows_checked", "defined", "violations", *witness, status.alias("status"))
+    return out.select("rule", "rows_checked", "defined", "violations", *witness, *(["rows_met", "violations_met"] if met else []), status.alias("status"))
 
 
-def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False) -> str:
-    """The same in DuckDB's SQL over a subquery that has the variables and their poison bits."""
-    parts = []
+def verdicts_sql(domain: str, rules: list[Rule], width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = (), drawn: bool = False, met: bool = False) -> str:
+    """The same in DuckDB's SQL over a subquery that has the variables and their poison bits; with ``met``, n and met, too."""
+    parts, more = [], ", n, met" if met else ""
+    count = (lambda test, of="n": f"coalesce(sum({of}) filter ({test}), 0)::BIGINT") if met else (lambda test, of="": f"count(*) filter ({test})")
     for r in rules:
         defined, bad = _judged(r, width, DUCKDB, frozenset(poison), "")
-        parts.append(f"select '{r.name}' as rule, {', '.join(names)}, ({r.assume}) as ok, {defined} as fine, {bad} as bad from d")
+        parts.append(f"select '{r.name}' as rule, {', '.join(names)}, ({r.assume}) as ok, {defined} as fine, {bad} as bad{more} from d")
     witness = ", ".join(f"(min(({', '.join(names)})) filter (ok and bad))[{i + 1}] as witness_{n}" for i, n in enumerate(names))
+    witness += f", {count('ok', 'met')} as rows_met, {count('ok and bad', 'met')} as violations_met" if met else ""
     whole = f"every = {2 ** (width * len(names) + len(poison))}" if drawn else "true"
     return f"""with d as ({domain}), r as ({' union all '.join(parts)}),
-    v as (select rule, count(*) filter (ok) as rows_checked, count(*) filter (ok and fine) as defined, count(*) filter (ok and bad) as violations, {witness}, count(*) as every from r group by rule)
+    v as (select rule, {count('ok')} as rows_checked, {count('ok and fine')} as defined, {count('ok and bad')} as violations, {witness}, count(*) as every from r group by rule)
     select * exclude (every), case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when defined = 0 then 'vacuous' when {whole} then 'bounded-proved@{width}' else 'sampled-agree' end as status from v"""
 
 

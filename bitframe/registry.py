@@ -103,29 +103,49 @@ _PLACE = "((l_orderkey % 1000003) * 40503 + (l_partkey % 1000003) * 65599 + (l_s
 
 def drawn(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """id: the numbers below ``n`` that rows of lineitem fall on, each once; all of them, once the table is much longer than ``n``."""
-    return _table(spark, sf_dir, "lineitem").select(F.expr(f"cast({_PLACE} % {n} as bigint)").alias("id")).where("id is not null").distinct()
+    return places(spark, sf_dir, n).distinct()
+
+
+def places(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """id: the number below ``n`` that each row of lineitem falls on."""
+    return _table(spark, sf_dir, "lineitem").select(F.expr(f"cast({_PLACE} % {n} as bigint)").alias("id")).where("id is not null")
 
 
 def drawn_sql(n: int, name: str = "i") -> str:
     return f"(select distinct ({_PLACE} % {n})::BIGINT from lineitem where {_PLACE} is not null) t({name})"
 
 
+def counted_sql(n: int) -> str:
+    """All numbers below ``n`` once, and those that rows of lineitem fall on with how many rows."""
+    return f"(select i, 1 as n, 0 as met from range({n}) r(i) union all select ({_PLACE} % {n})::BIGINT, 0, count(*) from lineitem where {_PLACE} is not null group by 1) t"
+
+
 def sampled(spark: SparkSession, sf_dir: str, width: int, names: tuple[str, ...] = ("x", "y"), poison: tuple[str, ...] = ()) -> DataFrame:
     """Assignments of variables, cut from the numbers of drawn()."""
     return verify.exhaustive(spark, width, names, poison, drawn(spark, sf_dir, 2 ** (width * len(names) + len(poison))))
 
 
+def whole(spark: SparkSession, sf_dir: str, width: int, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """All assignments of variables, and those that rows of lineitem stand for."""
+    return verify.whole(places(spark, sf_dir, 2 ** (width * len(names))), width, names)
+
+
+def whole_sql(width: int, names: tuple[str, ...] = ("x", "y")) -> str:
+    return f"select {', '.join(f'(i >> {width * k}) & {2**width - 1} as {v}' for k, v in enumerate(names))}, n, met from {counted_sql(2 ** (width * len(names)))}"
+
+
 _GRID = f"select i & 255 as x, (i >> 8) & 255 as y from {drawn_sql(65536)}"
 _SETS = {
     "identities": verify.IDENTITIES, "negatives": verify.NEGATIVES, "flags": verify.FLAGS, "guarded": verify.GUARDED, "lift_rules": verify.LIFTED, "multi_instruction": verify.STEPS, "ub": verify.UNDEFINED,
     "interprocedural": verify.CALLS, "branches": verify.BRANCHES,
 }
+_WHOLE = ("identities",)  # sets that are checked on all inputs, besides those of rows
 for _name, _rules in _SETS.items():
 
-    def _run(spark: SparkSession, sf_dir: str, rules: list = _rules) -> DataFrame:
-        return verify.verdicts(sampled(spark, sf_dir, 8), rules, 8, drawn=True)
+    def _run(spark: SparkSession, sf_dir: str, rules: list = _rules, all_: bool = _name in _WHOLE) -> DataFrame:
+        return verify.verdicts(whole(spark, sf_dir, 8), rules, 8, met=True) if all_ else verify.verdicts(sampled(spark, sf_dir, 8), rules, 8, drawn=True)
 
-    query(f"verify_{_name}", verify.verdicts_sql(_GRID, _rules, 8, drawn=True))(_run)
+    query(f"verify_{_name}", verify.verdicts_sql(whole_sql(8), _rules, 8, met=True) if _name in _WHOLE else verify.verdicts_sql(_GRID, _rules, 8, drawn=True))(_run)
 
 _CUBE = f"select i & 255 as x, (i >> 8) & 255 as y, (i >> 16) & 255 as z from {drawn_sql(16777216)}"
 
