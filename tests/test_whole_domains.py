@@ -16,6 +16,7 @@ def rows(spark, name):
 
 ALL = {
     "verify_identities": 65536,
+    "verify_flags": 65536,
 }
 
 
