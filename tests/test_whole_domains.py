@@ -17,6 +17,7 @@ def rows(spark, name):
 ALL = {
     "verify_identities": 65536,
     "verify_flags": 65536,
+    "verify_guarded": 65536,
 }
 
 
