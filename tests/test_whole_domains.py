@@ -18,6 +18,7 @@ ALL = {
     "verify_identities": 65536,
     "verify_flags": 65536,
     "verify_guarded": 65536,
+    "verify_lift_rules": 65536,
 }
 
 
