@@ -19,6 +19,7 @@ ALL = {
     "verify_flags": 65536,
     "verify_guarded": 65536,
     "verify_lift_rules": 65536,
+    "verify_multi_instruction": 65536,
 }
 
 
