@@ -20,6 +20,7 @@ ALL = {
     "verify_guarded": 65536,
     "verify_lift_rules": 65536,
     "verify_multi_instruction": 65536,
+    "verify_ub": 65536,
 }
 
 
