@@ -21,6 +21,7 @@ ALL = {
     "verify_lift_rules": 65536,
     "verify_multi_instruction": 65536,
     "verify_ub": 65536,
+    "verify_interprocedural": 65536,
 }
 
 
