@@ -139,7 +139,7 @@ _SETS = {
     "identities": verify.IDENTITIES, "negatives": verify.NEGATIVES, "flags": verify.FLAGS, "guarded": verify.GUARDED, "lift_rules": verify.LIFTED, "multi_instruction": verify.STEPS, "ub": verify.UNDEFINED,
     "interprocedural": verify.CALLS, "branches": verify.BRANCHES,
 }
-_WHOLE = ("identities", "flags", "guarded", "lift_rules", "multi_instruction", "ub", "interprocedural")  # sets that are checked on all inputs, besides those of rows
+_WHOLE = ("identities", "flags", "guarded", "lift_rules", "multi_instruction", "ub", "interprocedural", "branches")  # sets that are checked on all inputs, besides those of rows
 for _name, _rules in _SETS.items():
 
     def _run(spark: SparkSession, sf_dir: str, rules: list = _rules, all_: bool = _name in _WHOLE) -> DataFrame:

@@ -22,6 +22,7 @@ ALL = {
     "verify_multi_instruction": 65536,
     "verify_ub": 65536,
     "verify_interprocedural": 65536,
+    "verify_branches": 65536,
 }
 
 
