@@ -147,12 +147,12 @@ for _name, _rules in _SETS.items():
 
     query(f"verify_{_name}", verify.verdicts_sql(whole_sql(8), _rules, 8, met=True) if _name in _WHOLE else verify.verdicts_sql(_GRID, _rules, 8, drawn=True))(_run)
 
-_CUBE = f"select i & 255 as x, (i >> 8) & 255 as y, (i >> 16) & 255 as z from {drawn_sql(16777216)}"
+_XYZ = ("x", "y", "z")
 
 
-@query("verify_three_variables", verify.verdicts_sql(_CUBE, verify.TRIPLES, 8, ("x", "y", "z"), drawn=True))
+@query("verify_three_variables", verify.verdicts_sql(whole_sql(8, _XYZ), verify.TRIPLES, 8, _XYZ, met=True))
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verdicts(sampled(spark, sf_dir, 8, ("x", "y", "z")), verify.TRIPLES, 8, ("x", "y", "z"), drawn=True)
+    return verify.verdicts(whole(spark, sf_dir, 8, _XYZ), verify.TRIPLES, 8, _XYZ, met=True)
 
 
 _POISON_GRID = f"select i & 15 as x, (i >> 4) & 15 as y, ((i >> 8) & 1) = 1 as x_poison, ((i >> 9) & 1) = 1 as y_poison from {drawn_sql(1024)}"

@@ -23,6 +23,7 @@ ALL = {
     "verify_ub": 65536,
     "verify_interprocedural": 65536,
     "verify_branches": 65536,
+    "verify_three_variables": 16777216,
 }
 
 
