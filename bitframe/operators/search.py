@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def guards(domain: DataFrame, violation: str, atoms: dict[str, str], most: int = 2) -> DataFrame:
+def guards(domain: DataFrame, violation: str, atoms: dict[str, str], most: int = 2, met: bool = False) -> DataFrame:
     """guards, covered, leaks, works: each set of up to ``most`` atoms; it works if it holds somewhere and excludes all violations.
 
-    One pass over the domain: each set is two conditional counts.
+    One pass over the domain: each set is two conditional counts. ``met``: rows have n and met, as those of ``verify.whole``; n counts, and rows_met and leaks_met say how
+    many rows of the table a set covers and which of these leak.
     """
     sets = [c for k in range(1, most + 1) for c in combinations(atoms, k)]
     holds = {"&".join(s): " and ".join(f"({atoms[a]})" for a in s) for s in sets}
-    counts = [F.count_if(F.expr(f"({h})")).alias(f"c{i}") for i, h in enumerate(holds.values())] + [F.count_if(F.expr(f"({h}) and ({violation})")).alias(f"l{i}") for i, h in enumerate(holds.values())]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("guards"), F.col(f"c{i}").alias("covered"), F.col(f"l{i}").alias("leaks")) for i, n in enumerate(holds)]))
+    kinds = {"covered": ("c", "n", "true"), "leaks": ("l", "n", violation)} | ({"rows_met": ("m", "met", "true"), "leaks_met": ("k", "met", violation)} if met else {})
+    count = lambda of, test: F.expr(f"coalesce(sum(case when {test} then {of} else 0L end), 0L)") if met else F.count_if(F.expr(test))
+    counts = [count(of, f"({h}) and ({test})").alias(f"{c}{i}") for c, of, test in kinds.values() for i, h in enumerate(holds.values())]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("guards"), *[F.col(f"{c}{i}").alias(name) for name, (c, _, _) in kinds.items()]) for i, n in enumerate(holds)]))
     return domain.agg(*counts).select(rows.alias("g")).select("g.*").withColumn("works", (F.col("covered") > 0) & (F.col("leaks") == 0))
 
 

@@ -209,13 +209,14 @@ def _guard_sql() -> str:
 
     sets = [c for k in (1, 2, 3) for c in combinations(_ATOMS, k)]
     hold = lambda s: " and ".join(f"({_ATOMS[a]})" for a in s)
-    parts = [f"select '{'&'.join(s)}' as guards, count(*) filter ({hold(s)}) as covered, count(*) filter ({hold(s)} and bad) as leaks from d" for s in sets]
-    return f"with g as ({_GRID}), d as (select x, y, {_BAD['duck']} as bad from g) select *, covered > 0 and leaks = 0 as works from ({' union all '.join(parts)})"
+    sums = {"covered": ("n", ""), "leaks": ("n", " and bad"), "rows_met": ("met", ""), "leaks_met": ("met", " and bad")}
+    parts = [f"select '{'&'.join(s)}' as guards, {', '.join(f'coalesce(sum({of}) filter ({hold(s)}{test}), 0)::BIGINT as {c}' for c, (of, test) in sums.items())} from d" for s in sets]
+    return f"with g as ({whole_sql(8)}), d as (select x, y, n, met, {_BAD['duck']} as bad from g) select *, covered > 0 and leaks = 0 as works from ({' union all '.join(parts)})"
 
 
 @query("guard_inference", _guard_sql())
 def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.guards(sampled(spark, sf_dir, 8), _BAD["spark"], _ATOMS, 3)
+    return search.guards(whole(spark, sf_dir, 8), _BAD["spark"], _ATOMS, 3, met=True)
 
 
 @query("assumption_normalize", "select l_suppkey as name, bit_or(l_orderkey & 15) as zeros, bit_or(l_partkey & 240) as ones, (bit_or(l_orderkey & 15) & bit_or(l_partkey & 240)) <> 0 as contradiction from lineitem group by 1")

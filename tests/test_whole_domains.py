@@ -33,3 +33,9 @@ def test_all_inputs_are_checked(spark, name):
     assert max(r["rows_checked"] for r in got.values()) == ALL[name]
     assert max(r["rows_met"] for r in got.values()) <= lines and all(r["violations_met"] <= r["rows_met"] for r in got.values())
     assert all(r["status"] != "sampled-agree" for r in got.values())
+
+
+def test_guards_cover_all_inputs(spark):
+    got = rows(spark, "guard_inference")
+    assert (got["x<128"]["covered"], got["even"]["covered"], got["x=y"]["covered"]) == (128 * 256, 128 * 256, 256)
+    assert all(r["leaks_met"] <= r["rows_met"] for r in got.values())
