@@ -535,7 +535,7 @@ def _decline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "select distinct l_suppkey as src, l_partkey as dst from lineitem"
 
 
-@query("reachability", f"with recursive e as ({_EDGES}), reach as (select 0::BIGINT as node, 0 as hops union select e.dst, hops + 1 from reach join e on e.src = node where hops < 50) select node, min(hops)::BIGINT as hops from reach group by node")
+@query("reachability", f"with recursive e as ({_EDGES}), reach(node, hops) using key (node) as (select 0::BIGINT, 0::BIGINT union select e.dst, min(r.hops) + 1 from reach r join e on e.src = r.node where not exists (select 1 from recurring.reach x where x.node = e.dst) group by e.dst) select node, hops from reach where node is not null")
 def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From supplier 0 over all rows as edges, cycles and loops as they are; a part's number is that of a supplier, too."""
     edges = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))

@@ -39,3 +39,12 @@ def test_guards_cover_all_inputs(spark):
     got = rows(spark, "guard_inference")
     assert (got["x<128"]["covered"], got["even"]["covered"], got["x=y"]["covered"]) == (128 * 256, 128 * 256, 256)
     assert all(r["leaks_met"] <= r["rows_met"] for r in got.values())
+
+
+def test_nodes_of_any_number_of_hops_are_reached(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(70).selectExpr("id as l_suppkey", "id + 1 as l_partkey").unionByName(spark.sql("select 70L as l_suppkey, 0L as l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()["reachability"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(db.sql(__spark_entry__.oracle_sql()["reachability"]).fetchall()) == [(i, i) for i in range(71)]
