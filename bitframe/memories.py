@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import memory
-from .registry import _table, drawn, drawn_sql, query
+from .plans import memory, verify
+from .registry import _table, counted_sql, drawn, drawn_sql, places, query
 
 for _name, _contracts in (("words", memory.WORDS), ("paths", memory.PATHS), ("order", memory.ORDER)):
 
     def _run(spark: SparkSession, sf_dir: str, contracts: list = _contracts) -> DataFrame:
-        return memory.verdicts(memory.model(spark, drawn(spark, sf_dir, memory.ROWS)), contracts, drawn=True)
+        return memory.verdicts(memory.model(spark, verify.counted(places(spark, sf_dir, memory.ROWS), memory.ROWS)), contracts)
 
-    query(f"memory_{_name}", memory.verdicts_sql(_contracts, drawn_sql(memory.ROWS)))(_run)
+    query(f"memory_{_name}", memory.verdicts_sql(_contracts, counted_sql(memory.ROWS)))(_run)
 
 
 _SPANS = "l_linenumber + 1 as dead, l_suppkey % 6 - 2 as off, l_partkey % 10 as size"

@@ -84,35 +84,36 @@ def _domain(shift: str) -> list[str]:
 
 
 ROWS = 2 ** sum(_BITS.values())
-WHOLE = ROWS * CELLS * CELLS // 16  # rows of the model
 
 
 def model(spark: SparkSession, ids: DataFrame | None = None) -> DataFrame:
-    """All cells, addresses, values and one condition. ``ids``: only these of the counter below ROWS, each once."""
-    return (spark.range(ROWS) if ids is None else ids).selectExpr(*_domain("shiftright(id, {n})")).where(f"p < {CELLS} and q < {CELLS}")
+    """All cells, addresses, values and one condition. ``ids``: only these of the counter below ROWS, each once, or those of ``verify.counted`` with n and met."""
+    return (spark.range(ROWS) if ids is None else ids).selectExpr(*_domain("shiftright(id, {n})"), *(["n", "met"] if ids is not None and "met" in ids.columns else [])).where(f"p < {CELLS} and q < {CELLS}")
 
 
-def verdicts(domain: DataFrame, contracts: list[Contract], drawn: bool = False) -> DataFrame:
+def verdicts(domain: DataFrame, contracts: list[Contract]) -> DataFrame:
     """contract, rows_checked, violations, status: one aggregate for each four contracts, nothing is shuffled but its results.
 
-    ``drawn``: the domain may lack rows of the model; without a violation it proves nothing then, unless it lacks none.
+    Where the domain has n and met, n counts, and rows_met and violations_met say the same of a table's rows.
     """
-    out = None
+    out, met = None, "met" in domain.columns
+    kinds = {"rows_checked": ("r", "n", False), "violations": ("b", "n", True)} | ({"rows_met": ("m", "met", False), "violations_met": ("h", "met", True)} if met else {})
+    count = lambda of, test: F.expr(f"coalesce(sum(case when {test} then {of} else 0L end), 0L)") if met else F.count_if(F.expr(test))
     for k in range(0, len(contracts), 4):
         some = contracts[k : k + 4]
-        sums = [x for i, c in enumerate(some) for x in (F.count_if(F.expr(c.assume)).alias(f"n{i}"), F.count_if(F.expr(f"({c.assume}) and ({differs(c, SPARK)})")).alias(f"b{i}"))]
-        rows = F.array(*[F.struct(F.lit(c.name).alias("contract"), F.col(f"n{i}").alias("rows_checked"), F.col(f"b{i}").alias("violations")) for i, c in enumerate(some)])
-        part = domain.agg(*sums, F.count(F.lit(1)).alias("every")).select("every", F.inline(rows))
+        sums = [count(of, f"({c.assume}) and ({differs(c, SPARK)})" if bad else f"({c.assume})").alias(f"{at}{i}") for i, c in enumerate(some) for at, of, bad in kinds.values()]
+        rows = F.array(*[F.struct(F.lit(c.name).alias("contract"), *[F.col(f"{at}{i}").alias(name) for name, (at, _, _) in kinds.items()]) for i, c in enumerate(some)])
+        part = domain.agg(*sums).select(F.inline(rows))
         out = part if out is None else out.unionByName(part)
-    whole = F.col("every") == WHOLE if drawn else F.lit(True)
-    return out.withColumn("status", F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").when(whole, "proved").otherwise("sampled-agree")).drop("every")
+    return out.withColumn("status", F.when(F.col("rows_checked") == 0, "vacuous").when(F.col("violations") > 0, "refuted").otherwise("proved"))
 
 
 def verdicts_sql(contracts: list[Contract], ids: str) -> str:
-    """The same in DuckDB's SQL; ``ids``: what gives the counter i."""
-    domain = f"select * from (select {', '.join(_domain('i >> {n}'))} from {ids}) where p < {CELLS} and q < {CELLS}"
-    parts = [f"select '{c.name}' as contract, count(*) filter ({c.assume}) as rows_checked, count(*) filter (({c.assume}) and ({differs(c, DUCKDB)})) as violations, count(*) as every from d" for c in contracts]
-    return f"with d as ({domain}), v as ({' union all '.join(parts)}) select * exclude (every), case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' when every = {WHOLE} then 'proved' else 'sampled-agree' end as status from v"
+    """The same in DuckDB's SQL; ``ids``: what gives the counter i, n and met."""
+    domain = f"select * from (select {', '.join(_domain('i >> {n}'))}, n, met from {ids}) where p < {CELLS} and q < {CELLS}"
+    parts = [f"select '{c.name}' as contract, n, met, ({c.assume}) as ok, ({differs(c, DUCKDB)}) as bad from d" for c in contracts]
+    count = lambda of, test: f"coalesce(sum({of}) filter ({test}), 0)::BIGINT"
+    return f"with d as ({domain}), r as ({' union all '.join(parts)}), v as (select contract, {count('n', 'ok')} as rows_checked, {count('n', 'ok and bad')} as violations, {count('met', 'ok')} as rows_met, {count('met', 'ok and bad')} as violations_met from r group by contract) select *, case when rows_checked = 0 then 'vacuous' when violations > 0 then 'refuted' else 'proved' end as status from v"
 
 
 _S, _L = "store", "load"

@@ -24,6 +24,9 @@ ALL = {
     "verify_interprocedural": 65536,
     "verify_branches": 65536,
     "verify_three_variables": 16777216,
+    "memory_words": 73728,
+    "memory_paths": 73728,
+    "memory_order": 73728,
 }
 
 
