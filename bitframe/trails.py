@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.words import DUCKDB
 from .operators import graphs, ordered
 from .plans import verify
-from .registry import _table, drawn, drawn_sql, query, sampled
+from .registry import _table, drawn, drawn_sql, query, sampled, whole, whole_sql
 
 _KEYS4 = "l_linenumber, l_partkey, l_suppkey"
 
@@ -53,12 +53,12 @@ def _grid(w: int) -> str:
     return f"select i & {2**w - 1} as x, (i >> {w}) & {2**w - 1} as y from {drawn_sql(2 ** (2 * w))}"
 
 
-@query("verdict_reconcile", f"with a as ({verify.verdicts_sql(_grid(4), _SMALL, 4, drawn=True)}), b as ({verify.verdicts_sql(_grid(8), _SMALL, 8, drawn=True)}) select rule, a.status as narrow, b.status as wide, (a.status = 'refuted') = (b.status = 'refuted') and (a.status = 'vacuous') = (b.status = 'vacuous') as agree from a join b using (rule)")
+@query("verdict_reconcile", f"with a as ({verify.verdicts_sql(whole_sql(4), _SMALL, 4, met=True)}), b as ({verify.verdicts_sql(whole_sql(8), _SMALL, 8, met=True)}) select rule, a.status as narrow, b.status as wide, a.violations_met as narrow_met, b.violations_met as wide_met, (a.status = 'refuted') = (b.status = 'refuted') and (a.status = 'vacuous') = (b.status = 'vacuous') as agree from a join b using (rule)")
 def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules enumerated at two widths; they have to agree."""
-    a, b = (verify.verdicts(sampled(spark, sf_dir, w), _SMALL, w, drawn=True).select("rule", F.col("status").alias(n)) for w, n in ((4, "narrow"), (8, "wide")))
+    a, b = (verify.verdicts(whole(spark, sf_dir, w), _SMALL, w, met=True).select("rule", F.col("status").alias(n), F.col("violations_met").alias(f"{n}_met")) for w, n in ((4, "narrow"), (8, "wide")))
     same = lambda x: (F.col("narrow") == x) == (F.col("wide") == x)
-    return a.join(b, "rule").withColumn("agree", same("refuted") & same("vacuous"))
+    return a.join(b, "rule").select("rule", "narrow", "wide", "narrow_met", "wide_met", (same("refuted") & same("vacuous")).alias("agree"))
 
 
 # ---- fixed batteries

@@ -51,3 +51,9 @@ def test_nodes_of_any_number_of_hops_are_reached(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == sorted(db.sql(__spark_entry__.oracle_sql()["reachability"]).fetchall()) == [(i, i) for i in range(71)]
+
+
+def test_reconciled_verdicts_are_of_whole_widths(spark):
+    got = rows(spark, "verdict_reconcile")
+    assert all(r["agree"] for r in got.values())
+    assert {r["narrow"] for r in got.values()} == {"refuted", "bounded-proved@4"} and {r["wide"] for r in got.values()} == {"refuted", "bounded-proved@8"}
