@@ -133,10 +133,10 @@ _RELATED = [
 ]
 
 
-@query("verify_relations", verify.verdicts_sql(_grid(8), _RELATED, 8, drawn=True))
+@query("verify_relations", verify.verdicts_sql(whole_sql(8), _RELATED, 8, met=True))
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that hold under a relation of two variables: order, inequality, masks that don't meet."""
-    return verify.verdicts(sampled(spark, sf_dir, 8), _RELATED, 8, drawn=True)
+    return verify.verdicts(whole(spark, sf_dir, 8), _RELATED, 8, met=True)
 
 
 _CLEAN = [verify.Rule("uses-poison", ("mul", "x", 0), ("mul", "y", 0), assume=a) for a in ("true",)] + [verify.Rule("not-poison", ("mul", "x", 0), ("mul", "y", 0), assume="not y_poison"), verify.Rule("neither-poison", ("xor", "x", "x"), ("xor", "y", "y"), assume="not x_poison and not y_poison")]

@@ -27,6 +27,7 @@ ALL = {
     "memory_words": 73728,
     "memory_paths": 73728,
     "memory_order": 73728,
+    "verify_relations": 65536,
 }
 
 
