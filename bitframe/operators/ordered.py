@@ -36,7 +36,7 @@ def _joined(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(small.withColumnsRenamed({k: f"__k_{k}" for k in names}), _same(names), "left").drop(*[f"__k_{k}" for k in names])
 
 
-def _by_size(rows: DataFrame, keys: Sequence[str], plain: Callable[[DataFrame], DataFrame], wide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def by_size(rows: DataFrame, keys: Sequence[str], plain: Callable[[DataFrame], DataFrame], wide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``plain`` of the rows of ordinary keys with ``wide`` of those of keys with more rows than a task should have (LARGE, or two tasks' shares)."""
     if not keys:
         return wide(rows)
@@ -70,7 +70,7 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
         out = out.withColumn(total, F.col("__total")) if total else out
         return out.drop(_RANGE, "__here", "__before", "__total")
 
-    return _by_size(rows, keys, plain, wide)
+    return by_size(rows, keys, plain, wide)
 
 
 def summed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
@@ -88,7 +88,7 @@ def summed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Map
         both = {n: F.coalesce(F.col(f"__b_{n}") + F.col(f"__h_{n}"), f"__b_{n}", f"__h_{n}") for n in sums}
         return out.withColumns(both).drop(_RANGE, *[f"__{x}_{n}" for x in "vbh" for n in sums])
 
-    return _by_size(rows, keys, plain, wide)
+    return by_size(rows, keys, plain, wide)
 
 
 def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, own: bool = True) -> DataFrame:
@@ -106,7 +106,7 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
         out = _joined(dealt.withColumn("__last", F.last("__value", ignorenulls=True).over(here)), ends, keys)
         return out.withColumn(name, F.coalesce("__last", "__earlier")).drop("__value", "__last", "__earlier", _RANGE)
 
-    return _by_size(rows, keys, plain, wide)
+    return by_size(rows, keys, plain, wide)
 
 
 def followed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -120,4 +120,4 @@ def followed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         out = _joined(dealt.withColumn("__next", F.lead("__value").over(Window.partitionBy(*keys, _RANGE).orderBy(*order))), starts, keys)
         return out.withColumn(name, F.coalesce("__next", "__later")["v"]).drop("__value", "__next", "__later", _RANGE)
 
-    return _by_size(rows, keys, plain, wide)
+    return by_size(rows, keys, plain, wide)

@@ -386,3 +386,16 @@ def test_the_innermost_of_many_points_needs_no_broadcast(spark):
         best.setdefault(q, []).append((512 * i, -5000 * i, i))
     assert {r["point"]: (r["n"], r["span"]) for r in got.collect()} == {q: (len(v), min(v)[2]) for q, v in best.items()}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_differences_of_ordinary_and_of_large_keys(spark, monkeypatch):
+    from bitframe.operators import ordered
+
+    rng = random.Random(25)
+    data = [(k, i, v) for k in range(12) for i, v in enumerate([None if k == 11 and i == 2 else rng.randrange(9) if k % 4 == 3 else k + i ** (k % 4) for i in range(rng.randrange(1, 9))])]
+    df = spark.createDataFrame(data, "k long, i long, y long")
+    found = recurrences.fitted(df, ["k"], ["i"], "y")
+    assert "sequence(0, 4" not in found._jdf.queryExecution().toString()  # ordinary keys look ahead, and no row is dealt out
+    got = sorted(map(repr, found.collect()))
+    monkeypatch.setattr(ordered, "LARGE", 0)
+    assert sorted(map(repr, recurrences.fitted(df, ["k"], ["i"], "y").collect())) == got
