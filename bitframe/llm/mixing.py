@@ -237,14 +237,19 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, id_col: str
     return out.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__row").alias("row_hash"), F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: bool = False) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole rows as often as they are taken, none cut.
 
-    Of a text at a quota's end, one more copy is taken if half of it or more would be. Each row counts for its own source, equal texts apart. Texts
-    aren't shuffled: a row's share follows from a small table of pools.
+    Of a text at a quota's end, one more copy is taken if half of it or more would be. Each row counts for its own source; with ``copies``, equal texts of several
+    sources go through the flow, as in ``mix``. A row's share follows from small tables, of pools and of the texts that sources share; texts are shuffled only where these are many.
     """
     rows = _measured(docs, seed, id_col, text_col, source_col)
-    plan = _plan(written(rows.select("__source", "__size", "__row", "__text", "__bucket")), weights, copies=False)
-    out = _taken(rows.withColumns({"__pattern": F.lit(None).cast("string"), "__of": F.col("__source")}).where("__size > 0"), plan)
+    plan = _plan(written(rows.select("__source", "__size", "__row", "__text", "__bucket")), weights, copies=copies)
+    shared = written(plan.pooled.where("__pattern is not null").select("__text", "__pattern").distinct()) if copies else None
+    if copies and (n := shared.count()):
+        rows = rows.join(_hinted(shared, n), "__text", "left")
+    else:
+        rows = rows.withColumn("__pattern", F.lit(None).cast("string"))
+    out = _taken(rows.withColumn("__of", F.col("__source")).where("__size > 0"), plan)
     times = F.expr("cast((2 * __taken + __size) div (2 * __size) as int)")
     return out.withColumn("__times", times).where("__times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

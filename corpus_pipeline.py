@@ -37,8 +37,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return _documents(mixing.mixed(docs))
+    """Documents as often as the mix of sources takes them; texts of several sources go through the flow."""
+    return _documents(mixing.mixed(docs, copies=True))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,3 +192,16 @@ def test_runs_of_long_documents_are_one(words):
     ids = np.array(words)
     q = {1: 1, 7: 7, 9000: 9000, 2: 3}[len(set(words))]
     assert runs.runs_of(ids, kernel.mix(ids.astype(np.uint64) + np.uint64(1))) == [(0, 30000, q)]
+
+
+def test_the_pipeline_mixes_shared_texts_by_the_flow(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    from bitframe.llm import mixing
+
+    rows = [(i, f"own{i} " * 5, "en", "a", 1) for i in range(40)] + [(100 + i, f"shared{i % 8} " * 6, "en", "bc"[i // 8], 1) for i in range(16)] + [(200 + i, f"c{i} " * 4, "en", "c", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    times = lambda r: (2 * r["taken"] + r["size"]) // (2 * r["size"])
+    want, alone = (Counter({r["doc_id"]: times(r) for r in mixing.mix(docs, copies=c).collect() if times(r)}) for c in (True, False))
+    assert Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == want != alone
