@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,24 @@ def test_levels_are_longest_paths_and_cycles_are_errors(spark):
     for loop in ([(1, 2), (2, 1)], [(0, 1), (1, 2), (2, 1)]):
         with pytest.raises(ValueError):
             audit.levels(spark.createDataFrame(loop, "src long, dst long"), 5)
+
+
+@pytest.mark.parametrize("small", [256, 4, 0])
+def test_dominators_and_headers_of_small_and_large_graphs(spark, monkeypatch, small):
+    """Graphs in rows of their own and graphs by rounds give the same; repeated edges, loops, several roots and nulls."""
+    rng = random.Random(28)
+    data = [(g, rng.randrange(6), rng.randrange(6)) for g in range(40) for _ in range(rng.randrange(12))] + [(3, None, 1), (None, 0, 1), (50, 1, 2)]
+    edges = spark.createDataFrame(data, "graph long, src long, dst long")
+    roots = spark.createDataFrame([(g, 0) for g in range(45)] + [(7, 1), (7, 1), (None, 0), (8, None)], "graph long, node long")
+    want = graphs.by_rounds(edges, roots)
+    monkeypatch.setattr(graphs, "SMALL", small)
+    assert rows(graphs.dominators(edges, roots)) == rows(want)
+    assert rows(graphs.headers(edges, roots)) == rows(graphs.loop_headers(edges, want)) != []
+    assert graphs.dominators(edges.where("false"), roots.where("false")).count() == 0
+
+
+def test_dominators_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 5)
+    edges = spark.range(30).selectExpr("id div 3 as graph", "id % 3 as src", "id % 3 + 1 as dst")
+    got = graphs.dominators(edges, edges.selectExpr("graph", "0L as node").distinct()).collect()
+    assert sorted((r.graph, r.node, r.dominators) for r in got) == [(g, n, list(range(n + 1))) for g in range(10) for n in range(4)]
