@@ -429,19 +429,29 @@ _DOM_SQL = "recursive e as (select distinct l_orderkey as graph, (l_linenumber -
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as graph", "l_linenumber - 1L as src", "l_partkey % 8 as dst").distinct()
+    edges = _lines(spark, sf_dir).distinct()
+    return edges, edges.select("graph", F.lit(0).cast("bigint").alias("node")).distinct()
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, some repeated."""
+    return _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as graph", "l_linenumber - 1L as src", "l_partkey % 8 as dst")
+
+
+def _rooted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same graphs for operators that repeated edges don't disturb: no shuffle of the edges comes first."""
+    edges = _lines(spark, sf_dir)
     return edges, edges.select("graph", F.lit(0).cast("bigint").alias("node")).distinct()
 
 
 @query("dominators", f"with {_DOM_SQL} select graph, node, string_agg(dominator::VARCHAR, ',' order by dominator) as dominators from dom group by graph, node")
 def _dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.dominators(*_graph(spark, sf_dir)).select("graph", "node", F.array_join(F.col("dominators").cast("array<string>"), ",").alias("dominators"))
+    return graphs.dominators(*_rooted(spark, sf_dir)).select("graph", "node", F.array_join(F.col("dominators").cast("array<string>"), ",").alias("dominators"))
 
 
 @query("loop_headers", f"with {_DOM_SQL} select distinct e.graph, e.dst as header, e.src as tail from e join dom on dom.graph = e.graph and dom.node = e.src and dom.dominator = e.dst")
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, roots = _graph(spark, sf_dir)
-    return graphs.loop_headers(edges, graphs.dominators(edges, roots))
+    return graphs.headers(*_rooted(spark, sf_dir))
 
 
 @query("path_check", "with e as (select distinct l_orderkey as graph, l_linenumber - 1 as src, l_partkey % 8 as dst from lineitem), p as (select l_orderkey as path, list_prepend(0, list(l_partkey % 8 order by l_linenumber, l_partkey, l_suppkey)) as nodes from lineitem group by 1), s as (select path, unnest(nodes[1:len(nodes)-1]) as src, unnest(nodes[2:]) as dst from p) select p.path, count(s.src) as n_steps, bool_and(s.src is null or e.src is not null) as exists from p left join s using (path) left join e on e.graph = p.path and e.src = s.src and e.dst = s.dst group by p.path")
