@@ -1,8 +1,7 @@
-"""Relations that hold in a table, by stripped partitions: functional dependencies and keys level by level, and inclusions between columns.
+"""Relations that hold in a table: functional dependencies and keys level by level, and inclusions between columns.
 
-The partition of a set of columns puts rows of equal values into one class; classes of one row are stripped, as they violate nothing. The partition
-of a larger set is the product of two smaller ones: a row's class is the pair of its classes. X determines A if adding A splits no class of X,
-which the number of rows less the number of classes tells. A set is looked at only while all its subsets may still be in a least dependency.
+X determines A if no two rows that agree on X differ in A, nulls being equal to each other. Two such rows of a part of the table refute it for the whole, so most
+candidates go by parts; those that stand are decided on all rows. A candidate is looked at only while none of its subsets determines the same.
 """
 
 from __future__ import annotations
@@ -12,65 +11,72 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType
 
 from ..checkpoints import checkpointed
 
+WHOLE = 1_000_000  # rows of a table that is not cut into parts
+DEALT = 500_000  # rows of a task where all of them are dealt out
+PART = 200_000  # rows, about, of a part that refutes
+FEW = 100_000  # values of a column that are gathered before they are dealt out
+_PLAIN = (BinaryType, BooleanType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType)
 
-def _products(parts: DataFrame, sets: Sequence[tuple[str, ...]], at: Mapping[tuple[str, ...], int]) -> DataFrame:
-    """row, set, class of the stripped partitions of ``sets``, each the product of its two subsets that lack one of its last two columns."""
-    spark = parts.sparkSession
-    plan = spark.createDataFrame([(at[s[:-1]], at[s[:-2] + s[-1:]], at[s]) for s in sets], "a int, b int, s int")
-    a = parts.join(F.broadcast(plan), F.col("set") == F.col("a")).select("row", "b", "s", F.col("class").alias("x"))  # a row for each set of a level
-    b = parts.select(F.col("row").alias("r"), F.col("set").alias("t"), F.col("class").alias("y"))
-    both = a.join(b, (F.col("row") == F.col("r")) & (F.col("b") == F.col("t"))).select("row", "s", "x", "y")
-    classes = both.groupBy("s", "x", "y").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("s").alias("z"), F.col("x").alias("x2"), F.col("y").alias("y2"), "class")
-    return both.join(classes, (F.col("s") == F.col("z")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))).select("row", F.col("s").alias("set"), "class")
+
+def _tasks(rows: DataFrame, total: int) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // DEALT)
+
+
+def _differing(rows: DataFrame, wanted: Sequence[tuple[tuple[str, ...], list[str]]], by: Sequence[str] = (), tasks: int = 0) -> dict[tuple[tuple[str, ...], str], int]:
+    """(X, A) -> how many classes of X (within ``by``) have rows that differ in A; all in one job, of which a number for each (X, A) comes to the driver.
+
+    ``tasks``: rows are dealt out by X to so many tasks.
+    """
+    out = None
+    for i, (x, dependents) in enumerate(wanted):
+        own = rows.select(*by, *x, *dependents)
+        own = own.repartition(tasks, *x) if tasks and x else own
+        differ = [((F.min(a) != F.max(a)) | ((F.count(a) > 0) & (F.count(a) < F.count(F.lit(1))))) for a in dependents]
+        split = own.groupBy(*by, *x).agg(*[F.coalesce(d, F.lit(False)).cast("bigint").alias(f"__{k}") for k, d in enumerate(differ)])
+        sums = split.agg(F.array(*[F.coalesce(F.sum(f"__{k}"), F.lit(0)) for k in range(len(dependents))]).alias("n")).select(F.lit(i).alias("i"), "n")
+        out = sums if out is None else out.unionByName(sums)
+    got = {r["i"]: r["n"] for r in out.collect()} if out is not None else {}
+    return {(x, a): n for i, (x, dependents) in enumerate(wanted) for a, n in zip(dependents, got[i])}
 
 
 def functional(rows: DataFrame, columns: Sequence[str], most: int = 2) -> DataFrame:
     """determinant (columns, comma-joined), dependent: all least functional dependencies with at most ``most`` columns on their left, which hold without exception.
 
     A column with one value depends on nothing, written as an empty determinant. Nulls are equal to each other. Repeated rows agree with themselves. Columns that determine
-    all are keys and have a row for each other column. An empty table determines nothing, so it has no rows. One job and one table for each level; per
-    row there is a class number for each set of columns that is looked at, and none once its classes are single rows.
+    all are keys and have a row for each other column. An empty table determines nothing, so it has no rows.
+
+    A part is all rows whose value of a column falls into one of many buckets, so rows that agree on it stay together. What no part refutes is decided by one
+    aggregation of all rows for each determinant; a table of up to WHOLE rows is one part, which decides it all.
     """
     names = sorted(columns)
-    every = [s for k in range(1, most + 2) for s in combinations(names, k)]
-    at = {s: i for i, s in enumerate(every)}
-    base = checkpointed(rows.select(*names).withColumn("__row", F.monotonically_increasing_id()))
-    total = base.count()
     spark = rows.sparkSession
     schema = "determinant string, dependent string"
+    base = rows.select(*[F.col(n) if isinstance(rows.schema[n].dataType, _PLAIN) else F.col(n).cast("string").alias(n) for n in names])
+    total, *values = base.agg(F.count(F.lit(1)), *[F.approx_count_distinct(n) for n in names]).first()
     if not total:
         return spark.createDataFrame([], schema)
-    single = base.select(F.col("__row").alias("row"), F.explode(F.array(*[F.struct(F.lit(at[n,]).alias("set"), F.xxhash64(F.lit(n), n).alias("h"), F.coalesce(F.col(n).cast("string"), F.lit("\x00null")).alias("v")) for n in names])).alias("x")).select("row", "x.*")
-    classes = single.groupBy("set", "v").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("set").alias("t"), F.col("v").alias("u"), "class")
-    parts = checkpointed(single.join(classes, (F.col("set") == F.col("t")) & (F.col("v") == F.col("u"))).select("row", "set", "class"))
-    excess: dict[tuple[str, ...], int] = {(): total - 1}  # rows less classes
-
-    def measure(level: Sequence[tuple[str, ...]], parts: DataFrame) -> None:
-        got = {r["set"]: r["e"] for r in parts.groupBy("set", "class").agg((F.count(F.lit(1)) - 1).alias("e")).groupBy("set").agg(F.sum("e").alias("e")).collect()}  # a row for each set
-        excess.update({s: got.get(at[s], 0) for s in level})
-
+    buckets = total // PART if total > WHOLE else 1
+    if buckets > 1:
+        inside = [F.when(F.pmod(F.xxhash64(n), F.lit(buckets)) == 0, F.lit(n)) for n, v in zip(names, values) if v >= 10 * buckets]
+        parts = checkpointed(base.withColumn("__part", F.explode(F.array_compact(F.array(*inside)))) if inside else base.withColumn("__part", F.lit("")).where("false"))
+    else:
+        parts = checkpointed(base.withColumn("__part", F.lit("")))
     found: list[tuple[tuple[str, ...], str]] = []
-    level = [(n,) for n in names]
-    measure(level, parts)
-    for k in range(1, most + 2):
-        for s in level:
-            for a in s:
-                rest = tuple(n for n in s if n != a)
-                if rest in excess and excess[rest] == excess[s] and not any(d == a and set(x) <= set(rest) for x, d in found):
-                    found.append((rest, a))
-        if k > most:
-            break
-        # a set is worth looking at if both it is made of were, and one of its columns may still depend on the others
-        held = set(level)
-        wanted = [s for s in combinations(names, k + 1) if all(s[:i] + s[i + 1 :] in held for i in range(k + 1)) and any(not any(d == a and set(x) <= set(s) - {a} for x, d in found) for a in s)]
-        if not wanted:
-            break
-        parts = checkpointed(_products(parts, wanted, at))
-        measure(wanted, parts)
-        level = wanted
+    for k in range(most + 1):
+        wanted = [(x, [a for a in names if a not in x and not any(d == a and set(y) <= set(x) for y, d in found)]) for x in combinations(names, k)]
+        wanted = [(x, dependents) for x, dependents in wanted if dependents]
+        refuted = {c for c, n in _differing(parts, wanted, ["__part"]).items() if n}
+        stands = [(x, left) for x, dependents in wanted if (left := [a for a in dependents if (x, a) not in refuted])]
+        if buckets > 1:
+            for x, left in stands:
+                distinct = max([v for n, v in zip(names, values) if n in x], default=1)
+                found += [c for c, n in _differing(base, [(x, left)], tasks=_tasks(rows, total) if distinct > FEW else 0).items() if not n]
+        else:
+            found += [(x, a) for x, left in stands for a in left]
     return spark.createDataFrame([(",".join(x), d) for x, d in found], schema) if found else spark.createDataFrame([], schema)
 
 

@@ -399,3 +399,15 @@ def test_differences_of_ordinary_and_of_large_keys(spark, monkeypatch):
     got = sorted(map(repr, found.collect()))
     monkeypatch.setattr(ordered, "LARGE", 0)
     assert sorted(map(repr, recurrences.fitted(df, ["k"], ["i"], "y").collect())) == got
+
+
+@pytest.mark.parametrize("part", [7, 20])
+def test_functional_dependencies_by_parts(spark, monkeypatch, part):
+    """What parts don't refute is decided on all rows: a dependency that one pair of rows violates isn't found."""
+    data = [(i, i // 4, i % 5, None if i % 5 == 3 else str(i % 5), float(i // 4)) for i in range(200)] + [(200, 7, 1, "9", 7.0)]
+    df = spark.createDataFrame(data, "id long, a long, b long, c string, d double")
+    want = sorted(map(tuple, dependencies.functional(df, df.columns).collect()))
+    assert ("a", "d") in want and ("c", "b") in want and ("b", "c") not in want and ("id", "c") in want
+    monkeypatch.setattr(dependencies, "WHOLE", 50)
+    monkeypatch.setattr(dependencies, "PART", part)
+    assert sorted(map(tuple, dependencies.functional(df, df.columns).collect())) == want
