@@ -84,13 +84,21 @@ def inclusions(columns: Mapping[str, DataFrame]) -> DataFrame:
     """part, whole: names of columns (one-column tables) where all values of the one occur in the other; nulls are left out, and so are columns without values.
 
     All columns' values are gathered by value once; a value rules out every column that doesn't have it, so of each value only the set of columns that have it counts. Types
-    are compared as text.
+    are compared as text. Columns of FEW values are made distinct before; rows of others are dealt out to as many tasks as keep a task's values to about DEALT.
     """
     names = sorted(columns)
-    values = None
+    counts = values = None
     for i, n in enumerate(names):
-        own = columns[n].toDF("v").where("v is not null").select(F.col("v").cast("string").alias("v"), F.lit(i).alias("c")).distinct()
+        own = columns[n].toDF("v").agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).select(F.lit(i).alias("c"), "n", "d")
+        counts = own if counts is None else counts.unionByName(own)
+    rows, distinct = {}, {}
+    for r in counts.collect():  # a row for each column
+        rows[r["c"]], distinct[r["c"]] = r["n"], r["d"]
+    for i, n in enumerate(names):
+        own = columns[n].toDF("v").where("v is not null").select(F.col("v").cast("string").alias("v"), F.lit(i).alias("c"))
+        own = own.distinct() if distinct[i] <= FEW else own
         values = own if values is None else values.unionByName(own)
+    values = values.repartition(_tasks(values, sum(k for i, k in rows.items() if distinct[i] > FEW)), "v")
     sets = values.groupBy("v").agg(F.bit_or(F.expr("shiftleft(1L, c)")).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     # for each column: the sets in which it occurs, and what they all have in common
     parts = sets.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).where(F.expr("m & shiftleft(1L, c) <> 0"))

@@ -411,3 +411,11 @@ def test_functional_dependencies_by_parts(spark, monkeypatch, part):
     monkeypatch.setattr(dependencies, "WHOLE", 50)
     monkeypatch.setattr(dependencies, "PART", part)
     assert sorted(map(tuple, dependencies.functional(df, df.columns).collect())) == want
+
+
+def test_values_of_inclusions_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(dependencies, "DEALT", 10)
+    monkeypatch.setattr(dependencies, "FEW", 5)
+    got = dependencies.inclusions({"a": spark.range(100), "b": spark.range(1, 60), "c": spark.range(60).selectExpr("id % 3"), "d": spark.range(0)})
+    assert sorted(map(tuple, got.collect())) == [("b", "a"), ("c", "a")]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and ", 15)" in got._jdf.queryExecution().toString()
