@@ -10,7 +10,6 @@ a quota ends, and only that bucket is ordered.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from typing import NamedTuple
 
@@ -21,7 +20,6 @@ from .scratch import written
 
 USES, BUCKETS = 3, 4096
 COSTS = (0, 1, 3, 6)  # of the first, second and third use of a word, and of more (by copies of a text in other sources)
-PATTERNS, WIDEST = 200, 16  # overlapping patterns that are nodes of their own in the flow: the largest of at most so many sources
 HINTED = 100_000  # rows of a table made on the driver up to which it is broadcast
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,48 +54,72 @@ def levels(once: int, every: int) -> list[tuple[int, int]]:
 
 
 def flow(pools: dict, quotas: dict) -> dict:
-    """Words that go from each pool to each source: a min-cost maximum flow by successive shortest paths.
+    """Words that go from each pool to each source: a min-cost maximum flow.
 
-    pools: name -> ([(words, cost)] of its uses at rising costs, {source: most words that go there}).
+    pools: name -> ([(words, cost)] of its uses at rising costs, {source: most words that go there}). Only uses have a cost, and augmenting never takes
+    words back from a pool, so a maximum flow over the uses of each cost, cheapest first, on top of the one before, is of least cost. Each is
+    found by blocking flows along shortest paths, so thousands of pools do no harm.
     """
-    graph: dict = defaultdict(dict)  # node -> node -> [capacity left, cost]; uses have nodes of their own
-
-    def edge(a, b, room: int, cost: int) -> None:  # noqa: ANN001
-        graph[a][b], graph[b][a] = [room, cost], [0, -cost]
-
-    for p, (uses, rooms) in pools.items():
-        for use, (words, cost) in enumerate(uses):
-            if words:
-                edge("from", ("use", p, use), words, 0)
-                edge(("use", p, use), ("pool", p), words, cost)
-        for s, room in rooms.items():
-            edge(("pool", p), ("source", s), room, 0)
-    for s, words in quotas.items():
-        edge(("source", s), "to", words, 0)
-    height: dict = defaultdict(int)
-    while True:
-        far, back, heap, n = {"from": 0}, {}, [(0, 0, "from")], 0
-        while heap:
-            d, _, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for b, (room, cost) in graph[a].items():
-                if room > 0 and (e := d + cost + height[a] - height[b]) < far.get(b, float("inf")):
-                    far[b], back[b], n = e, a, n + 1
-                    heapq.heappush(heap, (e, n, b))
-        if "to" not in far:
-            break
-        for node in graph:
-            height[node] += min(far.get(node, far["to"]), far["to"])
-        path, at = [], "to"
-        while at != "from":
-            path.append((back[at], at))
-            at = back[at]
-        least = min(graph[a][b][0] for a, b in path)
-        for a, b in path:
-            graph[a][b][0] -= least
-            graph[b][a][0] += least
-    return {(p, s): graph[("source", s)][("pool", p)][0] for p, (_, rooms) in pools.items() for s in rooms}
+    room: dict = {s: {} for s in quotas}  # source -> pool -> words that may still go there
+    sent: dict = {p: {s: 0 for s in rooms if s in quotas} for p, (_, rooms) in pools.items()}
+    for p, (_, rooms) in pools.items():
+        for s in sent[p]:
+            room[s][p] = rooms[s]
+    left, have = dict(quotas), dict.fromkeys(pools, 0)
+
+    def augment() -> bool:
+        """A blocking flow from pools with words to sources with quotas left; False if there is no path."""
+        far: dict = {("pool", p): 0 for p, words in have.items() if words}
+        layer, ends = list(far), False
+        while layer and not ends:
+            after = []
+            for kind, x in layer:
+                for y in (sent[x] if kind == "pool" else room[x]):
+                    to = ("source" if kind == "pool" else "pool", y)
+                    if to not in far and (room[y][x] if kind == "pool" else sent[y][x]) > 0:
+                        far[to] = far[kind, x] + 1
+                        after.append(to)
+                        ends = ends or (kind == "pool" and left[y] > 0)
+            layer = after
+        if not ends:
+            return False
+        todo: dict = {}  # node -> the neighbours that may still lead on
+        for first in [p for p, words in have.items() if words]:
+            path = [("pool", first)]
+            while path and have[first]:
+                kind, x = path[-1]
+                if kind == "source" and left[x] > 0:
+                    steps = list(zip(path, path[1:]))
+                    words = min(have[first], left[x], *[room[b[1]][a[1]] if a[0] == "pool" else sent[b[1]][a[1]] for a, b in steps])
+                    for a, b in steps:
+                        p, s, by = (a[1], b[1], words) if a[0] == "pool" else (b[1], a[1], -words)
+                        sent[p][s] += by
+                        room[s][p] -= by
+                    have[first] -= words
+                    left[x] -= words
+                    path = path[:1]
+                    continue
+                if path[-1] not in todo:
+                    todo[path[-1]] = list(sent[x] if kind == "pool" else room[x])
+                on = todo[path[-1]]
+                while on:
+                    to = ("source" if kind == "pool" else "pool", on[-1])
+                    if far.get(to) == far[kind, x] + 1 and (room[on[-1]][x] if kind == "pool" else sent[on[-1]][x]) > 0:
+                        path.append(to)
+                        break
+                    on.pop()
+                else:
+                    path.pop()
+                    if path:
+                        todo[path[-1]].pop()
+        return True
+
+    for cost in sorted({c for uses, _ in pools.values() for _, c in uses}):
+        for p, (uses, _) in pools.items():
+            have[p] += sum(words for words, c in uses if c == cost)
+        while augment():
+            pass
+    return {(p, s): sent[p].get(s, 0) for p, (_, rooms) in pools.items() for s in rooms}
 
 
 def _named(source):  # noqa: ANN001, ANN202
@@ -126,23 +148,21 @@ class Plan(NamedTuple):
 
 
 def _overlaps(units: DataFrame, members: bool, copies: bool) -> tuple[DataFrame, dict]:
-    """(units with __pattern and __of, pattern -> (its sources, words of its different texts)) for the largest patterns of several sources."""
-    top = lambda df: {r["__pattern"]: ([m["__source"] for m in r["m"]], r["once"]) for r in df.where(F.size("m").between(2, WIDEST)).orderBy(F.desc("once"), "__pattern").limit(PATTERNS).collect()}
+    """(units with __pattern and __of, pattern -> (its sources, words of its different texts)) for all patterns of several sources."""
+    told = lambda df: {r["__pattern"]: ([m["__source"] for m in r["m"]], r["once"]) for r in df.collect()}
     if members:
-        named = units.withColumn("__pattern", F.md5(F.to_json(F.struct("__members"))))
-        kept = top(named.where("__size > 0").groupBy("__pattern").agg(F.transform(F.first("__members"), lambda m: F.struct(m.alias("__source"))).alias("m"), F.sum("__size").alias("once")))
-        pattern = F.when(F.col("__pattern").isin(list(kept)), F.col("__pattern"))
-        return named.withColumn("__pattern", pattern).withColumn("__of", F.when(F.col("__pattern").isNull(), F.col("__members")[0])), kept
+        named = units.withColumn("__pattern", F.when(F.size("__members") > 1, F.md5(F.to_json(F.struct("__members")))))
+        patterns = told(named.where("__size > 0 and __pattern is not null").groupBy("__pattern").agg(F.transform(F.first("__members"), lambda m: F.struct(m.alias("__source"))).alias("m"), F.sum("__size").alias("once")))
+        return named.withColumn("__of", F.when(F.col("__pattern").isNull(), F.col("__members")[0])), patterns
     alone = units.withColumns({"__pattern": F.lit(None).cast("string"), "__of": F.col("__source")})
     if not copies:
         return alone, {}
     texts = units.where("__size > 0").groupBy("__text").agg(F.sort_array(F.collect_set(F.struct("__source"))).alias("m"), F.first("__size").alias("once")).where(F.size("m") > 1)
     texts = written(texts.withColumn("__pattern", F.md5(F.to_json("m"))))
-    kept = top(texts.groupBy("__pattern").agg(F.first("m").alias("m"), F.sum("once").alias("once")))
-    if not kept:
+    patterns = told(texts.groupBy("__pattern").agg(F.first("m").alias("m"), F.sum("once").alias("once")))
+    if not patterns:
         return alone, {}
-    few = texts.where(F.col("__pattern").isin(list(kept))).select("__text", "__pattern")
-    return units.join(few, "__text", "left").withColumn("__of", F.col("__source")), kept
+    return units.join(texts.select("__text", "__pattern"), "__text", "left").withColumn("__of", F.col("__source")), patterns
 
 
 def routed(rooms: dict, overlaps: dict, quotas: dict, members: bool) -> dict:
@@ -220,9 +240,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, id_col: str
     whichever of these sources the flow routes it to, and a source's size is that of all rows that are its members. Rows of size 0 take nothing. Equal rows
     (by id, source and text) share a place in the seeded order; reruns agree. Other columns are ignored.
 
-    There may be any number of sources and patterns, as long as the driver holds a number for each source. Beyond the ``PATTERNS`` largest patterns of
-    at most ``WIDEST`` sources, rows are in the pool of their own source (with ``members_col``, of their first member), so quotas are met all the
-    same and only repeats of their copies aren't spread over sources.
+    There may be any number of sources and patterns, of any number of sources each, as long as the driver holds a number for each source of each pattern.
+    All patterns are in the flow.
     """
     units = _measured(docs, seed, id_col, text_col, source_col)
     kept = ["__source", "__size", "__row", "__text", "__bucket", F.col(id_col).cast("bigint").alias("__id")]

@@ -788,3 +788,17 @@ def test_components_extend(spark):
         one, two = (spark.createDataFrame(e, "a bigint, b bigint") for e in (first, second))
         got = {r["node"]: r["root"] for r in minhash.joined(minhash.components(one), two).collect()}
         assert got == plain(first + second)
+
+
+def test_texts_of_any_number_of_sources_are_in_the_flow(spark):
+    """A text of 17 sources, and 400 pairs of sources with a text each: none of them is used up in its sources' own pools."""
+    from itertools import combinations
+
+    names = [f"s{i:02}" for i in range(17)]
+    rows = [(i, "shared " * 100, s) for i, s in enumerate(names)] + [(100 + i, f"own{i} " * 100, s) for i, s in enumerate(names)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,)).collect()
+    assert sum(r.taken for r in got) == 3400 and sum(r.taken for r in got if r.doc_id < 17) <= 200
+    pairs = list(combinations([f"h{i:02}" for i in range(30)], 2))[:400]
+    rows = [(2 * i + k, f"p{i} " * 10, s) for i, pair in enumerate(pairs) for k, s in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len(mixing._overlaps(mixing._measured(docs, 17, "doc_id", "text", "source"), False, True)[1]) == 400
