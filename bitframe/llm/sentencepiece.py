@@ -31,6 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 KEPT = 200_000  # words whose encodings are kept between blocks
+TOGETHER = 200_000  # answers on neighbours that are kept: about 300 bytes each, in every worker
 BLOCK = 1_000_000
 
 
@@ -96,7 +97,7 @@ class Pieces:
         """Do two neighbours, or one piece alone if ``a`` is empty, stay as they are?"""
         key = (a, b)
         if (known := self.together.get(key)) is None:
-            if len(self.together) > 2_000_000:
+            if len(self.together) > TOGETHER:
                 self.together.clear()
             known = self.together[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known

@@ -802,3 +802,12 @@ def test_texts_of_any_number_of_sources_are_in_the_flow(spark):
     rows = [(2 * i + k, f"p{i} " * 10, s) for i, pair in enumerate(pairs) for k, s in enumerate(pair)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert len(mixing._overlaps(mixing._measured(docs, 17, "doc_id", "text", "source"), False, True)[1]) == 400
+
+
+def test_answers_on_neighbours_are_bounded(monkeypatch):
+    """What a worker keeps between tasks doesn't grow beyond its bound, and ids don't depend on it."""
+    texts = [prose(300, i) for i in range(4)]
+    want = [x.tolist() for x in sentencepiece.Pieces(sentencepiece.MODEL).encode(texts)]
+    monkeypatch.setattr(sentencepiece, "TOGETHER", 20)
+    bounded = sentencepiece.Pieces(sentencepiece.MODEL)
+    assert [x.tolist() for x in bounded.encode(texts)] == want and len(bounded.together) <= 21
