@@ -38,52 +38,68 @@ def last(rows: DataFrame, keep: int) -> DataFrame:
 
 
 class Definitions(StatefulProcessor):
-    """Rows wait until the watermark has passed their time; then they are worked on in order. Definitions leave the state when they no longer count."""
+    """Rows wait until the watermark has passed their time; then they are worked on in order. Definitions leave the state when they no longer count.
+
+    Each call of the state goes to another process, so there are a few for each user and batch, and none for each row.
+    """
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, row bigint", "symbol string, defines boolean")
+        self.waiting = handle.getListState("waiting", "at bigint, row bigint, symbol string, defines boolean")
         self.known = handle.getMapState("known", "symbol string", "row bigint, at bigint")
         self.next = handle.getValueState("next", "at bigint")  # the earliest time that waits
 
+    def waits(self, at: int) -> None:
+        """``at`` is the earliest time that waits: one timer for it, whatever waits behind it."""
+        self.next.update((at,))
+        self.handle.registerTimer(-(-at // 1000))  # timers count milliseconds
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = set()
+        earliest = None
         for batch in rows:
-            for at, row, symbol, defines in zip(batch["at"].tolist(), batch["row"].tolist(), batch["symbol"].tolist(), batch["defines"].tolist()):
-                self.waiting.updateValue((at, row), (symbol, defines))
-                times.add(at)
-        for at in {-(-t // 1000) for t in times}:  # timers count milliseconds
-            self.handle.registerTimer(at)
-        if times:
-            self.next.update((min(times | ({self.next.get()[0]} if self.next.exists() else set())),))
+            new = list(zip(batch["at"].tolist(), batch["row"].tolist(), batch["symbol"].tolist(), batch["defines"].tolist()))
+            if new:
+                self.waiting.appendList(new)
+                first = min(new)[0]
+                earliest = first if earliest is None else min(first, earliest)
+        if earliest is not None and not (self.next.exists() and self.next.get()[0] <= earliest):
+            self.waits(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         if not self.next.exists() or self.next.get()[0] > now:
             return  # an earlier timer of this batch has done it all
-        every = [(k[0], k[1], v[0], v[1]) for k, v in self.waiting.iterator()]
-        due, left = sorted(x for x in every if x[0] <= now), [x[0] for x in every if x[0] > now]
-        self.next.update((min(left),)) if left else self.next.clear()
-        out = []
+        every = list(map(tuple, self.waiting.get()))
+        due, left = sorted(x for x in every if x[0] <= now), [x for x in every if x[0] > now]
+        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        before, out = dict(known), []
         for at, row, symbol, defines in due:
             if defines:
-                self.known.updateValue((symbol,), (row, at))
+                known[symbol] = (row, at)
             else:
                 found = (None, None)
                 for name, how in ((symbol, "exact"), (symbol.split(".", 1)[0], "base")):
-                    if self.known.containsKey((name,)):
-                        said = self.known.getValue((name,))
-                        if at - said[1] <= self.keep:
-                            found = (said[0], how)
-                            break
+                    said = known.get(name)
+                    if said and at - said[1] <= self.keep:
+                        found = (said[0], how)
+                        break
                 out.append((key[0], row, *found))
-            self.waiting.removeKey((at, row))
-        for name in [k[0] for k, v in self.known.iterator() if now - v[1] > self.keep]:
-            self.known.removeKey((name,))
+        for name, said in known.items():
+            if now - said[1] > self.keep:
+                if name in before:
+                    self.known.removeKey((name,))
+            elif before.get(name) != said:
+                self.known.updateValue((name,), said)
+        if left:
+            self.waiting.put(left)
+            self.waits(min(left)[0])
+        else:
+            self.waiting.clear()
+            self.next.clear()
         if out:
             table = pd.DataFrame(out, columns=["user", "row", "definition", "found"])
             yield table.astype({"definition": "Int64"})

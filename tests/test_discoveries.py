@@ -419,3 +419,60 @@ def test_values_of_inclusions_are_dealt_out_by_their_number(spark, monkeypatch):
     got = dependencies.inclusions({"a": spark.range(100), "b": spark.range(1, 60), "c": spark.range(60).selectExpr("id % 3"), "d": spark.range(0)})
     assert sorted(map(tuple, got.collect())) == [("b", "a"), ("c", "a")]
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and ", 15)" in got._jdf.queryExecution().toString()
+
+
+def test_definitions_call_the_state_a_few_times_a_batch():
+    """Calls of the state, each of which goes to another process, are counted for a user of many rows."""
+    import pandas as pd
+
+    calls = []
+
+    class Values:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                held = self.held
+                match name:
+                    case "update" | "put":
+                        held["v"] = args[0]
+                    case "appendList":
+                        held["v"] = [*held.get("v", []), *args[0]]
+                    case "updateValue":
+                        held[args[0]] = args[1]
+                    case "get":
+                        return held.get("v", [])
+                    case "iterator":
+                        return iter(list(held.items()))
+                    case "exists":
+                        return "v" in held
+                    case "containsKey":
+                        return args[0] in held
+                    case "getValue":
+                        return held[args[0]]
+                    case "removeKey":
+                        held.pop(args[0], None)
+                    case "clear":
+                        held.clear()
+
+            return call
+
+    class Handle:
+        getListState = getMapState = getValueState = lambda self, *a: Values()
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+
+    class At:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 10**6
+
+    one = definitions.Definitions(10**12)
+    one.init(Handle())
+    data = [(i * 1000, i, "a" if i % 2 else "a.x", i % 4 == 1) for i in range(400)]
+    assert list(one.handleInputRows(("u",), iter([pd.DataFrame(data, columns=["at", "row", "symbol", "defines"])]), At())) == []
+    (got,) = one.handleExpiredTimer(("u",), At(), At())
+    want = [(u, r, d, f) for u, r, d, f in plain_definitions([("u", *x) for x in data], 10**12)]
+    assert sorted(((u, r, None if pd.isna(d) else d, f) for u, r, d, f in got.itertuples(index=False)), key=repr) == want
+    assert len(calls) < 20
