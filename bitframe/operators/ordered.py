@@ -104,7 +104,8 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
         ends = checkpointed(ends.select(*keys, _RANGE, F.last("__end", ignorenulls=True).over(before).alias("__earlier")))
         here = Window.partitionBy(*keys, _RANGE).orderBy(*order).rowsBetween(*upto)
         out = _joined(dealt.withColumn("__last", F.last("__value", ignorenulls=True).over(here)), ends, keys)
-        return out.withColumn(name, F.coalesce("__last", "__earlier")).drop("__value", "__last", "__earlier", _RANGE)
+        out = out.withColumn("__value", F.coalesce("__last", "__earlier")).drop("__last", "__earlier", _RANGE)
+        return out.withColumn(name, F.col("__value")).drop("__value")  # last, as callers name columns of theirs like ours
 
     return by_size(rows, keys, plain, wide)
 

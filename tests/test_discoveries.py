@@ -388,6 +388,22 @@ def test_the_innermost_of_many_points_needs_no_broadcast(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("large", [10_000, 0])
+def test_stretches_of_ordinary_and_of_large_keys(spark, monkeypatch, large):
+    from bitframe.operators import ordered
+
+    rng = random.Random(2)
+    data = [(k, rng.randrange(400), i) for k, n in ((1, 150), (2, 20), (None, 9), (3, 1)) for i in range(n)]
+    want = []
+    for k in (1, 2, None, 3):
+        at = sorted(t for u, t, _ in data if u == k)
+        cuts = [0, *[i for i in range(1, len(at)) if at[i] - at[i - 1] > 4], len(at)]
+        want += [(k, at[a], at[b - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+    monkeypatch.setattr(ordered, "LARGE", large)  # with 0 keys of more than two tasks' shares are dealt out by ranges
+    got = intervals.gaps(spark.createDataFrame(data, "k long, at long, id long").repartition(3), ["k"], "at", ["id"], 4)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_differences_of_ordinary_and_of_large_keys(spark, monkeypatch):
     from bitframe.operators import ordered
 

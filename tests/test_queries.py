@@ -44,3 +44,23 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
     assert sorted(want.columns) == names
     at = [want.columns.index(c) for c in names]
     assert sorted(repr(tuple(plain(r[c]) for c in names)) for r in df.collect()) == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["innermost_session", "enclosing_sessions"])
+def test_sessions_around_events_send_no_table_through_the_driver(spark, name):
+    import __spark_entry__
+
+    context, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    context.listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    before = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # Spark broadcasts whatever it may
+    try:
+        __spark_entry__.queries()[name](spark, TABLES).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    context.listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() > before]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
