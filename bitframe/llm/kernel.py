@@ -1,6 +1,6 @@
 """Vectorised text kernel: words, word hashes and shingles of whole Arrow string columns.
 
-All functions work on the UTF-8 bytes of a block of texts at once. Blocks hold about two million bytes, or one longer text,
+All functions work on the UTF-8 bytes of a block of texts at once. Blocks hold about half a million bytes, or one longer text,
 so that memory stays bounded however large an Arrow batch is.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000
+BLOCK = 500_000
 _SEEDS = np.random.Generator(np.random.PCG64(20240613))
 _BYTE = _SEEDS.integers(1, 2**64, 256, dtype=np.uint64)
 _STEP = _SEEDS.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)

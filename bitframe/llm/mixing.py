@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import table, written
 
 USES, BUCKETS = 3, 4096
 COSTS = (0, 1, 3, 6)  # of the first, second and third use of a word, and of more (by copies of a text in other sources)
@@ -209,7 +209,7 @@ def _plan(units: DataFrame, weights: tuple, members: bool = False, copies: bool
     targets = shares(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, total)
     taken = routed(rooms, overlaps, whole(targets), members)
     rows = [(p, o, *divmod(words, rooms[p, o])) for (p, o), words in taken.items() if words]
-    used = _hinted(spark.createDataFrame(rows, "__p string, __o string, uses bigint, rest bigint"), len(rows))
+    used = _hinted(table(spark, {c: [r[i] for r in rows] for i, c in enumerate(("__p", "__o", "uses", "rest"))}, "__p string, __o string, uses bigint, rest bigint"), len(rows))
     same = F.col("__pattern").eqNullSafe(F.col("__p")) & F.col("__of").eqNullSafe(F.col("__o"))
     upto = F.sum("words").over(Window.partitionBy("__p", "__o").orderBy("__bucket"))  # 4,096 rows at most
     ends = buckets.join(used.where("rest > 0"), same).withColumn("before", upto - F.col("words")).where("before <= rest and before + words > rest")
@@ -251,7 +251,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, id_col: str
     units = written(units if members_col else units.select(*kept))
     plan = _plan(units, weights, members=bool(members_col), copies=copies)
     out = _taken(plan.pooled, plan)
-    goal = docs.sparkSession.createDataFrame([(s, plan.sizes[s], plan.targets[s]) for s in plan.sizes], "__s string, source_size bigint, target double")
+    goal = table(docs.sparkSession, {"__s": [*plan.sizes], "source_size": [*plan.sizes.values()], "target": [plan.targets[s] for s in plan.sizes]}, "__s string, source_size bigint, target double")
     out = out.join(_hinted(goal, len(plan.sizes)), F.col("__source").eqNullSafe(F.col("__s")), "left")
     return out.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__row").alias("row_hash"), F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..checkpoints import checkpoint_dir
 from ..shipping import ship
 
+BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where none is named, a new temporary one on one machine (as in tests), and an error on a cluster."""
@@ -35,6 +37,14 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table of the driver's. It goes as Arrow, so that no executor starts further Python workers to read pickled rows."""
+    names = [c.split(" ", 1)[0] for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    fields = [pa.array(columns[n], kinds[c.split(" ", 1)[1]]) for n, c in zip(names, schema.split(", "))]
+    return spark.createDataFrame(pa.Table.from_arrays(fields, names))
+
+
 def released() -> None:
     """Give freed memory back to the system: workers live on between stages, and what they keep counts beside the executor's heap."""
     pa.default_memory_pool().release_unused()
@@ -45,8 +55,14 @@ def released() -> None:
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers, which give back what a task has freed."""
+    """``df.mapInArrow`` with this package at hand in the workers, which give back what a task has freed.
+
+    Batches are bounded by bytes, too (``BATCH``, or less if the session says so): each is held several times, in the executor and its worker.
+    """
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BYTES).removesuffix("b")) <= BATCH:
+        conf.set(BYTES, str(BATCH))
 
     def task(batches: Iterator) -> Iterator:
         yield from run(batches)

@@ -30,8 +30,8 @@ from .scratch import arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KEPT = 200_000  # words whose encodings are kept between blocks
-TOGETHER = 200_000  # answers on neighbours that are kept: about 300 bytes each, in every worker
+KEPT = 100_000  # words whose encodings are kept between blocks
+TOGETHER = 100_000  # answers on neighbours that are kept: about 300 bytes each, in every worker
 BLOCK = 1_000_000
 
 

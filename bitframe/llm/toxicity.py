@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, minhash
-from .scratch import arrow, written
+from .scratch import arrow, table, written
 
 SAMPLE, FEATURES, FOLDS, SEED, SUPPORT, DECAY = 8_000, 512, 5, 5, 5, 1e-3
 REJECT = 0.3  # a toxic text that stays is worse than a clean one that goes; see the README for both shares
@@ -186,7 +186,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
     hashed = arrow(chosen.select("at", "text", "toxic"), run, "at bigint, toxic int, words array<bigint>, bands array<bigint>")
     once = written(hashed.groupBy("at").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"), F.first("bands").alias("bands")))
     keys = once.select("at", "bands").orderBy("at").collect()  # ``sample`` rows at most
-    weights = docs.sparkSession.createDataFrame([(r["at"], float(w)) for r, w in zip(keys, family_weights([r["bands"] for r in keys]))], "at bigint, weight double")
+    weights = table(docs.sparkSession, {"at": [r["at"] for r in keys], "weight": family_weights([r["bands"] for r in keys])}, "at bigint, weight double")
     return written(once.join(F.broadcast(weights), "at").select((F.col("toxic") > 0).cast("int").alias("toxic"), "weight", "words"))
 
 

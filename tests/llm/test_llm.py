@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bitframe.llm import chat, fingerprint, kernel, licenses, linededup, minhash, mixing, pii, quality, sentencepiece, toxicity
+from bitframe.llm import chat, fingerprint, kernel, licenses, linededup, minhash, mixing, pii, quality, scratch, sentencepiece, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t ", "one", "two words", "é" * 50, "x" * 30000, "a b c d e", "A B C D E", "nul\x00 in 漢字 text", "🎈 smile " * 40, "word " * 3000]
@@ -811,3 +811,33 @@ def test_answers_on_neighbours_are_bounded(monkeypatch):
     monkeypatch.setattr(sentencepiece, "TOGETHER", 20)
     bounded = sentencepiece.Pieces(sentencepiece.MODEL)
     assert [x.tolist() for x in bounded.encode(texts)] == want and len(bounded.together) <= 21
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Workers and executors hold a few MB of texts at once, not as many as 10,000 rows have."""
+    texts = spark.range(0, 40, 1, 1).select(F.expr("repeat('abcdefghi ', 100000)").alias("text"))
+    run = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches)
+    got = scratch.arrow(texts, run, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in got) == 40 and max(r["size"] for r in got) < 8_000_000
+
+
+def test_features_of_large_columns_take_little_memory():
+    """Temporary arrays are those of a small block, whatever a column holds."""
+    import tracemalloc
+
+    column = pa.array([prose(400, i) for i in range(2000)])
+    wanted = toxicity.hash_words(["idiot", "house"])
+    tracemalloc.start()
+    n = sum(len(sets) for _, sets in toxicity.feature_sets(column, wanted))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 and peak < 40_000_000
+
+
+def test_tables_of_the_driver_need_no_python_workers(spark, monkeypatch):
+    """Neither fitting nor mixing sends pickled rows, for which executors would start workers of another kind that stay."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a: (_ for _ in ()).throw(AssertionError("pickled rows")))
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('some words of text ', id, if(id % 3 = 0, ' you idiot', ' fine'))  as text", "if(id % 2 = 0, 'a', 'b') as source")
+    labels = spark.range(60).selectExpr("id as doc_id", "if(id % 3 = 0, 1, 0) as toxic")
+    assert toxicity.score(docs, labels).count() == 60
+    assert mixing.mixed(docs, copies=True).count() > 0
