@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpointed
 
 _FOLD = {"sum": F.sum, "max": F.max, "or": F.bit_or}
+_NONE = {"sum": 0, "max": None, "or": 0}  # of no items
 _UPTO = (Window.unboundedPreceding, 0)
 
 
@@ -40,7 +41,7 @@ def reduced(items: DataFrame, keys: Sequence[str], item: str, measures: Mapping[
     every = lambda n: F.col(f"w_{n}")
     kept = lambda n: F.col(f"k_{n}")
     rows = checkpointed(rows.where(F.coalesce(holds(every, every), F.lit(False))))
-    blank = {f"k_{n}": F.lit(None).cast(rows.schema[f"v_{n}"].dataType) for n in measures}
+    blank = {f"k_{n}": F.lit(_NONE[k]).cast(rows.schema[f"v_{n}"].dataType) for n, (k, _) in measures.items()}
     state = rows.groupBy("__key").agg(*[F.first(f"w_{n}").alias(f"w_{n}") for n in measures]).withColumns(blank).withColumn("__upto", F.lit(None).cast(rows.schema["__item"].dataType))
     out = []
     while True:

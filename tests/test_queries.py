@@ -64,3 +64,24 @@ def test_sessions_around_events_send_no_table_through_the_driver(spark, name):
     plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() > before]
     assert any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+DOCUMENTS = [(0, None), (1, ""), (2, "\n\n"), (3, "a"), (4, "\n\na\n"), (5, "7\n\n7"), (6, "x" * 150 + "\n1\n" + "y" * 150 + "\n" + "z" * 90), (7, "\n".join(["no", "é🎈 4", "", "4 5", "\r", "5"]))]
+
+
+def of_documents(spark, folder, name, rows):
+    """Rows of a query and of its SQL over ``documents`` made of (doc_id, text)."""
+    import __spark_entry__
+
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    df = __spark_entry__.queries()[name](spark, str(folder))
+    with duckdb.connect() as db:
+        db.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+        want = db.sql(__spark_entry__.oracle_sql()[name])
+        assert df.columns == want.columns
+        return sorted(map(tuple, df.collect()), key=repr), sorted(want.fetchall(), key=repr)
+
+
+def test_documents_without_text_need_none_of_their_lines(spark, tmp_path):
+    got, want = of_documents(spark, tmp_path, "least_lines", DOCUMENTS)
+    assert got == want and {d for d, _ in got} == {3, 4, 5, 6, 7}
